@@ -206,8 +206,18 @@ def magnet_uri(info_hash, title) -> Column:
 
 
 def _one_decimal(v: Column) -> Column:
-    """Fixed one-decimal text, ties away from zero on the exact value (JS toFixed for x >= 0)."""
-    n = F.floor(v * 10 + 0.5).cast("bigint")
+    """Fixed one-decimal text as JS toFixed(1): the nearest n/10 to the exact value, ties up.
+
+    x*10 is rounded in double arithmetic, so when it lands exactly on k+0.5
+    the exact product (Dekker two-product error term) decides the side.
+    """
+    p = v * 10.0
+    c = v * 134217729.0
+    hi = c - (c - v)
+    lo = v - hi
+    err = (hi * 10.0 - p) + lo * 10.0
+    f = F.floor(p)
+    n = F.when(p - f == 0.5, F.when(err < 0, f).otherwise(f + 1)).otherwise(F.floor(p + 0.5)).cast("bigint")
     a = F.abs(n)
     return F.concat(F.when(n < 0, F.lit("-")).otherwise(F.lit("")),
                     (a / 10).cast("bigint").cast("string"), F.lit("."), (a % 10).cast("string"))

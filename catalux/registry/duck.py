@@ -103,7 +103,13 @@ def bare_info_hash(e: str) -> str:
 
 
 def one_decimal(v: str) -> str:
-    n = f"CAST(floor(({v}) * 10 + 0.5) AS BIGINT)"
+    p = f"(({v}) * 10.0)"
+    c = f"(({v}) * 134217729.0)"
+    hi = f"({c} - ({c} - ({v})))"
+    lo = f"(({v}) - {hi})"
+    err = f"(({hi} * 10.0 - {p}) + {lo} * 10.0)"
+    n = (f"CAST(CASE WHEN {p} - floor({p}) = 0.5 THEN (CASE WHEN {err} < 0 THEN floor({p}) ELSE floor({p}) + 1 END) "
+         f"ELSE floor({p} + 0.5) END AS BIGINT)")
     return (f"((CASE WHEN {n} < 0 THEN '-' ELSE '' END) || CAST(abs({n}) // 10 AS VARCHAR) || '.' "
             f"|| CAST(abs({n}) % 10 AS VARCHAR))")
 
@@ -161,3 +167,17 @@ def query_file_type(e: str) -> tuple[str, str]:
 
 def is_ascii(e: str) -> str:
     return f"regexp_full_match({e}, '[\\x00-\\x7F]*')"
+
+
+def uri_component(e: str) -> str:
+    x = f"url_encode({e})"
+    for enc, ch in (("%21", "!"), ("%28", "("), ("%29", ")"), ("%2A", "*"), ("%27", "''")):
+        x = f"replace({x}, '{enc}', '{ch}')"
+    return x
+
+
+def point_id(src: str, pid: str) -> str:
+    h = f"sha1(unhex('{fixed.UUID_URL_NAMESPACE}') || encode({src} || ':' || {pid}))"
+    variant = f"lower(printf('%x', (('0x' || substring({h}, 17, 1))::INTEGER % 4) + 8))"
+    return (f"(substring({h}, 1, 8) || '-' || substring({h}, 9, 4) || '-5' || substring({h}, 14, 3) || '-' "
+            f"|| {variant} || substring({h}, 18, 3) || '-' || substring({h}, 21, 12))")
