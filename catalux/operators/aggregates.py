@@ -114,7 +114,7 @@ def latency_summary(timings: DataFrame, group, value: str) -> DataFrame:
 
 def sync_summary(log: DataFrame, group: str, rows: str, started: str) -> DataFrame:
     """Per source: batches, rows, elapsed seconds, rows per second."""
-    secs = (F.unix_micros(F.max(started)) - F.unix_micros(F.min(started))).cast("double") / 1e6
+    secs = (F.unix_micros(F.max(started).cast("timestamp")) - F.unix_micros(F.min(started).cast("timestamp"))).cast("double") / 1e6
     return log.groupBy(group).agg(F.count(F.lit(1)).alias("batches"), F.sum(rows).alias("rows"),
                                   secs.alias("seconds")).withColumn(
         "rows_per_sec", F.try_divide(F.col("rows"), F.col("seconds")))

@@ -136,7 +136,7 @@ def stale_refs(refs: DataFrame, existing: DataFrame, keys, now, ttl_hours: float
         cond = c if cond is None else cond & c
     j = refs.join(ex, cond, "left")
     now_c = F.to_timestamp(F.lit(now)) if isinstance(now, str) else col_(now)
-    age_h = (F.unix_micros(now_c) - F.unix_micros(F.col("_t"))).cast("double") / 3.6e9
+    age_h = (F.unix_micros(now_c.cast("timestamp")) - F.unix_micros(F.col("_t").cast("timestamp"))).cast("double") / 3.6e9
     ttl = F.when(F.col("_st") == "not_found", F.lit(float(not_found_ttl_hours))).otherwise(F.lit(float(ttl_hours)))
     stale = F.col("_e0").isNull() | (ttl <= 0) | F.col("_t").isNull() | (age_h >= ttl)
     return j.where(stale).drop(*[f"_e{i}" for i in range(len(keys))], "_st", "_t")

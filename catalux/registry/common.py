@@ -6,8 +6,12 @@ from pyspark.sql import functions as F
 
 from catalux.spec import JoinSpec, SourceSpec
 
+# Search view of the items table: results show the title.
 ITEMS = SourceSpec(name="items", id_field="id", text_field="title", updated_at_field="updated_at",
                    extra_fields=("lang", "size"), keyword_fields=("title",), size_field="size")
+# Sync view of the same table: the body text is what gets hashed and embedded.
+ITEMS_SYNC = SourceSpec(name="items", id_field="id", text_field="text", updated_at_field="updated_at",
+                        extra_fields=("lang", "size"), size_field="size")
 NOW = "2024-01-20 00:00:00"
 FILM_SOURCE = "src1"   # items of this source act as the film catalogue
 CATALOG_FILM_SOURCE = "Brand#1"
