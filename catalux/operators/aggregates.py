@@ -98,8 +98,8 @@ def exact_median(df: DataFrame, group, value: str, accuracy: int = 10000, margin
     inner = (F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi"))
     g = j.groupBy(*group, "_n").agg(F.count(F.when(F.col("_v") < F.col("_lo"), 1)).alias("_below"),
                                     F.sort_array(F.collect_list(F.when(inner, F.col("_v")))).alias("_mid"))
-    lo = F.floor((F.col("_n") - 1) / 2).cast("int") - F.col("_below")
-    hi = F.ceil((F.col("_n") - 1) / 2).cast("int") - F.col("_below")
+    lo = (F.floor((F.col("_n") - 1) / 2) - F.col("_below")).cast("int")
+    hi = (F.ceil((F.col("_n") - 1) / 2) - F.col("_below")).cast("int")
     med = (F.element_at("_mid", lo + 1) + F.element_at("_mid", hi + 1)) / 2.0
     return g.select(*group, med.alias("median"))
 

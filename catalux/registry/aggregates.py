@@ -109,20 +109,22 @@ def hits_by_source(fx):
 
 
 @register("latency_summary", """
-SELECT event_type, min(value) AS min_v, quantile_cont(value, 0.5) AS p50_v, avg(value) AS mean_v, max(value) AS max_v
+SELECT event_type, min(value) AS min_v, quantile_cont(value, 0.5) AS p50_v, round(avg(value), 6) AS mean_v, max(value) AS max_v
 FROM events GROUP BY event_type""")
 def latency_summary(fx):
     """Min / exact median / mean / max per event type."""
     out = A.latency_summary(fx.table("events"), "event_type", "value")
-    return out.select("event_type", "min_v", "p50_v", F.round("mean_v", 9).alias("mean_v"), "max_v")
+    return out.select("event_type", "min_v", "p50_v", F.round("mean_v", 6).alias("mean_v"), "max_v")
 
 
 @register("sync_summary", """
-SELECT event_type AS source, count(*) AS batches, sum(value) AS rows,
+SELECT event_type AS source, count(*) AS batches, round(sum(value), 6) AS rows,
        (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6 AS seconds,
-       sum(value) / nullif((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6, 0) AS rows_per_sec
+       round(sum(value) / nullif((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6, 0), 6) AS rows_per_sec
 FROM events GROUP BY event_type""")
 def sync_summary(fx):
     """Per source batches, rows, elapsed seconds, rows/s over a run log (events as the log)."""
     log = fx.table("events").select(F.col("event_type").alias("source"), "value", "ts")
-    return A.sync_summary(log, "source", "value", "ts")
+    out = A.sync_summary(log, "source", "value", "ts")
+    return out.select("source", "batches", F.round("rows", 6).alias("rows"), "seconds",
+                      F.round("rows_per_sec", 6).alias("rows_per_sec"))
