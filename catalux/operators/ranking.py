@@ -98,3 +98,20 @@ def size_order(size: Column, score: Column, direction: str) -> list[Column]:
 def numeric_id_order(c) -> Column:
     """Text id ordered as a number."""
     return col_(c).try_cast("bigint")
+
+
+def global_position(df: DataFrame, order, col: str = "position") -> DataFrame:
+    """1-based position of every row in a total order, computed without one-task windows.
+
+    The frame is range-partitioned and sorted by ``order``; each partition's
+    row count becomes an offset (a table with one row per partition), and
+    the position is offset + row number inside the partition.
+    """
+    keys = _cols(order)
+    srt = df.sort(*keys).withColumn("_pid", F.spark_partition_id())
+    counts = srt.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt"))
+    offsets = counts.select("_pid", (F.sum("_cnt").over(Window.orderBy("_pid")) - F.col("_cnt")).alias("_off"))
+    w = Window.partitionBy("_pid").orderBy(*keys)
+    return (srt.join(F.broadcast(offsets), "_pid")
+            .withColumn(col, (F.col("_off") + F.row_number().over(w)).cast("bigint"))
+            .drop("_pid", "_off"))
