@@ -34,7 +34,7 @@ def expansion_candidates(queries: DataFrame, enrich: DataFrame, content: DataFra
     a, o = query_tokens(q)
     qt = qs.select(qid, F.coalesce(a, F.col(q)).alias("_t1"), F.coalesce(o, F.col(q)).alias("_t2"))
     b3 = contains_join(qt, qid, "_t1", fe, "_ek", ["aka"],
-                       extra_pred=F.col("aka").ilike(F.concat(F.lit("%"), F.col("_t2"), F.lit("%"))),
+                       extra_pred=F.ilike(F.col("aka"), F.concat(F.lit("%"), F.col("_t2"), F.lit("%"))),
                        limit_per_query=limit, order=order)
     cols = [qid, "content_type", "tmdb_id", "aka", "keywords"]
     parts = [b.select(*cols).withColumn("branch", F.lit(n))

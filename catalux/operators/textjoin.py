@@ -76,7 +76,7 @@ def contains_join(queries: DataFrame, qid: str, q: str, rows: DataFrame, key: st
     cand = reduce(lambda a, b: a.unionByName(b), matched)
     pairs = cand.join(qs.drop("_lit", "_llen"), qid).join(rows, F.col("_rk") == rows[key]).drop("_rk")
     pattern = F.concat(F.lit("%"), F.col(q), F.lit("%"))
-    verify = reduce(lambda a, b: a | b, [F.col(c).ilike(pattern) for c in text_cols])
+    verify = reduce(lambda a, b: a | b, [F.ilike(F.col(c), pattern) for c in text_cols])
     if extra_pred is not None:
         verify = verify & extra_pred
     found = pairs.where(verify)
@@ -91,7 +91,7 @@ def contains_join(queries: DataFrame, qid: str, q: str, rows: DataFrame, key: st
         rows_ok = F.broadcast(rows_ok.orderBy(*order).limit(limit_per_query))
     one = F.lit(1)
     wild_pairs = wild.withColumn("_one", one).join(rows_ok.withColumn("_one", one), "_one").drop("_one").where(
-        reduce(lambda a, b: a | b, [F.col(c).ilike(F.concat(F.lit("%"), F.col(q), F.lit("%"))) for c in text_cols]))
+        reduce(lambda a, b: a | b, [F.ilike(F.col(c), F.concat(F.lit("%"), F.col(q), F.lit("%"))) for c in text_cols]))
     return _limit(found.unionByName(wild_pairs), qid, limit_per_query, order)
 
 
