@@ -150,8 +150,8 @@ def normalize_scene_item(item: Column) -> dict[str, Column]:
     date_v = first_truthy(g("release_date"), g("releaseDate"), g("date"), g("production_date"))
     plot_v = first_truthy(g("description"), g("overview"), g("plot"), g("details"))
     return {
-        "tpdb_id": _any_str(first_truthy(g("id"), g("uuid"))),
-        "external_type": _any_str(first_truthy(g("type"), g("__typename"))),
+        "tpdb_id": F.nullif(_any_str(first_truthy(g("id"), g("uuid"))), F.lit("")),
+        "external_type": F.nullif(_any_str(first_truthy(g("type"), g("__typename"))), F.lit("")),
         "title": _any_str(first_truthy(g("title"), g("name"))),
         "original_title": _any_str(first_truthy(g("original_title"), g("originalTitle"))),
         "aka": aka,

@@ -36,5 +36,5 @@ def register(slug: str, oracle: str | None = None, fixtures: tuple[str, ...] = (
 def load_all() -> None:
     """Import every registry module (each registers on import)."""
     from catalux.registry import (  # noqa: F401
-        scans, views, filters, joins, aggregates, ranking, sets, scalars, vectors, streams, endtoend,
+        scans, payloads, views, filters, joins, aggregates, ranking, sets, scalars, vectors, streams, endtoend,
     )

@@ -181,3 +181,70 @@ def point_id(src: str, pid: str) -> str:
     variant = f"lower(printf('%x', (('0x' || substring({h}, 17, 1))::INTEGER % 4) + 8))"
     return (f"(substring({h}, 1, 8) || '-' || substring({h}, 9, 4) || '-5' || substring({h}, 14, 3) || '-' "
             f"|| {variant} || substring({h}, 18, 3) || '-' || substring({h}, 21, 12))")
+
+
+# --- JSON (payload) helpers --------------------------------------------------
+
+def jtype(v: str, path: str = "$") -> str:
+    return f"json_type({v}, '{path}')"
+
+
+def jstr(v: str, path: str = "$") -> str:
+    return f"json_extract_string({v}, '{path}')"
+
+
+def jget(v: str, path: str) -> str:
+    return f"json_extract({v}, '{path}')"
+
+
+def truthy(v: str) -> str:
+    t = jtype(v)
+    return (f"(CASE WHEN {v} IS NULL OR {t} IS NULL OR {t} = 'NULL' THEN false "
+            f"WHEN {t} = 'VARCHAR' THEN {jstr(v)} <> '' WHEN {t} = 'ARRAY' THEN json_array_length({v}) > 0 "
+            f"WHEN {t} = 'OBJECT' THEN CAST({v} AS VARCHAR) <> '{{}}' WHEN {t} = 'BOOLEAN' THEN CAST({jstr(v)} AS BOOLEAN) "
+            f"ELSE TRY_CAST({jstr(v)} AS DOUBLE) <> 0 END)")
+
+
+def first_truthy(*vs: str) -> str:
+    return "(CASE " + " ".join(f"WHEN {truthy(v)} THEN {v}" for v in vs) + " END)"
+
+
+def any_str(v: str) -> str:
+    return f"(CASE WHEN {truthy(v)} THEN (CASE WHEN {jtype(v)} = 'VARCHAR' THEN {jstr(v)} ELSE CAST({v} AS VARCHAR) END) ELSE '' END)"
+
+
+def _object_name(o: str) -> str:
+    perf = jget(o, "$.performer")
+    return (f"(CASE WHEN {jtype(o, '$.performer')} = 'OBJECT' AND {truthy(perf)} "
+            f"THEN coalesce(nullif({jstr(o, '$.performer.name')}, ''), nullif({jstr(o, '$.performer.title')}, '')) "
+            f"ELSE coalesce(nullif({jstr(o, '$.name')}, ''), nullif({jstr(o, '$.title')}, ''), nullif({jstr(o, '$.label')}, '')) END)")
+
+
+def join_names(v: str) -> str:
+    names = (f"list_filter(list_transform({jget(v, '$[*]')}, lambda x: CASE WHEN {jtype('x')} = 'VARCHAR' "
+             f"THEN nullif({jstr('x')}, '') WHEN {jtype('x')} = 'OBJECT' THEN {_object_name('x')} END), "
+             f"lambda n: coalesce(n, '') <> '')")
+    t = jtype(v)
+    return (f"(CASE WHEN NOT {truthy(v)} THEN '' WHEN {t} = 'VARCHAR' THEN {jstr(v)} "
+            f"WHEN {t} = 'ARRAY' THEN array_to_string({names}, ', ') "
+            f"WHEN {t} = 'OBJECT' THEN coalesce({_object_name(v)}, '') ELSE '' END)")
+
+
+def _image_of(v: str) -> str:
+    keys = " ".join(f"WHEN {truthy(jget(v, '$.' + k))} THEN {jstr(v, '$.' + k)}" for k in ("url", "path", "src"))
+    return (f"(CASE WHEN {jtype(v)} = 'VARCHAR' THEN nullif({jstr(v)}, '') "
+            f"WHEN {jtype(v)} = 'OBJECT' THEN (CASE {keys} END) END)")
+
+
+def first_image_url(v: str) -> str:
+    lst = f"list_filter(list_transform({jget(v, '$[*]')}, lambda x: {_image_of('x')}), lambda u: u IS NOT NULL)"
+    return (f"(CASE WHEN NOT {truthy(v)} THEN NULL WHEN {jtype(v)} = 'ARRAY' THEN {lst}[1] ELSE {_image_of(v)} END)")
+
+
+def result_items(payload: str, path: str) -> str:
+    data = jget(payload, "$." + path)
+    objs = lambda arr: f"list_filter({arr}, lambda x: {jtype('x')} = 'OBJECT')"
+    wrapped = " ".join(f"WHEN {jtype(data, '$.' + k)} = 'ARRAY' THEN {objs(jget(data, '$.' + k + '[*]'))}"
+                       for k in fixed.RESULT_LIST_KEYS)
+    return (f"(CASE WHEN {jtype(data)} = 'ARRAY' THEN {objs(jget(data, '$[*]'))} "
+            f"WHEN {jtype(data)} = 'OBJECT' THEN (CASE {wrapped} ELSE [{data}] END) ELSE []::JSON[] END)")

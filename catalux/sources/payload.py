@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from catalux.functions.match import is_list, is_obj, vget, vstr
 
 
-def read_payload_files(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+def read_payload_files(spark: SparkSession, path: str, schema=None) -> DataFrame:
     """Landed JSON documents, one per line; a declared schema avoids an inference pass."""
     reader = spark.read.option("mode", "PERMISSIVE")
     if schema:
