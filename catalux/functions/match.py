@@ -134,36 +134,79 @@ def _any_str(v: Column) -> Column:
     return F.when(truthy(v), F.when(is_str(v), vstr(v)).otherwise(F.to_json(v))).otherwise(F.lit(""))
 
 
-def normalize_scene_item(item: Column) -> dict[str, Column]:
-    """The 13 scene columns with their per-field fallbacks."""
-    g = lambda k: vget(item, f"$.{k}")
-    url_sites = F.filter(F.transform(F.coalesce(vget(item, "$.urls", "array<variant>"), F.array().cast("array<variant>")),
-                                     lambda u: F.when(is_obj(u) & is_obj(vget(u, "$.site")),
-                                                      nz(vstr(u, "$.site.name")))
+_SCENE_KEYS = ["id", "uuid", "type", "__typename", "title", "name", "original_title", "originalTitle", "aka",
+               "alternateTitles", "code", "performers", "actors", "tags", "studio", "series", "site", "urls",
+               "release_date", "releaseDate", "date", "production_date", "description", "overview", "plot", "details",
+               "image", "images", "poster"]
+_SCENE_CHOICES = {
+    "c_id": ["id", "uuid"], "c_type": ["type", "__typename"], "c_title": ["title", "name"],
+    "c_orig": ["original_title", "originalTitle"], "c_aka": ["aka", "alternateTitles"],
+    "c_actors": ["performers", "actors"], "c_date": ["release_date", "releaseDate", "date", "production_date"],
+    "c_plot": ["description", "overview", "plot", "details"], "c_image": ["image", "images", "poster"],
+}
+
+
+def _k(key: str) -> str:
+    return "_v_" + key.strip("_")
+
+
+def scene_frame(df: DataFrame, item: str, keep) -> DataFrame:
+    """X24 over a frame: the 13 scene columns with their per-field fallbacks.
+
+    Evaluated in stages (raw fields, truthiness, chosen values, outputs) so
+    every stage references plain columns; nesting the fallbacks in one
+    expression would repeat each JSON extraction many times over.
+    """
+    keep = list(keep)
+    it = F.col(item)
+    s1 = df.select(*keep, *[vget(it, f"$.{k}").alias(_k(k)) for k in _SCENE_KEYS])
+    s2 = s1.select("*", *[truthy(F.col(_k(k))).alias("_ok" + _k(k)) for k in _SCENE_KEYS])
+    chosen = []
+    for name, keys in _SCENE_CHOICES.items():
+        c = None
+        for k in keys:
+            c = F.when(F.col("_ok" + _k(k)), F.col(_k(k))) if c is None else c.when(F.col("_ok" + _k(k)), F.col(_k(k)))
+        chosen.append(c.alias(name))
+    s3 = s2.select(*keep, *[F.col(_k(k)) for k in ("code", "tags", "studio", "series", "site", "urls")],
+                   *[F.col("_ok" + _k(k)) for k in ("code", "site")], *chosen)
+    url_sites = F.filter(F.transform(F.coalesce(vget(F.col(_k("urls")), "$", "array<variant>"), F.array().cast("array<variant>")),
+                                     lambda u: F.when(is_obj(u) & is_obj(vget(u, "$.site")), nz(vstr(u, "$.site.name")))
                                      .when(is_obj(u) & is_str(vget(u, "$.site")), vstr(u, "$.site"))),
-                         lambda s: s.isNotNull())
-    site = F.when(truthy(g("site")), join_names(g("site"))).otherwise(
-        F.array_join(F.filter(url_sites, lambda s: s != ""), ", "))
-    aka_v = first_truthy(g("aka"), g("alternateTitles"))
-    aka = F.when(aka_v.isNull(), F.when(truthy(g("code")), _any_str(g("code"))).otherwise(F.lit(""))).otherwise(
-        F.when(is_str(aka_v), vstr(aka_v)).otherwise(join_names(aka_v)))
-    date_v = first_truthy(g("release_date"), g("releaseDate"), g("date"), g("production_date"))
-    plot_v = first_truthy(g("description"), g("overview"), g("plot"), g("details"))
-    return {
-        "tpdb_id": F.nullif(_any_str(first_truthy(g("id"), g("uuid"))), F.lit("")),
-        "external_type": F.nullif(_any_str(first_truthy(g("type"), g("__typename"))), F.lit("")),
-        "title": _any_str(first_truthy(g("title"), g("name"))),
-        "original_title": _any_str(first_truthy(g("original_title"), g("originalTitle"))),
-        "aka": aka,
-        "actors": join_names(first_truthy(g("performers"), g("actors"))),
-        "tags": join_names(g("tags")),
-        "studio": join_names(g("studio")),
-        "series": join_names(g("series")),
-        "site": site,
-        "release_date": F.coalesce(_any_str(date_v), F.lit("")),
-        "plot": F.coalesce(_any_str(plot_v), F.lit("")),
-        "poster_url": first_image_url(first_truthy(g("image"), g("images"), g("poster"))),
-    }
+                         lambda x: x.isNotNull() & (x != ""))
+    site = F.when(F.col("_ok" + _k("site")), join_names(F.col(_k("site")))).otherwise(F.array_join(url_sites, ", "))
+    aka = F.when(F.col("c_aka").isNull(),
+                 F.when(F.col("_ok" + _k("code")), _any_str(F.col(_k("code")))).otherwise(F.lit(""))).otherwise(
+        F.when(is_str(F.col("c_aka")), vstr(F.col("c_aka"))).otherwise(join_names(F.col("c_aka"))))
+    return s3.select(
+        *keep,
+        F.nullif(_any_str(F.col("c_id")), F.lit("")).alias("tpdb_id"),
+        F.nullif(_any_str(F.col("c_type")), F.lit("")).alias("external_type"),
+        _any_str(F.col("c_title")).alias("title"),
+        _any_str(F.col("c_orig")).alias("original_title"),
+        aka.alias("aka"),
+        join_names(F.col("c_actors")).alias("actors"),
+        join_names(F.col(_k("tags"))).alias("tags"),
+        join_names(F.col(_k("studio"))).alias("studio"),
+        join_names(F.col(_k("series"))).alias("series"),
+        site.alias("site"),
+        F.coalesce(_any_str(F.col("c_date")), F.lit("")).alias("release_date"),
+        F.coalesce(_any_str(F.col("c_plot")), F.lit("")).alias("plot"),
+        first_image_url(F.col("c_image")).alias("poster_url"),
+    )
+
+
+def first_item_frame(df: DataFrame, js: str, result_path: str, keep) -> DataFrame:
+    """(keep..., n_items, it): parse once, resolve the result path, take the first item."""
+    keep = list(keep)
+    data = df.select(*keep, F.parse_json(F.col(js)).alias("_payload"))
+    if result_path:
+        data = data.select(*keep, vget(F.col("_payload"), "$." + result_path).alias("_data"))
+    else:
+        data = data.withColumnRenamed("_payload", "_data")
+    data = data.select(*keep, "_data", vtype(F.col("_data")).alias("_dt"))
+    items = result_items(F.col("_data"), None)
+    return data.select(*keep, items.alias("_items")).select(
+        *keep, F.size("_items").cast("bigint").alias("n_items"), F.element_at("_items", 1).alias("it"))
 
 
 FILM_SCHEMA = (

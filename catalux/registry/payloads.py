@@ -110,9 +110,7 @@ SCENE_ITEM_SQL = f"first_items AS (SELECT id, len({_ITEMS}) AS n_items, {_ITEMS}
 
 
 def _first_item(fx):
-    v = F.parse_json(F.col("scene_json"))
-    items = M.result_items(v, SCENE_PATH)
-    return fx["payload"].select("id", F.size(items).cast("bigint").alias("n_items"), F.element_at(items, 1).alias("it"))
+    return M.first_item_frame(fx["payload"], "scene_json", SCENE_PATH, ["id"])
 
 
 @register("result_items", f"""
@@ -183,9 +181,7 @@ def _scene_sql() -> str:
 @register("normalize_scene_item", f"WITH {SCENE_ITEM_SQL} SELECT id, {_scene_sql()} FROM first_items", ("payload",))
 def normalize_scene_item(fx):
     """The 13 scene columns with their fallbacks (first result item of each payload)."""
-    f = _first_item(fx)
-    cols = M.normalize_scene_item(F.col("it"))
-    return f.select("id", *[cols[k].alias(k) for k in M.SCENE_COLUMNS])
+    return M.scene_frame(_first_item(fx), "it", ["id"])
 
 
 def _film_sql() -> str:
