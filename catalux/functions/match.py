@@ -278,8 +278,8 @@ def best_candidate(cands: DataFrame, refs: DataFrame, key: str = "content_id", p
                    ref_title: str = "raw_title", item_title: str = "title", item_code: str = "code") -> DataFrame:
     """Per ref the first candidate by code equality (1.0), exact title (0.9),
     containment either way (0.7), else the first candidate (0.5)."""
-    r = refs.select(F.col(key).alias("_rk"), F.col(ref_title).alias("_rt"))
-    j = cands.join(r, cands[key] == r["_rk"]).drop("_rk")
+    r = refs.select(F.col(key).alias("_ref_key"), F.col(ref_title).alias("_rt"))
+    j = cands.join(r, cands[key] == r["_ref_key"]).drop("_ref_key")
     rcode = extract_code("_rt")
     icode = F.coalesce(nz(F.col(item_code)), extract_code(item_title))
     rt, it = F.coalesce(F.col("_rt"), F.lit("")), F.coalesce(F.col(item_title), F.lit(""))
