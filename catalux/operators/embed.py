@@ -37,6 +37,25 @@ def hash_vectors(sha1_hex: list, dim: int, seed: int = fixed.HASH_EMBED_SEED) ->
     return out
 
 
+def _embed_isolated(model, texts: list) -> pa.Array:
+    """Embed a batch; if the model fails, retry row by row so one bad row cannot sink the batch.
+
+    Rows that still fail get an empty vector; the sync job records them as
+    failures (R2) and they are retried on the next run.
+    """
+    try:
+        vecs = np.asarray(model(texts), dtype=np.float32)
+        return pa.array([v.tolist() for v in vecs], type=pa.list_(pa.float32()))
+    except Exception:  # noqa: BLE001 - isolate the failing rows
+        out = []
+        for t in texts:
+            try:
+                out.append(np.asarray(model([t]), dtype=np.float32)[0].tolist())
+            except Exception:  # noqa: BLE001
+                out.append([])
+        return pa.array(out, type=pa.list_(pa.float32()))
+
+
 def embed_frame(df: DataFrame, text_col: str, out_col: str = "embedding", dim: int = HASH_DIM,
                 make_embedder: Callable[[], Callable[[list], np.ndarray]] | None = None,
                 max_chars: int = fixed.EMBED_MAX_CHARS) -> DataFrame:
@@ -56,12 +75,11 @@ def embed_frame(df: DataFrame, text_col: str, out_col: str = "embedding", dim: i
         for rb in batches:
             texts = rb.column(rb.schema.get_field_index("_embed_in")).to_pylist()
             if model is not None:
-                vecs = np.asarray(model([t or "" for t in texts]), dtype=np.float32)
+                arr = _embed_isolated(model, [t or "" for t in texts])
             else:
                 vecs = hash_vectors(rb.column(rb.schema.get_field_index("_embed_sha1")).to_pylist(), dim)
-            d = vecs.shape[1] if vecs.ndim == 2 else dim
-            flat = pa.array(vecs.reshape(-1), type=pa.float32())
-            arr = pa.ListArray.from_arrays(pa.array(np.arange(0, (len(texts) + 1) * d, d, dtype=np.int32)), flat)
+                flat = pa.array(vecs.reshape(-1), type=pa.float32())
+                arr = pa.ListArray.from_arrays(pa.array(np.arange(0, (len(texts) + 1) * dim, dim, dtype=np.int32)), flat)
             fields = [rb.column(rb.schema.get_field_index(c)) for c in cols]
             yield pa.RecordBatch.from_arrays(fields + [arr], names=cols + [out_col])
     return staged.mapInArrow(kernel, out_schema)

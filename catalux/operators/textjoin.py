@@ -58,12 +58,15 @@ def contains_join(queries: DataFrame, qid: str, q: str, rows: DataFrame, key: st
     text_cols = list(text_cols)
     qs = queries.where(F.col(q).isNotNull() & (F.col(q) != "")).withColumn("_lit", _literal_run(F.col(q)))
     qs = qs.withColumn("_llen", F.length("_lit"))
+    # one small action: which short-gram indexes and whether the wildcard-only branch are needed
+    need = qs.agg(*[F.max((F.col("_llen") == n).cast("int")).alias(f"n{n}") for n in (0, 1, 2)]).first()
+    need = {n: bool(need[f"n{n}"]) for n in (0, 1, 2)}
     matched = []
     # 1) queries with a literal run: gram index join, one index per needed length
     for n in (GRAM, 2, 1):
         sel = (F.col("_llen") >= GRAM) if n == GRAM else (F.col("_llen") == n)
         qn = qs.where(sel)
-        if n != GRAM and qn.limit(1).count() == 0:
+        if n != GRAM and not need[n]:
             continue  # no query needs this short index: do not build it
         idx = ngram_index(rows, key, text_cols, n)
         dfreq = idx.groupBy("gram").agg(F.count(F.lit(1)).alias("_df"))
@@ -82,7 +85,7 @@ def contains_join(queries: DataFrame, qid: str, q: str, rows: DataFrame, key: st
     found = pairs.where(verify)
     # 2) wildcard-only patterns match every non-NULL row
     wild = qs.where(F.col("_llen") == 0).drop("_lit", "_llen")
-    if wild.limit(1).count() == 0:
+    if not need[0]:
         return _limit(found, qid, limit_per_query, order)
     any_text = reduce(lambda a, b: a | b, [F.col(c).isNotNull() for c in text_cols])
     rows_ok = rows.where(any_text if extra_pred is None else any_text & extra_pred)

@@ -24,6 +24,7 @@ from catalux.operators.filters import strip_chars
 from catalux.operators.ranking import dedupe_hits_by_hash, dedupe_results_by_title
 from catalux.operators.sets import expansion_candidates, hybrid_merge
 from catalux.operators.textjoin import contains_join
+from catalux.session import materialize
 from catalux.spec import SourceSpec
 
 
@@ -53,7 +54,9 @@ def understand(queries: DataFrame, film: DataFrame | None, content: DataFrame |
     qf = queries.select("*", *[f[k].alias(k) for k in ("cleaned", "file_type", "audio_langs", "subtitle_langs", "genres")])
     if p.expand and film is not None and content is not None:
         cq = qf.select("query_id", F.col("cleaned").alias("q"))
-        terms = expansion_terms(expansion_candidates(cq, film, content, p.expand_limit, film_source=p.film_source))
+        # read twice below (English titles and the rewrite): compute once
+        terms = materialize(expansion_terms(expansion_candidates(cq, film, content, p.expand_limit,
+                                                                 film_source=p.film_source)))
         eng = english_expansion(terms)
         ex = expand_query(qf.select("query_id", F.col("cleaned").alias("_c")), terms, q="_c").select("query_id", "expanded")
         qf = qf.join(ex, "query_id", "left").join(eng, "query_id", "left")
@@ -73,6 +76,8 @@ def semantic_search(queries: DataFrame, points: DataFrame, rows: DataFrame, p: S
     if qvec is None:
         qu = embed_frame(qu, "final_query", "qvec", dim=dim or 384, make_embedder=make_embedder)
         qvec = "qvec"
+    # the query table feeds the size check, the broadcast and the second search: compute it once
+    qu = materialize(qu)
     has_ext = F.lit(bool(p.tmdb_only))
     smin = F.lit(float(p.size_min_bytes)) if p.size_min_bytes else None
     qc = V.query_codes(qu, file_type="file_type", audio="audio_langs", subs="subtitle_langs", genres="genres",

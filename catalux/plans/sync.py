@@ -73,13 +73,9 @@ def point_payload(rows: DataFrame, spec: SourceSpec, p: SyncParams) -> DataFrame
         F.when(size > 0, size).alias("size"))
 
 
-def sync_job(rows: DataFrame, spec: SourceSpec, state: DataFrame, points: DataFrame | None, p: SyncParams,
-             scene: DataFrame | None = None, make_embedder=None):
-    """Returns (new_points_batch, new_state, gated_count_frame).
-
-    ``new_points_batch`` carries the payload and the vector; callers upsert
-    it (S5) and write ``new_state`` (S3) as new snapshot versions.
-    """
+def embed_pending(rows: DataFrame, spec: SourceSpec, state: DataFrame, p: SyncParams,
+                  scene: DataFrame | None = None, make_embedder=None):
+    """J1 -> P8 -> J13 -> F17 -> X19 -> X30 -> V8 -> X27 -> X29: (embedded batch, gated count frame)."""
     ready = prepare(rows, spec, state, scene)
     gated = ready
     if p.gate_codes and spec.scene_enrich:
@@ -90,14 +86,30 @@ def sync_job(rows: DataFrame, spec: SourceSpec, state: DataFrame, points: DataFr
         skipped = ready.limit(0).agg(F.count(F.lit(1)).alias("gated_rows"))
     payload = point_payload(gated, spec, p)
     vec = embed_frame(payload, "embed_text", "embedding", dim=p.dim, make_embedder=make_embedder)
-    bad = vec.where(F.size("embedding") != p.dim)
-    good = vec.where(F.size("embedding") == p.dim).withColumn("vector_id", point_id(F.lit(spec.name), "pg_id"))
-    new_points = good.drop("embed_text")
-    st_rows = good.select("pg_id", "text_hash", "vector_id", "nsfw_score")
-    new_state = U.sync_state_upsert(state, st_rows, spec.name, p.now, p.embedding_version)
+    return vec.withColumn("vector_id", point_id(F.lit(spec.name), "pg_id")), skipped
+
+
+def apply_batch(vec: DataFrame, state: DataFrame, points: DataFrame | None, spec: SourceSpec, p: SyncParams):
+    """S5 + S3 + S4 (R2): good vectors upserted into points and state; bad ones recorded as failures."""
+    good = vec.where(F.size("embedding") == p.dim)
+    bad = vec.where(F.coalesce(F.size("embedding"), F.lit(-1)) != p.dim)
+    batch = good.drop("embed_text")
+    new_state = U.sync_state_upsert(state, good.select("pg_id", "text_hash", "vector_id", "nsfw_score"),
+                                    spec.name, p.now, p.embedding_version)
     fails = bad.select(F.lit(spec.name).alias("source"), "pg_id",
-                       F.lit(f"embedding dim mismatch, expected {p.dim}").alias("error"))
+                       F.lit(f"embedding failed or dim mismatch, expected {p.dim}").alias("error"))
     new_state = U.failure_upsert(new_state, fails, p.now)
-    if points is not None:
-        new_points = U.points_upsert(points.select(*new_points.columns), new_points)
+    new_points = batch if points is None else U.points_upsert(points.select(*batch.columns), batch)
+    return new_points, new_state
+
+
+def sync_job(rows: DataFrame, spec: SourceSpec, state: DataFrame, points: DataFrame | None, p: SyncParams,
+             scene: DataFrame | None = None, make_embedder=None):
+    """Returns (new_points, new_state, gated_count_frame) as lazy frames.
+
+    A caller that writes both outputs should materialize the embedded batch
+    first (``embed_pending`` + checkpoint + ``apply_batch``), as the stream does.
+    """
+    vec, skipped = embed_pending(rows, spec, state, p, scene, make_embedder)
+    new_points, new_state = apply_batch(vec, state, points, spec, p)
     return new_points, new_state, skipped

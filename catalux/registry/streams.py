@@ -1,3 +1,129 @@
-"""Registered queries: streams."""
+"""Registered queries: streaming and incremental operators."""
 
 from __future__ import annotations
+
+import os
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from catalux.operators import upsert as U
+from catalux.operators.embed import hash_vectors
+from catalux.plans.sync import SyncParams
+from catalux.registry import duck as D
+from catalux.registry import register
+from catalux.registry.common import NOW
+from catalux.session import shared_path
+from catalux.spec import SourceSpec
+from catalux.streaming import incremental as INC
+
+SYNC_SPEC = SourceSpec(name="items", id_field="id", text_field="text", updated_at_field="updated_at",
+                       extra_fields=("lang", "size", "title"), size_field="size")
+DIM = 64
+
+
+def _to_items(docs):
+    """Micro-batch of events -> item rows (the items shape, joined with the static documents)."""
+    def to_rows(batch):
+        title = F.concat(F.substring(F.replace(F.col("text"), F.lit("\n"), F.lit(" ")), 1, 40),
+                         F.element_at(F.array(F.lit(".1080p.x264-GRP"), F.lit(" ABC-123"), F.lit(" HD 720"),
+                                              F.lit(" 标题 中文字幕"), F.lit(" [web-dl]"), F.lit("")),
+                                      (F.col("doc_id") % 6 + 1).cast("int")))
+        j = batch.join(docs, batch["event_id"] == docs["doc_id"])
+        return j.select(F.col("doc_id").alias("id"), F.col("doc_id").cast("string").alias("pg_id"), "text", "lang",
+                        "source", F.col("n_chars").alias("size"), F.col("ts").alias("updated_at"), title.alias("title"))
+    return to_rows
+
+
+def _run_sync(fx, make_embedder=None):
+    spark = fx.spark
+    events = fx.table("events")
+    docs = fx.table("documents")
+    root = shared_path(spark, "stream-sync")
+    out = INC.incremental_sync(spark, f"{fx.root.rstrip('/')}/events*.parquet", events.schema, _to_items(docs),
+                               SYNC_SPEC, SyncParams(now=NOW, dim=DIM), root, make_embedder=make_embedder)
+    return U.read_snapshot(spark, out["state"]), out
+
+
+def _embed_sql() -> str:
+    n = D.normalize_title("i.text")
+    return f"(CASE WHEN {n} <> '' THEN {n} ELSE coalesce(i.text, '') END)"
+
+
+@register("incremental_sync", f"""
+SELECT 'items' AS source, i.pg_id, md5(i.text) AS text_hash, 'v1' AS embedding_version,
+       {D.point_id("'items'", 'i.pg_id')} AS vector_id, round({D.safety_score(_embed_sql())}, 6) AS nsfw_score,
+       CAST(NULL AS VARCHAR) AS last_error
+FROM items i""", ("items",))
+def incremental_sync(fx):
+    """Events stream (new files only) -> sync job per micro-batch -> state snapshot (availableNow)."""
+    state, _ = _run_sync(fx)
+    return state.select("source", "pg_id", "text_hash", "embedding_version", "vector_id",
+                        F.round("nsfw_score", 6).alias("nsfw_score"), "last_error")
+
+
+def flaky_embedder():
+    """A model stand-in that fails on texts containing 'qu' (for the failure-isolation check)."""
+    def embed(texts):
+        if any("qu" in t for t in texts):
+            raise ValueError("model failure")
+        sha = [__import__("hashlib").sha1(t.encode("utf-8")).hexdigest() for t in texts]
+        return hash_vectors(sha, DIM).astype(np.float32)
+    return embed
+
+
+@register("failure_isolation", f"""
+SELECT i.pg_id, strpos(substring({_embed_sql()}, 1, 256), 'qu') > 0 AS failed FROM items i""", ("items",))
+def failure_isolation(fx):
+    """R2: rows whose embedding fails are recorded (last_error) while the others are indexed."""
+    state, _ = _run_sync(fx, make_embedder=flaky_embedder)
+    return state.select("pg_id", F.col("last_error").isNotNull().alias("failed"))
+
+
+@register("enrichment_loop", """
+SELECT 'doc' AS content_type, source AS content_source, pg_id AS content_id, 'success' AS status FROM items""", ("items",))
+def enrichment_loop(fx):
+    """Refs landed in two files, enriched one micro-batch at a time; failures skipped for the rest of the run."""
+    from catalux.plans.enrichment import scene_enrichment_job
+    spark = fx.spark
+    refs = fx["items"].select(F.lit("doc").alias("content_type"), F.col("source").alias("content_source"),
+                              F.col("pg_id").alias("content_id"), "title")
+    land = shared_path(spark, "refs")
+    refs.repartition(2, "content_id").write.parquet(land)
+    pay = fx["payload"].select(F.col("id").cast("string").alias("content_id"), "scene_json")
+    cols = ["tpdb_id", "title", "aka", "actors", "tags", "studio", "site", "release_date", "plot", "poster_url",
+            "match_method"]
+    empty = spark.createDataFrame([], "content_type STRING, content_source STRING, content_id STRING, " +
+                                  ", ".join(f"{c} STRING" for c in cols) +
+                                  ", match_score DOUBLE, status STRING, updated_at TIMESTAMP")
+
+    def job(batch_refs, table):
+        r = batch_refs.join(refs, ["content_type", "content_source", "content_id"])
+        p = r.select("content_type", "content_source", "content_id").join(pay, "content_id")
+        return scene_enrichment_job(r, table, p, NOW, 240.0, 48.0, "data.searchScene", 0)
+
+    out = INC.enrichment_loop(spark, land, refs.schema, job, ["content_type", "content_source", "content_id"],
+                              shared_path(spark, "enrich-loop"), empty)
+    return U.read_snapshot(spark, out["table"]).select("content_type", "content_source", "content_id", "status")
+
+
+def status_snapshot(fx):
+    """The sync status report recomputed on a trigger and published as a snapshot table."""
+    from catalux.registry.endtoend import sync_status
+    spark = fx.spark
+    ticks = shared_path(spark, "ticks")
+    os.makedirs(ticks, exist_ok=True) if "://" not in ticks else None
+    spark.createDataFrame([("tick",)], "value STRING").write.mode("overwrite").text(ticks)
+    out = INC.status_snapshot(spark, ticks, lambda: sync_status(fx), shared_path(spark, "status"), trigger="availableNow")
+    return U.read_snapshot(spark, out["status"]).drop("epoch")
+
+
+def _register_status_snapshot():
+    from catalux.registry import ORACLE, register as reg
+    import catalux.registry.endtoend  # noqa: F401 - defines the sync_status oracle
+    sql = ORACLE["sync_status"]
+    reg("status_snapshot")(status_snapshot)
+    ORACLE["status_snapshot"] = sql
+
+
+_register_status_snapshot()

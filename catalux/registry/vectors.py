@@ -146,3 +146,35 @@ SELECT vec_id, len(embedding) AS dim FROM points WHERE coalesce(len(embedding),
 def dim_check(fx):
     """V9: vectors whose length differs from the index dimension (64 here)."""
     return V.dim_check(fx["points"], 64).select("vec_id", F.size("embedding").cast("bigint").alias("dim"))
+
+
+# --- approximate index, embedding, cross-language --------------------------------
+
+IVF_CELLS, IVF_PROBES = 16, 4
+
+
+@register("knn_approx")
+def knn_approx(fx):
+    """V7: IVF top-k (KMeans cells, probe the 4 nearest of 16, exact re-rank inside them)."""
+    from catalux.operators import ivf
+    p = fx["points"]
+    indexed, cents = ivf.build_index(p, IVF_CELLS)
+    out = ivf.knn_ivf(indexed, cents, self_queries(p), K, IVF_PROBES)
+    return out.select("query_id", "source", "pg_id", "score", F.col("rank").cast("bigint").alias("rank"))
+
+
+@register("embed_batch")
+def embed_batch(fx):
+    """V8: documents embedded partition-wise (hash embedder, 384 dims, unit length)."""
+    from catalux.operators.embed import embed_frame
+    d = fx.table("documents").select("doc_id", "text")
+    e = embed_frame(d, "text", "embedding", dim=384)
+    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+    return e.select("doc_id", F.size("embedding").cast("bigint").alias("dim"), F.round(norm, 4).alias("norm"))
+
+
+@register("cross_language_search")
+def cross_language_search(fx):
+    """V10 (and E1 end to end): expansion, English second search for non-ASCII queries, merge."""
+    from catalux.registry.endtoend import semantic_search_full
+    return semantic_search_full(fx)

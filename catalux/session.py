@@ -66,3 +66,15 @@ def is_local_path(path: str) -> bool:
 def mkdirs_if_local(path: str) -> None:
     if is_local_path(path):
         os.makedirs(path.replace("file://", ""), exist_ok=True)
+
+
+def materialize(df):
+    """Compute ``df`` once into the shared checkpoint folder and cut its lineage.
+
+    Used where one intermediate feeds several actions (for example the
+    query-understanding table of a search feeds the size check, the vector
+    broadcast and the final plan).  Reliable checkpoint files survive the
+    loss of the executors that computed them.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
