@@ -314,3 +314,34 @@ def sync_job(fx):
     return pts.select("source", "pg_id", "nsfw", F.round("nsfw_score", 6).alias("nsfw_score"), "text_hash",
                       "has_tpdb", "tpdb_id", "file_type", "audio_langs", "subtitle_langs", "size",
                       F.size("embedding").cast("bigint").alias("dim"))
+
+
+@register("page_payload", PAYLOAD_SQL.replace("position <= 20", "position <= 5").replace("THEN 20 END AS next_cursor",
+                                                                                       "THEN 15 END AS next_cursor"),
+          ("payload",))
+def page_payload(fx):
+    """First page_size (5) of the deduped payload hits; next cursor = offset (10) + page_size if more pages."""
+    resp = fx["payload"].join(fx.table("part").select(F.col("p_partkey").alias("id"), "p_name"), "id").select(
+        F.col("id").alias("query_id"), F.split("p_name", " ")[0].alias("q"), "search_json")
+    return S.keyword_search_payload(resp, fx["sync_state"], S.SearchParams(page_size=5, cursor=10), "keyword_payload")
+
+
+_EMB = f"(CASE WHEN {D.normalize_title('p.text')} <> '' THEN {D.normalize_title('p.text')} ELSE coalesce(p.text, '') END)"
+_PA, _PS = D.detect_languages("p.text")
+
+
+@register("point_payload", f"""
+WITH p AS ({__import__("catalux.registry.joins", fromlist=["x"]).PENDING_SQL})
+SELECT 'items' AS source, p.pg_id, round({D.safety_score(_EMB)}, 6) >= 0.7 AS nsfw, round({D.safety_score(_EMB)}, 6) AS nsfw_score,
+       p.text_hash, 'v1' AS embedding_version, false AS has_tmdb, CAST(NULL AS VARCHAR) AS tmdb_id, false AS has_tpdb,
+       CAST(NULL AS VARCHAR) AS tpdb_id, []::VARCHAR[] AS genre_tags, {D.file_type(D.file_extension('p.text'))} AS file_type,
+       {_PA} AS audio_langs, {_PS} AS subtitle_langs,
+       CASE WHEN TRY_CAST(p.size AS DOUBLE) > 0 THEN TRY_CAST(p.size AS DOUBLE) END AS size
+FROM p""", ("items", "sync_state"))
+def point_payload(fx):
+    """The 15-field payload of each pending row's point (vector excluded)."""
+    rows = SY.prepare(fx["items"], ITEMS_SYNC, fx["sync_state"], None)
+    out = SY.point_payload(rows, ITEMS_SYNC, SY.SyncParams(now=NOW))
+    return out.select("source", "pg_id", "nsfw", F.round("nsfw_score", 6).alias("nsfw_score"), "text_hash",
+                      "embedding_version", "has_tmdb", "tmdb_id", "has_tpdb", "tpdb_id", "genre_tags", "file_type",
+                      "audio_langs", "subtitle_langs", "size")

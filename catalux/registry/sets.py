@@ -161,3 +161,19 @@ SELECT DISTINCT content_type, content_source FROM refs""", ("refs",))
 def distinct_refs_q(fx):
     """U4: the set of refs before look-up."""
     return distinct_refs(fx["refs"], ["content_type", "content_source"])
+
+
+@register("title_match_expansion", f"WITH {CANDIDATES_SQL} SELECT query_id, content_type, tmdb_id, aka, keywords FROM b2",
+          ("queries", "items", "enrich"))
+def title_match_expansion(fx):
+    """Film content whose title contains the query, joined to its enrichment (aka, keywords), 20 per query."""
+    from catalux.operators.textjoin import contains_join
+    qt = query_texts(fx)
+    fe = film_enrich(fx).select("content_type", "tmdb_id", "aka", "keywords")
+    c = items_content(fx).where(F.col("source") == FILM_SOURCE).select(
+        F.col("type").alias("_ct"), F.col("id").alias("_cid"), "title", "original_title")
+    ce = c.join(fe, (c["_ct"] == fe["content_type"]) & (c["_cid"] == fe["tmdb_id"])).withColumn(
+        "_ck", F.concat_ws("\u0001", "content_type", "tmdb_id", "_cid"))
+    out = contains_join(qt, "query_id", "q", ce, "_ck", ["title", "original_title"], limit_per_query=20,
+                        order=[F.asc("content_type"), F.asc("tmdb_id")])
+    return out.select("query_id", "content_type", "tmdb_id", "aka", "keywords")
