@@ -29,6 +29,15 @@ def col_(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and pass it to ``body`` (a lambda variable, not a copied subtree).
+
+    Column builders that reference an input many times would otherwise copy
+    the input's whole expression tree at every reference.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def strip_ws(c) -> Column:
     """Trim Unicode whitespace on both ends (Spark's trim only drops spaces)."""
     return F.regexp_replace(col_(c), f"^{WS_CLASS}+|{WS_CLASS}+$", "")
@@ -99,13 +108,15 @@ def genre_tags(c) -> Column:
 
 def keyword_score(query, title) -> Column:
     """1.0 equal, 0.1 absent, else max(0.2, 0.9/(1+pos)); 0.0 when either is empty."""
-    q = F.lower(strip_ws(F.coalesce(col_(query), F.lit(""))))
-    t = F.lower(strip_ws(F.coalesce(col_(title), F.lit(""))))
-    pos = F.instr(t, q) - 1
-    return (F.when((q == "") | (t == ""), F.lit(0.0))
-            .when(q == t, F.lit(1.0))
-            .when(pos < 0, F.lit(0.1))
-            .otherwise(F.greatest(F.lit(0.2), F.lit(0.9) / (pos + 1).cast("double"))))
+    def score(qt: Column) -> Column:
+        q, t = qt["q"], qt["t"]
+        pos = F.instr(t, q) - 1
+        return (F.when((q == "") | (t == ""), F.lit(0.0))
+                .when(q == t, F.lit(1.0))
+                .when(pos < 0, F.lit(0.1))
+                .otherwise(F.greatest(F.lit(0.2), F.lit(0.9) / (pos + 1).cast("double"))))
+    return let(F.struct(F.lower(strip_ws(F.coalesce(col_(query), F.lit("")))).alias("q"),
+                        F.lower(strip_ws(F.coalesce(col_(title), F.lit("")))).alias("t")), score)
 
 
 def normalize_info_hash(c) -> Column:
@@ -152,14 +163,19 @@ def point_id(source, pg_id, namespace_hex: str = fixed.UUID_URL_NAMESPACE) -> Co
 
 def safety_score(c, keywords=fixed.SAFETY_KEYWORDS) -> Column:
     """min(0.15*hits, 0.9) + max(0.05, 0.6*(1 - distinct/total tokens)), capped at 1.0."""
-    lower = F.lower(F.coalesce(col_(c), F.lit("")))
     kws = [k.strip().lower() for k in keywords if k.strip()]
-    hits = sum((F.instr(lower, k) > 0).cast("int") for k in kws) if kws else F.lit(0)
-    base = F.least(F.lit(0.15) * hits.cast("double"), F.lit(0.9))
-    tokens = F.filter(F.split(lower, f"{WS_CLASS}+"), lambda x: x != "")
-    ratio = F.size(F.array_distinct(tokens)).cast("double") / F.greatest(F.size(tokens), F.lit(1)).cast("double")
-    score = F.least(base + F.greatest(F.lit(0.05), F.lit(0.6) * (F.lit(1.0) - ratio)), F.lit(1.0))
-    return F.when(lower == "", F.lit(0.05)).otherwise(score)
+
+    def score(lower: Column) -> Column:
+        hits = sum((F.instr(lower, k) > 0).cast("int") for k in kws) if kws else F.lit(0)
+        base = F.least(F.lit(0.15) * hits.cast("double"), F.lit(0.9))
+
+        def with_tokens(tokens: Column) -> Column:
+            ratio = (F.size(F.array_distinct(tokens)).cast("double")
+                     / F.greatest(F.size(tokens), F.lit(1)).cast("double"))
+            return F.least(base + F.greatest(F.lit(0.05), F.lit(0.6) * (F.lit(1.0) - ratio)), F.lit(1.0))
+        s = let(F.filter(F.split(lower, f"{WS_CLASS}+"), lambda x: x != ""), with_tokens)
+        return F.when(lower == "", F.lit(0.05)).otherwise(s)
+    return let(F.lower(F.coalesce(col_(c), F.lit(""))), score)
 
 
 def safety_flag(score, enabled=True, threshold: float = fixed.SAFETY_THRESHOLD) -> Column:
@@ -211,30 +227,38 @@ def _one_decimal(v: Column) -> Column:
     x*10 is rounded in double arithmetic, so when it lands exactly on k+0.5
     the exact product (Dekker two-product error term) decides the side.
     """
-    p = v * 10.0
-    c = v * 134217729.0
-    hi = c - (c - v)
-    lo = v - hi
-    err = (hi * 10.0 - p) + lo * 10.0
-    f = F.floor(p)
-    n = F.when(p - f == 0.5, F.when(err < 0, f).otherwise(f + 1)).otherwise(F.floor(p + 0.5)).cast("bigint")
-    a = F.abs(n)
-    return F.concat(F.when(n < 0, F.lit("-")).otherwise(F.lit("")),
-                    (a / 10).cast("bigint").cast("string"), F.lit("."), (a % 10).cast("string"))
+    def digits(x: Column) -> Column:
+        p = x * 10.0
+        c = x * 134217729.0
+        hi = c - (c - x)
+        lo = x - hi
+        err = (hi * 10.0 - p) + lo * 10.0
+        f = F.floor(p)
+        return F.when(p - f == 0.5, F.when(err < 0, f).otherwise(f + 1)).otherwise(F.floor(p + 0.5)).cast("bigint")
+
+    def text(n: Column) -> Column:
+        a = F.abs(n)
+        return F.concat(F.when(n < 0, F.lit("-")).otherwise(F.lit("")),
+                        (a / 10).cast("bigint").cast("string"), F.lit("."), (a % 10).cast("string"))
+    return let(let(v, digits), text)
 
 
 def pretty_size(c) -> Column:
     """Bytes to 'n.n UNIT' (B..TB, 1024 steps)."""
-    num = col_(c).try_cast("double")
     units = fixed.SIZE_UNITS
-    idx = None
-    for i in range(len(units) - 1, 0, -1):
-        step = num >= float(1024 ** i)
-        idx = F.when(step, F.lit(i)) if idx is None else idx.when(step, F.lit(i))
-    idx = idx.otherwise(F.lit(0))
-    cur = num / F.pow(F.lit(1024.0), idx)
-    unit = F.element_at(F.array(*[F.lit(u) for u in units]), idx + 1)
-    return F.when(num.isNull() | F.isnan(num), F.lit("")).otherwise(F.concat(_one_decimal(cur), F.lit(" "), unit))
+
+    def fmt(num: Column) -> Column:
+        idx = None
+        for i in range(len(units) - 1, 0, -1):
+            step = num >= float(1024 ** i)
+            idx = F.when(step, F.lit(i)) if idx is None else idx.when(step, F.lit(i))
+        idx = idx.otherwise(F.lit(0))
+
+        def with_idx(i: Column) -> Column:
+            unit = F.element_at(F.array(*[F.lit(u) for u in units]), i + 1)
+            return F.concat(_one_decimal(num / F.pow(F.lit(1024.0), i)), F.lit(" "), unit)
+        return F.when(num.isNull() | F.isnan(num), F.lit("")).otherwise(let(idx, with_idx))
+    return let(col_(c).try_cast("double"), fmt)
 
 
 def parse_rating(c) -> Column:

@@ -52,6 +52,9 @@ def understand(queries: DataFrame, film: DataFrame | None, content: DataFrame |
     """X9 -> U1 -> A9 -> X11 -> X10 -> X39 for every query row."""
     f = query_filters("q")
     qf = queries.select("*", *[f[k].alias(k) for k in ("cleaned", "file_type", "audio_langs", "subtitle_langs", "genres")])
+    # the query table feeds three substring joins and the rewrite: compute it once (and keep the
+    # cleaning expressions from being inlined into pushed-down filters)
+    qf = materialize(qf)
     if p.expand and film is not None and content is not None:
         cq = qf.select("query_id", F.col("cleaned").alias("q"))
         # read twice below (English titles and the rewrite): compute once
@@ -129,7 +132,8 @@ def keyword_search(queries: DataFrame, rows: DataFrame, spec: SourceSpec, state:
     (plain ILIKE, plus the normalised branch for CJK queries or by option).
     """
     f = query_filters("q")
-    qs = queries.select("query_id", f["cleaned"].alias("q")).where(F.col("q") != "")
+    cleaned = materialize(queries.select("query_id", f["cleaned"].alias("cleaned")))
+    qs = cleaned.select("query_id", F.col("cleaned").alias("q")).where(F.col("q") != "")
     fields = list(dict.fromkeys([*spec.keyword_fields, spec.text_field]))
     base = rows
     preds = []
@@ -153,7 +157,7 @@ def keyword_search(queries: DataFrame, rows: DataFrame, spec: SourceSpec, state:
     limit = min(2000, max(p.cursor + p.page_size * 3, p.topk * 3))
     w = Window.partitionBy("query_id").orderBy("_key")
     matched = matched.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= limit).drop("_r")
-    j = matched.join(base, "_key").join(queries.select("query_id", f["cleaned"].alias("cleaned")), "query_id")
+    j = matched.join(base, "_key").join(cleaned, "query_id")
     st = state.where(F.col("source") == spec.name).select(F.col("pg_id").alias("_sp"),
                                                            F.col("nsfw_score").cast("double").alias("_ns"))
     j = j.join(st, j["_key"] == st["_sp"], "left").withColumn("nsfw_score", F.coalesce("_ns", F.lit(0.0)))

@@ -14,9 +14,19 @@ BASE_TABLES = (
 ).split()
 
 
-def table(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """Read one base table; filters and projections applied later reach the scan."""
-    return spark.read.parquet(f"{root.rstrip('/')}/{name}.parquet")
+def table(spark: SparkSession, root: str, name: str, min_partitions: int | None = None) -> DataFrame:
+    """Read one base table; filters and projections applied later reach the scan.
+
+    A file with few row groups scans in few tasks; when the scan has fewer
+    splits than the cluster's parallelism the rows are spread round-robin so
+    per-row work (regexes, hashing, vector scoring) uses every core.  Large
+    inputs already split into many tasks and are left alone.
+    """
+    df = spark.read.parquet(f"{root.rstrip('/')}/{name}.parquet")
+    want = min_partitions or spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < want:
+        df = df.repartition(want)
+    return df
 
 
 def register_tables(spark: SparkSession, root: str, names=BASE_TABLES) -> None:
