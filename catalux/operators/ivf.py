@@ -31,7 +31,7 @@ def dot(a: Column, b: Column) -> Column:
                        lambda acc, v: acc + v)
 
 
-def build_index(points: DataFrame, cells: int, vec_col: str = "embedding", seed: int = 7, max_iter: int = 20):
+def build_index(points: DataFrame, cells: int, vec_col: str = "embedding", seed: int = 7, max_iter: int = 10):
     """(points with a ``cell`` column, centroids frame (cell, centroid))."""
     feats = points.select("*", array_to_vector(unit(F.col(vec_col))).alias("_features"))
     model = KMeans(k=cells, seed=seed, maxIter=max_iter, featuresCol="_features", predictionCol="cell").fit(feats)
@@ -45,16 +45,19 @@ def build_index(points: DataFrame, cells: int, vec_col: str = "embedding", seed:
 def knn_ivf(indexed: DataFrame, centroids: DataFrame, queries: DataFrame, k: int, nprobe: int,
             key_cols=("source", "pg_id"), vec_col: str = "embedding", qid: str = "query_id",
             qvec: str = "qvec") -> DataFrame:
-    """Approximate cosine top-k: probe the nprobe nearest cells, exact re-rank inside them."""
+    """Approximate cosine top-k: probe the nprobe nearest cells, exact re-rank inside them.
+
+    The re-rank runs in the vector kernel: each task scores a batch of points
+    only against the queries that probe the batch's cells (no pair table, no
+    shuffle of points).
+    """
     key_cols = list(key_cols)
     cents = centroids.select(F.col("cell").cast("string").alias("cell_key"), F.col("centroid").alias("embedding"))
-    probes = knn(cents, queries, nprobe, key_cols=["cell_key"], qid=qid, qvec=qvec).select(
-        qid, F.col("cell_key").cast("int").alias("cell"))
-    q = queries.select(qid, unit(F.col(qvec)).alias("_q")).join(probes, qid)
-    p = indexed.select(*key_cols, "cell", unit(F.col(vec_col)).alias("_p"))
-    cand = q.join(p, "cell").select(qid, *key_cols, F.round(dot(F.col("_q"), F.col("_p")), 6).alias("score"))
-    w = Window.partitionBy(qid).orderBy(F.desc("score"), *[F.asc(c) for c in key_cols])
-    return cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    probes = knn(cents, queries, nprobe, key_cols=["cell_key"], qid=qid, qvec=qvec).groupBy(qid).agg(
+        F.collect_list(F.col("cell_key").cast("int")).alias("_probes"))
+    q = queries.select(qid, qvec).join(probes, qid)
+    return knn(indexed, q, k, key_cols=key_cols, vec_col=vec_col, qid=qid, qvec=qvec,
+               cell_col="cell", probes_col="_probes")
 
 
 def recall_at_k(approx: DataFrame, exact: DataFrame, qid: str = "query_id", keys=("source", "pg_id")) -> float:

@@ -100,66 +100,54 @@ def _scores(qmat: np.ndarray, x: np.ndarray, metric: str, qnorm2: np.ndarray) ->
     return -(qnorm2[:, None] + np.einsum("ij,ij->i", x, x)[None, :] - 2.0 * (qmat @ x.T))
 
 
+MAX_SCORE_CELLS = 8_000_000   # query x point scores held at once per task
+
+
 def _make_kernel(bc, k: int, metric: str, key_cols: list[str], vec_col: str, use_filters: bool,
-                 out_schema: T.StructType):
+                 out_schema: T.StructType, cell_col: str | None = None):
     def kernel(batches):
         blk = bc.value
         qids, qmat, dim = blk["ids"], blk["mat"], blk["dim"]
         qnorm2 = np.einsum("ij,ij->i", qmat, qmat) if metric == "l2" else None
         nq = len(qids)
+        probes = blk.get("probes")          # cell -> query indices (IVF mode)
         best_s = np.full((nq, 0), -np.inf)
         best_k = [np.empty((nq, 0), dtype=object) for _ in key_cols]
-        for rb in batches:
-            n = rb.num_rows
-            if n == 0 or nq == 0:
-                continue
-            vec = rb.column(rb.schema.get_field_index(vec_col))
-            lengths = vec.value_lengths().to_numpy(zero_copy_only=False)
-            valid = np.nan_to_num(lengths, nan=-1).astype(np.int64) == dim
-            if not valid.any():
-                continue
-            if valid.all():
-                x = vec.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, dim)
-            else:
+        chunk = max(1, MAX_SCORE_CELLS // max(nq, 1))
+        for rb_all in batches:
+            for start in range(0, rb_all.num_rows, chunk):
+                rb = rb_all.slice(start, chunk)
+                n = rb.num_rows
+                if n == 0 or nq == 0:
+                    continue
+                vec = rb.column(rb.schema.get_field_index(vec_col))
+                lengths = vec.value_lengths().to_numpy(zero_copy_only=False)
+                valid = np.nan_to_num(lengths, nan=-1).astype(np.int64) == dim
+                if not valid.any():
+                    continue
                 idx = np.nonzero(valid)[0]
-                sub = vec.take(pa.array(idx))
                 x = np.zeros((n, dim))
-                x[idx] = sub.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(idx), dim)
-            s = np.round(_scores(qmat, x, metric, qnorm2), SCORE_DECIMALS)
-            ok = np.broadcast_to(valid[None, :], s.shape).copy()
-            if use_filters:
-                ok &= _filter_mask(blk, rb, nq, n)
-            s = np.where(ok & ~np.isnan(s), s, -np.inf)
-            keys = [np.asarray(rb.column(rb.schema.get_field_index(c)).to_pylist(), dtype=object)
-                    for c in key_cols]
-            # merge this batch's candidates with the running best per query
-            m = min(k, n)
-            part = np.argpartition(-s, m - 1, axis=1)[:, :m] if m < n else np.tile(np.arange(n), (nq, 1))
-            kth = np.take_along_axis(s, part, axis=1).min(axis=1)
-            rows, cols = np.nonzero(s >= kth[:, None])
-            cand_s = s[rows, cols]
-            keep = np.isfinite(cand_s)
-            rows, cols, cand_s = rows[keep], cols[keep], cand_s[keep]
-            all_rows = np.concatenate([np.repeat(np.arange(nq), best_s.shape[1]), rows])
-            all_s = np.concatenate([best_s.ravel(), cand_s])
-            all_k = [np.concatenate([bk.ravel(), kk[cols]]) for bk, kk in zip(best_k, keys)]
-            fin = np.isfinite(all_s)
-            all_rows, all_s, all_k = all_rows[fin], all_s[fin], [a[fin] for a in all_k]
-            order = _total_order(all_rows, all_s, all_k)
-            all_rows, all_s, all_k = all_rows[order], all_s[order], [a[order] for a in all_k]
-            first = np.r_[0, np.nonzero(np.diff(all_rows))[0] + 1]
-            rank = np.arange(len(all_rows)) - np.repeat(first, np.diff(np.r_[first, len(all_rows)]))
-            sel = rank < k
-            all_rows, all_s, rank = all_rows[sel], all_s[sel], rank[sel]
-            all_k = [a[sel] for a in all_k]
-            best_s = np.full((nq, k), -np.inf)
-            best_s[all_rows, rank] = all_s
-            new_k = []
-            for a in all_k:
-                b = np.full((nq, k), None, dtype=object)
-                b[all_rows, rank] = a
-                new_k.append(b)
-            best_k = new_k
+                x[idx] = np.asarray(vec.take(pa.array(idx)).flatten().to_numpy(zero_copy_only=False),
+                                    dtype=np.float64).reshape(len(idx), dim)
+                if probes is None:
+                    s = np.round(_scores(qmat, x, metric, qnorm2), SCORE_DECIMALS)
+                else:
+                    s = np.full((nq, n), np.nan)
+                    cells = rb.column(rb.schema.get_field_index(cell_col)).to_numpy(zero_copy_only=False)
+                    for c in np.unique(cells):
+                        qi = probes.get(int(c))
+                        if qi is None:
+                            continue
+                        rows = np.nonzero(cells == c)[0]
+                        sub = _scores(qmat[qi], x[rows], metric, None if qnorm2 is None else qnorm2[qi])
+                        s[np.ix_(qi, rows)] = np.round(sub, SCORE_DECIMALS)
+                ok = np.broadcast_to(valid[None, :], s.shape).copy()
+                if use_filters:
+                    ok &= _filter_mask(blk, rb, nq, n)
+                s = np.where(ok & ~np.isnan(s), s, -np.inf)
+                keys = [np.asarray(rb.column(rb.schema.get_field_index(c)).to_pylist(), dtype=object)
+                        for c in key_cols]
+                best_s, best_k = _merge_best(best_s, best_k, s, keys, k, nq, n)
         if best_s.size == 0:
             return
         rr, cc = np.nonzero(np.isfinite(best_s))
@@ -174,6 +162,37 @@ def _make_kernel(bc, k: int, metric: str, key_cols: list[str], vec_col: str, use
     return kernel
 
 
+def _merge_best(best_s, best_k, s, keys, k, nq, n):
+    """Merge a chunk's candidates into the running best k per query (total order, ties kept exact)."""
+    m = min(k, n)
+    part = np.argpartition(-s, m - 1, axis=1)[:, :m] if m < n else np.tile(np.arange(n), (nq, 1))
+    kth = np.take_along_axis(s, part, axis=1).min(axis=1)
+    rows, cols = np.nonzero(s >= kth[:, None])
+    cand_s = s[rows, cols]
+    keep = np.isfinite(cand_s)
+    rows, cols, cand_s = rows[keep], cols[keep], cand_s[keep]
+    all_rows = np.concatenate([np.repeat(np.arange(nq), best_s.shape[1]), rows])
+    all_s = np.concatenate([best_s.ravel(), cand_s])
+    all_k = [np.concatenate([bk.ravel(), kk[cols]]) for bk, kk in zip(best_k, keys)]
+    fin = np.isfinite(all_s)
+    all_rows, all_s, all_k = all_rows[fin], all_s[fin], [a[fin] for a in all_k]
+    order = _total_order(all_rows, all_s, all_k)
+    all_rows, all_s, all_k = all_rows[order], all_s[order], [a[order] for a in all_k]
+    first = np.r_[0, np.nonzero(np.diff(all_rows))[0] + 1]
+    rank = np.arange(len(all_rows)) - np.repeat(first, np.diff(np.r_[first, len(all_rows)]))
+    sel = rank < k
+    all_rows, all_s, rank = all_rows[sel], all_s[sel], rank[sel]
+    all_k = [a[sel] for a in all_k]
+    new_s = np.full((nq, k), -np.inf)
+    new_s[all_rows, rank] = all_s
+    new_k = []
+    for a in all_k:
+        b = np.full((nq, k), None, dtype=object)
+        b[all_rows, rank] = a
+        new_k.append(b)
+    return new_s, new_k
+
+
 def _total_order(rows, scores, keys):
     """Indices ordering by (query row, score desc, key columns asc)."""
     ranks = [_rank_values(k) for k in keys]
@@ -226,8 +245,10 @@ def _filter_mask(blk, rb, nq, n) -> np.ndarray:
     return ok
 
 
-def _collect_block(block: DataFrame, qid: str, qvec: str, metric: str, use_filters: bool) -> dict:
-    cols = [qid, qvec] + ([Q_FILE_TYPE, Q_AUDIO, Q_SUB, Q_GENRE, Q_HAS_EXT, Q_SIZE_MIN] if use_filters else [])
+def _collect_block(block: DataFrame, qid: str, qvec: str, metric: str, use_filters: bool,
+                   probes_col: str | None = None) -> dict:
+    cols = [qid, qvec] + ([Q_FILE_TYPE, Q_AUDIO, Q_SUB, Q_GENRE, Q_HAS_EXT, Q_SIZE_MIN] if use_filters else []) \
+        + ([probes_col] if probes_col else [])
     tbl = block.select(*cols).toArrow()
     ids = np.asarray(tbl.column(qid).to_pylist())
     vecs = tbl.column(qvec).to_pylist()
@@ -243,6 +264,13 @@ def _collect_block(block: DataFrame, qid: str, qvec: str, metric: str, use_filte
         nrm[nrm == 0] = np.nan
         mat = mat / nrm[:, None]
     blk = {"ids": ids, "mat": mat, "dim": dim}
+    if probes_col:
+        cell_to_q: dict[int, list] = {}
+        kept = [p for p, kk in zip(tbl.column(probes_col).to_pylist(), keep) if kk]
+        for i, cells in enumerate(kept):
+            for c in cells or []:
+                cell_to_q.setdefault(int(c), []).append(i)
+        blk["probes"] = {c: np.asarray(v, dtype=np.int64) for c, v in cell_to_q.items()}
     if use_filters:
         def arr(name, conv):
             return np.asarray([conv(v) for v, k in zip(tbl.column(name).to_pylist(), keep) if k])
@@ -266,7 +294,8 @@ def _collect_block(block: DataFrame, qid: str, qvec: str, metric: str, use_filte
 
 def knn(points: DataFrame, queries: DataFrame, k: int, metric: str = "cosine",
         key_cols=("source", "pg_id"), vec_col: str = "embedding", qid: str = "query_id",
-        qvec: str = "qvec", use_filters: bool = False, max_block_bytes: int = 64 << 20) -> DataFrame:
+        qvec: str = "qvec", use_filters: bool = False, max_block_bytes: int = 64 << 20,
+        cell_col: str | None = None, probes_col: str | None = None) -> DataFrame:
     """Top-k points per query: (query_id, key columns..., score, rank).
 
     ``score`` is cosine similarity, dot product or negative squared L2
@@ -280,7 +309,8 @@ def knn(points: DataFrame, queries: DataFrame, k: int, metric: str = "cosine",
     nq, dim = int(stats["n"] or 0), int(stats["d"] or 0)
     per_query = max(dim, 1) * 8 + (64 if use_filters else 0) + 16
     nblocks = max(1, math.ceil(nq * per_query / max_block_bytes))
-    pcols = key_cols + [vec_col] + ([P_FILE_TYPE, P_AUDIO, P_SUB, P_GENRE, P_HAS_EXT, P_SIZE] if use_filters else [])
+    pcols = key_cols + [vec_col] + ([P_FILE_TYPE, P_AUDIO, P_SUB, P_GENRE, P_HAS_EXT, P_SIZE] if use_filters else []) \
+        + ([cell_col] if cell_col else [])
     pts = points.select(*pcols)
     qid_type = queries.schema[qid].dataType
     out_schema = T.StructType(
@@ -292,11 +322,11 @@ def knn(points: DataFrame, queries: DataFrame, k: int, metric: str = "cosine",
     for b in range(nblocks):
         block = queries if nblocks == 1 else queries.where(
             F.pmod(F.xxhash64(F.col(qid)), F.lit(nblocks)) == b)
-        blk = _collect_block(block, qid, qvec, metric, use_filters)
+        blk = _collect_block(block, qid, qvec, metric, use_filters, probes_col)
         if len(blk["ids"]) == 0:
             continue
         bc = spark.sparkContext.broadcast(blk)
-        kern = _make_kernel(bc, k, metric, key_cols, vec_col, use_filters, out_schema)
+        kern = _make_kernel(bc, k, metric, key_cols, vec_col, use_filters, out_schema, cell_col)
         parts.append(pts.mapInArrow(kern, out_schema))
     if not parts:
         return spark.createDataFrame([], out_schema.add("rank", T.IntegerType()))

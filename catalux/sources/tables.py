@@ -14,17 +14,30 @@ BASE_TABLES = (
 ).split()
 
 
+SPREAD_MIN_BYTES = 4 << 20
+
+
+def _size_on_disk(spark: SparkSession, path: str) -> int:
+    jvm = spark.sparkContext._jvm
+    hpath = jvm.org.apache.hadoop.fs.Path(path)
+    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return int(fs.getContentSummary(hpath).getLength())
+
+
 def table(spark: SparkSession, root: str, name: str, min_partitions: int | None = None) -> DataFrame:
     """Read one base table; filters and projections applied later reach the scan.
 
-    A file with few row groups scans in few tasks; when the scan has fewer
-    splits than the cluster's parallelism the rows are spread round-robin so
-    per-row work (regexes, hashing, vector scoring) uses every core.  Large
-    inputs already split into many tasks and are left alone.
+    A file with few row groups scans in few tasks.  When a table of some
+    size (>= 4 MB on disk) scans in fewer splits than the cluster's
+    parallelism, its rows are spread round-robin so per-row work (regexes,
+    hashing, vector scoring) uses every core.  Small tables are left as they
+    are (a shuffle would cost more than it saves) and large inputs already
+    split into many tasks.
     """
-    df = spark.read.parquet(f"{root.rstrip('/')}/{name}.parquet")
+    path = f"{root.rstrip('/')}/{name}.parquet"
+    df = spark.read.parquet(path)
     want = min_partitions or spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < want:
+    if df.rdd.getNumPartitions() < want and _size_on_disk(spark, path) >= SPREAD_MIN_BYTES:
         df = df.repartition(want)
     return df
 
