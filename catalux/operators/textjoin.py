@@ -74,7 +74,8 @@ def contains_join(queries: DataFrame, qid: str, q: str, rows: DataFrame, key: st
         w = Window.partitionBy(qid).orderBy(F.asc("_df"), F.asc("gram"))
         pick = (qg.join(dfreq, "gram", "left").withColumn("_df", F.coalesce("_df", F.lit(0)))
                 .withColumn("_r", F.row_number().over(w)).where(F.col("_r") == 1).select(qid, "gram"))
-        cand = pick.join(idx, "gram").select(qid, F.col("_rk")).distinct()
+        # one gram per query and an index distinct on (row, gram): pairs are already unique
+        cand = pick.join(idx, "gram").select(qid, F.col("_rk"))
         matched.append(cand)
     cand = reduce(lambda a, b: a.unionByName(b), matched)
     pairs = cand.join(qs.drop("_lit", "_llen"), qid).join(rows, F.col("_rk") == rows[key]).drop("_rk")
