@@ -75,7 +75,9 @@ def expand_query(queries: DataFrame, terms: DataFrame | None, qid: str = "query_
                  max_terms: int = 8, out: str = "expanded") -> DataFrame:
     """Query + built-in synonyms + ranked expansion terms, deduped, space-joined."""
     if terms is None:
-        extra = queries.select(qid).withColumn("extra", F.array().cast("array<string>"))
+        tokens = F.concat(F.array(F.col(q)), synonyms(q))
+        return queries.withColumn(out, F.when(F.coalesce(F.col(q), F.lit("")) == "", F.col(q)).otherwise(
+            F.array_join(F.array_distinct(tokens), " ")))
     else:
         ranked = ranked_expansion_terms(queries, terms, qid, q, max_terms)
         extra = (ranked.groupBy(qid)

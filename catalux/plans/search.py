@@ -64,8 +64,8 @@ def understand(queries: DataFrame, film: DataFrame | None, content: DataFrame |
         ex = expand_query(qf.select("query_id", F.col("cleaned").alias("_c")), terms, q="_c").select("query_id", "expanded")
         qf = qf.join(ex, "query_id", "left").join(eng, "query_id", "left")
     else:
-        ex = expand_query(qf.select("query_id", F.col("cleaned").alias("_c")), None, q="_c").select("query_id", "expanded")
-        qf = qf.join(ex, "query_id", "left").withColumn("english", F.lit(None).cast("string"))
+        qf = expand_query(qf.withColumn("_c", F.col("cleaned")), None, q="_c").drop("_c").withColumn(
+            "english", F.lit(None).cast("string"))
     return qf.withColumn("final_query", embed_query_text("expanded", p.query_prefix))
 
 

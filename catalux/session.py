@@ -73,8 +73,14 @@ def materialize(df):
 
     Used where one intermediate feeds several actions (for example the
     query-understanding table of a search feeds the size check, the vector
-    broadcast and the final plan).  Reliable checkpoint files survive the
-    loss of the executors that computed them.
+    broadcast and the final plan).  The frame is persisted first so the
+    checkpoint's write job reads it back instead of recomputing the plan;
+    the reliable checkpoint files on shared storage survive the loss of the
+    executors that computed them, and the cache is dropped afterwards.
     """
+    from pyspark import StorageLevel
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+    out = cached.checkpoint(eager=True)
+    cached.unpersist()
+    return out
