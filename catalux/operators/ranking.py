@@ -32,12 +32,19 @@ def top_k(df: DataFrame, group, order, k: int, rank_col: str = "rank") -> DataFr
 
 
 def page(df: DataFrame, group, order, offset: int, size: int, rank_col: str = "rank") -> DataFrame:
-    """Rows ranked offset+1 .. offset+size within each group, plus ``has_more``."""
+    """Rows ranked offset+1 .. offset+size within each group, plus ``has_more``.
+
+    Only offset+size+1 rows per group survive the row-number filter, which
+    Spark runs as a partial limit before the shuffle; ``has_more`` comes from
+    that bounded remainder, so a group holding a third of the rows is never
+    sorted whole in one task.
+    """
     w = Window.partitionBy(*_cols(group)).orderBy(*_cols(order))
-    wc = Window.partitionBy(*_cols(group))
-    ranked = df.withColumn(rank_col, F.row_number().over(w)).withColumn("_n", F.count(F.lit(1)).over(wc))
-    return (ranked.where((F.col(rank_col) > offset) & (F.col(rank_col) <= offset + size))
-            .withColumn("has_more", F.col("_n") > offset + size).drop("_n"))
+    keep = offset + size + 1
+    ranked = df.withColumn(rank_col, F.row_number().over(w)).where(F.col(rank_col) <= keep)
+    more = F.max(rank_col).over(Window.partitionBy(*_cols(group))) > offset + size
+    return (ranked.withColumn("has_more", more)
+            .where((F.col(rank_col) > offset) & (F.col(rank_col) <= offset + size)))
 
 
 def hash_key(text_hash="text_hash", source="source", pg_id="pg_id") -> Column:

@@ -21,6 +21,7 @@ from catalux.operators import vector as V
 from catalux.operators.aggregates import expansion_terms
 from catalux.operators.embed import embed_frame
 from catalux.operators.filters import strip_chars
+from catalux.operators import ranking as R
 from catalux.operators.ranking import dedupe_hits_by_hash, dedupe_results_by_title
 from catalux.operators.sets import expansion_candidates, hybrid_merge
 from catalux.operators.textjoin import contains_join
@@ -181,11 +182,8 @@ def rank_and_page(cand: DataFrame, p: SearchParams) -> DataFrame:
         order = [miss.asc(), s.desc() if p.size_sort == "desc" else s.asc(), F.desc("score"), "source", "pg_id"]
     else:
         order = [F.desc("score"), "source", "pg_id"]
-    w = Window.partitionBy("query_id").orderBy(*order)
-    n = Window.partitionBy("query_id")
-    ranked = d.withColumn("position", F.row_number().over(w)).withColumn("_n", F.count(F.lit(1)).over(n))
-    page = ranked.where((F.col("position") > p.cursor) & (F.col("position") <= p.cursor + p.page_size))
-    nxt = F.when(F.col("_n") > p.cursor + p.page_size, F.lit(p.cursor + p.page_size)).cast("bigint")
+    page = R.page(d, "query_id", order, p.cursor, p.page_size, rank_col="position")
+    nxt = F.when(F.col("has_more"), F.lit(p.cursor + p.page_size)).cast("bigint")
     return page.select("query_id", F.col("position").cast("bigint").alias("position"), "source", "pg_id", "title",
                        "score", "nsfw", "nsfw_score", nxt.alias("next_cursor"))
 
