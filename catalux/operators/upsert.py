@@ -2,22 +2,20 @@
 
 Plain parquet has no MERGE, so an upsert is: rows of the old snapshot whose
 key is not in the batch (anti join) UNION the batch (deduplicated on the
-key, latest wins).  The result is written to a NEW versioned directory
-under the shared checkpoint folder and the pointer file is switched after
-the write commits, so the snapshot being read is never overwritten and a
-lost executor only re-runs tasks of an idempotent write.
+key, latest wins).  The result is written to a NEW immutable version folder
+under the shared checkpoint folder, which becomes current once its commit
+marker exists, so the snapshot being read is never overwritten and a lost
+executor only re-runs tasks of an idempotent write.
 """
 
 from __future__ import annotations
 
-import json
-import os
 import time
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from catalux.session import ensure_checkpoint_dir, is_local_path
+from catalux.session import ensure_checkpoint_dir
 
 STATE_KEY = ("source", "pg_id")
 FILM_KEY = ("content_type", "tmdb_id")
@@ -27,9 +25,13 @@ SCENE_KEY = ("content_type", "content_source", "content_id")
 def latest_per_key(batch: DataFrame, keys, order: list[Column] | None = None) -> DataFrame:
     """One row per key: the last one by ``order`` (batch order column), else any deterministic pick."""
     keys = list(keys)
-    order = order or [F.desc_nulls_last("updated_at")] if "updated_at" in batch.columns else order
-    order = order or [F.lit(1)]
-    w = Window.partitionBy(*keys).orderBy(*order)
+    if order is None:
+        from pyspark.sql import types as T
+        scalar = (T.StringType, T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
+        order = ([F.desc_nulls_last("updated_at")] if "updated_at" in batch.columns else []) + \
+            [F.asc(f.name) for f in batch.schema.fields
+             if f.name not in keys and f.name != "updated_at" and isinstance(f.dataType, scalar)]
+    w = Window.partitionBy(*keys).orderBy(*(order or [F.lit(1)]))
     return batch.withColumn("_u", F.row_number().over(w)).where(F.col("_u") == 1).drop("_u")
 
 
@@ -90,54 +92,34 @@ def scene_enrich_upsert(table: DataFrame, batch: DataFrame) -> DataFrame:
 
 
 # --- versioned snapshots -----------------------------------------------------
+#
+# A snapshot root holds immutable version folders ``v<zero-padded millis>``.
+# The current version is the newest folder whose ``_SUCCESS`` marker exists;
+# Spark's commit protocol writes that marker last, so a job that dies while
+# writing leaves an incomplete folder that readers never pick.  No pointer
+# file has to be swapped, which makes the switch atomic on any filesystem.
 
 def snapshot_root(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{name}"
 
 
-def _pointer(root: str) -> str:
-    return f"{root}/_CURRENT"
-
-
-def _read_text(spark: SparkSession, path: str) -> str | None:
-    if is_local_path(path):
-        p = path.replace("file://", "")
-        return open(p).read().strip() if os.path.exists(p) else None
+def _fs(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
     hpath = jvm.org.apache.hadoop.fs.Path(path)
-    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(hpath):
-        return None
-    stream = fs.open(hpath)
-    try:
-        return jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").strip()
-    finally:
-        stream.close()
-
-
-def _write_text(spark: SparkSession, path: str, text: str) -> None:
-    if is_local_path(path):
-        p = path.replace("file://", "")
-        os.makedirs(os.path.dirname(p), exist_ok=True)
-        tmp = p + ".tmp"
-        with open(tmp, "w") as fh:
-            fh.write(text)
-        os.replace(tmp, p)
-        return
-    jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path)
-    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    tmp = jvm.org.apache.hadoop.fs.Path(path + ".tmp")
-    out = fs.create(tmp, True)
-    out.write(bytearray(text.encode("utf-8")))
-    out.close()
-    fs.delete(hpath, False)
-    fs.rename(tmp, hpath)
+    return hpath, hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
 def current_snapshot(spark: SparkSession, root: str) -> str | None:
-    txt = _read_text(spark, _pointer(root))
-    return json.loads(txt)["path"] if txt else None
+    hpath, fs = _fs(spark, root)
+    if not fs.exists(hpath):
+        return None
+    jvm = spark.sparkContext._jvm
+    done = []
+    for st in fs.listStatus(hpath):
+        name = st.getPath().getName()
+        if st.isDirectory() and name.startswith("v") and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
+            done.append(st.getPath().toString())
+    return max(done) if done else None
 
 
 def read_snapshot(spark: SparkSession, root: str, empty: DataFrame | None = None) -> DataFrame | None:
@@ -148,13 +130,16 @@ def read_snapshot(spark: SparkSession, root: str, empty: DataFrame | None = None
 
 
 def write_snapshot(df: DataFrame, root: str, keys=None, partition_by=None, partitions: int | None = None) -> str:
-    """Write ``df`` as a new version under ``root`` and switch the pointer to it.
+    """Write ``df`` as a new immutable version under ``root`` (it becomes current when committed).
 
     Rows are hash-partitioned on the key so each key's rows land in one file
     set (later joins on the key read co-located files).
     """
-    spark = df.sparkSession
-    version = f"{root}/v{int(time.time() * 1000)}"
+    last = current_snapshot(df.sparkSession, root)
+    stamp = int(time.time() * 1000)
+    if last is not None:
+        stamp = max(stamp, int(last.rstrip("/").rsplit("/v", 1)[1]) + 1)
+    version = f"{root}/v{stamp:015d}"
     out = df
     if keys:
         out = out.repartition(partitions, *keys) if partitions else out.repartition(*keys)
@@ -162,5 +147,4 @@ def write_snapshot(df: DataFrame, root: str, keys=None, partition_by=None, parti
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(version)
-    _write_text(spark, _pointer(root), json.dumps({"path": version, "written_at": time.time()}))
     return version
