@@ -210,12 +210,12 @@ def first_item_frame(df: DataFrame, js: str, result_path: str, keep) -> DataFram
 
 
 FILM_SCHEMA = (
-    "genres ARRAY<STRUCT<name: STRING>>, "
-    "keywords STRUCT<keywords: ARRAY<STRUCT<name: STRING>>, results: ARRAY<STRUCT<name: STRING>>>, "
-    "credits STRUCT<cast: ARRAY<STRUCT<name: STRING>>, crew: ARRAY<STRUCT<name: STRING, job: STRING>>>, "
-    "alternative_titles STRUCT<titles: ARRAY<STRUCT<title: STRING>>, results: ARRAY<STRUCT<title: STRING>>>, "
-    "overview STRING, poster_path STRING, backdrop_path STRING, external_ids STRUCT<imdb_id: STRING>, "
-    "imdb_id STRING, imdbRating STRING")
+    "STRUCT<genres: ARRAY<STRUCT<name: STRING>>, "
+    "keywords: STRUCT<keywords: ARRAY<STRUCT<name: STRING>>, results: ARRAY<STRUCT<name: STRING>>>, "
+    "credits: STRUCT<cast: ARRAY<STRUCT<name: STRING>>, crew: ARRAY<STRUCT<name: STRING, job: STRING>>>, "
+    "alternative_titles: STRUCT<titles: ARRAY<STRUCT<title: STRING>>, results: ARRAY<STRUCT<title: STRING>>>, "
+    "overview: STRING, poster_path: STRING, backdrop_path: STRING, external_ids: STRUCT<imdb_id: STRING>, "
+    "imdb_id: STRING, imdbRating: STRING>")
 
 
 def _names(arr: Column, field: str) -> Column:

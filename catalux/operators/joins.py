@@ -1,9 +1,10 @@
 """Joins (S1, J1-J14) on whole tables.
 
 Equi keys everywhere, same types on both sides (ids are compared as text,
-as the reference casts them), the many side aggregated before it meets
-the one side, and broadcast only behind a measured size bound
-(``broadcast_if_small``).
+as the reference casts them), and the many side aggregated before it meets
+the one side.  Broadcast is left to the planner: a side under
+``spark.sql.autoBroadcastJoinThreshold`` (checked at plan time, and again by
+AQE from real sizes) is broadcast, anything larger is shuffled.
 """
 
 from __future__ import annotations
@@ -15,22 +16,6 @@ from catalux.functions.text import col_, content_md5
 from catalux.spec import JoinSpec, SourceSpec
 
 EPOCH = "1970-01-01 00:00:00"
-BROADCAST_MAX_BYTES = 64 << 20
-
-
-def broadcast_if_small(df: DataFrame, max_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
-    """Broadcast ``df`` only when the optimizer's size estimate is under ``max_bytes``.
-
-    Above the bound the side stays a normal (shuffled) join input and AQE may
-    still switch strategy at run time from real sizes.
-    """
-    try:
-        size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-        size = int(str(size))
-    except Exception:  # noqa: BLE001 - estimate unavailable: do not broadcast
-        return df
-    return F.broadcast(df) if size <= max_bytes else df
-
 
 def source_scan(df: DataFrame, spec: SourceSpec, apply_where: bool = True) -> DataFrame:
     """Project a source to (pg_id, text, text_hash=md5(text), updated_at?, extras...)."""
@@ -145,7 +130,7 @@ def stale_refs(refs: DataFrame, existing: DataFrame, keys, now, ttl_hours: float
 def collection_join(content: DataFrame, links: DataFrame, collections: DataFrame, id_col: str = "id") -> DataFrame:
     """Content -> link table -> collection (two left joins); collections are a dictionary."""
     lk = links.select(F.col("content_id").alias("_cid"), "collection_id")
-    cc = broadcast_if_small(collections.select(F.col("collection_id").alias("_coll"), F.col("name").alias("collection_name")))
+    cc = collections.select(F.col("collection_id").alias("_coll"), F.col("name").alias("collection_name"))
     j = content.join(lk, content[id_col] == lk["_cid"], "left")
     return j.join(cc, j["collection_id"] == cc["_coll"], "left").drop("_cid", "_coll")
 

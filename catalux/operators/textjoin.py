@@ -37,9 +37,13 @@ def grams(text_col, n: int):
 
 
 def ngram_index(rows: DataFrame, key: str, text_cols, n: int = GRAM) -> DataFrame:
-    """Distinct (key, gram) over the given text columns."""
-    parts = [rows.select(F.col(key).alias("_rk"), F.explode(grams(F.col(c), n)).alias("gram")) for c in text_cols]
-    return reduce(lambda a, b: a.unionByName(b), parts).distinct()
+    """Distinct (key, gram) over the given text columns.
+
+    Grams are de-duplicated within each row before the explode, so the index
+    needs no shuffle (keys are unique per row).
+    """
+    per_row = F.array_distinct(F.concat(*[grams(F.col(c), n) for c in text_cols]))
+    return rows.select(F.col(key).alias("_rk"), F.explode(per_row).alias("gram"))
 
 
 def _literal_run(pattern_col):

@@ -14,7 +14,6 @@ from pyspark.sql import types as T
 
 from catalux.functions.text import col_
 from catalux.operators.aggregates import string_agg_distinct
-from catalux.operators.joins import broadcast_if_small
 
 
 def file_id(info_hash_bin, index) -> Column:
@@ -44,7 +43,7 @@ SCENE_COLS = ["tpdb_id", "title", "original_title", "aka", "actors", "tags", "st
 
 def collection_names(links: DataFrame, collections: DataFrame) -> DataFrame:
     """Distinct collection names per content, sorted and space-joined (NULL when none)."""
-    cc = broadcast_if_small(collections.select(F.col("collection_id").alias("_cc"), "name"))
+    cc = collections.select(F.col("collection_id").alias("_cc"), "name")
     j = links.join(cc, links["collection_id"] == cc["_cc"]).where(F.col("name").isNotNull())
     return j.groupBy("content_id").agg(F.nullif(string_agg_distinct("name"), F.lit("")).alias("collection_names"))
 

@@ -29,10 +29,7 @@ def payload_ingest(fx):
     lines = fx["payload"].select(F.concat(F.lit('{"id":'), F.col("id").cast("string"), F.lit(',"film":'),
                                           F.col("film_json"), F.lit("}")).alias("value"))
     lines.write.mode("overwrite").text(path)
-    from pyspark.sql import types as T
-    film = T._parse_datatype_string(M.FILM_SCHEMA)
-    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("film", film)])
-    df = P.read_payload_files(spark, path, schema)
+    df = P.read_payload_files(spark, path, f"id BIGINT, film {M.FILM_SCHEMA}")
     return df.select("id", F.col("film.overview").alias("overview"), F.col("film.poster_path").alias("poster_path"),
                      F.size("film.genres").cast("bigint").alias("n_genres"))
 
