@@ -150,12 +150,11 @@ def best_candidate_q(fx):
 
 @register("enrich_cap", """
 SELECT content_type, content_id FROM refs
-WHERE content_type IN ('movie', 'tv_show', 'tv') AND CAST(content_id AS BIGINT) % 7 = 0
+WHERE content_type IN ('movie', 'tv_show', 'tv')
 ORDER BY TRY_CAST(content_id AS BIGINT), content_type LIMIT 50""", ("refs",))
 def enrich_cap(fx):
     """At most 50 refs per batch, in numeric id order (the cap is the feature)."""
-    r = fx["refs"].where(F.col("content_type").isin("movie", "tv_show", "tv") &
-                         (F.col("content_id").cast("bigint") % 7 == 0))
+    r = fx["refs"].where(F.col("content_type").isin("movie", "tv_show", "tv"))
     return r.orderBy(R.numeric_id_order("content_id"), "content_type").limit(50).select("content_type", "content_id")
 
 

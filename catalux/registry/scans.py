@@ -48,17 +48,20 @@ def sync_state_upsert(fx):
 
 
 @register("failure_upsert", f"""
-WITH f AS (SELECT 'items' AS source, p.pg_id, substring('embed failed: ' || repeat('x', 600), 1, 512) AS err
-           FROM ({PENDING_SQL}) p WHERE CAST(p.pg_id AS BIGINT) % 13 = 0)
+WITH f AS (SELECT 'items' AS source, p.pg_id,
+                  substring('text too long to embed (' || CAST(p.size AS VARCHAR) || ' chars): ' || repeat('x', 600), 1, 512) AS err
+           FROM ({PENDING_SQL}) p WHERE p.size > 20000)
 SELECT coalesce(s.source, f.source) AS source, coalesce(s.pg_id, f.pg_id) AS pg_id, s.text_hash, s.embedding_version,
        s.vector_id, s.nsfw_score, CASE WHEN f.err IS NOT NULL THEN TIMESTAMP '{NOW}' ELSE s.updated_at END AS updated_at,
        CASE WHEN f.err IS NOT NULL THEN f.err ELSE s.last_error END AS last_error
 FROM sync_state s FULL OUTER JOIN f ON f.source = s.source AND f.pg_id = s.pg_id""", ("items", "sync_state"))
 def failure_upsert(fx):
-    """Failures recorded by key (error cut to 512 characters), other columns kept."""
+    """Failures (texts too long to embed) recorded by key, error cut to 512 characters, other columns kept."""
     pend = J.pending_rows(fx["items"], ITEMS_SYNC, fx["sync_state"])
-    fails = pend.where(F.col("pg_id").cast("bigint") % 13 == 0).select(
-        F.lit("items").alias("source"), "pg_id", F.concat(F.lit("embed failed: "), F.repeat(F.lit("x"), 600)).alias("error"))
+    fails = pend.where(F.col("size") > 20000).select(
+        F.lit("items").alias("source"), "pg_id",
+        F.concat(F.lit("text too long to embed ("), F.col("size").cast("string"), F.lit(" chars): "),
+                 F.repeat(F.lit("x"), 600)).alias("error"))
     return U.failure_upsert(fx["sync_state"], fails, NOW)
 
 
