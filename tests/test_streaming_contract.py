@@ -70,3 +70,12 @@ def test_oracles_match_on_smoke_data(spark):
         rel = con.execute(o[name])
         d_cols, d_rows = canon([d[0] for d in rel.description], rel.fetchall())
         assert (s_cols, s_rows) == (d_cols, d_rows), name
+
+
+def test_search_plans_have_no_cross_products(spark):
+    import __spark_entry__ as entry
+    q = entry.queries()
+    for name in ["semantic_search", "knn_batch", "knn_exact", "keyword_search", "expansion_candidates",
+                 "hit_lookup_join", "content_view", "pending_rows", "dedupe_results_by_title"]:
+        plan = q[name](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
