@@ -251,13 +251,16 @@ def _collect_block(block: DataFrame, qid: str, qvec: str, metric: str, use_filte
         + ([probes_col] if probes_col else [])
     tbl = block.select(*cols).toArrow()
     ids = np.asarray(tbl.column(qid).to_pylist())
-    vecs = tbl.column(qvec).to_pylist()
-    dims = {len(v) for v in vecs if v is not None}
+    vecs = tbl.column(qvec).combine_chunks()
+    lengths = np.nan_to_num(vecs.value_lengths().to_numpy(zero_copy_only=False).astype(np.float64), nan=-1)
+    dims = set(lengths[lengths >= 0].astype(np.int64).tolist())
     if len(dims) > 1:
         raise ValueError(f"query vectors of mixed dimensions {sorted(dims)}")
     dim = dims.pop() if dims else 0
-    keep = np.asarray([v is not None and len(v) == dim for v in vecs], dtype=bool)
-    mat = np.asarray([v for v, k in zip(vecs, keep) if k], dtype=np.float64).reshape(-1, dim)
+    keep = lengths == dim
+    rows = np.nonzero(keep)[0]
+    mat = np.asarray(vecs.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False),
+                     dtype=np.float64).reshape(len(rows), dim)
     ids = ids[keep]
     if metric == "cosine":
         nrm = np.linalg.norm(mat, axis=1)
