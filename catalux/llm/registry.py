@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from catalux.llm import quality_classifier
+from catalux.llm import length_buckets, minhash, quality_classifier, quality_rules, scaled_sketch, suffix_dedup, warc
 from catalux.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,3 +27,33 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality_classifier.fit(docs, table(spark, sf_dir, "labels"))
     return quality_classifier.score(docs, model)
+
+
+@query("op1_scaled_sketch")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scaled_sketch.fingerprints(table(spark, sf_dir, "documents"))
+
+
+@query("op2_circulant_minhash")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), size=4).drop("k1", "k2")
+
+
+@query("op3_rule_cascade")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judged(table(spark, sf_dir, "documents"))
+
+
+@query("op6_indexed_warc")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(table(spark, sf_dir, "pages"))
+
+
+@query("op7_length_buckets")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return length_buckets.packed(table(spark, sf_dir, "documents"))
+
+
+@query("op9_bucket_pointer_dedup")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeats(table(spark, sf_dir, "documents"))

@@ -31,3 +31,33 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
 def held_out(doc_id: str, modulus: int, remainder: int):
     """crc32 of the decimal doc_id, modulo ``modulus``, equals ``remainder`` (null ids: false)."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % modulus == remainder, F.lit(False))
+
+
+BITMAP_BITS = 1 << 24
+
+
+def with_likely(df: DataFrame, key: str, wanted: DataFrame, flag: str) -> DataFrame:
+    """``df`` with boolean ``flag``: false only where ``key`` is certainly not in the one column of ``wanted``.
+
+    A bitmap of hashed keys (2 MB, whatever the input) is joined to the scan, so that a shuffle after it
+    carries little beyond the wanted rows.  An exact join must follow.
+    """
+    (name,) = wanted.columns
+
+    def bit(c):
+        return F.pmod(F.xxhash64(c), F.lit(BITMAP_BITS))
+
+    bits = (wanted.select(bit(F.col(name)).alias("b"))
+            .groupBy(F.bitmap_bucket_number("b").alias("bm_part"))
+            .agg(F.bitmap_construct_agg(F.bitmap_bit_position("b")).alias("bm_bits")))
+    at = F.bitmap_bit_position(bit(F.col(key)))
+    byte = F.conv(F.hex(F.substring(F.col("bm_bits"), F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    set_ = F.col("bm_bits").isNotNull() & (F.getbit(byte, F.pmod(at, F.lit(8)).cast("int")) == 1)
+    # at most BITMAP_BITS / 32768 rows of 4 KB: a proven bound for the broadcast
+    return (df.join(F.broadcast(bits), F.bitmap_bucket_number(bit(F.col(key))) == F.col("bm_part"), "left")
+            .select(*df.columns, F.coalesce(set_, F.lit(False)).alias(flag)))
+
+
+def likely_members(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose ``key`` may be in ``wanted``; no wanted row is lost."""
+    return with_likely(df, key, wanted, "bm_likely").where("bm_likely").drop("bm_likely")
