@@ -198,7 +198,7 @@ def scene_frame(df: DataFrame, item: str, keep) -> DataFrame:
 def first_item_frame(df: DataFrame, js: str, result_path: str, keep) -> DataFrame:
     """(keep..., n_items, it): parse once, resolve the result path, take the first item."""
     keep = list(keep)
-    data = df.select(*keep, F.parse_json(F.col(js)).alias("_payload"))
+    data = df.select(*keep, F.try_parse_json(F.col(js)).alias("_payload"))
     if result_path:
         data = data.select(*keep, vget(F.col("_payload"), "$." + result_path).alias("_data"))
     else:

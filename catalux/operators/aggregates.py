@@ -3,7 +3,7 @@ combines map-side before the shuffle, so a hot key costs one row per task."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from catalux.functions import fixed
@@ -82,9 +82,10 @@ def exact_median(df: DataFrame, group, value: str, accuracy: int = 10000, margin
     """Exact (interpolated) median per group without buffering a whole group in one task.
 
     A quantile sketch brackets the median rank within +/- margin/accuracy of
-    the group size; only the values inside that bracket are gathered and
-    sorted, and the rows below it are counted.  A group of a billion rows
-    thus ships about 2*margin*n/accuracy values to one task.
+    the group size.  Values inside the bracket are counted per value (with
+    map-side combining, so ties cost one row), the running counts of these
+    values find the two middle ones, and values below the bracket are only
+    counted.
     """
     group = [group] if isinstance(group, str) else list(group)
     eps = margin / accuracy
@@ -94,14 +95,22 @@ def exact_median(df: DataFrame, group, value: str, accuracy: int = 10000, margin
         F.count(F.lit(1)).alias("_n"),
         F.percentile_approx("_v", [max(0.0, 0.5 - eps), min(1.0, 0.5 + eps)], accuracy).alias("_b"))
     b = b.select(*group, "_n", F.col("_b")[0].alias("_lo"), F.col("_b")[1].alias("_hi"))
-    j = base.join(b, group)
-    inner = (F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi"))
-    g = j.groupBy(*group, "_n").agg(F.count(F.when(F.col("_v") < F.col("_lo"), 1)).alias("_below"),
-                                    F.sort_array(F.collect_list(F.when(inner, F.col("_v")))).alias("_mid"))
-    lo = (F.floor((F.col("_n") - 1) / 2) - F.col("_below")).cast("int")
-    hi = (F.ceil((F.col("_n") - 1) / 2) - F.col("_below")).cast("int")
-    med = (F.element_at("_mid", lo + 1) + F.element_at("_mid", hi + 1)) / 2.0
-    return g.select(*group, med.alias("median"))
+    same = None
+    for c in group:
+        t = F.col(f"base.{c}").eqNullSafe(F.col(f"b.{c}"))
+        same = t if same is None else same & t
+    j = base.alias("base").join(b.alias("b"), same).select(*[F.col(f"base.{c}") for c in group], "_n", "_lo", "_hi", "_v")
+    # below the bracket one row a group, inside it one a value
+    place = F.when(F.col("_v") < F.col("_lo"), F.lit(float("-inf"))).otherwise(F.col("_v"))
+    counts = (j.where(F.col("_v") <= F.col("_hi")).withColumn("_p", place)
+              .groupBy(*group, "_n", "_p").agg(F.count(F.lit(1)).alias("_c")))
+    upto = F.sum("_c").over(Window.partitionBy(*group).orderBy("_p").rowsBetween(Window.unboundedPreceding, 0))
+    run = counts.withColumn("_z", upto)
+    lo, hi = F.floor((F.col("_n") - 1) / 2), F.ceil((F.col("_n") - 1) / 2)
+
+    def at(k):
+        return F.max(F.when((F.col("_z") - F.col("_c") <= k) & (k < F.col("_z")), F.col("_p")))
+    return run.groupBy(*group, "_n").agg(((at(lo) + at(hi)) / 2.0).alias("median")).drop("_n")
 
 
 def latency_summary(timings: DataFrame, group, value: str) -> DataFrame:

@@ -10,6 +10,7 @@ XOR a fixed seed, ``dim`` standard normals, unit-normalised.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -23,6 +24,7 @@ from catalux.functions.text import truncate_text
 
 HASH_DIM = 384
 _WORKER_MODELS: dict = {}
+MAX_WORKER_MODELS = 2
 
 
 def hash_vectors(sha1_hex: list, dim: int, seed: int = fixed.HASH_EMBED_SEED) -> np.ndarray:
@@ -37,49 +39,57 @@ def hash_vectors(sha1_hex: list, dim: int, seed: int = fixed.HASH_EMBED_SEED) ->
     return out
 
 
-def _embed_isolated(model, texts: list) -> pa.Array:
+def _embed_isolated(model, texts: list) -> tuple[pa.Array, list]:
     """Embed a batch; if the model fails, retry row by row so one bad row cannot sink the batch.
 
-    Rows that still fail get an empty vector; the sync job records them as
-    failures (R2) and they are retried on the next run.
+    Rows that still fail get an empty vector and their error's text; the
+    sync job records it (R2) and they are retried on the next run.
     """
     try:
         vecs = np.asarray(model(texts), dtype=np.float32)
-        return pa.array([v.tolist() for v in vecs], type=pa.list_(pa.float32()))
+        return pa.array([v.tolist() for v in vecs], type=pa.list_(pa.float32())), [None] * len(texts)
     except Exception:  # noqa: BLE001 - isolate the failing rows
-        out = []
+        out, errors = [], []
         for t in texts:
             try:
                 out.append(np.asarray(model([t]), dtype=np.float32)[0].tolist())
-            except Exception:  # noqa: BLE001
+                errors.append(None)
+            except Exception as e:  # noqa: BLE001
                 out.append([])
-        return pa.array(out, type=pa.list_(pa.float32()))
+                errors.append(f"{type(e).__name__}: {e}")
+        return pa.array(out, type=pa.list_(pa.float32())), errors
 
 
 def embed_frame(df: DataFrame, text_col: str, out_col: str = "embedding", dim: int = HASH_DIM,
                 make_embedder: Callable[[], Callable[[list], np.ndarray]] | None = None,
-                max_chars: int = fixed.EMBED_MAX_CHARS) -> DataFrame:
-    """Append ``out_col`` (array<float>, unit length) computed from ``text_col``."""
+                max_chars: int = fixed.EMBED_MAX_CHARS, error_col: str | None = None) -> DataFrame:
+    """Append ``out_col`` (array<float>, unit length) computed from ``text_col``; and ``error_col`` (NULL: none), if named."""
     cols = df.columns
     staged = df.select("*", truncate_text(text_col, max_chars).alias("_embed_in"),
                        F.sha1(truncate_text(text_col, max_chars).cast("binary")).alias("_embed_sha1"))
-    out_schema = T.StructType(df.schema.fields + [T.StructField(out_col, T.ArrayType(T.FloatType(), False))])
-    key = id(make_embedder) if make_embedder else None
+    out_schema = T.StructType(df.schema.fields + [T.StructField(out_col, T.ArrayType(T.FloatType(), False))]
+                              + ([T.StructField(error_col, T.StringType())] if error_col else []))
+    # a name of its own for each call: a worker that serves several jobs never mixes up their models
+    key = uuid.uuid4().hex
 
     def kernel(batches):
         model = None
         if make_embedder is not None:
             model = _WORKER_MODELS.get(key)
             if model is None:
+                while len(_WORKER_MODELS) >= MAX_WORKER_MODELS:
+                    _WORKER_MODELS.pop(next(iter(_WORKER_MODELS)))
                 model = _WORKER_MODELS.setdefault(key, make_embedder())
         for rb in batches:
             texts = rb.column(rb.schema.get_field_index("_embed_in")).to_pylist()
+            errors = [None] * len(texts)
             if model is not None:
-                arr = _embed_isolated(model, [t or "" for t in texts])
+                arr, errors = _embed_isolated(model, [t or "" for t in texts])
             else:
                 vecs = hash_vectors(rb.column(rb.schema.get_field_index("_embed_sha1")).to_pylist(), dim)
                 flat = pa.array(vecs.reshape(-1), type=pa.float32())
                 arr = pa.ListArray.from_arrays(pa.array(np.arange(0, (len(texts) + 1) * dim, dim, dtype=np.int32)), flat)
             fields = [rb.column(rb.schema.get_field_index(c)) for c in cols]
-            yield pa.RecordBatch.from_arrays(fields + [arr], names=cols + [out_col])
+            more = [pa.array(errors, pa.string())] if error_col else []
+            yield pa.RecordBatch.from_arrays(fields + [arr, *more], names=cols + [out_col] + ([error_col] if error_col else []))
     return staged.mapInArrow(kernel, out_schema)

@@ -4,11 +4,11 @@ Build: KMeans (Spark ML, distributed Lloyd iterations) over unit-length
 vectors assigns every point a cell; the centroids (cells x dim, bounded by
 the cell count, not the data) are the only thing broadcast.
 Probe: each query's ``nprobe`` nearest centroids come from the exact
-kernel run against the small centroid table; queries then equi-join the
-points on ``cell`` (no cross product), candidates are scored JVM-side and a
-``row_number() <= k`` window keeps the top k.  With ``nprobe == cells`` the
-result equals the exact top-k.  A cell that holds a large share of the
-points is split by AQE's skew-join handling at run time.
+kernel run against the small centroid table; the kernel then scores each
+batch of points only against the queries that probe its cells, where the
+points lie (no pair table, no shuffle of points), so a cell that holds a
+large share of the points is spread over the tasks that read it.  With
+``nprobe == cells`` the result equals the exact top-k.
 """
 
 from __future__ import annotations

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from catalux.functions.text import bare_info_hash, col_, normalize_title, strip_ws
+from catalux.session import materialize
 
 
 def _cols(cs) -> list[Column]:
@@ -115,7 +116,8 @@ def global_position(df: DataFrame, order, col: str = "position") -> DataFrame:
     the position is offset + row number inside the partition.
     """
     keys = _cols(order)
-    srt = df.sort(*keys).withColumn("_pid", F.spark_partition_id())
+    # written once: counts and positions must come from the same exchange
+    srt = materialize(df.sort(*keys).withColumn("_pid", F.spark_partition_id()))
     counts = srt.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt"))
     offsets = counts.select("_pid", (F.sum("_cnt").over(Window.orderBy("_pid")) - F.col("_cnt")).alias("_off"))
     w = Window.partitionBy("_pid").orderBy(*keys)

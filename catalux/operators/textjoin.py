@@ -14,9 +14,10 @@ product, so this is planned as an exact n-gram index join instead:
 4. candidates are verified with the real ``ilike`` on the row.
 
 Literal runs shorter than the gram length use an index of that exact
-length.  Queries with no literal character match every non-NULL row; only
-those are paired with all rows, capped by ``limit_per_query`` when given
-(the cap is then the feature: the first rows by ``order``).
+length.  Queries with no literal character match every row whose text is
+as long as they ask ('_' is one character, '%' any number); they are joined
+on that length, and their output is the answer itself, cut by
+``limit_per_query`` when given.
 """
 
 from __future__ import annotations
@@ -46,6 +47,11 @@ def ngram_index(rows: DataFrame, key: str, text_cols, n: int = GRAM) -> DataFram
     return rows.select(F.col(key).alias("_rk"), F.explode(per_row).alias("gram"))
 
 
+def like_pattern(q):
+    """'%q%' for LIKE: '%' and '_' of the query stay wildcards, a backslash stands for itself."""
+    return F.concat(F.lit("%"), F.replace(q, F.lit("\\"), F.lit("\\\\")), F.lit("%"))
+
+
 def _literal_run(pattern_col):
     """Longest run of the lower-cased pattern between wildcards (first one on ties)."""
     pieces = F.split(F.lower(pattern_col), "[%_]")
@@ -83,23 +89,30 @@ def contains_join(queries: DataFrame, qid: str, q: str, rows: DataFrame, key: st
         matched.append(cand)
     cand = reduce(lambda a, b: a.unionByName(b), matched)
     pairs = cand.join(qs.drop("_lit", "_llen"), qid).join(rows, F.col("_rk") == rows[key]).drop("_rk")
-    pattern = F.concat(F.lit("%"), F.col(q), F.lit("%"))
+    pattern = like_pattern(F.col(q))
     verify = reduce(lambda a, b: a | b, [F.ilike(F.col(c), pattern) for c in text_cols])
     if extra_pred is not None:
         verify = verify & extra_pred
     found = pairs.where(verify)
-    # 2) wildcard-only patterns match every non-NULL row
+    # 2) patterns of wildcards only: a text matches by its length alone ('_' asks for one character each), so they
+    # are joined on the length they need, one row a needed length and text; the limit is applied like any other
     wild = qs.where(F.col("_llen") == 0).drop("_lit", "_llen")
     if not need[0]:
         return _limit(found, qid, limit_per_query, order)
-    any_text = reduce(lambda a, b: a | b, [F.col(c).isNotNull() for c in text_cols])
-    rows_ok = rows.where(any_text if extra_pred is None else any_text & extra_pred)
+    wild = wild.withColumn("_need", F.length(F.col(q)) - F.length(F.replace(F.col(q), F.lit("_"), F.lit(""))))
+    asked = wild.select("_need").distinct()
+    longest = F.greatest(*[F.coalesce(F.length(F.col(c)), F.lit(-1)) for c in text_cols], F.lit(-1))
+    rows_ok = rows if extra_pred is None else rows.where(extra_pred)
+    rows_ok = rows_ok.withColumn("_len", longest).where(F.col("_len") >= 0)
     if limit_per_query is not None and order is not None:
-        # top-N per partition, then merged: never more than N rows reach the join
-        rows_ok = F.broadcast(rows_ok.orderBy(*order).limit(limit_per_query))
-    one = F.lit(1)
-    wild_pairs = wild.withColumn("_one", one).join(rows_ok.withColumn("_one", one), "_one").drop("_one").where(
-        reduce(lambda a, b: a | b, [F.ilike(F.col(c), F.concat(F.lit("%"), F.col(q), F.lit("%"))) for c in text_cols]))
+        # of each needed length only the first rows can be answers: one small frame each, never queries x rows
+        firsts = [rows_ok.where(F.col("_len") >= r["_need"]).orderBy(*order).limit(limit_per_query)
+                  .withColumn("_need", F.lit(r["_need"])) for r in asked.collect()]   # distinct counts of '_' in a query
+        wild_pairs = wild.join(reduce(lambda a, b: a.unionByName(b), firsts), "_need").drop("_need", "_len")
+    else:
+        top = int(asked.agg(F.max("_need")).first()[0])
+        met = rows_ok.withColumn("_need", F.explode(F.sequence(F.lit(0), F.least(F.col("_len"), F.lit(top)))))
+        wild_pairs = wild.join(met.join(asked, "_need", "left_semi"), "_need").drop("_need", "_len")
     return _limit(found.unionByName(wild_pairs), qid, limit_per_query, order)
 
 

@@ -129,11 +129,13 @@ def read_snapshot(spark: SparkSession, root: str, empty: DataFrame | None = None
     return spark.read.parquet(path)
 
 
-def write_snapshot(df: DataFrame, root: str, keys=None, partition_by=None, partitions: int | None = None) -> str:
+def write_snapshot(df: DataFrame, root: str, keys=None, partition_by=None, partitions: int | None = None,
+                   retain: int | None = None) -> str:
     """Write ``df`` as a new immutable version under ``root`` (it becomes current when committed).
 
     Rows are hash-partitioned on the key so each key's rows land in one file
-    set (later joins on the key read co-located files).
+    set (later joins on the key read co-located files).  With ``retain``,
+    only that many of the newest versions stay.
     """
     last = current_snapshot(df.sparkSession, root)
     stamp = int(time.time() * 1000)
@@ -147,4 +149,18 @@ def write_snapshot(df: DataFrame, root: str, keys=None, partition_by=None, parti
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(version)
+    if retain is not None:
+        _drop_old_versions(df.sparkSession, root, retain)
     return version
+
+
+def _drop_old_versions(spark: SparkSession, root: str, retain: int) -> None:
+    """Delete version folders older than the newest ``retain`` committed ones (unfinished folders in between too)."""
+    hpath, fs = _fs(spark, root)
+    jvm = spark.sparkContext._jvm
+    found = sorted(st.getPath().toString() for st in fs.listStatus(hpath)
+                   if st.isDirectory() and st.getPath().getName().startswith("v"))
+    done = [p for p in found if fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+    for path in found:
+        if len(done) > max(retain, 1) and path < done[-max(retain, 1)]:
+            fs.delete(jvm.org.apache.hadoop.fs.Path(path), True)

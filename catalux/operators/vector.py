@@ -3,15 +3,18 @@
 Plan shape: the points table stays partitioned where it lies.  Query
 vectors are broadcast in blocks whose size is checked against
 ``max_block_bytes``; each task scores its Arrow batches of points against
-the block with one matrix product and keeps, per query, only its best k
+the block with one matrix product (more blocks are run one after the other,
+each written and released before the next) and keeps, per query, only its best k
 under the total order (rounded score desc, key columns asc).  Spark then
 shuffles at most ``partitions x queries x k`` rows on ``query_id`` and a
 ``row_number() <= k`` window picks the final k.  No cross join is planned
 and no point row leaves its task unless it is a candidate.
 
 Per-query metadata filters are applied inside the kernel as a boolean mask
-over small integer codes that Spark computes JVM-side (``filter_codes``),
-so a filtered query never ranks a point it may not return.
+over bitsets and codes of the block's own filter words (any number of
+them), so a filtered query never ranks a point it may not return.  A point
+vector of another length than the queries' fails the job; a NULL vector is
+never a hit.
 """
 
 from __future__ import annotations
@@ -24,7 +27,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from catalux.functions import fixed
+from catalux.operators.filters import has_external_id
+from catalux.session import materialize
 
 SCORE_DECIMALS = 6
 METRICS = ("cosine", "dot", "l2")
@@ -36,7 +40,6 @@ Q_FILE_TYPE, Q_AUDIO, Q_SUB, Q_GENRE, Q_HAS_EXT, Q_SIZE_MIN = (
 P_FILE_TYPE, P_AUDIO, P_SUB, P_GENRE, P_HAS_EXT, P_SIZE = (
     "c_file_type", "c_audio", "c_sub", "c_genre", "c_has_ext", "c_size")
 LIST_FILTERS = ((Q_AUDIO, P_AUDIO), (Q_SUB, P_SUB), (Q_GENRE, P_GENRE))
-MAX_VOCAB = 63
 
 
 def point_codes(points: DataFrame, file_type="file_type", audio="audio_langs", subs="subtitle_langs",
@@ -48,7 +51,7 @@ def point_codes(points: DataFrame, file_type="file_type", audio="audio_langs", s
         F.col(audio).alias(P_AUDIO),
         F.col(subs).alias(P_SUB),
         F.col(genres).alias(P_GENRE),
-        F.col(ext_id).isNotNull().alias(P_HAS_EXT),
+        has_external_id(ext_id).alias(P_HAS_EXT),
         F.col(size).try_cast("double").alias(P_SIZE),
     )
 
@@ -71,21 +74,19 @@ def query_codes(queries: DataFrame, file_type=None, audio=None, subs=None, genre
 
 
 def _list_bits(arr: pa.Array, vocab: list) -> np.ndarray:
-    """Per row, a bitmask of the vocabulary words in a list<string> column (vectorised)."""
+    """Per row, the vocabulary words of a list<string> column as a bitset of as many 64-bit words as it takes."""
     import pyarrow.compute as pc
     n = len(arr)
-    out = np.zeros(n, dtype=np.uint64)
+    out = np.zeros((n, max(1, -(-len(vocab) // 64))), dtype=np.uint64)
     if not vocab or n == 0:
         return out
     if isinstance(arr, pa.ChunkedArray):
         arr = arr.combine_chunks()
     lengths = np.nan_to_num(arr.value_lengths().to_numpy(zero_copy_only=False), nan=0).astype(np.int64)
-    flat = arr.flatten()
-    idx = pc.index_in(flat, value_set=pa.array(vocab, type=pa.string())).to_numpy(zero_copy_only=False)
-    idx = np.nan_to_num(idx.astype(np.float64), nan=-1).astype(np.int64)
-    bits = np.where(idx >= 0, np.left_shift(np.uint64(1), np.maximum(idx, 0).astype(np.uint64)), np.uint64(0))
-    row = np.repeat(np.arange(n), lengths)
-    np.bitwise_or.at(out, row, bits.astype(np.uint64))
+    idx = pc.fill_null(pc.index_in(arr.flatten(), value_set=pa.array(vocab, type=pa.string())), -1).to_numpy()
+    row, known = np.repeat(np.arange(n), lengths), idx >= 0
+    bit = np.left_shift(np.uint64(1), (idx[known] % 64).astype(np.uint64))
+    np.bitwise_or.at(out, (row[known], idx[known] // 64), bit)
     return out
 
 
@@ -121,8 +122,10 @@ def _make_kernel(bc, k: int, metric: str, key_cols: list[str], vec_col: str, use
                 if n == 0 or nq == 0:
                     continue
                 vec = rb.column(rb.schema.get_field_index(vec_col))
-                lengths = vec.value_lengths().to_numpy(zero_copy_only=False)
-                valid = np.nan_to_num(lengths, nan=-1).astype(np.int64) == dim
+                lengths = np.nan_to_num(vec.value_lengths().to_numpy(zero_copy_only=False), nan=-1).astype(np.int64)
+                valid = lengths == dim
+                if (wrong := lengths[(lengths >= 0) & ~valid]).size:
+                    raise ValueError(f"embedding dim mismatch: a point of {wrong[0]}, queries of {dim}")
                 if not valid.any():
                     continue
                 idx = np.nonzero(valid)[0]
@@ -145,8 +148,7 @@ def _make_kernel(bc, k: int, metric: str, key_cols: list[str], vec_col: str, use
                 if use_filters:
                     ok &= _filter_mask(blk, rb, nq, n)
                 s = np.where(ok & ~np.isnan(s), s, -np.inf)
-                keys = [np.asarray(rb.column(rb.schema.get_field_index(c)).to_pylist(), dtype=object)
-                        for c in key_cols]
+                keys = [rb.column(rb.schema.get_field_index(c)) for c in key_cols]
                 best_s, best_k = _merge_best(best_s, best_k, s, keys, k, nq, n)
         if best_s.size == 0:
             return
@@ -173,7 +175,10 @@ def _merge_best(best_s, best_k, s, keys, k, nq, n):
     rows, cols, cand_s = rows[keep], cols[keep], cand_s[keep]
     all_rows = np.concatenate([np.repeat(np.arange(nq), best_s.shape[1]), rows])
     all_s = np.concatenate([best_s.ravel(), cand_s])
-    all_k = [np.concatenate([bk.ravel(), kk[cols]]) for bk, kk in zip(best_k, keys)]
+    # only candidates' keys leave Arrow
+    used, place = np.unique(cols, return_inverse=True)
+    all_k = [np.concatenate([bk.ravel(), np.asarray([*kk.take(pa.array(used)).to_pylist(), None], dtype=object)[:-1][place]])
+             for bk, kk in zip(best_k, keys)]
     fin = np.isfinite(all_s)
     all_rows, all_s, all_k = all_rows[fin], all_s[fin], [a[fin] for a in all_k]
     order = _total_order(all_rows, all_s, all_k)
@@ -227,19 +232,25 @@ def _filter_mask(blk, rb, nq, n) -> np.ndarray:
     ftq = f["file_type"]
     has_ft = np.asarray([v is not None and v != "" for v in ftq])
     if has_ft.any():
-        ft = np.asarray(column(P_FILE_TYPE).to_pylist(), dtype=object)
-        ok &= ~has_ft[:, None] | (ft[None, :] == ftq[:, None])
+        import pyarrow.compute as pc
+        known = sorted({v for v in ftq if v})
+        code = pc.fill_null(pc.index_in(column(P_FILE_TYPE), value_set=pa.array(known, pa.string())), -1).to_numpy()
+        want = np.asarray([known.index(v) if v else -2 for v in ftq])
+        ok &= ~has_ft[:, None] | (code[None, :] == want[:, None])
     for qname, pname in LIST_FILTERS:
         qb, vocab = f[qname]
-        if (qb != 0).any():
+        if qb.any():
             pb = _list_bits(column(pname), vocab)
-            ok &= (qb[:, None] == 0) | ((qb[:, None] & pb[None, :]) != 0)
+            shared = np.zeros((nq, n), dtype=bool)
+            for word in range(qb.shape[1]):
+                shared |= (qb[:, None, word] & pb[None, :, word]) != 0
+            ok &= ~qb.any(axis=1)[:, None] | shared
     if f["has_ext"].any():
-        has_ext = np.asarray(column(P_HAS_EXT).to_pylist(), dtype=bool)
+        has_ext = column(P_HAS_EXT).to_numpy(zero_copy_only=False).astype(bool)
         ok &= ~f["has_ext"][:, None] | has_ext[None, :]
     smin = f["size_min"]
     if (~np.isnan(smin)).any():
-        size = np.asarray([np.nan if v is None else v for v in column(P_SIZE).to_pylist()], dtype=np.float64)
+        size = column(P_SIZE).to_numpy(zero_copy_only=False).astype(np.float64)
         with np.errstate(invalid="ignore"):
             ok &= np.isnan(smin)[:, None] | (size[None, :] >= smin[:, None])
     return ok
@@ -285,11 +296,7 @@ def _collect_block(block: DataFrame, qid: str, qvec: str, metric: str, use_filte
         for qname, _ in LIST_FILTERS:
             lists = [v or [] for v, k in zip(tbl.column(qname).to_pylist(), keep) if k]
             vocab = sorted({w for lst in lists for w in lst if w is not None})
-            if len(vocab) > MAX_VOCAB:
-                raise ValueError(f"{qname}: {len(vocab)} distinct filter values in one query block "
-                                 f"(at most {MAX_VOCAB}); split the query table")
-            pos = {w: i for i, w in enumerate(vocab)}
-            qb = np.asarray([sum(1 << pos[w] for w in set(lst) if w is not None) for lst in lists], dtype=np.uint64)
+            qb = _list_bits(pa.array(lists, pa.list_(pa.string())), vocab)
             filt[qname] = (qb, vocab)
         blk["filters"] = filt
     return blk
@@ -330,7 +337,12 @@ def knn(points: DataFrame, queries: DataFrame, k: int, metric: str = "cosine",
             continue
         bc = spark.sparkContext.broadcast(blk)
         kern = _make_kernel(bc, k, metric, key_cols, vec_col, use_filters, out_schema, cell_col)
-        parts.append(pts.mapInArrow(kern, out_schema))
+        part = pts.mapInArrow(kern, out_schema)
+        if nblocks > 1:
+            # one block at a time: its best rows are written, then its query vectors are released everywhere
+            part = materialize(part)
+            bc.destroy()
+        parts.append(part)
     if not parts:
         return spark.createDataFrame([], out_schema.add("rank", T.IntegerType()))
     cand = parts[0]

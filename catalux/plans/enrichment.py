@@ -2,8 +2,11 @@
 
 The reference calls a metadata API once per missing reference; here the
 payloads are landed data (``payloads``: key + JSON text), so a job is one
-plan: missing refs (anti join) -> cap -> join payloads -> normalise ->
-upsert.  ``now`` is a parameter so a rerun is reproducible.
+plan: missing refs (anti join) -> join payloads -> normalise ->
+upsert.  All missing refs are done; ``max_per_batch`` > 0 caps a run (W8).
+``now`` is a parameter so a rerun is reproducible.  A payload that is not
+JSON never fails the job: a film stays missing (and is tried again), a
+scene gets a row with status 'error'.
 """
 
 from __future__ import annotations
@@ -19,10 +22,12 @@ from catalux.operators.filters import ref_complete, supported_type
 from catalux.operators.ranking import numeric_id_order
 
 FILM_KEYS = [("content_type", "content_type"), ("tmdb_id", "tmdb_id")]
+SCENE_FIELDS = ("tpdb_id", "title", "original_title", "aka", "actors", "tags", "studio", "series", "site", "release_date",
+                "plot", "poster_url", "external_type")
 SCENE_KEYS = [("content_type", "content_type"), ("content_source", "content_source"), ("content_id", "content_id")]
 
 
-def film_enrichment_job(refs: DataFrame, film: DataFrame, payloads: DataFrame, now: str, max_per_batch: int = 50,
+def film_enrichment_job(refs: DataFrame, film: DataFrame, payloads: DataFrame, now: str, max_per_batch: int = 0,
                         force: bool = False, limits=(10, 5, 10)) -> DataFrame:
     """(J3/J5 -> F18 -> W8 -> S9 -> X23 -> X38 -> S7) returns the film table after the upsert.
 
@@ -32,7 +37,7 @@ def film_enrichment_job(refs: DataFrame, film: DataFrame, payloads: DataFrame, n
     todo = sup if force else J.anti_refs(sup, film, FILM_KEYS)
     if max_per_batch > 0:
         todo = todo.orderBy(numeric_id_order("tmdb_id"), "content_type").limit(max_per_batch)
-    j = todo.join(payloads, ["content_type", "tmdb_id"])
+    j = todo.join(payloads, ["content_type", "tmdb_id"]).where(F.try_parse_json("film_json").isNotNull())
     cols = normalize_film_payload(F.col("film_json"), *limits)
     batch = j.select("content_type", "tmdb_id", *[cols[k].alias(k) for k in
                                                   ("aka", "keywords", "actors", "directors", "plot", "genre", "imdb_id")],
@@ -43,7 +48,7 @@ def film_enrichment_job(refs: DataFrame, film: DataFrame, payloads: DataFrame, n
 
 
 def scene_enrichment_job(refs: DataFrame, scene: DataFrame, payloads: DataFrame, now: str, ttl_hours: float,
-                         not_found_ttl_hours: float, result_path: str, max_per_batch: int = 50,
+                         not_found_ttl_hours: float, result_path: str, max_per_batch: int = 0,
                          require_code: bool = False) -> DataFrame:
     """(F19 -> J6 -> W8 -> X25 -> S9 -> X22 -> W7 -> X24 -> S8) returns the scene table after the upsert.
 
@@ -59,7 +64,8 @@ def scene_enrichment_job(refs: DataFrame, scene: DataFrame, payloads: DataFrame,
     todo = todo.withColumn("raw_title", v["raw_title"])
     keys = ["content_type", "content_source", "content_id"]
     j = todo.join(payloads, keys)
-    parsed = F.parse_json(F.col("scene_json"))
+    parsed = F.try_parse_json(F.col("scene_json"))
+    broken = j.where(parsed.isNull() & F.col("scene_json").isNotNull()).select(*keys).distinct()
     items = j.select(*keys, "raw_title", F.posexplode(result_items(
         F.try_variant_get(parsed, "$." + result_path, "variant"), None)).alias("pos", "it"))
     cands = items.select(F.concat_ws("\u0001", *keys).alias("_rk"), *keys, "pos", "it",
@@ -68,14 +74,21 @@ def scene_enrichment_job(refs: DataFrame, scene: DataFrame, payloads: DataFrame,
     rk = todo.select(F.concat_ws("\u0001", *keys).alias("_rk"), "raw_title")
     best = best_candidate(cands, rk, key="_rk", pos="pos", ref_title="raw_title", item_title="title", item_code="code")
     found = scene_frame(best.select(*keys, "it", "match_method", "match_score"), "it", [*keys, "match_method", "match_score"])
+    found = found.withColumn("external_type", F.lit("scene"))
     now_c = F.to_timestamp(F.lit(now))
-    ok = found.select(*keys, "tpdb_id", "title", "aka", "actors", "tags", "studio", "site", "release_date", "plot",
-                      "poster_url", "match_method", "match_score", F.lit("success").alias("status"), now_c.alias("updated_at"))
-    missing = J.anti_refs(todo.select(*keys), best.select(*keys), SCENE_KEYS)
-    nf = missing.select(*keys, *[F.lit(None).cast("string").alias(c) for c in
-                                 ("tpdb_id", "title", "aka", "actors", "tags", "studio", "site", "release_date", "plot",
-                                  "poster_url")],
-                        F.lit("not_found").alias("match_method"), F.lit(None).cast("double").alias("match_score"),
-                        F.lit("not_found").alias("status"), now_c.alias("updated_at"))
+    none = F.lit(None).cast("string")
+    raw = payloads.select(*keys, F.col("scene_json").alias("raw")).dropDuplicates(keys)
+    ok = found.join(raw, keys, "left").select(
+        *keys, *SCENE_FIELDS, "match_method", "match_score", F.lit("success").alias("status"), none.alias("error_message"),
+        "raw", now_c.alias("updated_at"))
+    missing = J.anti_refs(todo.select(*keys), best.select(*keys), SCENE_KEYS).join(broken.withColumn("_bad", F.lit(True)), keys, "left")
+    status = F.when(F.col("_bad"), F.lit("error")).otherwise(F.lit("not_found"))
+    nf = missing.join(raw, keys, "left").select(
+        *keys, *[none.alias(c) for c in SCENE_FIELDS], status.alias("match_method"), F.lit(None).cast("double").alias("match_score"),
+        status.alias("status"), F.when(F.col("_bad"), F.lit("payload is not JSON")).alias("error_message"), "raw",
+        now_c.alias("updated_at"))
     batch = ok.unionByName(nf)
-    return U.scene_enrich_upsert(scene.select(*batch.columns), batch)
+    # a table written before a column existed reads as NULL there
+    old = scene.select(*[F.col(c) if c in scene.columns else F.lit(None).cast(batch.schema[c].dataType).alias(c)
+                         for c in batch.columns])
+    return U.scene_enrich_upsert(old, batch)

@@ -1,7 +1,7 @@
 """Search plans (E1-E4): a table of queries in, a table of ranked hits out.
 
-One lazy DataFrame per call; Catalyst plans the whole composition.  The
-shuffles are: per-query windows (top-k, dedupes, paging) on ``query_id``,
+A call returns a lazy DataFrame, after computing the query table once (a
+small table that is read several times).  The shuffles are: per-query windows (top-k, dedupes, paging) on ``query_id``,
 the substring joins of the expansion step on a gram key, and the look-up
 join of hits to source rows on (source, pg_id).
 """
@@ -19,7 +19,7 @@ from catalux.functions.text import keyword_score, normalize_info_hash, safety_fl
 from catalux.functions import fixed
 from catalux.operators import vector as V
 from catalux.operators.aggregates import expansion_terms
-from catalux.operators.embed import embed_frame
+from catalux.operators.embed import HASH_DIM, embed_frame
 from catalux.operators.filters import strip_chars
 from catalux.operators import ranking as R
 from catalux.operators.ranking import dedupe_hits_by_hash, dedupe_results_by_title
@@ -77,8 +77,12 @@ def semantic_search(queries: DataFrame, points: DataFrame, rows: DataFrame, p: S
     """E1.  ``queries``: (query_id, q[, qvec]); ``points``: vectors + payload; ``rows``:
     (source, pg_id, title, size...) of every configured source."""
     qu = understand(queries, film, content, p)
+    if dim is None:
+        # the index decides: both searches embed at the length of its vectors
+        first = points.where(F.col("embedding").isNotNull()).select(F.size("embedding").alias("d")).first()
+        dim = first["d"] if first else HASH_DIM
     if qvec is None:
-        qu = embed_frame(qu, "final_query", "qvec", dim=dim or 384, make_embedder=make_embedder)
+        qu = embed_frame(qu, "final_query", "qvec", dim=dim, make_embedder=make_embedder)
         qvec = "qvec"
     # the query table feeds the size check, the broadcast and the second search: compute it once
     qu = materialize(qu)
@@ -89,18 +93,18 @@ def semantic_search(queries: DataFrame, points: DataFrame, rows: DataFrame, p: S
     pts = V.point_codes(points)
     k = p.fetch_k
     prim = V.knn(pts, qc, k + p.cursor, qid="query_id", qvec=qvec, use_filters=True)
-    prim = prim.where(F.col("rank") > p.cursor).drop("rank")
     if cross_language:
         sec_q = qu.where(F.col("english").isNotNull() & (F.col("english") != "") & ~is_ascii("cleaned"))
         sec_q = expand_query(sec_q.select("query_id", F.col("english").alias("_e")), None, q="_e").select(
             "query_id", embed_query_text("expanded", p.query_prefix).alias("final_query"))
-        sec_q = embed_frame(sec_q, "final_query", "svec", dim=dim or 64, make_embedder=make_embedder)
+        sec_q = embed_frame(sec_q, "final_query", "svec", dim=dim, make_embedder=make_embedder)
         sec_c = V.query_codes(sec_q, has_ext=has_ext, size_min=smin)
-        sec = V.knn(pts, sec_c, k, qid="query_id", qvec="svec", use_filters=True).drop("rank")
-        merged = hybrid_merge(prim, sec, k)
+        # one merged list, ranked once, then the page: a later page never repeats a hit
+        sec = V.knn(pts, sec_c, k + p.cursor, qid="query_id", qvec="svec", use_filters=True).drop("rank")
+        merged = hybrid_merge(prim.drop("rank"), sec, k + p.cursor)
     else:
-        w = Window.partitionBy("query_id").orderBy(F.desc("score"), "source", "pg_id")
-        merged = prim.withColumn("rank", F.row_number().over(w))
+        merged = prim
+    merged = merged.where(F.col("rank") > p.cursor)
     counts = merged.groupBy("query_id").agg(F.count(F.lit(1)).alias("raw_count"))
     payload = points.select("source", "pg_id", "text_hash", F.coalesce(F.col("nsfw"), F.lit(False)).alias("nsfw"),
                             (F.col("nsfw_score") if "nsfw_score" in points.columns else F.lit(0.0)).alias("nsfw_score"))

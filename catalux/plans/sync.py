@@ -22,6 +22,7 @@ from catalux.operators import joins as J
 from catalux.operators import upsert as U
 from catalux.operators.embed import embed_frame
 from catalux.operators.filters import code_gate
+from catalux.session import materialize
 from catalux.spec import SourceSpec
 
 MATCH_FIELDS = ["tpdb_title", "tpdb_original_title", "tpdb_aka", "tpdb_actors", "tpdb_tags", "tpdb_studio",
@@ -85,7 +86,7 @@ def embed_pending(rows: DataFrame, spec: SourceSpec, state: DataFrame, p: SyncPa
     else:
         skipped = ready.limit(0).agg(F.count(F.lit(1)).alias("gated_rows"))
     payload = point_payload(gated, spec, p)
-    vec = embed_frame(payload, "embed_text", "embedding", dim=p.dim, make_embedder=make_embedder)
+    vec = embed_frame(payload, "embed_text", "embedding", dim=p.dim, make_embedder=make_embedder, error_col="embed_error")
     return vec.withColumn("vector_id", point_id(F.lit(spec.name), "pg_id")), skipped
 
 
@@ -93,11 +94,12 @@ def apply_batch(vec: DataFrame, state: DataFrame, points: DataFrame | None, spec
     """S5 + S3 + S4 (R2): good vectors upserted into points and state; bad ones recorded as failures."""
     good = vec.where(F.size("embedding") == p.dim)
     bad = vec.where(F.coalesce(F.size("embedding"), F.lit(-1)) != p.dim)
-    batch = good.drop("embed_text")
+    batch = good.drop("embed_text", "embed_error")
     new_state = U.sync_state_upsert(state, good.select("pg_id", "text_hash", "vector_id", "nsfw_score"),
                                     spec.name, p.now, p.embedding_version)
     fails = bad.select(F.lit(spec.name).alias("source"), "pg_id",
-                       F.lit(f"embedding failed or dim mismatch, expected {p.dim}").alias("error"))
+                       F.coalesce("embed_error", F.concat(F.lit("embedding dim mismatch: "), F.size("embedding").cast("string"),
+                                                           F.lit(f", expected {p.dim}"))).alias("error"))
     new_state = U.failure_upsert(new_state, fails, p.now)
     new_points = batch if points is None else U.points_upsert(points.select(*batch.columns), batch)
     return new_points, new_state
@@ -105,11 +107,8 @@ def apply_batch(vec: DataFrame, state: DataFrame, points: DataFrame | None, spec
 
 def sync_job(rows: DataFrame, spec: SourceSpec, state: DataFrame, points: DataFrame | None, p: SyncParams,
              scene: DataFrame | None = None, make_embedder=None):
-    """Returns (new_points, new_state, gated_count_frame) as lazy frames.
-
-    A caller that writes both outputs should materialize the embedded batch
-    first (``embed_pending`` + checkpoint + ``apply_batch``), as the stream does.
-    """
+    """Returns (new_points, new_state, gated_count_frame); the batch is embedded once, whatever is written of them."""
     vec, skipped = embed_pending(rows, spec, state, p, scene, make_embedder)
+    vec = materialize(vec)
     new_points, new_state = apply_batch(vec, state, points, spec, p)
     return new_points, new_state, skipped

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from catalux.operators import aggregates as A
 from catalux.operators.vector import knn
 from catalux.registry import register
+from catalux.registry.common import self_queries
 from catalux.registry.common import FILM_ENRICH_SQL, FILM_SOURCE, ITEMS_CONTENT_SQL, ITEMS_SYNC, film_enrich, items_content
 
 
@@ -99,12 +100,12 @@ def file_list_total(fx):
 WITH hits AS (
   SELECT * FROM (SELECT q.vec_id AS query_id, p.source, p.pg_id,
        row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.embedding::DOUBLE[], p.embedding::DOUBLE[]), 6) DESC, p.source, p.pg_id) AS rank
-     FROM points q, points p) t WHERE rank <= 10)
+     FROM (SELECT * FROM points WHERE vec_id % 50 = 0) q, points p) t WHERE rank <= 10)
 SELECT query_id, source, count(*) AS hits FROM hits GROUP BY query_id, source""", ("points",))
 def hits_by_source(fx):
     """Hit count per source per query."""
     p = fx["points"]
-    hits = knn(p, p.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec")), 10)
+    hits = knn(p, self_queries(p), 10)
     return hits.groupBy("query_id", "source").agg(F.count(F.lit(1)).alias("hits"))
 
 

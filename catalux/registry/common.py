@@ -37,3 +37,8 @@ FILM_ENRICH_SQL = """SELECT content_type, content_id AS tmdb_id, aka, keywords,
 
 FILES_JOIN = JoinSpec(table="files", on_left=("id",), on_right=("parent_id",), how="left",
                       fields={"paths": "path"}, agg="array_agg", order_by="idx")
+
+
+def self_queries(points):
+    """The query table of a search: the points whose id is divisible by 50."""
+    return points.where(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec"))

@@ -11,7 +11,7 @@ from catalux.plans import sync as SY
 from catalux.registry import duck as D
 from catalux.registry import register
 from catalux.registry.common import FILM_ENRICH_SQL, FILM_SOURCE, ITEMS, ITEMS_CONTENT_SQL, ITEMS_SYNC, NOW, film_enrich, items_content
-from catalux.registry.scalars import QUERY_TEXTS_SQL, query_texts
+from catalux.registry.scalars import SEARCH_TEXTS_SQL, search_texts
 from catalux.registry.views import _film_table
 from catalux.spec import SourceSpec
 
@@ -28,7 +28,7 @@ _FT, _RAW = D.query_file_type("b.q")
 _QA, _QS = D.detect_languages(_RAW)
 
 SEMANTIC_SQL = f"""
-WITH b AS (SELECT p.vec_id AS query_id, i.title AS q, p.embedding AS qvec FROM points p JOIN items i ON i.id = p.vec_id),
+WITH b AS (SELECT p.vec_id AS query_id, i.title AS q, p.embedding AS qvec FROM points p JOIN items i ON i.id = p.vec_id WHERE p.vec_id % 50 = 0),
 f AS (SELECT b.query_id, b.qvec, {_FT} AS file_type, {_QA} AS audio, {_QS} AS subs, {D.query_genres(_RAW)} AS genres FROM b),
 s AS (SELECT f.query_id, p.source, p.pg_id, p.text_hash, coalesce(p.nsfw, false) AS nsfw, round({COS}, 6) AS score
       FROM f, points p
@@ -52,7 +52,7 @@ FROM d2 JOIN cnt c ON c.query_id = d2.query_id"""
 
 
 def _semantic_queries(fx):
-    p = fx["points"]
+    p = fx["points"].where(F.col("vec_id") % 50 == 0)
     it = fx["items"].select(F.col("id").alias("_iid"), F.col("title").alias("q"))
     return p.join(it, p["vec_id"] == it["_iid"]).select(F.col("vec_id").alias("query_id"), "q",
                                                          F.col("embedding").alias("qvec"))
@@ -72,13 +72,13 @@ def semantic_search(fx):
 def semantic_search_full(fx, dim: int = 64):
     """E1 end to end: expansion, embedding of the rewritten query, cross-language search (flagship)."""
     p = S.SearchParams(expand=True, film_source=FILM_SOURCE, query_prefix="query: ")
-    return S.semantic_search(query_texts(fx), fx["points"], _rows(fx), p, film=film_enrich(fx),
+    return S.semantic_search(search_texts(fx), fx["points"], _rows(fx), p, film=film_enrich(fx),
                              content=items_content(fx), dim=dim, cross_language=True)
 
 
 _CLEAN_Q = D.strip_ws(D.query_file_type("qt.q")[1])
 KEYWORD_SQL = f"""
-WITH qt AS ({QUERY_TEXTS_SQL}),
+WITH qt AS ({SEARCH_TEXTS_SQL}),
 qc AS (SELECT query_id, q AS raw_q, CASE WHEN {_CLEAN_Q} <> '' THEN {_CLEAN_Q} ELSE coalesce(q, '') END AS q FROM qt),
 m1 AS (SELECT qc.query_id, i.pg_id FROM qc JOIN items i ON i.title ILIKE '%' || qc.q || '%' WHERE qc.q <> ''),
 m2 AS (SELECT qc.query_id, i.pg_id FROM qc JOIN items i
@@ -103,7 +103,7 @@ FROM r WHERE position <= 20"""
 def keyword_search(fx):
     """Every query text against the items titles (plain and normalised substring match)."""
     p = S.SearchParams()
-    return S.keyword_search(query_texts(fx), fx["items"], ITEMS, fx["sync_state"], p)
+    return S.keyword_search(search_texts(fx), fx["items"], ITEMS, fx["sync_state"], p)
 
 
 PAYLOAD_SQL = f"""
@@ -164,10 +164,10 @@ IMAGE_BASE = "https://images.example/w185"
 
 
 @register("item_detail", f"""
-WITH film AS (SELECT c.type AS content_type, CAST(c.id AS VARCHAR) AS tmdb_id,
+WITH film AS (SELECT CASE WHEN c.release_year <= 30 THEN c.type ELSE 'OLD' END AS content_type, CAST(c.id AS VARCHAR) AS tmdb_id,
                      array_to_string(list_filter(coalesce(json_extract_string(y.film_json, '$.genres[*].name'), []::VARCHAR[]), lambda x: coalesce(x, '') <> ''), ', ') AS genre,
                      y.film_json AS raw, CAST(NULL AS TIMESTAMP) AS updated_at
-              FROM catalog c JOIN payload y ON y.id = c.id WHERE c.release_year <= 30),
+              FROM catalog c JOIN payload y ON y.id = c.id),
 keys AS (SELECT CASE WHEN id % 2 = 0 THEN type ELSE 'OTHER' END AS k_type, CAST(id AS VARCHAR) AS k_id FROM catalog),
 cand AS (SELECT k.*, f.content_type, f.genre, f.raw,
                 row_number() OVER (PARTITION BY k.k_type, k.k_id ORDER BY (f.content_type = k.k_type) DESC,
@@ -253,8 +253,7 @@ def _film_existing(fx):
 WITH old AS ({_FILM_OLD_SQL}),
 todo AS (SELECT DISTINCT r.content_type, r.content_id AS tmdb_id FROM refs r
          WHERE r.content_type IN ('movie', 'tv_show', 'tv')
-           AND NOT EXISTS (SELECT 1 FROM old o WHERE o.content_type = r.content_type AND o.tmdb_id = r.content_id)
-         ORDER BY TRY_CAST(r.content_id AS BIGINT), r.content_type LIMIT 50),
+           AND NOT EXISTS (SELECT 1 FROM old o WHERE o.content_type = r.content_type AND o.tmdb_id = r.content_id)),
 batch AS (SELECT t.content_type, t.tmdb_id,
             array_to_string(list_filter(coalesce(json_extract_string(y.film_json, '$.genres[*].name'), []::VARCHAR[]), lambda x: coalesce(x, '') <> ''), ', ') AS genre,
             (CASE WHEN {D.strip_ws("coalesce(json_extract_string(y.film_json, '$.imdbRating'), '')")} IN ('', 'N/A') THEN NULL
@@ -264,8 +263,8 @@ SELECT content_type, tmdb_id, 'old' AS genre, CAST(NULL AS DOUBLE) AS imdb_ratin
 WHERE NOT EXISTS (SELECT 1 FROM batch b WHERE b.content_type = o.content_type AND b.tmdb_id = o.tmdb_id)
 UNION ALL SELECT * FROM batch""", ("refs", "payload"))
 def film_enrichment_job(fx):
-    """Missing supported refs, capped at 50 by numeric id, normalised from payloads, upserted."""
-    out = EN.film_enrichment_job(_refs_film(fx), _film_existing(fx), _film_payloads(fx), NOW, 50)
+    """All missing supported refs, normalised from payloads, upserted."""
+    out = EN.film_enrichment_job(_refs_film(fx), _film_existing(fx), _film_payloads(fx), NOW)
     return out.select("content_type", "tmdb_id", "genre", "imdb_rating")
 
 
@@ -278,7 +277,7 @@ stale AS (SELECT r.* FROM refs r LEFT JOIN enrich e ON e.content_type = r.conten
             AND e.content_id = r.content_id
           WHERE e.content_id IS NULL OR e.updated_at IS NULL
              OR (epoch_us(TIMESTAMP '{NOW}') - epoch_us(e.updated_at)) / 3.6e9 >= CASE WHEN e.status = 'not_found' THEN 48.0 ELSE 240.0 END),
-todo AS (SELECT * FROM stale ORDER BY TRY_CAST(content_id AS BIGINT), content_id LIMIT 50),
+todo AS (SELECT * FROM stale),
 batch AS (SELECT t.content_type, t.content_source, t.content_id,
             CASE WHEN y.id IS NULL THEN 'not_found' ELSE 'success' END AS status
           FROM todo t LEFT JOIN payload y ON CAST(y.id AS VARCHAR) = t.content_id)
@@ -287,7 +286,7 @@ WHERE NOT EXISTS (SELECT 1 FROM batch b WHERE b.content_type = o.content_type AN
                   AND b.content_id = o.content_id)
 UNION ALL SELECT * FROM batch""", ("items", "enrich", "payload"))
 def scene_enrichment_job(fx):
-    """Stale refs (TTL), capped at 50, candidates from payloads picked by code/title, upserted."""
+    """All stale refs (TTL), candidates from payloads picked by code/title, upserted."""
     refs = fx["items"].select(F.lit("doc").alias("content_type"), F.col("source").alias("content_source"),
                               F.col("pg_id").alias("content_id"), "title")
     e = fx["enrich"]
@@ -296,7 +295,7 @@ def scene_enrichment_job(fx):
                      F.lit(None).cast("string").alias("match_method"), F.lit(None).cast("double").alias("match_score"),
                      "status", F.col("updated_at").cast("timestamp").alias("updated_at"))
     pay = refs.join(fx["payload"].select(F.col("id").cast("string").alias("content_id"), "scene_json"), "content_id").drop("title")
-    out = EN.scene_enrichment_job(refs, scene, pay, NOW, 240.0, 48.0, "data.searchScene", 50)
+    out = EN.scene_enrichment_job(refs, scene, pay, NOW, 240.0, 48.0, "data.searchScene")
     return out.select("content_type", "content_source", "content_id", "status")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from catalux.operators import joins as J
 from catalux.operators.vector import knn
 from catalux.registry import register
+from catalux.registry.common import self_queries
 from catalux.registry.common import (FILES_JOIN, FILM_ENRICH_SQL, FILM_SOURCE, ITEMS_CONTENT_SQL, ITEMS_SYNC, NOW,
                                      film_enrich, items_content)
 
@@ -143,13 +144,13 @@ WITH hits AS (
   SELECT * FROM (SELECT q.vec_id AS query_id, p.source, p.pg_id,
        round(list_cosine_similarity(q.embedding::DOUBLE[], p.embedding::DOUBLE[]), 6) AS score,
        row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.embedding::DOUBLE[], p.embedding::DOUBLE[]), 6) DESC, p.source, p.pg_id) AS rank
-     FROM points q, points p) t WHERE rank <= 10)
+     FROM (SELECT * FROM points WHERE vec_id % 50 = 0) q, points p) t WHERE rank <= 10)
 SELECT h.query_id, h.source, h.pg_id, h.score, i.title, i.lang AS meta_lang, i.size AS meta_size
 FROM hits h JOIN items i ON h.source = 'items' AND i.pg_id = h.pg_id""", ("points", "items"))
 def hit_lookup_join(fx):
     """Vector hits joined to their source rows; hits of unknown sources or without a row drop out."""
     p = fx["points"]
-    hits = knn(p, p.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec")), 10)
+    hits = knn(p, self_queries(p), 10)
     rows = fx["items"].select(F.lit("items").alias("_src"), F.col("pg_id").alias("_pid"), "title",
                               F.col("lang").alias("meta_lang"), F.col("size").alias("meta_size"))
     j = hits.join(rows, (hits["source"] == rows["_src"]) & (hits["pg_id"] == rows["_pid"]))

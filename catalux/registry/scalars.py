@@ -21,6 +21,16 @@ UNION ALL
 SELECT 1000000000 + id AS query_id, title AS q FROM items"""
 
 
+# A search takes the fixture and the titles of the items whose id is divisible by 50.
+SEARCH_TEXTS_SQL = QUERY_TEXTS_SQL + " WHERE id % 50 = 0"
+
+
+def search_texts(fx):
+    it = fx["items"].where(F.col("id") % 50 == 0).select(
+        (F.lit(1000000000) + F.col("id")).alias("query_id"), F.col("title").alias("q"))
+    return fx["queries"].select(F.col("query_id").cast("bigint").alias("query_id"), "q").unionByName(it)
+
+
 def query_texts(fx):
     qs = fx["queries"].select(F.col("query_id").cast("bigint").alias("query_id"), "q")
     it = fx["items"].select((F.lit(1000000000) + F.col("id")).alias("query_id"), F.col("title").alias("q"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import functions as F
 
 from catalux.functions.match import normalize_film_payload
@@ -67,18 +69,18 @@ def failure_upsert(fx):
 
 @register("points_upsert", """
 WITH batch AS (
-  SELECT source, pg_id, vec_id, list_reverse(embedding) AS embedding FROM points WHERE label = 3
-  UNION ALL SELECT 'items' AS source, CAST(vec_id + 100000 AS VARCHAR) AS pg_id, vec_id, embedding FROM points WHERE label = 5),
+  SELECT source, pg_id, vec_id, list_reverse(embedding) AS embedding FROM points WHERE label % 2 = 1
+  UNION ALL SELECT 'items' AS source, CAST(vec_id + 100000 AS VARCHAR) AS pg_id, vec_id, embedding FROM points WHERE label % 2 = 0),
 merged AS (SELECT source, pg_id, vec_id, embedding FROM points p
            WHERE NOT EXISTS (SELECT 1 FROM batch b WHERE b.source = p.source AND b.pg_id = p.pg_id)
            UNION ALL SELECT * FROM batch)
 SELECT source, pg_id, vec_id, round(list_sum(list_transform(embedding, lambda x, i: CAST(x AS DOUBLE) * i)), 4) AS checksum
 FROM merged""", ("points",))
 def points_upsert(fx):
-    """Vectors added or replaced by (source, pg_id)."""
+    """Every point of an odd label is replaced, one is added for every other, by (source, pg_id)."""
     p = fx["points"].select("source", "pg_id", "vec_id", "embedding")
-    batch = (p.where(F.col("label") == 3).select("source", "pg_id", "vec_id", F.reverse("embedding").alias("embedding"))
-             .unionByName(fx["points"].where(F.col("label") == 5).select(
+    batch = (p.where(F.col("label") % 2 == 1).select("source", "pg_id", "vec_id", F.reverse("embedding").alias("embedding"))
+             .unionByName(fx["points"].where(F.col("label") % 2 == 0).select(
                  F.lit("items").alias("source"), (F.col("vec_id") + 100000).cast("string").alias("pg_id"), "vec_id",
                  "embedding")))
     merged = U.points_upsert(p, batch)
@@ -90,7 +92,7 @@ def points_upsert(fx):
 @register("points_snapshot", "SELECT source, label, count(*) AS n FROM points GROUP BY source, label", ("points",))
 def points_snapshot(fx):
     """Write the points as a versioned snapshot partitioned by cell (label), reload, count."""
-    root = U.snapshot_root(fx.spark, f"points-{abs(hash(fx.root)) % 10**8}")
+    root = U.snapshot_root(fx.spark, "points-" + hashlib.sha1(fx.root.encode()).hexdigest()[:12])
     U.write_snapshot(fx["points"], root, keys=["source", "pg_id"], partition_by=["label"])
     back = U.read_snapshot(fx.spark, root)
     return back.groupBy("source", "label").agg(F.count(F.lit(1)).alias("n"))
@@ -113,12 +115,12 @@ batch AS (SELECT CASE p.p_partkey % 3 WHEN 0 THEN 'movie' WHEN 1 THEN 'tv' ELSE
                  CAST(p.p_partkey AS VARCHAR) AS tmdb_id,
                  array_to_string(list_filter(coalesce(json_extract_string(y.film_json, '$.genres[*].name'), []::VARCHAR[]), lambda x: coalesce(x, '') <> ''), ', ') AS genre,
                  coalesce(nullif(json_extract_string(y.film_json, '$.overview'), ''), '') AS plot
-          FROM part p JOIN payload y ON y.id = p.p_partkey WHERE p.p_size BETWEEN 20 AND 40)
+          FROM part p JOIN payload y ON y.id = p.p_partkey)
 SELECT * FROM old o WHERE NOT EXISTS (SELECT 1 FROM batch b WHERE b.content_type = o.content_type AND b.tmdb_id = o.tmdb_id)
 UNION ALL SELECT * FROM batch""", ("payload",))
 def film_enrich_upsert(fx):
     """Normalised film rows upserted by (content_type, tmdb_id)."""
-    p = fx.table("part").where(F.col("p_size").between(20, 40))
+    p = fx.table("part")
     y = fx["payload"].select(F.col("id").alias("p_partkey"), "film_json")
     cols = normalize_film_payload(F.col("film_json"))
     t = F.when(F.col("p_partkey") % 3 == 0, "movie").when(F.col("p_partkey") % 3 == 1, "tv").otherwise("tv_show")

@@ -10,8 +10,9 @@ from catalux.operators.sets import distinct_refs, expansion_candidates as _candi
 from catalux.operators.vector import knn
 from catalux.registry import duck as D
 from catalux.registry import register
+from catalux.registry.common import self_queries
 from catalux.registry.common import FILM_ENRICH_SQL, FILM_SOURCE, ITEMS_CONTENT_SQL, film_enrich, items_content
-from catalux.registry.scalars import QUERY_TEXTS_SQL, query_texts
+from catalux.registry.scalars import SEARCH_TEXTS_SQL, search_texts
 
 # --- oracle text -------------------------------------------------------------
 
@@ -19,7 +20,7 @@ _T1 = "coalesce(nullif(regexp_extract(qt.q, '([a-zA-Z0-9]+)', 1), ''), qt.q)"
 _T2 = "coalesce(nullif(regexp_extract(qt.q, '([^\\x00-\\x7F]+)', 1), ''), qt.q)"
 
 CANDIDATES_SQL = f"""
-qt AS ({QUERY_TEXTS_SQL}),
+qt AS ({SEARCH_TEXTS_SQL}),
 fe AS ({FILM_ENRICH_SQL}),
 ce AS (SELECT c.title, c.original_title, fe.* FROM ({ITEMS_CONTENT_SQL}) c
        JOIN fe ON fe.content_type = c.type AND fe.tmdb_id = c.id WHERE c.source = '{FILM_SOURCE}'),
@@ -49,7 +50,7 @@ terms AS (SELECT query_id, {D.strip_ws('term')} AS term, max(weight) AS weight F
 
 
 def _terms(fx):
-    qt = query_texts(fx)
+    qt = search_texts(fx)
     cands = _candidates(qt, film_enrich(fx), items_content(fx), 20, film_source=FILM_SOURCE)
     return qt, cands
 
@@ -123,7 +124,7 @@ def embed_query_text_q(fx):
 @register("hybrid_merge", """
 WITH s AS (SELECT q.vec_id AS query_id, p.source, p.pg_id, p.file_type,
                   round(list_cosine_similarity(q.embedding::DOUBLE[], p.embedding::DOUBLE[]), 6) AS score
-           FROM points q, points p),
+           FROM (SELECT * FROM points WHERE vec_id % 50 = 0) q, points p),
 prim AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, source, pg_id) AS r
          FROM s WHERE file_type = 'video') t WHERE r <= 10),
 sec AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, source, pg_id) AS r
@@ -137,7 +138,7 @@ SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score
 def hybrid_merge_q(fx):
     """Filtered primary hits + unfiltered secondary hits not already present, re-ranked, top k."""
     p = fx["points"]
-    q = p.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec"))
+    q = self_queries(p)
     prim = knn(p.where(F.col("file_type") == "video"), q, 10).drop("rank")
     sec = knn(p, q, 10).drop("rank")
     out = hybrid_merge(prim, sec, 10)
@@ -168,7 +169,7 @@ def distinct_refs_q(fx):
 def title_match_expansion(fx):
     """Film content whose title contains the query, joined to its enrichment (aka, keywords), 20 per query."""
     from catalux.operators.textjoin import contains_join
-    qt = query_texts(fx)
+    qt = search_texts(fx)
     fe = film_enrich(fx).select("content_type", "tmdb_id", "aka", "keywords")
     c = items_content(fx).where(F.col("source") == FILM_SOURCE).select(
         F.col("type").alias("_ct"), F.col("id").alias("_cid"), "title", "original_title")

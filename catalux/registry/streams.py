@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -22,14 +20,14 @@ SYNC_SPEC = SourceSpec(name="items", id_field="id", text_field="text", updated_a
 DIM = 64
 
 
-def _to_items(docs):
-    """Micro-batch of events -> item rows (the items shape, joined with the static documents)."""
+def _to_items(events):
+    """Micro-batch of documents -> item rows (the items shape, with their times from the static events)."""
     def to_rows(batch):
         title = F.concat(F.substring(F.replace(F.col("text"), F.lit("\n"), F.lit(" ")), 1, 40),
                          F.element_at(F.array(F.lit(".1080p.x264-GRP"), F.lit(" ABC-123"), F.lit(" HD 720"),
                                               F.lit(" 标题 中文字幕"), F.lit(" [web-dl]"), F.lit("")),
                                       (F.col("doc_id") % 6 + 1).cast("int")))
-        j = batch.join(docs, batch["event_id"] == docs["doc_id"])
+        j = batch.join(events.select("event_id", "ts"), F.col("event_id") == F.col("doc_id"))
         return j.select(F.col("doc_id").alias("id"), F.col("doc_id").cast("string").alias("pg_id"), "text", "lang",
                         "source", F.col("n_chars").alias("size"), F.col("ts").alias("updated_at"), title.alias("title"))
     return to_rows
@@ -40,7 +38,7 @@ def _run_sync(fx, make_embedder=None):
     events = fx.table("events")
     docs = fx.table("documents")
     root = shared_path(spark, "stream-sync")
-    out = INC.incremental_sync(spark, f"{fx.root.rstrip('/')}/events*.parquet", events.schema, _to_items(docs),
+    out = INC.incremental_sync(spark, f"{fx.root.rstrip('/')}/documents*.parquet", docs.schema, _to_items(events),
                                SYNC_SPEC, SyncParams(now=NOW, dim=DIM), root, make_embedder=make_embedder)
     return U.read_snapshot(spark, out["state"]), out
 
@@ -56,7 +54,7 @@ SELECT 'items' AS source, i.pg_id, md5(i.text) AS text_hash, 'v1' AS embedding_v
        CAST(NULL AS VARCHAR) AS last_error
 FROM items i""", ("items",))
 def incremental_sync(fx):
-    """Events stream (new files only) -> sync job per micro-batch -> state snapshot (availableNow)."""
+    """Documents stream (new files only) -> sync job per micro-batch -> state snapshot (availableNow)."""
     state, _ = _run_sync(fx)
     return state.select("source", "pg_id", "text_hash", "embedding_version", "vector_id",
                         F.round("nsfw_score", 6).alias("nsfw_score"), "last_error")
@@ -111,10 +109,7 @@ def status_snapshot(fx):
     """The sync status report recomputed on a trigger and published as a snapshot table."""
     from catalux.registry.endtoend import sync_status
     spark = fx.spark
-    ticks = shared_path(spark, "ticks")
-    os.makedirs(ticks, exist_ok=True) if "://" not in ticks else None
-    spark.createDataFrame([("tick",)], "value STRING").write.mode("overwrite").text(ticks)
-    out = INC.status_snapshot(spark, ticks, lambda: sync_status(fx), shared_path(spark, "status"), trigger="availableNow")
+    out = INC.status_snapshot(spark, lambda: sync_status(fx), shared_path(spark, "status"), trigger="availableNow")
     return U.read_snapshot(spark, out["status"]).drop("epoch")
 
 

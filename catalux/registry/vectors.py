@@ -1,7 +1,7 @@
 """Registered queries: vector operators.
 
-Every point is also a query (self top-k over the whole ``points`` table),
-so the work grows with the table and no id subset is taken.
+Queries are the points whose id is divisible by 50, searched against all
+points.
 """
 
 from __future__ import annotations
@@ -11,15 +11,12 @@ from pyspark.sql import functions as F
 from catalux.operators import vector as V
 from catalux.operators.filters import metadata_filter
 from catalux.registry import register
+from catalux.registry.common import self_queries
 
 K = 10
 SIZE_MIN = 100 * 1048576  # bytes
 
 
-def self_queries(points):
-    return points.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec"))
-
-
 def _hits(points, k=K, metric="cosine", **kw):
     h = V.knn(points, self_queries(points), k, metric=metric, **kw)
     return h.select("query_id", "source", "pg_id", F.round("score", 6).alias("score"),
@@ -38,7 +35,7 @@ SELECT query_id, source, pg_id, score, rank FROM (
   SELECT query_id, source, pg_id, score,
          row_number() OVER (PARTITION BY query_id ORDER BY score DESC, source, pg_id) AS rank
   FROM (SELECT q.vec_id AS query_id, p.source, p.pg_id, round({score}, 6) AS score
-        FROM points q, points p WHERE {where}) s
+        FROM (SELECT * FROM points WHERE vec_id % 50 = 0) q, points p WHERE {where}) s
 ) t WHERE rank <= {k}"""
 
 
@@ -98,8 +95,8 @@ def knn_size_overfetch(fx):
 
 def _batch_queries(p):
     """Per-query filters differ row by row: type, genres, languages, external id, size."""
-    vid = F.col("vec_id")
-    q = p.select(
+    vid = F.floor(F.col("vec_id") / 50)
+    q = p.where(F.col("vec_id") % 50 == 0).select(
         F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec"),
         F.when(vid % 3 == 0, F.col("file_type")).alias("q_file_type"),
         F.when(vid % 4 == 1, F.col("genre_tags")).alias("q_genres"),
@@ -114,13 +111,13 @@ def _batch_queries(p):
 @register("knn_batch", f"""
 WITH q AS (
   SELECT vec_id, embedding,
-         CASE WHEN vec_id % 3 = 0 THEN file_type END AS q_file_type,
-         CASE WHEN vec_id % 4 = 1 THEN genre_tags END AS q_genres,
-         CASE WHEN vec_id % 5 = 2 THEN audio_langs END AS q_audio,
-         CASE WHEN vec_id % 5 = 3 THEN subtitle_langs END AS q_subs,
-         vec_id % 7 = 3 AS q_has_ext,
-         CASE WHEN vec_id % 6 = 5 THEN {float(SIZE_MIN)} END AS q_size_min
-  FROM points)
+         CASE WHEN vec_id // 50 % 3 = 0 THEN file_type END AS q_file_type,
+         CASE WHEN vec_id // 50 % 4 = 1 THEN genre_tags END AS q_genres,
+         CASE WHEN vec_id // 50 % 5 = 2 THEN audio_langs END AS q_audio,
+         CASE WHEN vec_id // 50 % 5 = 3 THEN subtitle_langs END AS q_subs,
+         vec_id // 50 % 7 = 3 AS q_has_ext,
+         CASE WHEN vec_id // 50 % 6 = 5 THEN {float(SIZE_MIN)} END AS q_size_min
+  FROM points WHERE vec_id % 50 = 0)
 SELECT query_id, source, pg_id, score, rank FROM (
   SELECT query_id, source, pg_id, score,
          row_number() OVER (PARTITION BY query_id ORDER BY score DESC, source, pg_id) AS rank
@@ -130,7 +127,7 @@ SELECT query_id, source, pg_id, score, rank FROM (
           AND (q.q_genres IS NULL OR len(q.q_genres) = 0 OR list_has_any(p.genre_tags, q.q_genres))
           AND (q.q_audio IS NULL OR len(q.q_audio) = 0 OR list_has_any(p.audio_langs, q.q_audio))
           AND (q.q_subs IS NULL OR len(q.q_subs) = 0 OR list_has_any(p.subtitle_langs, q.q_subs))
-          AND (NOT q.q_has_ext OR p.tmdb_id IS NOT NULL)
+          AND (NOT q.q_has_ext OR (p.tmdb_id IS NOT NULL AND p.tmdb_id <> ''))
           AND (q.q_size_min IS NULL OR TRY_CAST(p.size AS DOUBLE) >= q.q_size_min)) s
 ) t WHERE rank <= {K}""", ("points",))
 def knn_batch(fx):

@@ -67,8 +67,8 @@ def json_field(fx):
 
 
 def _film_table(fx):
-    """Film enrichment for catalogue items: normalised payloads of parts up to size 30."""
-    c = fx["catalog"].where(F.col("release_year") <= 30)
+    """Film enrichment for catalogue items: normalised payloads; parts above size 30 stand under another type."""
+    c = fx["catalog"].withColumn("type", F.when(F.col("release_year") <= 30, F.col("type")).otherwise("OLD"))
     y = fx["payload"].select(F.col("id").alias("_pid"), "film_json")
     cols = normalize_film_payload(F.col("film_json"))
     j = c.join(y, c["id"] == y["_pid"])
@@ -79,8 +79,8 @@ def _film_table(fx):
 
 
 def _scene_table(fx):
-    """Scene enrichment for catalogue items: first result item of parts above size 10."""
-    c = fx["catalog"].where(F.col("release_year") > 10)
+    """Scene enrichment for catalogue items: first result item; parts up to size 10 stand under another type."""
+    c = fx["catalog"].withColumn("type", F.when(F.col("release_year") > 10, F.col("type")).otherwise("NEW"))
     y = fx["payload"].select(F.col("id").alias("_pid"), "scene_json")
     j = c.join(y, c["id"] == y["_pid"]).select(F.col("type").alias("content_type"),
                                                 F.col("source").alias("content_source"),
@@ -90,12 +90,11 @@ def _scene_table(fx):
     return scene_frame(items, "it", keys).select(*keys, *VW.SCENE_COLS)
 
 
-_FILM_TABLE_SQL = f"""film AS (SELECT c.type AS content_type, CAST(c.id AS VARCHAR) AS tmdb_id, f.*
-   FROM catalog c JOIN (SELECT id AS pid, film_json, {_film_sql()} FROM payload) f ON f.pid = c.id
-   WHERE c.release_year <= 30)"""
-_SCENE_TABLE_SQL = f"""scene AS (SELECT c.type AS content_type, c.source AS content_source, CAST(c.id AS VARCHAR) AS content_id, s.*
+_FILM_TABLE_SQL = f"""film AS (SELECT CASE WHEN c.release_year <= 30 THEN c.type ELSE 'OLD' END AS content_type, CAST(c.id AS VARCHAR) AS tmdb_id, f.*
+   FROM catalog c JOIN (SELECT id AS pid, film_json, {_film_sql()} FROM payload) f ON f.pid = c.id)"""
+_SCENE_TABLE_SQL = f"""scene AS (SELECT CASE WHEN c.release_year > 10 THEN c.type ELSE 'NEW' END AS content_type, c.source AS content_source, CAST(c.id AS VARCHAR) AS content_id, s.*
    FROM catalog c JOIN (SELECT id AS pid, {_scene_sql()} FROM (SELECT id, {D.result_items('scene_json', SCENE_PATH)}[1] AS it FROM payload) t) s
-     ON s.pid = c.id WHERE c.release_year > 10)"""
+     ON s.pid = c.id)"""
 
 
 @register("content_view", f"""

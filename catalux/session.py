@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -43,10 +42,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster this setting points at shared storage and is only read.
-    Where it is unset (local tests) a private folder is created and set.
+    Where it is unset, a local run (tests) gets a private folder; a cluster
+    job is refused, since its executors share no local folder.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         current = tempfile.mkdtemp(prefix="catalux-ckpt-")
         spark.conf.set("spark.checkpoint.dir", current)
     spark.sparkContext.setCheckpointDir(current)
@@ -59,15 +62,6 @@ def shared_path(spark: SparkSession, *parts: str) -> str:
     return "/".join([root, *parts, uuid.uuid4().hex])
 
 
-def is_local_path(path: str) -> bool:
-    return "://" not in path or path.startswith("file:")
-
-
-def mkdirs_if_local(path: str) -> None:
-    if is_local_path(path):
-        os.makedirs(path.replace("file://", ""), exist_ok=True)
-
-
 def materialize(df):
     """Compute ``df`` once into the shared checkpoint folder and cut its lineage.
 

@@ -26,7 +26,7 @@ def search_nodes(js: Column) -> Column:
 
     data.torrentContent.search.items[]  or  data.torrents.edges[].node
     """
-    v = F.parse_json(js)
+    v = F.try_parse_json(js)
     tc = vget(v, "$.data.torrentContent")
     items = F.coalesce(vget(v, "$.data.torrentContent.search.items", "array<variant>"), F.array().cast("array<variant>"))
     edges = F.coalesce(vget(v, "$.data.torrents.edges", "array<variant>"), F.array().cast("array<variant>"))
@@ -36,7 +36,7 @@ def search_nodes(js: Column) -> Column:
 
 def search_meta(js: Column) -> dict[str, Column]:
     """totalCount and hasNextPage of a keyword payload (hasNextPage only in the first shape)."""
-    v = F.parse_json(js)
+    v = F.try_parse_json(js)
     first = is_obj(vget(v, "$.data.torrentContent"))
     total = F.when(first, vget(v, "$.data.torrentContent.search.totalCount", "bigint")).otherwise(
         vget(v, "$.data.torrents.totalCount", "bigint"))
@@ -49,7 +49,7 @@ FILE_ITEM_FIELDS = {"index": "bigint", "path": "string", "extension": "string",
 
 def file_rows(df: DataFrame, js: str, keep=()) -> DataFrame:
     """One row per file entry of a file-list payload; updatedAt -> updated_at."""
-    v = F.parse_json(F.col(js))
+    v = F.try_parse_json(F.col(js))
     items = vget(v, "$.data.torrent.files.items", "array<variant>")
     ex = df.select(*keep, F.posexplode(F.filter(F.coalesce(items, F.array().cast("array<variant>")), is_obj)).alias("pos", "it"))
     return ex.select(*keep, "pos", *[vget(F.col("it"), f"$.{k}", t).alias(k) for k, t in FILE_ITEM_FIELDS.items()],

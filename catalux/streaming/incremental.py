@@ -13,6 +13,7 @@ resident service.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,6 +25,8 @@ from catalux.plans.sync import SyncParams, apply_batch, embed_pending
 from catalux.session import ensure_checkpoint_dir
 from catalux.spec import SourceSpec
 
+RETAIN = 3     # snapshot versions kept
+
 STATE_SCHEMA = T.StructType([
     T.StructField("source", T.StringType()), T.StructField("pg_id", T.StringType()),
     T.StructField("text_hash", T.StringType()), T.StructField("embedding_version", T.StringType()),
@@ -41,10 +44,11 @@ def _trigger(writer, trigger: str | None):
 def incremental_sync(spark: SparkSession, source_path: str, source_schema: T.StructType,
                      to_rows: Callable[[DataFrame], DataFrame], spec: SourceSpec, params: SyncParams,
                      root: str, trigger: str | None = "availableNow", scene: DataFrame | None = None,
-                     make_embedder=None, max_files_per_trigger: int | None = None) -> dict:
+                     make_embedder=None, max_files_per_trigger: int | None = None, stream: str = "_stream") -> dict:
     """Stream new source files through the sync job; returns the snapshot roots.
 
-    ``to_rows`` shapes a micro-batch of raw records into source rows (joins
+    ``stream`` names the folder under ``root`` that remembers which files
+    were done; another name reads them all again.  ``to_rows`` shapes a micro-batch of raw records into source rows (joins
     with static tables are fine there).
     """
     ensure_checkpoint_dir(spark)
@@ -59,8 +63,8 @@ def incremental_sync(spark: SparkSession, source_path: str, source_schema: T.Str
         # points and state both derive from one embedding pass: compute it once (reliable checkpoint)
         vec = vec.checkpoint(eager=True)
         new_points, new_state = apply_batch(vec, state, points, spec, params)
-        U.write_snapshot(new_points, points_root, keys=["source", "pg_id"])
-        U.write_snapshot(new_state, state_root, keys=["source", "pg_id"])
+        U.write_snapshot(new_points, points_root, keys=["source", "pg_id"], retain=RETAIN)
+        U.write_snapshot(new_state, state_root, keys=["source", "pg_id"], retain=RETAIN)
         run = gated.select(F.lit(epoch_id).alias("epoch"), "gated_rows",
                            F.lit(vec.count()).alias("embedded"), F.current_timestamp().alias("at"))
         run.write.mode("append").parquet(stats_root)
@@ -68,8 +72,8 @@ def incremental_sync(spark: SparkSession, source_path: str, source_schema: T.Str
     reader = spark.readStream.schema(source_schema)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    stream = reader.parquet(source_path)
-    q = _trigger(stream.writeStream.foreachBatch(process).option("checkpointLocation", f"{root}/_stream"), trigger).start()
+    q = _trigger(reader.parquet(source_path).writeStream.foreachBatch(process)
+                 .option("checkpointLocation", f"{root}/{stream}"), trigger).start()
     if trigger in (None, "availableNow"):
         q.awaitTermination()
     return {"state": state_root, "points": points_root, "runs": stats_root, "query": q}
@@ -82,10 +86,11 @@ def enrichment_loop(spark: SparkSession, refs_path: str, refs_schema: T.StructTy
     """Each micro-batch of refs is enriched; refs that failed earlier in this run are skipped unless forced.
 
     ``job(refs, table)`` returns the table after the upsert with a ``status``
-    column; rows with status 'error' / 'not_found' are remembered as failed.
+    column; rows with status 'error' are remembered as failed until the run
+    ends ('not_found' is a result: its age decides when it is tried again).
     """
     ensure_checkpoint_dir(spark)
-    table_root, failed_root = f"{root}/table", f"{root}/failed"
+    table_root, failed_root = f"{root}/table", f"{root}/failed/{uuid.uuid4().hex}"
 
     def process(batch: DataFrame, epoch_id: int) -> None:
         table = U.read_snapshot(spark, table_root, empty_table)
@@ -94,8 +99,8 @@ def enrichment_loop(spark: SparkSession, refs_path: str, refs_schema: T.StructTy
         if failed is not None and not force:
             refs = refs.join(failed.select(*key_cols), key_cols, "left_anti")
         out = job(refs, table).checkpoint(eager=True)
-        U.write_snapshot(out, table_root, keys=key_cols)
-        bad = out.join(refs, key_cols, "left_semi").where(F.col("status").isin("error", "not_found")).select(*key_cols)
+        U.write_snapshot(out, table_root, keys=key_cols, retain=RETAIN)
+        bad = out.join(refs, key_cols, "left_semi").where(F.col("status") == "error").select(*key_cols)
         prev = failed if failed is not None else bad.limit(0)
         U.write_snapshot(prev.unionByName(bad).distinct(), failed_root)
 
@@ -109,21 +114,23 @@ def enrichment_loop(spark: SparkSession, refs_path: str, refs_schema: T.StructTy
     return {"table": table_root, "failed": failed_root, "query": q}
 
 
-def status_snapshot(spark: SparkSession, tick_path: str, compute: Callable[[], DataFrame], root: str,
+def status_snapshot(spark: SparkSession, compute: Callable[[], DataFrame], root: str,
                     trigger: str | None = "60 seconds") -> dict:
     """Recompute the status report on every trigger and publish it as a new snapshot.
 
-    The stream only paces the refresh (any file landing under ``tick_path``,
-    or the processing-time trigger); the report reads the current tables.
+    The ``rate`` source only paces the refresh (it has a new row whenever the
+    trigger fires); the report reads the current tables.  ``availableNow``
+    publishes once.
     """
     ensure_checkpoint_dir(spark)
     out_root = f"{root}/status"
 
     def process(batch: DataFrame, epoch_id: int) -> None:
-        U.write_snapshot(compute().withColumn("epoch", F.lit(epoch_id)), out_root)
+        U.write_snapshot(compute().withColumn("epoch", F.lit(epoch_id)), out_root, retain=RETAIN)
 
-    ticks = spark.readStream.format("text").load(tick_path)
-    q = _trigger(ticks.writeStream.foreachBatch(process).option("checkpointLocation", f"{root}/_stream"), trigger).start()
     if trigger in (None, "availableNow"):
-        q.awaitTermination()
+        process(None, 0)
+        return {"status": out_root, "query": None}
+    ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+    q = _trigger(ticks.writeStream.foreachBatch(process).option("checkpointLocation", f"{root}/_stream"), trigger).start()
     return {"status": out_root, "query": q}

@@ -22,25 +22,24 @@ def test_incremental_sync_twice_changes_nothing(spark, fx):
     events, docs = fx.table("events"), fx.table("documents")
     root = shared_path(spark, "test-sync")
     params = SyncParams(now="2024-01-20 00:00:00", dim=16)
-    src = f"{SF_SMALL}/events*.parquet"
-    out = INC.incremental_sync(spark, src, events.schema, _to_items(docs), SYNC_SPEC, params, root)
+    src = f"{SF_SMALL}/documents*.parquet"
+    out = INC.incremental_sync(spark, src, docs.schema, _to_items(events), SYNC_SPEC, params, root)
     first = _sorted_rows(U.read_snapshot(spark, out["state"]))
     assert len(first) == fx["items"].count()
     # same checkpoint: no new files, nothing runs
-    INC.incremental_sync(spark, src, events.schema, _to_items(docs), SYNC_SPEC, params, root)
+    INC.incremental_sync(spark, src, docs.schema, _to_items(events), SYNC_SPEC, params, root)
     assert _sorted_rows(U.read_snapshot(spark, out["state"])) == first
-    # fresh checkpoint over the same snapshots: every row is re-read, none is pending
-    root2_stream = root + "-replay"
-    out2 = INC.incremental_sync(spark, src, events.schema, _to_items(docs), SYNC_SPEC, params, root)
-    assert out2["state"] == out["state"]
+    # a fresh stream over the same snapshots: every row is read again, none is pending
+    replay = INC.incremental_sync(spark, src, docs.schema, _to_items(events), SYNC_SPEC, params, root, stream="_replay")
+    assert replay["query"].lastProgress is not None and spark.read.parquet(replay["runs"]).count() == 2
+    assert spark.read.parquet(replay["runs"]).orderBy(F.desc("at")).first()["embedded"] == 0
     assert _sorted_rows(U.read_snapshot(spark, out["state"])) == first
-    assert root2_stream  # replay uses the same state root
 
 
 def test_entry_runs_on_smoke_data(spark):
     import __spark_entry__ as entry
     df = entry.entry(spark)
-    assert df.count() >= 0
+    assert df.count() > 0
     assert set(df.columns) >= {"query_id", "position", "pg_id", "score"}
 
 
