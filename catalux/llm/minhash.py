@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from catalux.llm.components import components
-from catalux.llm.tables import likely_members, pick, written
+from catalux.llm.tables import likely_members, pick, with_likely, written
 from catalux.llm.textnp import U64, mix, shingle_hashes, word_hashes
 
 BANDS, ROWS = 28, 4          # a pair at 0.8 shares no band with probability (1 - 0.8^4)^28 = 4e-7
@@ -73,11 +73,11 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
                         k1[i + r], k2[i + r], count[i + r] = s.sum(), mix(s ^ U64(0x5851F42D4C957F2D)).sum(), len(s)
                         sig[i + r] = circulant_signature(s, length).tobytes()
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.array(count),
-                 pa.array(sig, pa.binary())], ["doc_id", "k1", "k2", "n_shingles", "sig"])
+                [batch.column("doc_id"), batch.column("text_hash"), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)),
+                 pa.array(count), pa.array(sig, pa.binary())], ["doc_id", "text_hash", "k1", "k2", "n_shingles", "sig"])
 
-    return pick(docs, doc_id="long", text="string").mapInArrow(
-        run, "doc_id long, k1 long, k2 long, n_shingles long, sig binary")
+    return (pick(docs, doc_id="long", text="string").withColumn("text_hash", F.xxhash64("text"))
+            .mapInArrow(run, "doc_id long, text_hash long, k1 long, k2 long, n_shingles long, sig binary"))
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -154,7 +154,7 @@ def _pairs_across(rows: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = THRESHOLD_PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept (plus the set key k1, k2) of every row of ``docs``."""
+    """doc_id, n_shingles, component_id, kept (plus text_hash and the set key k1, k2) of every row of ``docs``."""
     signed = written(signatures(docs, size), "signatures")
     classes = written(
         signed.where("n_shingles > 0").groupBy("k1", "k2")
@@ -185,4 +185,29 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = THRESHOLD_PER
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(
         F.when(F.col("component") < NO_ID, F.col("component")))
     return out.select("doc_id", "n_shingles", component.alias("component_id"),
-                      F.col("doc_id").eqNullSafe(component).alias("kept"), "k1", "k2")
+                      F.col("doc_id").eqNullSafe(component).alias("kept"), "text_hash", "k1", "k2")
+
+
+def one_of_each(docs: DataFrame, size: int = 5, percent: int = THRESHOLD_PERCENT) -> DataFrame:
+    """``docs`` with one row of each group of near-duplicates (that of the smallest doc_id), all columns unchanged.
+
+    Texts without words stay.  Of rows that share that doc_id, or of a group without any doc_id, the smallest text hash stays.
+    """
+    near = written(near_duplicates(docs, size, percent).where("n_shingles > 0"), "near")
+    group = [F.col("component_id").alias("g0"), *[F.when(F.col("component_id").isNull(), F.col(k)).alias(f"g_{k}") for k in ("k1", "k2")]]
+    tied = written(near.where("kept").groupBy(*group).agg(F.min("text_hash").alias("first_hash"), F.count(F.lit(1)).alias("n"))
+                   .where("n > 1").drop("n"), "tied")
+    same = [F.col(a).eqNullSafe(F.col(b)) for a, b in (("h0", "g0"), ("h_k1", "g_k1"), ("h_k2", "g_k2"))]
+    judged = near.select("doc_id", "text_hash", "kept", *[g.alias(h) for g, h in zip(group, ("h0", "h_k1", "h_k2"))]).join(
+        tied, same[0] & same[1] & same[2], "left")
+    special = written(judged.where("not kept or first_hash is not null").groupBy("doc_id", "text_hash").agg(
+        F.max(F.col("kept") & (F.col("text_hash") == F.col("first_hash"))).alias("__stays"))
+        .select("__stays", F.col("doc_id").alias("__doc"), F.col("text_hash").alias("__text"),
+                F.xxhash64("doc_id", "text_hash").alias("__key")), "special")
+    rows = docs.withColumn("__id", docs["doc_id"].cast("long")).withColumn("__hash", F.xxhash64(docs["text"].cast("string")))
+    flagged = with_likely(rows.withColumn("__row", F.xxhash64("__id", "__hash")), "__row", special.select("__key"), "__likely")
+    met = flagged.where("__likely").join(special, (F.col("__row") == F.col("__key")) & F.col("__id").eqNullSafe(F.col("__doc"))
+                                         & (F.col("__hash") == F.col("__text")), "left")
+    return (flagged.where("not __likely").select(*docs.columns)
+            .unionByName(met.where("__stays is null").select(*docs.columns))
+            .unionByName(met.where("__stays").dropDuplicates(["__id", "__hash"]).select(*docs.columns)))

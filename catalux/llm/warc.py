@@ -104,7 +104,7 @@ def write(pages: DataFrame) -> DataFrame:
                         out.close()
                     path, offset = f"{folder}/{uuid.uuid4().hex}.warc.gz", 0
                     where, inner = place(path)
-                    out = where.open_output_stream(inner)
+                    out = where.open_output_stream(inner, compression=None)   # members are compressed one by one
                 payload = html.encode()
                 name = digest(payload)
                 member = gzip.compress(record(page_id, url, payload, name, refers_to), LEVEL, mtime=0)
