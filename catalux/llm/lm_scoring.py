@@ -175,8 +175,7 @@ class Automaton:
 
     def weights(self, backoff: float) -> np.ndarray:
         """Probability of each token: its own arc, or the failure arc and then the root's arc."""
-        root = (self.word_count + 0.5) / (self.tokens + 0.5 * (self.words + 1))
-        known = self.state_seen > 0
+        root, known = self.root_weights(), self.state_seen > 0
         return np.where(known, (1 - backoff) * self.arc_seen / np.maximum(self.state_seen, 1) + backoff * root, root)
 
     def root_weights(self) -> np.ndarray:
@@ -217,11 +216,11 @@ def _traversed(tokens: float, words: float):
         a = Automaton(count[0], seen, count[1], tokens, words)
         n = t.table.num_rows
         out = pd.DataFrame({
-            "doc_id": t.table["doc_id"].to_pandas(types_mapper=pd.ArrowDtype).astype("Int64"),
+            "doc_id": pd.array(t.table["doc_id"].to_pylist(), dtype="Int64"),
             "held_out": t.table["held_out"].to_numpy(),
             "n_tokens": np.bincount(t.row, minlength=n), "n_known": np.bincount(t.row, a.word_count > 0, n).astype(np.int64),
-            "base_score": np.bincount(t.row, np.log10(a.root_weights()) if tokens else None, n) if tokens else 0.0,
-            "left_out": False, "sums": list(_sums(a, t.row, n)) if tokens else [np.zeros(CELLS)] * n})
+            "base_score": np.bincount(t.row, np.log10(a.root_weights()), n),
+            "left_out": False, "sums": list(_sums(a, t.row, n))})
         if t.train.any():
             loo = _sums(a.left_out(t.train), np.zeros(int(t.train.sum()), np.int64), 1)[0]
             out = pd.concat([out, pd.DataFrame([{"doc_id": None, "held_out": False, "n_tokens": 0, "n_known": 0,
