@@ -6,8 +6,9 @@ second is applied to the scrambled value shifted circularly by 0, 1, 2, ... (Li
 Steps: (1) documents with equal shingle sets form a class, and one row a class goes on; (2) in each
 band bucket all members are paired with the smallest one, never with each other; the pairs are
 confirmed on full shingle sets and connected; (3) buckets whose members are not yet all in one component
-are compared block against block inside tasks, on signatures; pairs across components whose
-signatures allow the threshold are confirmed on full sets as well.  No list of members, links or components
+are compared block against block inside tasks: a pair across components goes on only if its signatures allow
+the threshold and so does an exact bound, the shingles of either that are not rare among these members plus
+the rare ones that both have; what goes on is confirmed on full sets as well.  No list of members, links or components
 reaches the driver, and no bucket is capped.
 
 Defined results: null, empty and blank texts have no shingles, are linked with nothing and are kept; a row
@@ -34,6 +35,8 @@ BANDS, ROWS = 28, 4          # a pair at 0.8 shares no band with probability (1
 THRESHOLD_PERCENT = 80
 MARGIN = 0.18                # 4.8 standard errors of an estimate from 112 coordinates at 0.8
 BLOCK = 512
+PART = 20_000                # rows of open buckets that one call of the comparison takes, about
+RARE = 64                    # a shingle of at most so many open members is rare
 NO_ID = 1 << 62              # nodes from here on stand for classes without any doc_id
 
 
@@ -80,13 +83,16 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
             .mapInArrow(run, "doc_id long, text_hash long, k1 long, k2 long, n_shingles long, sig binary"))
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets reach the threshold."""
-    wanted = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "wanted")
+def _sets_of(wanted: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """(node, set) of the wanted nodes; only their texts are shuffled, as sets."""
     text = pick(docs, doc_id="long", text="string")
     rows = likely_members(text.where("doc_id is not null"), "doc_id", wanted).unionByName(
         text.where("doc_id is null").distinct())
-    texts = written(_sets(rows, size).join(wanted, "node", "left_semi"), "sets")
+    return written(_sets(rows, size).join(wanted, "node", "left_semi"), "sets")
+
+
+def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full shingle sets reach the threshold."""
     both = (pairs.join(texts.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a")
             .join(texts.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b")
             .select("a", "b", "set_a", "set_b"))
@@ -123,34 +129,75 @@ def _sets(rows: DataFrame, size: int) -> DataFrame:
     return rows.mapInArrow(run, "node long, set binary")
 
 
-def _pairs_across(rows: DataFrame) -> DataFrame:
-    """Pairs of members of one bucket that are in different components and whose signatures allow the threshold."""
-    need = (THRESHOLD_PERCENT / 100 - MARGIN) * BANDS * ROWS
-
-    def block(frame: pd.DataFrame) -> pd.DataFrame:
-        i, j = int(frame["i"].iloc[0]), int(frame["j"].iloc[0])
-        x, y = frame[frame["c"] == i], frame[frame["c"] == j]
-        sx = np.frombuffer(b"".join(x["sig"]), np.uint32).reshape(len(x), -1)
-        sy = np.frombuffer(b"".join(y["sig"]), np.uint32).reshape(len(y), -1)
-        lx, ly = x["label"].to_numpy(), y["label"].to_numpy()
-        nx, ny = x["node"].to_numpy(), y["node"].to_numpy()
-        a, b = [], []
-        for r in range(len(x)):
-            hit = (ly != lx[r]) & ((sy == sx[r]).sum(axis=1) >= need)
-            if i == j:
-                hit &= ny > nx[r]
-            b.append(ny[hit])
-            a.append(np.full(len(b[-1]), nx[r]))
-        a, b = np.concatenate([*a, np.zeros(0, np.int64)]), np.concatenate([*b, np.zeros(0, np.int64)])
-        return pd.DataFrame({"a": np.maximum(a, b).astype(np.int64), "b": np.minimum(a, b).astype(np.int64)})
+def _rare_shingles(sets: DataFrame) -> DataFrame:
+    """(node, rare): the shingles of each set that at most RARE of the sets have."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            node, blob = batch.column("node"), batch.column("set")
+            for r in range(0, batch.num_rows, 256):
+                parts = [np.frombuffer(x.as_buffer(), np.int64) for x in blob.slice(r, 256)]
+                who = np.repeat(node.slice(r, 256).to_numpy(), [len(x) for x in parts])
+                yield pa.RecordBatch.from_arrays([pa.array(who), pa.array(np.concatenate(parts))], ["node", "shingle"])
+
+    each = sets.mapInArrow(run, "node long, shingle long")
+    rare = written(each.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= RARE).select("shingle"), "rare")
+    # a list is no longer than its document
+    return each.join(rare, "shingle").groupBy("node").agg(F.sort_array(F.collect_list("shingle")).alias("rare"))
+
+
+def _open_pairs(sig: np.ndarray, label: np.ndarray, n: np.ndarray, rare: list, band: int, x: np.ndarray, y: np.ndarray,
+                need: float, percent: int) -> Iterator[tuple[int, int]]:
+    """Pairs of places (one of x, one of y) that may be links across components and share no earlier band."""
+    common = n - np.array([len(v) for v in rare])
+    same_block = x is y
+    for k, i in enumerate(x.tolist()):
+        other = y[k + 1:] if same_block else y
+        other = other[label[other] != label[i]]
+        if not len(other):
+            continue
+        equal = sig[other] == sig[i]
+        other, equal = other[(hit := equal.sum(axis=1) >= need)], equal[hit]
+        first = equal.reshape(len(other), -1, ROWS).all(axis=2).argmax(axis=1) if len(other) else other
+        for j in other[first == band].tolist():
+            # |A and B| >= t (|A| + |B|) / (1 + t) for a link
+            least = percent * (n[i] + n[j]) / (100 + percent)
+            most = min(common[i], common[j])
+            if most + min(len(rare[i]), len(rare[j])) >= least and (
+                    most >= least or most + len(np.intersect1d(rare[i], rare[j], assume_unique=True)) >= least):
+                yield i, j
+
+
+def _pairs_across(rows: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs of members of one bucket that are in different components and may be links."""
+    need = (percent / 100 - MARGIN) * BANDS * ROWS
+
+    def compare(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["band", "i", "j"], kind="stable").reset_index(drop=True)
+        sig = np.frombuffer(b"".join(frame["sig"]), np.uint32).reshape(len(frame), -1)
+        label, n, node = (frame[c].to_numpy() for c in ("label", "n_shingles", "node"))
+        key = frame[["band", "i", "j"]].to_numpy()
+        c, at = frame["c"].to_numpy(), frame["at"].to_numpy()
+        none = np.zeros(0, np.int64)
+        rare = [none if v is None else np.asarray(v, np.int64) for v in frame["rare"]]
+        cut = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(axis=1), [True]]))
+        out = []
+        for a, z in zip(cut, cut[1:]):
+            place = np.arange(a, z)
+            x = place[c[a:z] == key[a, 1]]
+            y = x if key[a, 1] == key[a, 2] else place[c[a:z] == key[a, 2]]
+            out += _open_pairs(sig, label, n, rare, int(at[a]), x, y, need, percent)
+        pair = node[np.array(out, dtype=np.int64).reshape(-1, 2)]
+        return pd.DataFrame({"a": pair.max(axis=1), "b": pair.min(axis=1)})
 
     last = F.col("blocks") - 1
     spread = rows.withColumn("c", F.pmod(F.xxhash64("node"), F.col("blocks"))).select(
-        "band", "node", "label", "sig", "c",
+        "band", "at", "node", "label", "sig", "n_shingles", "rare", "c",
         F.explode(F.transform(F.sequence(F.lit(0).cast("long"), last), lambda k: F.struct(
             F.least(F.col("c"), k).alias("i"), F.greatest(F.col("c"), k).alias("j")))).alias("p"))
-    return (spread.select("band", "node", "label", "sig", "c", "p.i", "p.j").groupBy("band", "i", "j")
-            .applyInPandas(block, "a long, b long").distinct())
+    parts = max(1, rows.count() // PART)
+    return (spread.select("band", "at", "node", "label", "sig", "n_shingles", "rare", "c", "p.i", "p.j")
+            .withColumn("part", F.pmod(F.xxhash64("band", "i", "j"), F.lit(parts))).groupBy("part")
+            .applyInPandas(compare, "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = THRESHOLD_PERCENT) -> DataFrame:
@@ -158,26 +205,30 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = THRESHOLD_PER
     signed = written(signatures(docs, size), "signatures")
     classes = written(
         signed.where("n_shingles > 0").groupBy("k1", "k2")
-        .agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig"))
+        .agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles"))
         .withColumn("node", F.coalesce("doc_id", F.lit(NO_ID) + F.pmod("k1", F.lit(1 << 60)))), "classes")
-    bands = classes.select("node", F.explode(F.transform(
+    bands = classes.select("node", F.posexplode(F.transform(
         F.sequence(F.lit(0), F.lit(BANDS - 1)),
-        lambda j: F.xxhash64(j, F.substring(F.col("sig"), j * (4 * ROWS) + 1, F.lit(4 * ROWS))))).alias("band"))
+        lambda j: F.xxhash64(j, F.substring(F.col("sig"), j * (4 * ROWS) + 1, F.lit(4 * ROWS))))).alias("at", "band"))
     buckets = written(bands.groupBy("band").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("members"))
                       .where("members > 1"), "buckets")
     shared = written(bands.join(buckets, "band"), "shared")
     star = written(shared.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct(), "star")
-    links = _confirmed(star, docs, size, percent)
+    near = written(star.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "wanted")
+    sets = _sets_of(near, docs, size)
+    links = _confirmed(star, sets, percent)
     found = components(links)
     labelled = shared.join(found, "node", "left").select(
-        "band", "node", "members", F.coalesce("component", "node").alias("label"))
+        "band", "at", "node", "members", F.coalesce("component", "node").alias("label"))
     mixed = written(labelled.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y"))
                     .where("x <> y").select("band"), "mixed")
-    rest = (labelled.join(mixed, "band").join(classes.select("node", "sig"), "node")
-            .withColumn("blocks", F.ceil(F.col("members") / BLOCK)))
-    more = written(_pairs_across(rest).join(star, ["a", "b"], "left_anti"), "across")
+    rest = written(labelled.join(mixed, "band").withColumn("blocks", F.ceil(F.col("members") / BLOCK)), "open")
+    rare = _rare_shingles(sets.join(rest.select("node").distinct(), "node", "left_semi"))
+    about = written(classes.select("node", "sig", "n_shingles").join(rest.select("node").distinct(), "node", "left_semi")
+                    .join(rare, "node", "left"), "about")
+    more = written(_pairs_across(rest.join(about, "node"), percent).join(star, ["a", "b"], "left_anti"), "across")
     if not more.isEmpty():
-        links = links.unionByName(_confirmed(more, docs, size, percent))
+        links = links.unionByName(_confirmed(more, sets, percent))
         found = components(links)
     named = written(classes.join(found, "node", "left").select(
         "k1", "k2", F.coalesce("component", "node").alias("component")), "named")
