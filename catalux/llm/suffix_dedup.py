@@ -38,8 +38,8 @@ from catalux.llm.textnp import U64, mix, prefix_hash, segments, span_hash, text_
 LENGTH = 200
 Q = 32
 REACH = LENGTH - Q + 1     # q-grams in a window
-HOT = 2_000                # different stretches of one bucket that one task sorts
-PART = 16_000              # stretches sorted together
+PART = 8_000               # stretches sorted together, about (some 300 bytes each)
+HOT = PART                 # a bucket of more different stretches than a part is counted over all tasks
 SLICE = 1 << 20
 
 
