@@ -101,7 +101,7 @@ class Trees:
 
 
 def fit_trees(x: np.ndarray, y: np.ndarray, depth: int = DEPTH, rounds: int = ROUNDS, rate: float = RATE,
-              bins: int = BINS, least: float = 4.0, ridge: float = 1.0) -> Trees:
+              bins: int = BINS, least: float = 1.0, ridge: float = 1.0) -> Trees:
     """Boost ``rounds`` trees of logistic loss on quantile histograms.  Constant when a class is missing."""
     inner, leaves = 2**depth - 1, 2**depth
     prior = (y.sum() + 1) / (len(y) + 2)
