@@ -57,7 +57,7 @@ def main() -> int:
     import __spark_entry__ as entry
 
     queries, oracle = entry.queries(), entry.oracle_sql()
-    spark = local_session(8, 8)
+    spark = local_session(os.environ.get("ORACLE_CORES", "8"), 8)
     con = duckdb.connect()
     con.execute("SET TimeZone='UTC'")
     for t in BASE_TABLES:
