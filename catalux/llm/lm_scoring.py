@@ -36,7 +36,7 @@ from catalux.llm.tables import held_out, pick, written
 from catalux.llm.textnp import U64, mix, segments, text_buffer, word_hashes
 
 END = U64(0x3C6EF372FE94F82B)
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 RANGE_BYTES = 8 << 20            # text a hash range
 BACKOFF = (0.99, 0.9, 0.7, 0.4, 0.15)
 SEEN = (1, 2, 4, 8, 32, 1024)    # classes of c(h): 0, 1, 2-3, 4-7, 8-31, 32-1023, more
