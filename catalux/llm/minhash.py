@@ -35,7 +35,7 @@ BANDS, ROWS = 28, 4          # a pair at 0.8 shares no band with probability (1
 THRESHOLD_PERCENT = 80
 MARGIN = 0.18                # 4.8 standard errors of an estimate from 112 coordinates at 0.8
 BLOCK = 512
-PART = 20_000                # rows of open buckets that one call of the comparison takes, about
+PART = 4_000                 # rows of open buckets that one call of the comparison takes, about
 RARE = 64                    # a shingle of at most so many open members is rare
 NO_ID = 1 << 62              # nodes from here on stand for classes without any doc_id
 
@@ -145,10 +145,9 @@ def _rare_shingles(sets: DataFrame) -> DataFrame:
     return each.join(rare, "shingle").groupBy("node").agg(F.sort_array(F.collect_list("shingle")).alias("rare"))
 
 
-def _open_pairs(sig: np.ndarray, label: np.ndarray, n: np.ndarray, rare: list, band: int, x: np.ndarray, y: np.ndarray,
-                need: float, percent: int) -> Iterator[tuple[int, int]]:
+def _open_pairs(sig: np.ndarray, label: np.ndarray, n: np.ndarray, rare: list, common: np.ndarray, band: int,
+                x: np.ndarray, y: np.ndarray, need: float, percent: int) -> Iterator[tuple[int, int]]:
     """Pairs of places (one of x, one of y) that may be links across components and share no earlier band."""
-    common = n - np.array([len(v) for v in rare])
     same_block = x is y
     for k, i in enumerate(x.tolist()):
         other = y[k + 1:] if same_block else y
@@ -179,13 +178,14 @@ def _pairs_across(rows: DataFrame, percent: int) -> DataFrame:
         c, at = frame["c"].to_numpy(), frame["at"].to_numpy()
         none = np.zeros(0, np.int64)
         rare = [none if v is None else np.asarray(v, np.int64) for v in frame["rare"]]
+        common = n - np.array([len(v) for v in rare], dtype=np.int64)      # shingles that are not rare
         cut = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(axis=1), [True]]))
         out = []
         for a, z in zip(cut, cut[1:]):
             place = np.arange(a, z)
             x = place[c[a:z] == key[a, 1]]
             y = x if key[a, 1] == key[a, 2] else place[c[a:z] == key[a, 2]]
-            out += _open_pairs(sig, label, n, rare, int(at[a]), x, y, need, percent)
+            out += _open_pairs(sig, label, n, rare, common, int(at[a]), x, y, need, percent)
         pair = node[np.array(out, dtype=np.int64).reshape(-1, 2)]
         return pd.DataFrame({"a": pair.max(axis=1), "b": pair.min(axis=1)})
 

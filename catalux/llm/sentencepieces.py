@@ -43,6 +43,8 @@ from catalux.session import shared_path
 
 MARK = "▁"
 RANGE_BYTES = 4 << 20          # text a hash range
+DECODE_ROWS = 256
+LATTICE_ATOMS = 20_000         # atoms a task of the lattice
 LONG = 48                      # characters of an atom that the lattice takes
 NO_PIECE = -20.0               # unigram score of a character that is spelt in bytes
 
@@ -209,7 +211,9 @@ def merged_long(text: str, table: dict[str, tuple[float, int]]) -> list[int]:
 def encoded_atoms(atoms: DataFrame, pieces: DataFrame, longest: int, ranked: bool) -> DataFrame:
     """``ids`` of each row of ``atoms`` (owner, k, atom); a code point c without a piece is -c - 1."""
     n = F.length("atom")
-    rows = atoms.repartition("owner", "k").select("owner", "k", "atom", F.explode(F.sequence(F.lit(0), n - 1)).alias("s"))
+    # an atom becomes some fifty substrings: so many atoms a task that their edges are grouped in memory
+    parts = max(1, atoms.count() // LATTICE_ATOMS)
+    rows = atoms.repartition(parts, "owner", "k").select("owner", "k", "atom", F.explode(F.sequence(F.lit(0), n - 1)).alias("s"))
     rows = rows.select("owner", "k", "atom", "s", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), n - F.col("s")))).alias("size"))
     rows = rows.select("owner", "k", "s", "size", F.substring("atom", F.col("s") + 1, F.col("size")).alias("piece"))
     # the piece table is bounded by the model file
@@ -309,8 +313,8 @@ def _block_answers(folder: str, block: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([*size, none]).astype(np.int64), np.concatenate([*ids, none])
 
 
-def encoded(docs: DataFrame, model: str) -> DataFrame:
-    """(doc_id, text, ids) of every row."""
+def _piece_ids(docs: DataFrame, model: str):
+    """The blocks of ``docs``, and a function from a batch of blocks to (rows, ids, bounds of each row's ids), bounded in size."""
     spark, pieces = docs.sparkSession, Pieces.load(model)
     cutter, byte_id = Cutter(*pieces.joins()), pieces.byte_id
     table = blocks(docs)
@@ -328,32 +332,37 @@ def encoded(docs: DataFrame, model: str) -> DataFrame:
     folder = shared_path(spark, "llm", "piece-ids")
     answers.repartition("block").write.partitionBy("block").parquet(folder)
 
+    def run(batch: pa.RecordBatch) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray]]:
+        for block, data in zip(batch.column("block").to_pylist(), batch.column("data").to_pylist()):
+            texts = unpacked(data)
+            hashes = np.concatenate([*(h for _, _, _, h, _ in cutter(texts["text"])), np.zeros(0, np.uint64)])
+            which = np.unique(hashes, return_inverse=True)[1].astype(np.int32)
+            if len(hashes):
+                n, flat = _block_answers(folder, block)
+            else:
+                n, flat = np.zeros(0, np.int64), np.zeros(0, "<u4")
+            del hashes
+            at, done = np.cumsum(n) - n, 0
+            for i, _, _, h, first in cutter(texts["text"]):
+                k = which[done: done + len(h)]
+                done += len(h)
+                total = np.concatenate([[0], np.cumsum(n[k])])
+                where = np.repeat(at[k] - total[:-1], n[k]) + np.arange(total[-1])
+                yield texts.slice(i, len(first) - 1), flat[where].astype(np.int32), total[first]
+
+    return table, run
+
+
+def encoded(docs: DataFrame, model: str) -> DataFrame:
+    """(doc_id, text, ids) of every row."""
+    table, pieces_of = _piece_ids(docs, model)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block, data in zip(batch.column("block").to_pylist(), batch.column("data").to_pylist()):
-                texts, known, cuts = unpacked(data), [], []
-                for i, _, _, hashes, first in cutter(texts["text"]):
-                    known.append(hashes)
-                    cuts.append((i, first))
-                hashes = np.concatenate([*known, np.zeros(0, np.uint64)])
-                if not len(hashes):
-                    n, flat, at = np.zeros(0, np.int64), np.zeros(0, "<u4"), np.zeros(0, np.int64)
-                else:
-                    n, flat = _block_answers(folder, block)
-                    at = np.cumsum(n) - n
-                which = np.unique(hashes, return_inverse=True)[1]
-                done = 0
-                for (i, first), h in zip(cuts, known):
-                    k = which[done: done + len(h)]
-                    done += len(h)
-                    size_ = n[k]
-                    total = np.concatenate([[0], np.cumsum(size_)])
-                    where = np.repeat(at[k] - total[:-1], size_) + np.arange(total[-1])
-                    rows = texts.slice(i, len(first) - 1)
-                    yield pa.RecordBatch.from_arrays(
-                        [rows["doc_id"].combine_chunks(), rows["text"].combine_chunks().cast(pa.string()),
-                         pa.ListArray.from_arrays(pa.array(total[first].astype(np.int32)), pa.array(flat[where].astype(np.int32)))],
-                        ["doc_id", "text", "ids"])
+            for rows, ids, bounds in pieces_of(batch):
+                yield pa.RecordBatch.from_arrays(
+                    [rows["doc_id"].combine_chunks(), rows["text"].combine_chunks().cast(pa.string()),
+                     pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids))], ["doc_id", "text", "ids"])
 
     return table.mapInArrow(run, "doc_id long, text string, ids array<int>")
 
@@ -373,30 +382,30 @@ def decoded(frame: DataFrame, model: str) -> DataFrame:
     spelling = Pieces.load(model).spelling()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column("ids")
-            out = decoded_bytes(ids.flatten().to_numpy(), ids.offsets.to_numpy() - ids.offsets[0].as_py(), spelling)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([x.decode("utf-8", "replace") for x in out], pa.string())],
-                                             ["doc_id", "text"])
+        for whole in batches:
+            for i in range(0, whole.num_rows, DECODE_ROWS):
+                batch = whole.slice(i, DECODE_ROWS)
+                ids = batch.column("ids")
+                out = decoded_bytes(ids.flatten().to_numpy(), ids.offsets.to_numpy() - ids.offsets[0].as_py(), spelling)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id"), pa.array([x.decode("utf-8", "replace") for x in out], pa.string())], ["doc_id", "text"])
 
     return frame.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
 
 
 def round_trip(docs: DataFrame, model: str) -> DataFrame:
     """doc_id, n_ids, ids_crc32 (of the ids as little-endian unsigned 32-bit integers) and decoded_sha256 of every row."""
+    table, pieces_of = _piece_ids(docs, model)
     spelling = Pieces.load(model).spelling()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column("ids")
-            ids, bounds = lists.flatten().to_numpy(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
-            wide, at = memoryview(ids.astype("<u4")).cast("B"), (bounds * 4).tolist()
-            texts = decoded_bytes(ids, bounds, spelling)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(np.diff(bounds).astype(np.int64)),
-                 pa.array([zlib.crc32(wide[a:z]) for a, z in zip(at, at[1:])], pa.int64()),
-                 pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string())],
-                ["doc_id", "n_ids", "ids_crc32", "decoded_sha256"])
-
-    return encoded(docs, model).select("doc_id", "ids").mapInArrow(
-        run, "doc_id long, n_ids long, ids_crc32 long, decoded_sha256 string")
+            for rows, ids, bounds in pieces_of(batch):
+                wide, at = memoryview(ids.astype("<u4")).cast("B"), (bounds * 4).tolist()
+                yield pa.RecordBatch.from_arrays(
+                    [rows["doc_id"].combine_chunks(), pa.array(np.diff(bounds).astype(np.int64)),
+                     pa.array([zlib.crc32(wide[a:z]) for a, z in zip(at, at[1:])], pa.int64()),
+                     pa.array([hashlib.sha256(t).hexdigest() for t in decoded_bytes(ids, bounds, spelling)], pa.string())],
+                    ["doc_id", "n_ids", "ids_crc32", "decoded_sha256"])
+
+    return table.mapInArrow(run, "doc_id long, n_ids long, ids_crc32 long, decoded_sha256 string")
