@@ -147,12 +147,12 @@ def dim_check(fx):
 
 # --- approximate index, embedding, cross-language --------------------------------
 
-IVF_CELLS, IVF_PROBES = 16, 4
+IVF_CELLS, IVF_PROBES = 16, 12   # recall@10 against the exact search: 0.95 on sf0.01 and sf0.1
 
 
 @register("knn_approx")
 def knn_approx(fx):
-    """V7: IVF top-k (KMeans cells, probe the 4 nearest of 16, exact re-rank inside them)."""
+    """V7: IVF top-k (KMeans cells, probe the 12 nearest of 16, exact re-rank inside them)."""
     from catalux.operators import ivf
     p = fx["points"]
     indexed, cents = ivf.build_index(p, IVF_CELLS)
