@@ -38,7 +38,7 @@ s AS (
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
        NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words OR 100 * n_symbols > 20 * n_words
-            OR 100 * n_dup_lines > 30 * n_lines OR word_chars > 16 * n_words OR word_chars < 2 * n_words
+            OR 100 * n_dup_lines > 50 * n_lines OR word_chars > 16 * n_words OR word_chars < 2 * n_words
             OR 2 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > length(regexp_replace(t, '[^A-Za-z]', '', 'g'))
             OR 100 * len(regexp_extract_all(t, '!!')) > 20 * n_words
             OR 100 * length(regexp_replace(t, '[^0-9]', '', 'g')) > 40 * word_chars) AS kept

@@ -88,7 +88,7 @@ BASE_RULES = (
 )
 MORE_RULES = (
     Rule("symbols", lambda s: 100 * s["n_symbols"] > 20 * s["n_words"]),
-    Rule("repeated_lines", lambda s: 100 * s["n_dup_lines"] > 30 * n_lines(s["text"])),
+    Rule("repeated_lines", lambda s: 100 * s["n_dup_lines"] > 50 * n_lines(s["text"])),
     Rule("long_words", lambda s: s["word_chars"] > 16 * s["n_words"]),
     Rule("short_words", lambda s: s["word_chars"] < 2 * s["n_words"]),
     Rule("shouting", lambda s: 2 * F.regexp_count(s["text"], F.lit("[A-Z]"))

@@ -21,7 +21,7 @@ def brute(t: str | None) -> dict:
     out["base_failed"] = len(w) < 10 or 100 * len(covered) > 20 * len(w)
     upper, letters = len(re.findall("[A-Z]", t)), len(re.findall("[A-Za-z]", t))
     out["kept"] = not (out["base_failed"] or 100 * out["n_symbols"] > 20 * len(w)
-                       or 100 * out["n_dup_lines"] > 30 * len(lines) or out["word_chars"] > 16 * len(w)
+                       or 100 * out["n_dup_lines"] > 50 * len(lines) or out["word_chars"] > 16 * len(w)
                        or out["word_chars"] < 2 * len(w) or 2 * upper > letters
                        or 100 * t.count("!!") > 20 * len(w)
                        or 100 * len(re.findall("[0-9]", t)) > 40 * out["word_chars"])
