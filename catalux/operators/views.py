@@ -70,7 +70,8 @@ def content_view(content: DataFrame, links: DataFrame, collections: DataFrame, f
         "je_release_date", "je_plot"))
     return j.select(
         content_uid("type", "source", "id").alias("content_uid"), "type", "source", "id", "title", "original_title",
-        "overview", "release_year", "updated_at", tmdb_id.alias("tmdb_id"),
+        "overview", "release_year", "updated_at",
+        (F.col("adult") if "adult" in c.columns else F.lit(None).cast("boolean")).alias("adult"), tmdb_id.alias("tmdb_id"),
         F.col("te_genre").alias("genre"), F.col("te_keywords").alias("keywords"), search.alias("search_text"),
         F.col("te_aka").alias("aka"), F.col("te_actors").alias("actors"), F.col("te_directors").alias("directors"),
         F.col("te_plot").alias("plot"), F.col("te_imdb_id").alias("imdb_id"),

@@ -28,10 +28,11 @@ SCENE_KEYS = [("content_type", "content_type"), ("content_source", "content_sour
 
 
 def film_enrichment_job(refs: DataFrame, film: DataFrame, payloads: DataFrame, now: str, max_per_batch: int = 0,
-                        force: bool = False, limits=(10, 5, 10)) -> DataFrame:
+                        force: bool = False, limits=(10, 5, 10), ratings: DataFrame | None = None) -> DataFrame:
     """(J3/J5 -> F18 -> W8 -> S9 -> X23 -> X38 -> S7) returns the film table after the upsert.
 
-    ``refs``: (content_type, tmdb_id); ``payloads``: (content_type, tmdb_id, film_json).
+    ``refs``: (content_type, tmdb_id); ``payloads``: (content_type, tmdb_id, film_json); ``ratings``: landed answers of the
+    second rating service, (imdb_id, rating_json) with the average under ``rating.average``.
     """
     sup = refs.where(supported_type("content_type")).select("content_type", "tmdb_id").distinct()
     todo = sup if force else J.anti_refs(sup, film, FILM_KEYS)
@@ -42,8 +43,15 @@ def film_enrichment_job(refs: DataFrame, film: DataFrame, payloads: DataFrame, n
     batch = j.select("content_type", "tmdb_id", *[cols[k].alias(k) for k in
                                                   ("aka", "keywords", "actors", "directors", "plot", "genre", "imdb_id")],
                      parse_source_rating(cols["imdb_rating_text"]).alias("imdb_rating"),
-                     F.lit(None).cast("double").alias("douban_rating"), F.col("film_json").alias("raw"),
-                     F.to_timestamp(F.lit(now)).alias("updated_at"))
+                     F.col("film_json").alias("raw"), F.to_timestamp(F.lit(now)).alias("updated_at"))
+    if ratings is None:
+        batch = batch.withColumn("douban_rating", F.lit(None).cast("double"))
+    else:
+        second = ratings.groupBy("imdb_id").agg(F.max("rating_json").alias("_rating"))
+        batch = batch.join(second, "imdb_id", "left").withColumn(
+            "douban_rating", F.get_json_object("_rating", "$.rating.average").try_cast("double")).drop("_rating")
+    batch = batch.select("content_type", "tmdb_id", "aka", "keywords", "actors", "directors", "plot", "genre", "imdb_id",
+                         "imdb_rating", "douban_rating", "raw", "updated_at")
     return U.film_enrich_upsert(film.select(*batch.columns), batch)
 
 

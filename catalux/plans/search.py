@@ -11,7 +11,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from catalux.functions.query import embed_query_text, english_expansion, expand_query, is_ascii, query_filters
@@ -20,7 +20,7 @@ from catalux.functions import fixed
 from catalux.operators import vector as V
 from catalux.operators.aggregates import expansion_terms
 from catalux.operators.embed import HASH_DIM, embed_frame
-from catalux.operators.filters import strip_chars
+from catalux.operators.filters import has_external_id, size_min_filter, strip_chars
 from catalux.operators import ranking as R
 from catalux.operators.ranking import dedupe_hits_by_hash, dedupe_results_by_title
 from catalux.operators.sets import expansion_candidates, hybrid_merge
@@ -42,6 +42,7 @@ class SearchParams:
     query_prefix: str = ""
     expand_limit: int = 20
     film_source: str = "tmdb"
+    lite: bool = True          # False: results carry a ``metadata`` struct of the row's other columns (P7)
     threshold: float = fixed.SAFETY_THRESHOLD
 
     @property
@@ -70,12 +71,28 @@ def understand(queries: DataFrame, film: DataFrame | None, content: DataFrame |
     return qf.withColumn("final_query", embed_query_text("expanded", p.query_prefix))
 
 
+def _metadata(rows: DataFrame, id_field: str, text_field: str) -> Column:
+    """Every column but id and title, binary values rendered; NULL when there is none."""
+    from catalux.operators.views import render_binary
+    kept = [c for c, f in zip(render_binary(rows), rows.schema.fields) if f.name not in (id_field, text_field)]
+    return F.struct(*kept) if kept else F.lit(None).cast("struct<>")
+
+
 def semantic_search(queries: DataFrame, points: DataFrame, rows: DataFrame, p: SearchParams,
                     film: DataFrame | None = None, content: DataFrame | None = None,
                     qvec: str | None = None, make_embedder=None, dim: int | None = None,
                     cross_language: bool = True) -> DataFrame:
     """E1.  ``queries``: (query_id, q[, qvec]); ``points``: vectors + payload; ``rows``:
     (source, pg_id, title, size...) of every configured source."""
+    return semantic_pages(queries, points, rows, p, film, content, qvec, make_embedder, dim, cross_language)[0]
+
+
+def semantic_pages(queries: DataFrame, points: DataFrame, rows: DataFrame, p: SearchParams,
+                   film: DataFrame | None = None, content: DataFrame | None = None,
+                   qvec: str | None = None, make_embedder=None, dim: int | None = None,
+                   cross_language: bool = True) -> tuple[DataFrame, DataFrame]:
+    """E1 as (hits, pages): ``pages`` has one row a query, (query_id, hits, next_cursor), also where every hit of
+    the page was filtered away, so that such a query does not look finished."""
     qu = understand(queries, film, content, p)
     if dim is None:
         # the index decides: both searches embed at the length of its vectors
@@ -112,7 +129,13 @@ def semantic_search(queries: DataFrame, points: DataFrame, rows: DataFrame, p: S
     hits = dedupe_hits_by_hash(hits, "query_id", ["rank"])
     if p.exclude_nsfw:
         hits = hits.where(~F.col("nsfw"))
-    r = rows.select(F.col("source").alias("_src"), F.col("pg_id").alias("_pid"), "title", F.col("size").alias("meta_size"))
+    # the filters hold for the row as well as for its point's payload, which may be older
+    if p.tmdb_only and "tmdb_id" in rows.columns:
+        rows = rows.where(has_external_id("tmdb_id"))
+    if p.size_min_bytes:
+        rows = rows.where(size_min_filter("size", p.size_min_bytes))
+    extra = [] if p.lite else [_metadata(rows.drop("source"), "pg_id", "title").alias("metadata")]
+    r = rows.select(F.col("source").alias("_src"), F.col("pg_id").alias("_pid"), "title", F.col("size").alias("meta_size"), *extra)
     res = hits.join(r, (hits["source"] == r["_src"]) & (hits["pg_id"] == r["_pid"])).drop("_src", "_pid")
     res = dedupe_results_by_title(res, "query_id")
     if p.size_sort in ("asc", "desc"):
@@ -125,13 +148,33 @@ def semantic_search(queries: DataFrame, points: DataFrame, rows: DataFrame, p: S
     w = Window.partitionBy("query_id").orderBy(*order)
     out = res.withColumn("position", F.row_number().over(w).cast("bigint")).join(counts, "query_id")
     nxt = F.when(F.col("raw_count") == k, F.lit(p.cursor) + F.col("raw_count")).cast("bigint")
-    return out.select("query_id", "position", "source", "pg_id", "title", "score", "nsfw", "nsfw_score",
-                      nxt.alias("next_cursor"))
+    found = out.select("query_id", "position", "source", "pg_id", "title", "score", "nsfw", "nsfw_score",
+                       nxt.alias("next_cursor"), *([] if p.lite else ["metadata"]))
+    pages = queries.select("query_id").join(counts, "query_id", "left").select(
+        "query_id", F.coalesce("raw_count", F.lit(0).cast("long")).alias("hits"), nxt.alias("next_cursor"))
+    return found, pages
+
+
+def keyword_search_sources(queries: DataFrame, sources: dict[str, tuple[SourceSpec, DataFrame]], state: DataFrame,
+                           p: SearchParams, explicit: str | None = None, normalize: bool | None = None) -> DataFrame:
+    """E2 over several sources: the explicit comma list, else those flagged for keyword search, else all (F16); each
+    gives its own limited candidates, which are de-duplicated, ranked and paged together."""
+    names = [s.strip() for s in (explicit or "").split(",") if s.strip()] or \
+        [n for n, (spec, _) in sources.items() if spec.keyword_search] or list(sources)
+    parts = [keyword_candidates(queries, rows, spec, state, p, normalize or spec.keyword_normalize or None)
+             for spec, rows in (sources[n] for n in names if n in sources)]
+    return rank_and_page(reduce(lambda a, b: a.unionByName(b), parts), p)
 
 
 def keyword_search(queries: DataFrame, rows: DataFrame, spec: SourceSpec, state: DataFrame, p: SearchParams,
                    normalize: bool | None = None) -> DataFrame:
-    """E2 for one configured source (union the outputs of several sources before ranking).
+    """E2 for one configured source (``keyword_search_sources`` takes several)."""
+    return rank_and_page(keyword_candidates(queries, rows, spec, state, p, normalize), p)
+
+
+def keyword_candidates(queries: DataFrame, rows: DataFrame, spec: SourceSpec, state: DataFrame, p: SearchParams,
+                       normalize: bool | None = None) -> DataFrame:
+    """Scored candidates of one source: its own rows that match, before ranking.
 
     ``rows`` is the source table; matches are found with the substring join
     (plain ILIKE, plus the normalised branch for CJK queries or by option).
@@ -172,8 +215,8 @@ def keyword_search(queries: DataFrame, rows: DataFrame, spec: SourceSpec, state:
     cand = j.select("query_id", F.lit(spec.name).alias("source"), F.col("_key").alias("pg_id"),
                     F.col(spec.text_field).alias("title"), "nsfw", "nsfw_score",
                     keyword_score("cleaned", F.col(spec.text_field)).alias("score"),
-                    (F.col(spec.size_field) if spec.size_field else F.lit(None)).alias("meta_size"))
-    return rank_and_page(cand, p)
+                    (F.col(spec.size_field) if spec.size_field else F.lit(None)).cast("double").alias("meta_size"))
+    return cand
 
 
 def rank_and_page(cand: DataFrame, p: SearchParams) -> DataFrame:

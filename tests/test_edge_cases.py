@@ -160,3 +160,48 @@ def test_ivf_recall_on_the_given_points(spark, fx):
     indexed, cents = ivf.build_index(p, IVF_CELLS)
     found = ivf.knn_ivf(indexed, cents, self_queries(p), 10, IVF_PROBES)
     assert ivf.recall_at_k(found, V.knn(p, self_queries(p), 10)) >= 0.9
+
+
+def test_pages_tell_of_queries_whose_hits_were_filtered(spark):
+    pts = _points(spark, 30).withColumn("nsfw", F.lit(True))
+    rows = pts.select("source", "pg_id", F.concat(F.lit("title "), "pg_id").alias("title"), "size", F.lit(b"\x01\xff").alias("digest"))
+    q = spark.createDataFrame([(1, "title", [1.0, 1.0, 1.0]), (2, "title", None)], "query_id long, q string, qvec array<float>")
+    from catalux.plans.search import semantic_pages
+    p = SearchParams(topk=10, page_size=10, expand=False)
+    hits, pages = semantic_pages(q, pts, rows, p, qvec="qvec", cross_language=False)
+    assert hits.count() == 0
+    assert {r["query_id"]: (r["hits"], r["next_cursor"]) for r in pages.collect()} == {1: (10, 10), 2: (0, None)}
+    full, _ = semantic_pages(q, pts, rows, SearchParams(expand=False, exclude_nsfw=False, lite=False, size_min_bytes=1),
+                             qvec="qvec", cross_language=False)
+    assert full.first()["metadata"].asDict() == {"size": 1.0, "digest": "\\x01ff"}
+
+
+def test_keyword_search_over_several_sources(spark):
+    from catalux.plans.search import keyword_search_sources
+    from catalux.spec import SourceSpec
+    a = spark.createDataFrame([(1, "red fox", 5), (2, "blue fox", 6)], "id long, title string, size long")
+    b = spark.createDataFrame([("x", "red  fox", "long red fox tale"), ("y", "green", "fox")], "key string, name string, body string")
+    sources = {"a": (SourceSpec("a", "id", "title"), a),
+               "b": (SourceSpec("b", "key", "name", extra_fields=("body",), keyword_fields=("body",), size_field=None), b),
+               "off": (SourceSpec("off", "id", "title", keyword_search=False), a)}
+    state = spark.createDataFrame([("b", "y", 0.9)], "source string, pg_id string, nsfw_score double")
+    q = spark.createDataFrame([(1, "fox")], "query_id long, q string")
+
+    def found(explicit=None):
+        return {(r["source"], r["pg_id"]) for r in keyword_search_sources(q, sources, state, SearchParams(), explicit).collect()}
+    both = found()
+    assert ("a", "2") in both and ("b", "y") not in both and not any(s == "off" for s, _ in both)
+    assert len(both) == 2                      # "red fox" of both sources is one title
+    assert found("off") == {("off", "1"), ("off", "2")} and found("b") == {("b", "x")}
+
+
+def test_second_rating_and_adult_flag(spark):
+    films = spark.createDataFrame([("movie", "2"), ("movie", "3")], "content_type string, tmdb_id string")
+    raw = spark.createDataFrame([("movie", "2", '{"imdb_id":"tt2"}'), ("movie", "3", '{"imdb_id":"tt3"}')],
+                                "content_type string, tmdb_id string, film_json string")
+    cols = ("content_type string, tmdb_id string, aka string, keywords string, actors string, directors string, plot string, "
+            "genre string, imdb_id string, imdb_rating double, douban_rating double, raw string, updated_at timestamp")
+    rated = spark.createDataFrame([("tt2", '{"rating":{"average":"7.9"}}'), ("tt3", '{"rating":{"average":""}}')],
+                                  "imdb_id string, rating_json string")
+    out = EN.film_enrichment_job(films, spark.createDataFrame([], cols), raw, "2024-01-20 00:00:00", ratings=rated).collect()
+    assert {r["tmdb_id"]: r["douban_rating"] for r in out} == {"2": 7.9, "3": None}
