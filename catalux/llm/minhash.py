@@ -130,7 +130,7 @@ def _sets(rows: DataFrame, size: int) -> DataFrame:
 
 
 def _rare_shingles(sets: DataFrame) -> DataFrame:
-    """(node, rare): the shingles of each set that at most RARE of the sets have."""
+    """(node, own, rare): how many shingles of each set no other has, and those that 2 to RARE of the sets have."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             node, blob = batch.column("node"), batch.column("set")
@@ -140,9 +140,17 @@ def _rare_shingles(sets: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(who), pa.array(np.concatenate(parts))], ["node", "shingle"])
 
     each = sets.mapInArrow(run, "node long, shingle long")
-    rare = written(each.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= RARE).select("shingle"), "rare")
-    # a list is no longer than its document
-    return each.join(rare, "shingle").groupBy("node").agg(F.sort_array(F.collect_list("shingle")).alias("rare"))
+    seen = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node"))
+    # a shingle of one set is counted there; only those of several sets are needed one by one
+    split = written(seen.where("n = 1").groupBy("node").agg(F.count(F.lit(1)).alias("own")).select(
+        "node", "own", F.lit(None).cast("long").alias("shingle")).unionByName(
+        seen.where((F.col("n") > 1) & (F.col("n") <= RARE)).select(
+            F.lit(None).cast("long").alias("node"), F.lit(None).cast("long").alias("own"), "shingle")), "rare")
+    several = split.where("shingle is not null").select("shingle")
+    # a list is no longer than its document; half a hash suffices for an upper bound of what two sets share
+    lists = (likely_members(each, "shingle", several).join(several, "shingle").groupBy("node")
+             .agg(F.array_sort(F.collect_list(F.shiftright("shingle", 32).cast("int"))).alias("rare")))
+    return split.where("node is not null").select("node", "own").join(lists, "node", "full")
 
 
 def _open_pairs(sig: np.ndarray, label: np.ndarray, n: np.ndarray, rare: list, common: np.ndarray, band: int,
@@ -162,7 +170,7 @@ def _open_pairs(sig: np.ndarray, label: np.ndarray, n: np.ndarray, rare: list, c
             least = percent * (n[i] + n[j]) / (100 + percent)
             most = min(common[i], common[j])
             if most + min(len(rare[i]), len(rare[j])) >= least and (
-                    most >= least or most + len(np.intersect1d(rare[i], rare[j], assume_unique=True)) >= least):
+                    most >= least or most + int(np.isin(rare[i], rare[j]).sum()) >= least):
                 yield i, j
 
 
@@ -176,9 +184,9 @@ def _pairs_across(rows: DataFrame, percent: int) -> DataFrame:
         label, n, node = (frame[c].to_numpy() for c in ("label", "n_shingles", "node"))
         key = frame[["band", "i", "j"]].to_numpy()
         c, at = frame["c"].to_numpy(), frame["at"].to_numpy()
-        none = np.zeros(0, np.int64)
-        rare = [none if v is None else np.asarray(v, np.int64) for v in frame["rare"]]
-        common = n - np.array([len(v) for v in rare], dtype=np.int64)      # shingles that are not rare
+        none = np.zeros(0, np.int32)
+        rare = [none if v is None else np.asarray(v, np.int32) for v in frame["rare"]]
+        common = n - frame["own"].fillna(0).to_numpy().astype(np.int64) - np.array([len(v) for v in rare], dtype=np.int64)
         cut = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(axis=1), [True]]))
         out = []
         for a, z in zip(cut, cut[1:]):
@@ -191,11 +199,11 @@ def _pairs_across(rows: DataFrame, percent: int) -> DataFrame:
 
     last = F.col("blocks") - 1
     spread = rows.withColumn("c", F.pmod(F.xxhash64("node"), F.col("blocks"))).select(
-        "band", "at", "node", "label", "sig", "n_shingles", "rare", "c",
+        "band", "at", "node", "label", "sig", "n_shingles", "own", "rare", "c",
         F.explode(F.transform(F.sequence(F.lit(0).cast("long"), last), lambda k: F.struct(
             F.least(F.col("c"), k).alias("i"), F.greatest(F.col("c"), k).alias("j")))).alias("p"))
     parts = max(1, rows.count() // PART)
-    return (spread.select("band", "at", "node", "label", "sig", "n_shingles", "rare", "c", "p.i", "p.j")
+    return (spread.select("band", "at", "node", "label", "sig", "n_shingles", "own", "rare", "c", "p.i", "p.j")
             .withColumn("part", F.pmod(F.xxhash64("band", "i", "j"), F.lit(parts))).groupBy("part")
             .applyInPandas(compare, "a long, b long"))
 
