@@ -13,7 +13,7 @@ reaches the driver, and no bucket is capped.
 
 Defined results: null, empty and blank texts have no shingles, are linked with nothing and are kept; a row
 without doc_id may be linked, but never names a component while one with an id is there; classes whose smallest
-doc_id is the same count as one document.  Only doc_id and the text are read.
+doc_id is the same count as one document, and a link of any of them links it.  Only doc_id and the text are read.
 Equality of shingles is equality of 64-bit hashes.
 """
 
@@ -84,11 +84,12 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
 
 
 def _sets_of(wanted: DataFrame, docs: DataFrame, size: int) -> DataFrame:
-    """(node, set) of the wanted nodes; only their texts are shuffled, as sets."""
+    """(no, node, set) of the wanted classes, one row each whatever rows repeat; only their texts are shuffled, as sets."""
     text = pick(docs, doc_id="long", text="string")
-    rows = likely_members(text.where("doc_id is not null"), "doc_id", wanted).unionByName(
+    rows = likely_members(text.where("doc_id is not null"), "doc_id", wanted.select("node")).unionByName(
         text.where("doc_id is null").distinct())
-    return written(_sets(rows, size).join(wanted, "node", "left_semi"), "sets")
+    key = ["node", "k1", "k2"]
+    return written(_sets(rows, size).join(wanted, key).dropDuplicates(key).select("no", "node", "set"), "sets")
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -114,43 +115,52 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
 
 
 def _sets(rows: DataFrame, size: int) -> DataFrame:
-    """(node, set): sorted distinct shingle hashes of each text."""
+    """(node, k1, k2, set): sorted distinct shingle hashes of each text and their class; a task gives a class of a node once."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met = set()
         for batch in batches:
-            sets, node = [b""] * batch.num_rows, batch.column("doc_id").to_pylist()
+            doc, out = batch.column("doc_id").to_pylist(), []
             for i, words, first in word_hashes(batch.column("text")):
                 for r in range(len(first) - 1):
                     s = np.unique(shingle_hashes(words[first[r]: first[r + 1]], size))
-                    sets[i + r] = s.tobytes()
-                    if node[i + r] is None:
-                        node[i + r] = NO_ID + int(s.sum() & U64((1 << 60) - 1))
-            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(sets, pa.binary())], ["node", "set"])
+                    if not len(s):
+                        continue
+                    k1, k2 = s.sum(), mix(s ^ U64(0x5851F42D4C957F2D)).sum()
+                    node = NO_ID + int(k1 & U64((1 << 60) - 1)) if doc[i + r] is None else doc[i + r]
+                    key = (node, int(k1.view(np.int64)), int(k2.view(np.int64)))
+                    if key not in met:
+                        met.add(key)
+                        out.append((*key, s.tobytes()))
+            columns = zip(*out) if out else [()] * 4
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, kind) for c, kind in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.binary()))],
+                ["node", "k1", "k2", "set"])
 
-    return rows.mapInArrow(run, "node long, set binary")
+    return rows.mapInArrow(run, "node long, k1 long, k2 long, set binary")
 
 
 def _rare_shingles(sets: DataFrame) -> DataFrame:
-    """(node, own, rare): how many shingles of each set no other has, and those that 2 to RARE of the sets have."""
+    """(no, own, rare): how many shingles of each set no other has, and those that 2 to RARE of the sets have."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            node, blob = batch.column("node"), batch.column("set")
+            no, blob = batch.column("no"), batch.column("set")
             for r in range(0, batch.num_rows, 256):
                 parts = [np.frombuffer(x.as_buffer(), np.int64) for x in blob.slice(r, 256)]
-                who = np.repeat(node.slice(r, 256).to_numpy(), [len(x) for x in parts])
-                yield pa.RecordBatch.from_arrays([pa.array(who), pa.array(np.concatenate(parts))], ["node", "shingle"])
+                who = np.repeat(no.slice(r, 256).to_numpy(), [len(x) for x in parts])
+                yield pa.RecordBatch.from_arrays([pa.array(who), pa.array(np.concatenate(parts))], ["no", "shingle"])
 
-    each = sets.mapInArrow(run, "node long, shingle long")
-    seen = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node"))
+    each = sets.mapInArrow(run, "no long, shingle long")
+    seen = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("no").alias("no"))
     # a shingle of one set is counted there; only those of several sets are needed one by one
-    split = written(seen.where("n = 1").groupBy("node").agg(F.count(F.lit(1)).alias("own")).select(
-        "node", "own", F.lit(None).cast("long").alias("shingle")).unionByName(
+    split = written(seen.where("n = 1").groupBy("no").agg(F.count(F.lit(1)).alias("own")).select(
+        "no", "own", F.lit(None).cast("long").alias("shingle")).unionByName(
         seen.where((F.col("n") > 1) & (F.col("n") <= RARE)).select(
-            F.lit(None).cast("long").alias("node"), F.lit(None).cast("long").alias("own"), "shingle")), "rare")
+            F.lit(None).cast("long").alias("no"), F.lit(None).cast("long").alias("own"), "shingle")), "rare")
     several = split.where("shingle is not null").select("shingle")
     # a list is no longer than its document; half a hash suffices for an upper bound of what two sets share
-    lists = (likely_members(each, "shingle", several).join(several, "shingle").groupBy("node")
+    lists = (likely_members(each, "shingle", several).join(several, "shingle").groupBy("no")
              .agg(F.array_sort(F.collect_list(F.shiftright("shingle", 32).cast("int"))).alias("rare")))
-    return split.where("node is not null").select("node", "own").join(lists, "node", "full")
+    return split.where("no is not null").select("no", "own").join(lists, "no", "full")
 
 
 def _open_pairs(sig: np.ndarray, label: np.ndarray, n: np.ndarray, rare: list, common: np.ndarray, band: int,
@@ -198,7 +208,7 @@ def _pairs_across(rows: DataFrame, percent: int) -> DataFrame:
         return pd.DataFrame({"a": pair.max(axis=1), "b": pair.min(axis=1)})
 
     last = F.col("blocks") - 1
-    spread = rows.withColumn("c", F.pmod(F.xxhash64("node"), F.col("blocks"))).select(
+    spread = rows.withColumn("c", F.pmod(F.xxhash64("no"), F.col("blocks"))).select(
         "band", "at", "node", "label", "sig", "n_shingles", "own", "rare", "c",
         F.explode(F.transform(F.sequence(F.lit(0).cast("long"), last), lambda k: F.struct(
             F.least(F.col("c"), k).alias("i"), F.greatest(F.col("c"), k).alias("j")))).alias("p"))
@@ -214,27 +224,32 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = THRESHOLD_PER
     classes = written(
         signed.where("n_shingles > 0").groupBy("k1", "k2")
         .agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles"))
-        .withColumn("node", F.coalesce("doc_id", F.lit(NO_ID) + F.pmod("k1", F.lit(1 << 60)))), "classes")
-    bands = classes.select("node", F.posexplode(F.transform(
+        .withColumn("node", F.coalesce("doc_id", F.lit(NO_ID) + F.pmod("k1", F.lit(1 << 60))))
+        # a node may have several classes (texts under one doc_id): sets, signatures and bounds go by the class
+        .withColumn("no", F.monotonically_increasing_id()), "classes")
+    bands = classes.select("no", "node", F.posexplode(F.transform(
         F.sequence(F.lit(0), F.lit(BANDS - 1)),
         lambda j: F.xxhash64(j, F.substring(F.col("sig"), j * (4 * ROWS) + 1, F.lit(4 * ROWS))))).alias("at", "band"))
     buckets = written(bands.groupBy("band").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("members"))
                       .where("members > 1"), "buckets")
-    shared = written(bands.join(buckets, "band"), "shared")
+    shared = written(bands.drop("no").join(buckets, "band"), "shared")
     star = written(shared.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct(), "star")
-    near = written(star.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "wanted")
+    near = written(classes.select("no", "node", "k1", "k2").join(
+        star.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi"), "wanted")
     sets = _sets_of(near, docs, size)
     links = _confirmed(star, sets, percent)
     found = components(links)
     labelled = shared.join(found, "node", "left").select(
-        "band", "at", "node", "members", F.coalesce("component", "node").alias("label"))
-    mixed = written(labelled.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y"))
-                    .where("x <> y").select("band"), "mixed")
-    rest = written(labelled.join(mixed, "band").withColumn("blocks", F.ceil(F.col("members") / BLOCK)), "open")
-    rare = _rare_shingles(sets.join(rest.select("node").distinct(), "node", "left_semi"))
-    about = written(classes.select("node", "sig", "n_shingles").join(rest.select("node").distinct(), "node", "left_semi")
-                    .join(rare, "node", "left"), "about")
-    more = written(_pairs_across(rest.join(about, "node"), percent).join(star, ["a", "b"], "left_anti"), "across")
+        "band", "members", F.coalesce("component", "node").alias("label"))
+    mixed = written(labelled.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.first("members").alias("members"))
+                    .where("x <> y").select("band", "members"), "mixed")
+    rest = written(likely_members(bands, "band", mixed.select("band")).join(mixed, "band").join(found, "node", "left").select(
+        "band", "at", "no", "node", F.coalesce("component", "node").alias("label"),
+        F.ceil(F.col("members") / BLOCK).alias("blocks")), "open")
+    compared = rest.select("no").distinct()
+    rare = _rare_shingles(sets.join(compared, "no", "left_semi"))
+    about = written(classes.select("no", "sig", "n_shingles").join(compared, "no", "left_semi").join(rare, "no", "left"), "about")
+    more = written(_pairs_across(rest.join(about, "no"), percent).join(star, ["a", "b"], "left_anti"), "across")
     if not more.isEmpty():
         links = links.unionByName(_confirmed(more, sets, percent))
         found = components(links)

@@ -78,3 +78,43 @@ def test_nulls_and_empty(spark, empty_docs):
                                 (None, "lonely words only here now", "en", "s", 1), (8, None, "en", "s", 0)], DOCS)
     got = sorted([(r["doc_id"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(df).collect()], key=str)
     assert got == sorted([(None, 7, False), (None, 7, False), (7, 7, True), (None, None, True), (8, 8, True)], key=str)
+
+
+def brute_rows(rows: list, size: int) -> list:
+    """As brute, where doc_ids repeat: equal sets are one class under its smallest doc_id, all classes of a doc_id one node."""
+    node = {}
+    for i, t in rows:
+        s = shingle_set(t, size)
+        node[s] = min(i, node.get(s, i))
+    root = {i: i for i in node.values()}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    sets = list(node)
+    for k, x in enumerate(sets):
+        for y in sets[k + 1:]:
+            both = len(x & y)
+            if 100 * both >= 80 * (len(x) + len(y) - both):
+                a, b = find(node[x]), find(node[y])
+                root[max(a, b)] = min(a, b)
+    found = [(i, len(s), find(node[s])) for i, s in ((i, shingle_set(t, size)) for i, t in rows)]
+    return sorted((i, n, c, i == c) for i, n, c in found)
+
+
+def test_doc_ids_that_repeat(spark):
+    """Two near texts share every band with a smaller third that is not near: only blocks find them, also where rows repeat."""
+    rng = np.random.default_rng(5)
+    common = [f"c{j}" for j in range(90)]
+    rows = [(1000, " ".join(common + [f"a{j}" for j in range(10)]))] * 3 + [(1001, " ".join(common + [f"b{j}" for j in range(10)]))]
+    for k in range(40):
+        rows.append((k + 1, " ".join([common[j] for j in rng.permutation(90)[:78]] + [f"p{k}_{j}" for j in range(20)])))
+    # further texts of the same doc_ids, one of them also elsewhere; two empty texts are no link
+    rows += [(1000, " ".join(f"x{j}" for j in range(60))), (1001, " ".join(f"y{j}" for j in range(60))),
+             (999, " ".join(f"y{j}" for j in range(60))), (1000, ""), (1, "")]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], DOCS)
+    got = sorted(tuple(r) for r in minhash.near_duplicates(df, 1).where("n_shingles > 0").select(
+        "doc_id", "n_shingles", "component_id", "kept").collect())
+    assert got == brute_rows([(i, t) for i, t in rows if t], 1)
