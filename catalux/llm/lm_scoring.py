@@ -118,11 +118,11 @@ def _requests(table: DataFrame, ranges: int) -> DataFrame:
                 t = Tokens.of(data)
                 for kind, values in ((0, t.token), (1, t.bigram)):
                     keys, inverse = np.unique(values, return_inverse=True)
-                    count = np.bincount(inverse, t.train, len(keys)).astype("<u4")
+                    count = np.bincount(inverse, t.train, len(keys)).astype(COUNT)
                     del inverse
                     owner = (keys >> shift).astype(np.int64) if ranges > 1 else np.zeros(len(keys), np.int64)
                     cut = np.flatnonzero(np.diff(owner, prepend=-1, append=ranges))
-                    rows = [(kind, int(owner[a]), block, keys[a:z].tobytes(), _small(count[a:z])) for a, z in zip(cut, cut[1:])]
+                    rows = [(kind, int(owner[a]), block, keys[a:z].tobytes(), _small(count[a:z], COUNT)) for a, z in zip(cut, cut[1:])]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(c, k) for c, k in zip(zip(*rows), (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()))],
                         ["kind", "owner", "block", "keys", "counts"])
@@ -130,13 +130,17 @@ def _requests(table: DataFrame, ranges: int) -> DataFrame:
     return table.mapInArrow(run, "kind int, owner long, block long, keys binary, counts binary")
 
 
-def _small(count: np.ndarray) -> bytes:
+# counts of one block fit 32 bits (a text has fewer bytes), totals of the corpus do not
+COUNT, TOTAL = np.dtype("<u4"), np.dtype("<u8")
+
+
+def _small(count: np.ndarray, kind: np.dtype) -> bytes:
     """Unsigned integers, compressed."""
-    return pa.compress(count.astype("<u4").tobytes(), codec="zstd", asbytes=True) if len(count) else b""
+    return pa.compress(count.astype(kind).tobytes(), codec="zstd", asbytes=True) if len(count) else b""
 
 
-def _large(data: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(pa.decompress(data, decompressed_size=4 * n, codec="zstd"), "<u4") if n else np.zeros(0, "<u4")
+def _large(data: bytes, n: int, kind: np.dtype) -> np.ndarray:
+    return np.frombuffer(pa.decompress(data, decompressed_size=kind.itemsize * n, codec="zstd"), kind) if n else np.zeros(0, kind)
 
 
 _ANSWER = "kind int, owner long, block long, n long, data binary, distinct long, total double"
@@ -146,12 +150,12 @@ def _totals(frame: pd.DataFrame) -> pd.DataFrame:
     """Totals of one hash range, sent back to every block in the order of its keys; and how many there are."""
     keys = [np.frombuffer(k, np.uint64) for k in frame["keys"]]
     sizes = [len(k) for k in keys]
-    counts = np.concatenate([_large(c, n) for c, n in zip(frame["counts"], sizes)])
+    counts = np.concatenate([_large(c, n, COUNT) for c, n in zip(frame["counts"], sizes)])
     unique, inverse = np.unique(np.concatenate(keys), return_inverse=True)
     total = np.bincount(inverse, counts, len(unique))
     back = np.split(total[inverse], np.cumsum(sizes)[:-1])
     out = pd.DataFrame({"kind": frame["kind"], "owner": frame["owner"], "block": frame["block"], "n": sizes,
-                        "data": [_small(x) for x in back], "distinct": 0, "total": 0.0})
+                        "data": [_small(x, TOTAL) for x in back], "distinct": 0, "total": 0.0})
     figures = {"kind": frame["kind"].iloc[0], "owner": frame["owner"].iloc[0], "block": None, "n": 0, "data": b"",
                "distinct": int((total > 0).sum()), "total": float(total.sum())}
     return pd.concat([out, pd.DataFrame([figures])]).astype({"block": "Int64"})
@@ -207,7 +211,7 @@ def _traversed(tokens: float, words: float):
         count = {}
         for kind, values in ((0, t.token), (1, t.bigram)):
             part = frame[frame["kind"] == kind].sort_values("owner")
-            have = np.concatenate([_large(d, n) for d, n in zip(part["data"], part["n"])] + [np.zeros(0, "<u4")])
+            have = np.concatenate([_large(d, n, TOTAL) for d, n in zip(part["data"], part["n"])] + [np.zeros(0, TOTAL)])
             count[kind] = have[np.unique(values, return_inverse=True)[1]].astype(float)
         first = np.flatnonzero(np.diff(t.row, prepend=-1))
         seen = np.concatenate([[0.0], count[0][:-1]])

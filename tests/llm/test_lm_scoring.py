@@ -5,6 +5,10 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+
 from catalux.llm import lm_scoring as L
 from tests.llm.conftest import DOCS, rows_of
 
@@ -85,3 +89,25 @@ def test_empty_null_and_untrained(spark, empty_docs):
     df = spark.createDataFrame([(None, None, "en", "s", 3), (None, "x", "en", "s", 3)], DOCS)
     got = sorted((r["n_tokens"], r["held_out"], r["train_tokens"]) for r in L.scores(df).collect())
     assert got == [(1, False, 3), (2, False, 3)]
+
+
+def test_totals_beyond_32_bits():
+    """Three blocks with 2^32 - 2^30 of each word and bigram: totals of 3 * 2^32 - 3 * 2^30, and of exactly 2^32, come back whole."""
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1], "text": ["a b"], "held_out": [False]})
+    data = L._packed(batch)
+    t = L.Tokens.of(data)
+    for each in (3 << 30, 1 << 30):
+        blocks, met = (3, 4)[each == 1 << 30], []
+        for kind, values in ((0, t.token), (1, t.bigram)):
+            keys = np.unique(values)
+            count = pa.compress(np.full(len(keys), each, "<u4").tobytes(), codec="zstd", asbytes=True)
+            out = L._totals(pd.DataFrame([{"kind": kind, "owner": 0, "block": k, "keys": keys.tobytes(), "counts": count}
+                                          for k in range(blocks)]))
+            met.append(out[out["block"] == 0][["block", "kind", "owner", "n", "data"]])
+        met.append(pd.DataFrame([{"block": 0, "kind": -1, "owner": -1, "n": 0, "data": data}]))
+        total = blocks * each
+        r = L._traversed(3.0 * total, 3.0)(pd.concat(met)).iloc[0]
+        root = (total + 0.5) / (3 * total + 2)
+        assert total >= 1 << 32 and r["n_known"] == 3 and abs(r["base_score"] - 3 * math.log10(root)) < 1e-9
+        want = [3 * math.log10((1 - b) + b * root) for b in L.BACKOFF]
+        assert np.allclose(r["sums"].reshape(-1, len(L.BACKOFF))[-1], want)
