@@ -6,7 +6,7 @@ second is applied to the scrambled value shifted circularly by 0, 1, 2, ... (Li
 Steps: (1) documents with equal shingle sets form a class, and one row a class goes on; (2) in each
 band bucket all members are paired with the smallest one, never with each other; the pairs are
 confirmed on full shingle sets and connected; (3) buckets whose members are not yet all in one component
-are compared block against block inside tasks: a pair across components goes on only if its signatures allow
+are compared block against block inside tasks, large components only against others: a pair across components goes on only if its signatures allow
 the threshold and so does an exact bound, the shingles of either that are not rare among these members plus
 the rare ones that both have; what goes on is confirmed on full sets as well.  No list of members, links or components
 reaches the driver, and no bucket is capped.
@@ -24,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from catalux.llm.components import components
@@ -35,7 +35,7 @@ BANDS, ROWS = 28, 4          # a pair at 0.8 shares no band with probability (1
 THRESHOLD_PERCENT = 80
 MARGIN = 0.18                # 4.8 standard errors of an estimate from 112 coordinates at 0.8
 BLOCK = 512
-PART = 4_000                 # rows of open buckets that one call of the comparison takes, about
+PART = 4_000                 # rows of block pairs that one call of the comparison takes, about
 RARE = 64                    # a shingle of at most so many open members is rare
 NO_ID = 1 << 62              # nodes from here on stand for classes without any doc_id
 
@@ -184,7 +184,32 @@ def _open_pairs(sig: np.ndarray, label: np.ndarray, n: np.ndarray, rare: list, c
                 yield i, j
 
 
-def _pairs_across(rows: DataFrame, percent: int) -> DataFrame:
+def _block_pairs(rows: DataFrame) -> tuple[DataFrame, int]:
+    """Members of open buckets, once for each pair of blocks (i, j) to be compared, c being their own; and the number of these rows.
+
+    A component with BLOCK members or more in a bucket has blocks of its own there, which never meet each other;
+    the members of all smaller ones share the first ``small`` blocks.
+    """
+    sizes = written(rows.groupBy("band", "label").agg(F.count(F.lit(1)).alias("n")).withColumn(
+        "own", F.when(F.col("n") >= BLOCK, F.ceil(F.col("n") / BLOCK))), "sizes")
+    buckets = written(sizes.groupBy("band").agg(
+        F.ceil(F.sum(F.when(F.col("own").isNull(), F.col("n")).otherwise(0)) / BLOCK).alias("small"),
+        F.sum(F.coalesce("own", F.lit(0))).alias("large")), "blocks")
+    before = Window.partitionBy("band").orderBy("label").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = sizes.where("own is not null").select(
+        "band", "label", "own", F.coalesce(F.sum("own").over(before), F.lit(0)).alias("low"))
+    low, hash_ = F.col("small") + F.col("low"), F.xxhash64("no")
+    met = F.filter(F.sequence(F.lit(0).cast("long"), F.col("small") + F.col("large") - 1),
+                   lambda k: F.col("own").isNull() | (k < low) | (k >= low + F.col("own")))
+    placed = rows.join(buckets, "band").join(ranges, ["band", "label"], "left").withColumn(
+        "c", F.when(F.col("own").isNull(), F.pmod(hash_, F.col("small"))).otherwise(low + F.pmod(hash_, F.col("own"))))
+    spread = placed.select("band", "at", "no", "node", "label", "c", F.explode(met).alias("k"))
+    copies = sizes.join(buckets, "band").agg(F.sum(
+        F.col("n") * (F.col("small") + F.col("large") - F.coalesce("own", F.lit(0))))).first()[0]
+    return (spread.withColumn("i", F.least("c", "k")).withColumn("j", F.greatest("c", "k")).drop("k"), int(copies or 0))
+
+
+def _pairs_across(rows: DataFrame, about: DataFrame, percent: int) -> DataFrame:
     """Distinct pairs of members of one bucket that are in different components and may be links."""
     need = (percent / 100 - MARGIN) * BANDS * ROWS
 
@@ -207,15 +232,9 @@ def _pairs_across(rows: DataFrame, percent: int) -> DataFrame:
         pair = node[np.array(out, dtype=np.int64).reshape(-1, 2)]
         return pd.DataFrame({"a": pair.max(axis=1), "b": pair.min(axis=1)})
 
-    last = F.col("blocks") - 1
-    spread = rows.withColumn("c", F.pmod(F.xxhash64("no"), F.col("blocks"))).select(
-        "band", "at", "node", "label", "sig", "n_shingles", "own", "rare", "c",
-        F.explode(F.transform(F.sequence(F.lit(0).cast("long"), last), lambda k: F.struct(
-            F.least(F.col("c"), k).alias("i"), F.greatest(F.col("c"), k).alias("j")))).alias("p"))
-    parts = max(1, rows.count() // PART)
-    return (spread.select("band", "at", "node", "label", "sig", "n_shingles", "own", "rare", "c", "p.i", "p.j")
-            .withColumn("part", F.pmod(F.xxhash64("band", "i", "j"), F.lit(parts))).groupBy("part")
-            .applyInPandas(compare, "a long, b long"))
+    spread, copies = _block_pairs(rows)
+    return (spread.join(about, "no").withColumn("part", F.pmod(F.xxhash64("band", "i", "j"), F.lit(max(1, copies // PART))))
+            .groupBy("part").applyInPandas(compare, "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = THRESHOLD_PERCENT) -> DataFrame:
@@ -240,16 +259,15 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = THRESHOLD_PER
     links = _confirmed(star, sets, percent)
     found = components(links)
     labelled = shared.join(found, "node", "left").select(
-        "band", "members", F.coalesce("component", "node").alias("label"))
-    mixed = written(labelled.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.first("members").alias("members"))
-                    .where("x <> y").select("band", "members"), "mixed")
-    rest = written(likely_members(bands, "band", mixed.select("band")).join(mixed, "band").join(found, "node", "left").select(
-        "band", "at", "no", "node", F.coalesce("component", "node").alias("label"),
-        F.ceil(F.col("members") / BLOCK).alias("blocks")), "open")
+        "band", F.coalesce("component", "node").alias("label"))
+    mixed = written(labelled.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y"))
+                    .where("x <> y").select("band"), "mixed")
+    rest = written(likely_members(bands, "band", mixed).join(mixed, "band").join(found, "node", "left").select(
+        "band", "at", "no", "node", F.coalesce("component", "node").alias("label")), "open")
     compared = rest.select("no").distinct()
     rare = _rare_shingles(sets.join(compared, "no", "left_semi"))
     about = written(classes.select("no", "sig", "n_shingles").join(compared, "no", "left_semi").join(rare, "no", "left"), "about")
-    more = written(_pairs_across(rest.join(about, "no"), percent).join(star, ["a", "b"], "left_anti"), "across")
+    more = written(_pairs_across(rest, about, percent).join(star, ["a", "b"], "left_anti"), "across")
     if not more.isEmpty():
         links = links.unionByName(_confirmed(more, sets, percent))
         found = components(links)

@@ -118,3 +118,26 @@ def test_doc_ids_that_repeat(spark):
     got = sorted(tuple(r) for r in minhash.near_duplicates(df, 1).where("n_shingles > 0").select(
         "doc_id", "n_shingles", "component_id", "kept").collect())
     assert got == brute_rows([(i, t) for i, t in rows if t], 1)
+
+
+def test_large_components_are_not_copied_against_themselves(spark, monkeypatch):
+    """Two members beside 3,000 of one component make about two rows a member, and all pairs across components meet once."""
+    monkeypatch.setattr(minhash, "BLOCK", 16)
+    label = {0: [7] * 3000 + [8, 9], 1: [1] * 40 + [2] * 30 + [3] * 5 + [4] * 5, 2: list(range(50))}
+    rows, at = [], {}
+    for band, labels in label.items():
+        for x in labels:
+            at[len(rows)] = (band, x)
+            rows.append((band, 0, len(rows), len(rows), x))
+    spread, copies = minhash._block_pairs(spark.createDataFrame(rows, "band long, at int, no long, node long, label long"))
+    blocks = {}
+    for r in spread.collect():
+        blocks.setdefault((r["band"], r["i"], r["j"]), {}).setdefault(r["c"], []).append(r["no"])
+    assert copies == sum(len(x) for b in blocks.values() for x in b.values())
+    assert sum(len(x) for k, b in blocks.items() for x in b.values() if k[0] == 0) <= 2 * 3000 + 2
+    met = []
+    for (_, i, j), b in blocks.items():
+        x, y = b.get(i, []), b.get(j, [])
+        met += [(min(p, q), max(p, q)) for p in x for q in y if (i != j or p < q) and at[p][1] != at[q][1]]
+    want = {(p, q) for p, (b, x) in at.items() for q, (c, y) in at.items() if p < q and b == c and x != y}
+    assert sorted(met) == sorted(want)
