@@ -70,3 +70,68 @@ r AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, count(*) FILTER (opens
 SELECT t.doc_id, t.n AS n_bytes, coalesce(r.n_removed, 0) AS n_removed, coalesce(r.n_spans, 0) AS n_spans,
        sha256(unhex(coalesce(r.kept, ''))) AS kept_sha256
 FROM t LEFT JOIN r ON r.doc_id = t.doc_id"""
+
+_UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+OP11 = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), '{_UP}', '{_LOW}'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+t AS (SELECT r, lang, source, term, count(*) AS n FROM (SELECT r, lang, source, unnest(w) AS term FROM d) x GROUP BY ALL),
+kept AS (SELECT lang, term FROM t GROUP BY ALL HAVING count(*) >= 10),
+v AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT t.lang, t.source, t.term, sum(t.n)::HUGEINT AS n FROM t JOIN kept k ON k.lang = t.lang AND k.term = t.term GROUP BY ALL),
+gd AS (SELECT g.lang, g.source, coalesce(sum(c.n), 0)::HUGEINT + 2 * coalesce(max(v.v), 0) AS den
+       FROM g LEFT JOIN v ON v.lang = g.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source GROUP BY ALL),
+p AS (SELECT gd.lang, gd.source, k.term, coalesce(c.n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 2)) // gd.den AS p
+      FROM gd JOIN kept k ON k.lang = gd.lang LEFT JOIN c ON c.lang = gd.lang AND c.source = gd.source AND c.term = k.term),
+ld AS (SELECT c.lang, sum(c.n)::HUGEINT + 2 * max(v.v) AS den FROM c JOIN v ON v.lang = c.lang GROUP BY c.lang),
+q AS (SELECT c.lang, c.term, 1 + (1000000000::HUGEINT * (sum(c.n)::HUGEINT + 2)) // max(ld.den) AS q
+      FROM c JOIN ld ON ld.lang = c.lang GROUP BY c.lang, c.term),
+pairs AS (SELECT a.lang, a.source, b.source AS item, coalesce(x.value, 0)::BIGINT AS value
+          FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+          LEFT JOIN (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value
+                     FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL) x
+          ON x.lang = a.lang AND x.source = a.source AND x.item = b.source),
+terms AS (SELECT p.lang, p.source, p.term AS item, (((p.p - q.q) * (p.p - q.q)) // (p.p + q.q))::BIGINT AS value
+          FROM p JOIN q ON q.lang = p.lang AND q.term = p.term WHERE p.n > 0 AND p.p > q.q)
+SELECT lang, source, 'pair' AS part, item, value,
+       row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item)::INT AS rank FROM pairs
+UNION ALL
+SELECT * FROM (SELECT lang, source, 'term' AS part, item, value,
+       row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item)::INT AS rank FROM terms) x WHERE rank <= 10"""
+
+
+def _op12(parts: int = 4, entries: int = 256, rounds: int = 4) -> str:
+    """Plain k-means of the parts in SQL, every part against every entry."""
+    near = """a{r} AS MATERIALIZED (
+  SELECT p.vec_id, p.label, p.part, min(row(CAST(p.xx - 2 * list_inner_product(p.x, e.x) + list_inner_product(e.x, e.x) AS BIGINT), e.entry)) AS b
+  FROM p JOIN e{r} e ON e.part = p.part GROUP BY ALL)"""
+    move = """e{s} AS MATERIALIZED (
+  SELECT e.part, e.entry, coalesce(m.x, e.x) AS x FROM e{r} e LEFT JOIN (
+    SELECT part, entry, list(floor(s / n) ORDER BY i) AS x FROM (
+      SELECT part, entry, i, sum(c) AS s, count(*) AS n FROM (
+        SELECT a.part, a.b[2] AS entry, unnest(p.x) AS c, unnest(range(len(p.x))) AS i FROM a{r} a JOIN p ON p.vec_id = a.vec_id AND p.part = a.part) y
+      GROUP BY ALL) z GROUP BY ALL) m ON m.part = e.part AND m.entry = e.entry)"""
+    steps = [near.format(r=0)]
+    for r in range(rounds):
+        steps += [move.format(r=r, s=r + 1), near.format(r=r + 1)]
+    return f"""
+WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS x FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS MATERIALIZED (SELECT vec_id, label, part, x, list_inner_product(x, x) AS xx FROM (
+       SELECT vec_id, label, part, x[part * (len(x) // {parts}) + 1:(part + 1) * (len(x) // {parts})] AS x
+       FROM (SELECT *, unnest(range({parts})) AS part FROM v) y) z),
+e0 AS MATERIALIZED (SELECT part, entry, x FROM (SELECT part, x, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry FROM p) y
+                    WHERE entry < {entries}),
+{", ".join(steps)},
+k AS (SELECT vec_id, label, string_agg(lower(printf('%02x', a.b[2])), '' ORDER BY part) AS code, sum(a.b[1])::BIGINT AS error
+      FROM a{rounds} a GROUP BY vec_id, label),
+l AS (SELECT label, sum(error)::BIGINT AS label_error FROM k GROUP BY label),
+s AS (SELECT sha256(string_agg(array_to_string(list_transform(x, lambda c: c::BIGINT), ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM e{rounds})
+SELECT k.vec_id, k.code, k.error, l.label_error, s.codebooks_sha256 FROM k JOIN l ON l.label IS NOT DISTINCT FROM k.label, s"""
+
+
+OP12 = _op12()

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from catalux.llm import (length_buckets, lm_scoring, minhash, oracles, quality_classifier, quality_rules, scaled_sketch,
-                         sentencepieces, suffix_dedup, token_files, warc)
+                         sentencepieces, source_audit, source_mix, suffix_dedup, token_files,
+                         vector_codes, warc)
 from catalux.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,3 +80,18 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_piece_lattice")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepieces.round_trip(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+
+
+@query("op11_chunk_audit", oracles.OP11)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit.divergences(table(spark, sf_dir, "documents"))
+
+
+@query("op13_entropy_balance")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_mix.mixed(table(spark, sf_dir, "documents"))
+
+
+@query("op12_ball_codes", oracles.OP12)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.coded(table(spark, sf_dir, "embeddings"))
