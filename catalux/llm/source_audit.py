@@ -6,12 +6,17 @@ each chunk of the whole corpus:
 
 1. tasks cut whole texts into blocks and count, in Arrow and numpy, the chunks of each document; a block is one row: its distinct
    chunks and the packed (document, chunk, count) triples, written to the shared folder;
-2. the distinct chunks of all blocks are tokenized once, in SQL, and joined back to the blocks that hold them;
-3. each block turns its triples into distinct (document, term) pairs: documents by language, occurrences by source;
+2. each distinct chunk of all blocks is tokenized once, in SQL; a term whose chunks stand in fewer than ``LEAST`` documents
+   together cannot be a kept term; the others are joined back to the blocks that hold their chunks;
+3. each block turns its triples into distinct (document, term) pairs and adds up documents and occurrences by group (language
+   and source) and term;
 4. these are added up; terms in ``LEAST`` documents of a language are its kept terms;
 5. probabilities and divergences are integers: p = 1 + floor(10^9 (count + 2) / (N + 2 V)), f = floor((p - q)^2 / (p + q)).
    Pairs of sources are computed in tiles of about ``TILE`` sources by slabs of about ``SLAB`` terms, each one a small dense matrix.
 
+Terms travel as numbers, chunks and groups as 64-bit hashes.  Each set of hashes is checked against the texts it stands for: should
+two texts of the corpus ever share one, the audit starts again with another seed, so results are exact.
+
 A document is a row (repeated doc_ids are several documents).  Defined results: null text, language and source read as '';
 a (lang, source) group without kept terms still stands in part ``pair``; a language without kept terms has values 0; ties rank
 by item; only text, lang and source are read; an empty table gives no rows.
@@ -38,8 +43,19 @@ SCALE = 1_000_000_000
 BLOCK_BYTES = 12 << 20
 TILE, SLAB = 128, 4_096
 
-BLOCK = "block long, langs array<string>, sources array<string>, chunks array<string>, triples binary"
-TERMS = "lang string, term string, docs long, sources array<string>, counts array<long>"
+BLOCK = "block long, groups array<long>, chunks array<string>, docs array<int>, triples binary"
+COUNTS = "gid long, tid long, docs long, n long"
+
+
+class Collision(Exception):
+    """Two texts share a hash under this seed."""
+
+
+def _checked(df: DataFrame, hash_col: str) -> DataFrame:
+    """``df`` (a row for each text), if no hash stands twice."""
+    if not df.groupBy(hash_col).agg(F.count(F.lit(1)).alias("texts")).where("texts > 1").isEmpty():
+        raise Collision
+    return df
 
 
 # ---------------------------------------------------------------- 1: chunks of each document
@@ -58,25 +74,46 @@ def _unpacked(data: bytes) -> list[np.ndarray]:
 
 def _block(block: int, rows: pa.Table) -> pa.RecordBatch:
     """One row: the distinct chunks of some documents and, per document and chunk, its count."""
-    lists = pc.ascii_split_whitespace(rows["text"].combine_chunks().cast(pa.large_string()))
-    words = lists.flatten()
-    doc = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
-    real = pc.not_equal(words, "").to_numpy(zero_copy_only=False)
-    words, doc = words.filter(pa.array(real)), doc[real]
-    coded = words.dictionary_encode()
-    size = max(len(coded.dictionary), 1)
-    key, count = np.unique(doc * size + coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), return_counts=True)
-    triples = _packed([key // size, key % size, count])
-    one = pa.array([0, len(coded.dictionary)], pa.int32())
-    chunks = pa.ListArray.from_arrays(one, coded.dictionary.cast(pa.string()))
-    ends = pa.array([0, rows.num_rows], pa.int32())
-    return pa.RecordBatch.from_arrays(
-        [pa.array([block], pa.int64()), pa.ListArray.from_arrays(ends, rows["lang"].combine_chunks()),
-         pa.ListArray.from_arrays(ends, rows["source"].combine_chunks()), chunks, pa.array([triples], pa.binary())],
-        ["block", "langs", "sources", "chunks", "triples"])
-
-
-def blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    text = pc.ascii_trim_whitespace(rows["text"].combine_chunks())
+    if text.nbytes > 1 << 30:
+        text = text.cast(pa.large_string())
+    lists = pc.ascii_split_whitespace(text)
+    coded = lists.flatten().dictionary_encode()
+    chunks, size = coded.dictionary.cast(pa.string()), max(len(coded.dictionary), 1)
+    key = np.repeat(np.arange(len(lists), dtype=np.int64) * size, np.diff(lists.offsets.to_numpy()))
+    key += coded.indices.to_numpy(zero_copy_only=False)
+    del text, lists, coded
+    key.sort()
+    start = np.flatnonzero(np.diff(key, prepend=-1))
+    count = np.diff(start, append=len(key))
+    doc, code = np.divmod(key[start], size)
+    if (none := pc.index(chunks, "").as_py()) >= 0:      # a text without words
+        doc, code, count = (x[code != none] for x in (doc, code, count))
+
+    def one(values: pa.Array) -> pa.ListArray:
+        return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+
+    docs = np.bincount(code, minlength=len(chunks)).astype(np.int32)
+    out = pa.RecordBatch.from_arrays(
+        [pa.array([block], pa.int64()), one(rows["gid"].combine_chunks()), one(chunks), one(pa.array(docs)),
+         pa.array([_packed([doc, code, count])], pa.binary())], ["block", "groups", "chunks", "docs", "triples"])
+    del key, start, doc, code, count
+    pa.default_memory_pool().release_unused()
+    return out
+
+
+def cleaned(docs: DataFrame) -> DataFrame:
+    d = pick(docs, text="string", lang="string", source="string")
+    return d.select(*[F.coalesce(c, F.lit("")).alias(c) for c in d.columns])
+
+
+def group_names(d: DataFrame, seed: int) -> DataFrame:
+    """lang, source, gid of every group that occurs."""
+    names = d.select("lang", "source").distinct().withColumn("gid", F.xxhash64(F.lit(seed), "lang", "source"))
+    return _checked(written(names, "groups"), "gid")
+
+
+def blocks(d: DataFrame, seed: int = 0, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Chunk counts of all documents, packed in blocks of about ``block_bytes`` of text (a longer text is a block of its own)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, held, size = TaskContext.get().partitionId() << 32, [], 0
@@ -95,32 +132,38 @@ def blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
         if held:
             yield _block(block, pa.Table.from_batches(held))
 
-    d = pick(docs, text="string", lang="string", source="string")
-    return written(d.select(*[F.coalesce(c, F.lit("")).alias(c) for c in d.columns]).mapInArrow(run, BLOCK), "chunk-blocks")
+    rows = d.select("text", F.xxhash64(F.lit(seed), "lang", "source").alias("gid"))
+    return written(rows.mapInArrow(run, BLOCK), "chunk-blocks")
 
 
 # ---------------------------------------------------------------- 2: terms of each distinct chunk
 
-def chunk_terms(found: DataFrame) -> DataFrame:
-    """(of, code, term) for the chunks of every block, a row for each occurrence in the chunk; each distinct chunk is cut once."""
-    rows = found.select("block", F.posexplode("chunks").alias("code", "chunk"))
-    cut = (rows.select("chunk").distinct()
-           .select("chunk", F.explode(F.regexp_extract_all("chunk", F.lit(TERM), F.lit(0))).alias("term"))
-           .select("chunk", F.translate("term", UPPER, LOWER).alias("term")))
-    return rows.join(cut, "chunk").select(F.col("block").alias("of"), "code", "term")
+def chunk_terms(found: DataFrame, seed: int = 0, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
+    """(of, code, tid): the possible kept terms in the chunks of every block, a row for each occurrence in the chunk; and
+    (tid, term).  Each distinct chunk is cut once."""
+    hashed = F.xxhash64(F.lit(seed), "chunk")
+    cut = (found.select(F.explode(F.arrays_zip("chunks", "docs")).alias("x"))
+           .groupBy(F.col("x.chunks").alias("chunk")).agg(F.sum("x.docs").alias("docs"))
+           .select(hashed.alias("cid"), "docs", F.regexp_extract_all("chunk", F.lit(TERM), F.lit(0)).alias("terms")))
+    cut = written(cut.withColumn("terms", F.transform("terms", lambda t: F.translate(t, UPPER, LOWER))), "chunks")
+    _checked(cut, "cid")
+    terms = (cut.select("docs", F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.sum("docs").alias("bound"))
+             .where(F.col("bound") >= least).select("term"))
+    terms = written(terms.withColumn("tid", F.monotonically_increasing_id()), "terms")      # numbered once, when written
+    known = written(cut.select("cid", F.explode("terms").alias("term")).join(terms, "term").select("cid", "tid"), "chunk-terms")
+    rows = found.select(F.col("block").alias("of"), F.posexplode("chunks").alias("code", "chunk")).select("of", "code", hashed.alias("cid"))
+    return likely_members(rows, "cid", known.select("cid")).join(known, "cid").select("of", "code", "tid"), terms
 
 
 # ---------------------------------------------------------------- 3: documents and occurrences of a block's terms
 
 def _block_terms(data: pa.Table, terms: pa.Table) -> pa.Table:
-    """Per language and term: documents of the block that have it, and its occurrences by source."""
-    schema = pa.schema([("lang", pa.string()), ("term", pa.string()), ("docs", pa.int64()),
-                        ("sources", pa.list_(pa.string())), ("counts", pa.list_(pa.int64()))])
+    """Per group and term of a block: documents that have it, and its occurrences."""
+    schema = pa.schema([(c, pa.int64()) for c in ("gid", "tid", "docs", "n")])
     if not data.num_rows or not terms.num_rows:
         return schema.empty_table()
     doc, code, count = _unpacked(data["triples"][0].as_py())
-    coded = terms["term"].combine_chunks().dictionary_encode()
-    names, term = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    tids, term = np.unique(terms["tid"].to_numpy(), return_inverse=True)
     owner = terms["code"].to_numpy().astype(np.int64)
     # terms of each chunk, in chunk order; repeats inside a chunk stay and are added up below
     order = np.argsort(owner, kind="stable")
@@ -128,47 +171,34 @@ def _block_terms(data: pa.Table, terms: pa.Table) -> pa.Table:
     first = np.searchsorted(owner, np.arange(int(code.max()) + 2))
     per = (first[1:] - first[:-1])[code]
     at = np.repeat(first[code] - np.concatenate([[0], np.cumsum(per)[:-1]]), per) + np.arange(int(per.sum()))
-    key = np.repeat(doc, per) * len(names) + term[at]
-    pairs, inverse = np.unique(key, return_inverse=True)
-    n = np.bincount(inverse, np.repeat(count, per), len(pairs)).astype(np.int64)    # exact: far below 2^53 in a block
-    doc, term = pairs // len(names), pairs % len(names)
-
-    lang = data["langs"].combine_chunks().flatten().dictionary_encode()
-    source = data["sources"].combine_chunks().flatten().dictionary_encode()
-    lang_of, source_of = (x.indices.to_numpy(zero_copy_only=False).astype(np.int64) for x in (lang, source))
-    n_sources = len(source.dictionary)
-    group = (lang_of[doc] * len(names) + term) * n_sources + source_of[doc]
-    groups, inverse = np.unique(group, return_inverse=True)
-    counts = np.bincount(inverse, n, len(groups)).astype(np.int64)
-    docs = np.bincount(inverse, None, len(groups)).astype(np.int64)
-    own = groups // n_sources
-    starts = np.flatnonzero(np.diff(own, prepend=-1))
-    ends = pa.array(np.append(starts, len(groups)), pa.int32())
-    own = own[starts]
-    return pa.table([lang.dictionary.take(pa.array(own // len(names))), names.take(pa.array(own % len(names))),
-                     pa.array(np.add.reduceat(docs, starts)),
-                     pa.ListArray.from_arrays(ends, source.dictionary.take(pa.array(groups % n_sources))),
-                     pa.ListArray.from_arrays(ends, pa.array(counts))], schema=schema)
-
-
-def term_counts(found: DataFrame) -> DataFrame:
-    """lang, term, docs and occurrences by source, a row for each block, language and term."""
-    return written(found.select("block", "langs", "sources", "triples").groupBy("block")
-                   .cogroup(chunk_terms(found).groupBy("of")).applyInArrow(_block_terms, TERMS), "block-terms")
+    pairs, n = _added(np.repeat(doc, per) * len(tids) + term[at], np.repeat(count, per))
+    doc, term = pairs // len(tids), pairs % len(tids)
+    gids, group_of = np.unique(data["groups"].combine_chunks().flatten().to_numpy(), return_inverse=True)
+    key = group_of[doc] * len(tids) + term
+    order = np.argsort(key, kind="stable")
+    key, n = key[order], n[order]
+    start = np.flatnonzero(np.diff(key, prepend=-1))
+    key = key[start]
+    return pa.table([gids[key // len(tids)], tids[key % len(tids)], np.diff(start, append=len(n)).astype(np.int64),
+                     np.add.reduceat(n, start) if len(start) else n], schema=schema)
 
 
-# ---------------------------------------------------------------- 4 and 5: kept terms, probabilities, divergences
+def _added(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys and the sums of their ``n``."""
+    order = np.argsort(key, kind="stable")
+    key, n = key[order], n[order]
+    start = np.flatnonzero(np.diff(key, prepend=-1))
+    return key[start], np.add.reduceat(n, start) if len(start) else n
 
-def kept_counts(by_block: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
-    """Kept terms (lang, term) and their occurrences (lang, source, term, n)."""
-    kept = written(by_block.groupBy("lang", "term").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= least)
-                   .select("lang", "term"), "kept-terms")
-    likely = likely_members(by_block.withColumn("k", F.struct("lang", "term")), "k", kept.select(F.struct("lang", "term").alias("k")))
-    counts = (likely.select("lang", "term", F.explode(F.arrays_zip("sources", "counts")).alias("x"))
-              .groupBy("lang", F.col("x.sources").alias("source"), "term").agg(F.sum("x.counts").alias("n"))
-              .join(kept, ["lang", "term"]))
-    return kept, written(counts.select("lang", "source", "term", "n"), "term-counts")
 
+def term_counts(found: DataFrame, back: DataFrame) -> DataFrame:
+    """gid, tid, docs, n of all blocks together."""
+    by_block = (found.select("block", "groups", "triples").groupBy("block").cogroup(back.groupBy("of"))
+                .applyInArrow(_block_terms, COUNTS))
+    return written(by_block.groupBy("gid", "tid").agg(F.sum("docs").alias("docs"), F.sum("n").alias("n")), "term-counts")
+
+
+# ---------------------------------------------------------------- 4 and 5: kept terms, probabilities, divergences
 
 def _p(n: str) -> str:
     return f"1 + (CAST({SCALE} AS DECIMAL(38,0)) * ({n} + 2)) div d"
@@ -185,13 +215,24 @@ def with_p(counts: DataFrame, groups: DataFrame) -> DataFrame:
 
 def divergences(docs: DataFrame, block_bytes: int = BLOCK_BYTES, tile: int = TILE, slab: int = SLAB) -> DataFrame:
     """lang, source, part, item, value, rank."""
-    found = blocks(docs, block_bytes)
-    kept, counts = kept_counts(term_counts(found))
-    names = written(found.select(F.explode(F.arrays_zip("langs", "sources")).alias("x")).select("x.langs", "x.sources").distinct()
-                    .toDF("lang", "source"), "groups")
+    seed = 0
+    while True:
+        try:
+            return _divergences(cleaned(docs), seed, block_bytes, tile, slab)
+        except Collision:
+            seed += 1
+
+
+def _divergences(d: DataFrame, seed: int, block_bytes: int, tile: int, slab: int) -> DataFrame:
+    names, found = group_names(d, seed), blocks(d, seed, block_bytes)
+    back, terms = chunk_terms(found, seed)
+    all_counts = term_counts(found, back).join(names, "gid")
+    kept = written(all_counts.groupBy("lang", "tid").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= LEAST)
+                   .select("lang", "tid"), "kept-terms")
+    counts = written(all_counts.join(kept, ["lang", "tid"]).select("lang", "source", "tid", "n"), "kept-counts")
     v = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("v"))
     n = counts.groupBy("lang", "source").agg(F.sum("n").alias("n"))
-    groups = (names.join(v, "lang", "left").join(n, ["lang", "source"], "left").na.fill(0, ["v", "n"])
+    groups = (names.select("lang", "source").join(v, "lang", "left").join(n, ["lang", "source"], "left").na.fill(0, ["v", "n"])
               .withColumn("d", F.expr("CAST(n AS DECIMAL(38,0)) + 2 * v")))
     groups = written(groups, "group-sums")
     ps = written(with_p(counts, groups), "probabilities")
@@ -199,9 +240,9 @@ def divergences(docs: DataFrame, block_bytes: int = BLOCK_BYTES, tile: int = TIL
     langs = groups.groupBy("lang").agg(F.sum("d").alias("sum_d"), F.max("v").alias("v"), F.count(F.lit(1)).alias("s"))
     # N of the language is the sum over its sources
     whole = langs.select("lang", F.expr("sum_d - 2 * v * (s - 1)").cast("decimal(38,0)").alias("d"))
-    q = counts.groupBy("lang", "term").agg(F.sum("n").alias("n")).join(whole, "lang").select("lang", "term", F.expr(_p("n")).alias("q"))
+    q = counts.groupBy("lang", "tid").agg(F.sum("n").alias("n")).join(whole, "lang").select("lang", "tid", F.expr(_p("n")).alias("q"))
     by = Window.partitionBy("lang", "source").orderBy(F.desc("value"), F.asc("item"))
-    apart = (ps.join(q, ["lang", "term"]).where("p > q")
+    apart = (ps.join(q, ["lang", "tid"]).where("p > q").join(terms, "tid")
              .select("lang", "source", F.col("term").alias("item"), F.expr(_f("p", "q")).alias("value"))
              .withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= TOP))
     pairs = pair_values(ps, groups, tile, slab).withColumn("rank", F.row_number().over(by))
@@ -229,8 +270,8 @@ def pair_values(ps: DataFrame, groups: DataFrame, tile: int = TILE, slab: int =
     sides = paired(groups.join(size, "lang")).withColumn("slab", F.explode(F.expr("sequence(0L, slabs - 1)"))).select(
         "lang", "i", "j", "slab", "own", "source", "v",
         F.expr(f"CASE WHEN v > 0 THEN {_p('0')} ELSE 1 END").cast("long").alias("p0"))
-    cells = paired(ps.join(size, "lang")).select("lang", "i", "j", F.pmod(F.xxhash64("term"), F.col("slabs")).alias("slab"),
-                                                 "source", "term", F.col("p").cast("long").alias("p"))
+    cells = paired(ps.join(size, "lang")).select("lang", "i", "j", F.pmod("tid", F.col("slabs")).alias("slab"),
+                                                 "source", "tid", F.col("p").cast("long").alias("p"))
     key = ["lang", "i", "j", "slab"]
     sums = sides.groupBy(*key).cogroup(cells.groupBy(*key)).applyInArrow(
         _tile, "lang string, source string, item string, v long, f0 long, present long, value long")
@@ -249,11 +290,11 @@ def _tile(sides: pa.Table, cells: pa.Table) -> pa.Table:
     place = {s: k for k, s in enumerate(names)}
     base, own = (sides[c].to_numpy() for c in ("p0", "own"))
     i, j = sides["i"][0].as_py(), sides["j"][0].as_py()
-    terms = cells["term"].combine_chunks().dictionary_encode()
-    p = np.repeat(base[:, None], len(terms.dictionary), 1)              # a row for each source
+    terms, column = np.unique(cells["tid"].to_numpy(), return_inverse=True)
+    p = np.repeat(base[:, None], len(terms), 1)              # a row for each source
     sources = cells["source"].combine_chunks().dictionary_encode()
     row = np.array([place[s] for s in sources.dictionary.to_pylist()], np.int64)
-    p[row[sources.indices.to_numpy(zero_copy_only=False)], terms.indices.to_numpy(zero_copy_only=False)] = cells["p"].to_numpy()
+    p[row[sources.indices.to_numpy(zero_copy_only=False)], column] = cells["p"].to_numpy()
 
     def f(a, b):
         return (a - b) ** 2 // (a + b)
@@ -272,4 +313,4 @@ def _tile(sides: pa.Table, cells: pa.Table) -> pa.Table:
     a, b, f0, value = zip(*out) if out else ((), (), (), ())
     return pa.table([pa.array(sides["lang"][:1].to_pylist() * n, pa.string()), pa.array(a, pa.string()), pa.array(b, pa.string()),
                      pa.array(sides["v"][:1].to_pylist() * n, pa.int64()), pa.array(f0, pa.int64()),
-                     pa.array([len(terms.dictionary)] * n, pa.int64()), pa.array(value, pa.int64())], schema=schema)
+                     pa.array([len(terms)] * n, pa.int64()), pa.array(value, pa.int64())], schema=schema)

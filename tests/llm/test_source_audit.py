@@ -73,14 +73,35 @@ def test_equals_brute_force(spark, texts, block_bytes, tile, slab):
 
 
 def test_each_distinct_chunk_is_cut_once_and_blocks_hold_every_document(spark, docs):
-    blocks = A.blocks(docs, 3_000)
+    blocks = A.blocks(A.cleaned(docs), 0, 3_000)
     assert blocks.count() > 5
     data = blocks.toArrow()
-    assert sum(len(x) for x in data["langs"].to_pylist()) == docs.count()
+    assert sum(len(x) for x in data["groups"].to_pylist()) == docs.count()
     total = sum(int(A._unpacked(t.as_py())[2].sum()) for t in data["triples"])
     assert total == sum(len(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or "")) for r in docs.collect())
-    plan = A.chunk_terms(blocks)._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("regexp_extract_all") == 1 and "Python" not in plan
+    back, terms = A.chunk_terms(blocks, 0, 3)
+    plan = back._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "CartesianProduct" not in plan
+    # a term that may be kept is never lost to the bound
+    held = Counter()
+    for r in docs.collect():
+        held.update(set(terms_of(r["text"])))
+    assert {t for t, n in held.items() if n >= 3} <= {r["term"] for r in terms.collect()}
+
+
+def test_shared_hashes_start_again(spark, texts, monkeypatch):
+    rows = mixed_rows(texts)
+    tried = []
+    real = A._divergences
+
+    def once(d, seed, *more):
+        tried.append(seed)
+        if not seed:
+            A._checked(spark.createDataFrame([(1, "a"), (1, "b")], "cid long, chunk string"), "cid")
+        return real(d, seed, *more)
+
+    monkeypatch.setattr(A, "_divergences", once)
+    assert found(audited(spark, rows)) == brute(rows) and tried == [0, 1]
 
 
 def test_empty_and_termless(spark, empty_docs):
@@ -91,7 +112,7 @@ def test_empty_and_termless(spark, empty_docs):
 
 def test_probabilities_are_exact_for_very_large_counts(spark):
     n = 3 * 10**15
-    counts = spark.createDataFrame([("en", "a", "t", n), ("en", "a", "u", 5)], "lang string, source string, term string, n long")
+    counts = spark.createDataFrame([("en", "a", 1, n), ("en", "a", 2, 5)], "lang string, source string, tid long, n long")
     groups = spark.sql(f"SELECT 'en' AS lang, 'a' AS source, CAST({n + 5 + 4} AS DECIMAL(38,0)) AS d")
-    got = {r["term"]: r["p"] for r in A.with_p(counts, groups).collect()}
-    assert got == {"t": 1 + 10**9 * (n + 2) // (n + 9), "u": 1 + 10**9 * 7 // (n + 9)}
+    got = {r["tid"]: r["p"] for r in A.with_p(counts, groups).collect()}
+    assert got == {1: 1 + 10**9 * (n + 2) // (n + 9), 2: 1 + 10**9 * 7 // (n + 9)}
