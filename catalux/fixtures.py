@@ -11,6 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from catalux.sources.tables import BASE_TABLES, register_tables
 
+# further hits of a keyword payload: every third one has the first one's title again
+_MORE_HITS = ", ".join(
+    f"""',{{"infoHash":"', sha1(concat(CAST(p_partkey AS STRING), '-{k}')), '","title":"', p_name, '{"" if k % 3 == 0 else f" part {k}"}',
+                '","torrent":{{"name":"', p_name, '{"" if k % 3 == 0 else f" part {k}"}","size":', CAST(p_size * {k} AS STRING), '}}}}'""" for k in range(2, 10))
+
 FIXTURE_SQL: dict[str, str] = {
     "items": """
 SELECT d.doc_id AS id, CAST(d.doc_id AS STRING) AS pg_id, d.text, d.lang, d.source, d.n_chars AS size,
@@ -91,7 +96,8 @@ SELECT p_partkey AS id,
                 CASE WHEN p_partkey % 2 = 0 THEN 'true' ELSE 'false' END, ',"items":[{"infoHash":"', sha1(CAST(p_partkey AS STRING)),
                 '","title":"', p_name, '","contentSource":"', CASE WHEN p_partkey % 3 = 0 THEN 'tmdb' ELSE 'none' END,
                 '","content":{"attributes":[{"key":"', CASE WHEN p_partkey % 5 = 0 THEN 'tmdb_id' ELSE 'poster' END, '","value":"v"}]}',
-                ',"torrent":{"name":"', p_name, '","size":', CAST(p_size AS STRING), '}}]}}}}')
+                ',"torrent":{"name":"', p_name, '","size":', CAST(p_size AS STRING), '}}',
+                """ + _MORE_HITS + """, ']}}}}')
        END AS search_json,
        concat('{"data":{"torrent":{"files":{"totalCount":2,"hasNextPage":false,"items":[{"index":0,"path":"a.mkv","extension":"mkv","size":',
               CAST(p_size AS STRING), ',"updatedAt":"2024-01-01T00:00:00Z"},{"index":1,"path":"b.srt","size":null}]}}}}') AS file_json

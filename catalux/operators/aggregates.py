@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from catalux.functions import fixed
 from catalux.functions.text import strip_ws
 from catalux.operators.filters import missing_enrichment
+from catalux.operators.joins import synced_rows
+from catalux.session import materialize
 from catalux.spec import SourceSpec
 
 
@@ -35,19 +37,25 @@ def string_agg_distinct(c: str, sep: str = " "):
     return F.array_join(F.array_sort(F.collect_set(F.col(c))), sep)
 
 
-def source_status(rows: DataFrame, state: DataFrame, spec: SourceSpec) -> DataFrame:
+def state_counts(state: DataFrame) -> DataFrame:
+    """The state's part of A5: per source rows with a state, newest sync time, errors."""
+    return state.groupBy("source").agg(F.count(F.lit(1)).alias("synced_rows"), F.max("updated_at").alias("last_sync_updated_at"),
+                                       F.count(F.when(F.col("last_error").isNotNull(), 1)).alias("errors"))
+
+
+def source_status(rows: DataFrame, state: DataFrame, spec: SourceSpec, counts: DataFrame | None = None) -> DataFrame:
     """A5 in one pass: per source total, synced, newest source time, newest sync time,
-    newest source time among synced rows, errors."""
+    newest source time among synced rows, errors.  ``counts``: ``state_counts`` where they are kept."""
     st = state.where(F.col("source") == spec.name)
-    s_agg = st.agg(F.count(F.lit(1)).alias("synced_rows"), F.max("updated_at").alias("last_sync_updated_at"),
-                   F.count(F.when(F.col("last_error").isNotNull(), 1)).alias("errors"))
-    keys = st.select(F.col("pg_id").alias("_sid")).distinct()
-    r = rows.select(F.col(spec.id_field).cast("string").alias("_rid"),
+    # one row, also where the source has no state yet
+    s_agg = (counts if counts is not None else state_counts(st)).where(F.col("source") == spec.name).agg(
+        F.coalesce(F.max("synced_rows"), F.lit(0)).alias("synced_rows"), F.max("last_sync_updated_at").alias("last_sync_updated_at"),
+        F.coalesce(F.max("errors"), F.lit(0)).alias("errors"))
+    r = rows.select(F.col(spec.id_field).cast("string").alias("pg_id"),
                     (F.col(spec.updated_at_field) if spec.updated_at_field else F.lit(None).cast("timestamp")).alias("_t"))
-    j = r.join(keys, r["_rid"] == keys["_sid"], "left")
-    r_agg = j.agg(F.count(F.lit(1)).alias("total_rows"), F.max("_t").alias("max_updated_at"),
-                  F.max(F.when(F.col("_sid").isNotNull(), F.col("_t"))).alias("max_synced_updated_at"))
-    return (one_row_join(r_agg, s_agg)
+    r_agg = r.agg(F.count(F.lit(1)).alias("total_rows"), F.max("_t").alias("max_updated_at"))
+    synced = synced_rows(r, st).agg(F.max("_t").alias("max_synced_updated_at"))
+    return (one_row_join(one_row_join(r_agg, synced), s_agg)
             .select(F.lit(spec.name).alias("name"), "total_rows", "synced_rows", "max_updated_at",
                     "last_sync_updated_at", "max_synced_updated_at", "errors"))
 
@@ -78,39 +86,62 @@ def file_list_total(files: DataFrame, parent: str = "parent_id", size: str = "si
                                      F.coalesce(F.sum(F.when(s > 0, s)), F.lit(0.0)).alias("total_size"))
 
 
-def exact_median(df: DataFrame, group, value: str, accuracy: int = 10000, margin: int = 20) -> DataFrame:
+GRID = 500       # steps of the sketch inside a bracket
+PASSES = 8
+
+
+def exact_median(df: DataFrame, group, value: str, accuracy: int = 10000, margin: int = 20, most: int = 1_000_000) -> DataFrame:
     """Exact (interpolated) median per group without buffering a whole group in one task.
 
-    A quantile sketch brackets the median rank within +/- margin/accuracy of
-    the group size.  Values inside the bracket are counted per value (with
-    map-side combining, so ties cost one row), the running counts of these
-    values find the two middle ones, and values below the bracket are only
-    counted.
+    A quantile sketch brackets the two middle ranks within +/- margin/accuracy of the group's size; while a bracket still
+    holds more than ``most`` rows, a sketch of the rows inside it narrows it to a few of its GRID steps.  Values below a
+    bracket are only counted, so the ranks stay exact.  Then the values inside are counted per value (with map-side
+    combining, so ties cost one row) and the running counts of these find the two middle ones.
     """
     group = [group] if isinstance(group, str) else list(group)
     eps = margin / accuracy
-    v = F.col(value).cast("double")
-    base = df.select(*group, v.alias("_v")).where(F.col("_v").isNotNull())
+    base = df.select(*group, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
+
+    def beside(b: DataFrame) -> DataFrame:
+        """Every row of ``base`` with its group's bracket."""
+        own = [c for c in b.columns if c not in group]
+        same = None
+        for c in group:
+            t = F.col(f"base.{c}").eqNullSafe(F.col(f"b.{c}"))
+            same = t if same is None else same & t
+        return base.alias("base").join(b.alias("b"), same).select(*[F.col(f"base.{c}") for c in group], "_v", *own)
+
+    middle = [F.floor((F.col("_n") - 1) / 2), F.ceil((F.col("_n") - 1) / 2)]
     b = base.groupBy(*group).agg(
         F.count(F.lit(1)).alias("_n"),
         F.percentile_approx("_v", [max(0.0, 0.5 - eps), min(1.0, 0.5 + eps)], accuracy).alias("_b"))
-    b = b.select(*group, "_n", F.col("_b")[0].alias("_lo"), F.col("_b")[1].alias("_hi"))
-    same = None
-    for c in group:
-        t = F.col(f"base.{c}").eqNullSafe(F.col(f"b.{c}"))
-        same = t if same is None else same & t
-    j = base.alias("base").join(b.alias("b"), same).select(*[F.col(f"base.{c}") for c in group], "_n", "_lo", "_hi", "_v")
+    b = materialize(b.select(*group, "_n", F.col("_b")[0].alias("_lo"), F.col("_b")[1].alias("_hi")))
+    inside = F.col("_v").between(F.col("_lo"), F.col("_hi"))
+    for _ in range(PASSES):
+        if (b.agg(F.max(F.col("_n") * (2 * eps))).first()[0] or 0) <= most:
+            break       # the first bracket is narrow enough in every group
+        counted = materialize(beside(b).groupBy(*group, "_n", "_lo", "_hi").agg(
+            F.count_if(F.col("_v") < F.col("_lo")).alias("_below"), F.count_if(inside).alias("_in")))
+        is_wide = (F.col("_in") > most) & (F.col("_lo") < F.col("_hi"))
+        if counted.where(is_wide).isEmpty():
+            break
+        sketch = beside(counted.where(is_wide)).where(inside).groupBy(*group, "_n", "_below", "_in").agg(
+            F.percentile_approx("_v", [i / GRID for i in range(GRID + 1)], accuracy).alias("_q"))
+        at = [(m - F.col("_below")) * F.lit(float(GRID)) / (F.col("_in") - 1) for m in middle]
+        low = F.greatest(F.lit(0), F.floor(at[0]) - 1).cast("int")
+        high = F.least(F.lit(GRID), F.ceil(at[1]) + 1).cast("int")
+        narrowed = sketch.select(*group, "_n", F.get("_q", low).alias("_lo"), F.get("_q", high).alias("_hi"))
+        b = materialize(narrowed.unionByName(counted.where(~is_wide).select(*narrowed.columns)))
     # below the bracket one row a group, inside it one a value
     place = F.when(F.col("_v") < F.col("_lo"), F.lit(float("-inf"))).otherwise(F.col("_v"))
-    counts = (j.where(F.col("_v") <= F.col("_hi")).withColumn("_p", place)
+    counts = (beside(b).where(F.col("_v") <= F.col("_hi")).withColumn("_p", place)
               .groupBy(*group, "_n", "_p").agg(F.count(F.lit(1)).alias("_c")))
     upto = F.sum("_c").over(Window.partitionBy(*group).orderBy("_p").rowsBetween(Window.unboundedPreceding, 0))
     run = counts.withColumn("_z", upto)
-    lo, hi = F.floor((F.col("_n") - 1) / 2), F.ceil((F.col("_n") - 1) / 2)
 
-    def at(k):
+    def value_at(k):
         return F.max(F.when((F.col("_z") - F.col("_c") <= k) & (k < F.col("_z")), F.col("_p")))
-    return run.groupBy(*group, "_n").agg(((at(lo) + at(hi)) / 2.0).alias("median")).drop("_n")
+    return run.groupBy(*group, "_n").agg(((value_at(middle[0]) + value_at(middle[1])) / 2.0).alias("median")).drop("_n")
 
 
 def latency_summary(timings: DataFrame, group, value: str) -> DataFrame:

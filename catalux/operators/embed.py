@@ -47,7 +47,8 @@ def _embed_isolated(model, texts: list) -> tuple[pa.Array, list]:
     """
     try:
         vecs = np.asarray(model(texts), dtype=np.float32)
-        return pa.array([v.tolist() for v in vecs], type=pa.list_(pa.float32())), [None] * len(texts)
+        ends = np.arange(len(texts) + 1, dtype=np.int32) * (vecs.shape[1] if len(texts) else 0)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(vecs.reshape(-1))), [None] * len(texts)
     except Exception:  # noqa: BLE001 - isolate the failing rows
         out, errors = [], []
         for t in texts:

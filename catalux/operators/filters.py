@@ -8,7 +8,8 @@ list size.
 
 from __future__ import annotations
 
-import re
+from collections.abc import Callable
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from catalux.functions import fixed
 from catalux.functions.text import col_, extract_code, strip_ws
 
-CJK_RE = re.compile(r"[一-鿿]")
+CJK = r"[\x{4e00}-\x{9fff}]"
 COMPOSITE_ID = r"^(\\x)?[0-9a-f]{40}:\d+$"
 
 
@@ -35,37 +36,43 @@ def strip_chars(c: Column, chars: str = fixed.KEYWORD_STRIP_CHARS) -> Column:
     return F.translate(c, chars, "")
 
 
-def keyword_predicate(query: str, fields, text_field: str, normalize: bool | None = None) -> Column:
-    """any keyword field ILIKE %q% (text field always included); '%' and '_' in q are wildcards.
+@dataclass(frozen=True)
+class TextForm:
+    """One way in which a text holds a keyword: ``fold`` of the text contains ``fold`` of the keyword.
 
-    The normalised branch deletes spaces, dots, brackets and quotes and
-    lower-cases both sides; it is on by option or when q holds CJK.
+    ``asked(keyword, wanted)`` says for which keywords the form is tried (``wanted``: the source's option).
     """
-    names = [f for f in (fields or []) if re.fullmatch(r"[A-Za-z_][A-Za-z0-9_]*", str(f or ""))]
-    if text_field not in names:
-        names.append(text_field)
-    escaped = query.replace("\\", "\\\\")
-    pattern = f"%{escaped}%"
-    nq = "".join(ch for ch in query if ch not in fixed.KEYWORD_STRIP_CHARS).lower()
-    enable = bool(normalize) or bool(CJK_RE.search(query))
-
-    def clause(f):
-        base = F.col(f).ilike(pattern)
-        if not enable or not nq:
-            return base
-        return base | strip_chars(F.lower(F.col(f))).like("%" + nq.replace("\\", "\\\\") + "%")
-    return _or([clause(f) for f in names])
+
+    fold: Callable[[Column], Column]
+    asked: Callable[[Column, bool], Column]
+
+
+AS_WRITTEN = TextForm(F.lower, lambda q, wanted: F.lit(True))
+BARE = TextForm(lambda c: F.lower(strip_chars(c)), lambda q, wanted: F.lit(bool(wanted)) | q.rlike(CJK))
+TEXT_FORMS = (AS_WRITTEN, BARE)
+
+
+def like_pattern(q: Column) -> Column:
+    """'%q%' for LIKE: '%' and '_' of the query stay wildcards, a backslash stands for itself."""
+    return F.concat(F.lit("%"), F.replace(q, F.lit("\\"), F.lit("\\\\")), F.lit("%"))
+
+
+def keyword_predicate(query: str | Column, columns, normalize: bool = False) -> Column:
+    """some column holds the keyword in some text form; '%' and '_' of the keyword are wildcards.
+
+    An empty keyword (also one that a form folds to nothing) is found nowhere.
+    """
+    q = F.lit(query) if isinstance(query, str) else query
+    found = [form.asked(q, normalize) & (form.fold(q) != "") & F.like(form.fold(F.col(c)), like_pattern(form.fold(q)))
+             for form in TEXT_FORMS for c in columns]
+    return F.coalesce(_or(found), F.lit(False))
 
 
 def keyword_filter(df: DataFrame, query: str, fields=None, text_field: str = "title",
-                   normalize: bool | None = None, where: str | None = None) -> DataFrame:
-    """F1/F2 (+F13): rows matching the keyword, AND-ed with the source's own predicate."""
-    if not query:
-        return df.limit(0)
-    pred = keyword_predicate(query, fields, text_field, normalize)
-    if where:
-        pred = pred & F.expr(where)
-    return df.where(pred)
+                   normalize: bool = False, where: str | None = None) -> DataFrame:
+    """F1/F2 (+F13): rows whose keyword fields (those that ``df`` has, and always the text field) hold the keyword."""
+    columns = dict.fromkeys([*(f for f in fields or () if f in df.columns), text_field])
+    return df.where(keyword_predicate(query, columns, normalize) & user_predicate(where))
 
 
 def id_lookup(df: DataFrame, ids: DataFrame, id_col: str = "pg_id", ids_col: str = "id") -> DataFrame:

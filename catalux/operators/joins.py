@@ -150,15 +150,32 @@ def state_score_lookup(hits: DataFrame, state: DataFrame) -> DataFrame:
     return j.withColumn("nsfw_score", F.coalesce(F.col("_score").cast("double"), F.lit(0.0))).drop("_ss", "_sp", "_score")
 
 
+def synced_rows(rows: DataFrame, state: DataFrame, id_col: str = "pg_id") -> DataFrame:
+    """The rows that have a state row (of ``state``'s one source); ids are compared as text."""
+    keys = state.select(F.col("pg_id").alias("_sid"))
+    return rows.join(keys, rows[id_col].cast("string") == keys["_sid"], "left_semi")
+
+
 SCENE_FIELDS = ["tpdb_id", "title", "original_title", "aka", "actors", "tags", "studio", "series", "site",
                 "release_date", "plot", "poster_url"]
 
 
-def scene_fields_attach(rows: DataFrame, scene: DataFrame, content_type: str, content_source: str,
+def scene_fields_attach(rows: DataFrame, scene: DataFrame, content_type: str, content_source: str | Column,
                         id_col: str = "pg_id", fields=SCENE_FIELDS) -> DataFrame:
-    """Attach scene match columns (renamed tpdb_*) by content id within (type, source)."""
-    s = scene.where((F.col("content_type") == content_type) & (F.col("content_source") == content_source))
-    s = s.select(F.col("content_id").alias("_cid"),
+    """Attach scene match columns (renamed tpdb_*) by content id within (type, source).
+
+    ``content_source``: one source's name, or a Column over ``rows`` where they are of several.
+    """
+    s = scene.where(F.col("content_type") == content_type)
+    if isinstance(content_source, str):
+        s = s.where(F.col("content_source") == content_source)
+        content_source = F.lit(content_source)
+    s = s.select(F.col("content_id").alias("_cid"), F.col("content_source").alias("_csrc"),
                  *[F.col(f).alias(f if f.startswith("tpdb_") else f"tpdb_{f}") for f in fields])
-    j = rows.join(s, rows[id_col] == s["_cid"], "left")
-    return j.drop("_cid")
+    return rows.join(s, (rows[id_col] == s["_cid"]) & (content_source == s["_csrc"]), "left").drop("_cid", "_csrc")
+
+
+def refresh_rows(pending: DataFrame, scene: DataFrame, content_type: str, content_source: str | Column, fields=SCENE_FIELDS) -> DataFrame:
+    """Pending rows after enrichment: match fields attached in one join, the hash taken anew from the text."""
+    out = scene_fields_attach(pending, scene, content_type, content_source, fields=fields)
+    return out.withColumn("text_hash", content_md5("text"))

@@ -4,38 +4,50 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from catalux.functions.query import query_tokens
-from catalux.operators.textjoin import contains_join
+from catalux.operators.filters import like_pattern
+from catalux.operators.textjoin import GramIndex, contains_join
+
+
+def film_key() -> Column:
+    """Key of an enrichment row in a gram index."""
+    return F.concat_ws("\u0001", "content_type", "tmdb_id")
+
+
+def title_key() -> Column:
+    """Key of a film content row joined to its enrichment (content id as ``_cid``)."""
+    return F.concat_ws("\u0001", "content_type", "tmdb_id", "_cid")
 
 
 def expansion_candidates(queries: DataFrame, enrich: DataFrame, content: DataFrame, limit: int = 20,
-                         qid: str = "query_id", q: str = "q", film_source: str = "tmdb") -> DataFrame:
+                         qid: str = "query_id", q: str = "q", film_source: str = "tmdb",
+                         film_index: GramIndex | None = None, title_index: GramIndex | None = None) -> DataFrame:
     """UNION ALL of three branches, each limited per query (first rows by enrichment key):
 
     matched      - aka or keywords contain q;
     title_matched - film content title / original title contains q, joined to its enrichment;
     aka_token_matched - aka contains the first ASCII token and the first non-ASCII token of q
                         (each falls back to q itself).
-    Returns (query_id, branch, content_type, tmdb_id, aka, keywords).
+    Returns (query_id, branch, content_type, tmdb_id, aka, keywords).  ``film_index`` / ``title_index``: gram indexes over
+    (aka, keywords) keyed ``film_key`` and over (title, original_title) keyed ``title_key``, where they are kept.
     """
-    fe = enrich.select("content_type", "tmdb_id", "aka", "keywords").withColumn(
-        "_ek", F.concat_ws("\u0001", "content_type", "tmdb_id"))
+    fe = enrich.select("content_type", "tmdb_id", "aka", "keywords").withColumn("_ek", film_key())
     order = [F.asc("content_type"), F.asc("tmdb_id")]
     qs = queries.select(qid, q)
-    b1 = contains_join(qs, qid, q, fe, "_ek", ["aka", "keywords"], limit_per_query=limit, order=order)
+    b1 = contains_join(qs, qid, q, fe, "_ek", ["aka", "keywords"], limit_per_query=limit, order=order, index=film_index)
     c = content.where(F.col("source") == film_source).select(
         F.col("type").alias("_ct"), F.col("id").cast("string").alias("_cid"), "title", "original_title")
     ce = c.join(fe, (c["_ct"] == fe["content_type"]) & (c["_cid"] == fe["tmdb_id"])).withColumn(
-        "_ck", F.concat_ws("\u0001", "content_type", "tmdb_id", "_cid"))
-    b2 = contains_join(qs, qid, q, ce, "_ck", ["title", "original_title"], limit_per_query=limit, order=order)
+        "_ck", title_key())
+    b2 = contains_join(qs, qid, q, ce, "_ck", ["title", "original_title"], limit_per_query=limit, order=order, index=title_index)
     a, o = query_tokens(q)
     qt = qs.select(qid, F.coalesce(a, F.col(q)).alias("_t1"), F.coalesce(o, F.col(q)).alias("_t2"))
     b3 = contains_join(qt, qid, "_t1", fe, "_ek", ["aka"],
-                       extra_pred=F.ilike(F.col("aka"), F.concat(F.lit("%"), F.col("_t2"), F.lit("%"))),
-                       limit_per_query=limit, order=order)
+                       extra_pred=F.ilike(F.col("aka"), like_pattern(F.col("_t2"))),
+                       limit_per_query=limit, order=order, index=film_index)
     cols = [qid, "content_type", "tmdb_id", "aka", "keywords"]
     parts = [b.select(*cols).withColumn("branch", F.lit(n))
              for b, n in ((b1, "matched"), (b2, "title_matched"), (b3, "aka_token_matched"))]

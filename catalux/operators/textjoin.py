@@ -4,90 +4,150 @@ The reference runs one ``ILIKE`` scan per request (with a trigram index
 under it).  A table of queries against a table of rows would be a cross
 product, so this is planned as an exact n-gram index join instead:
 
-1. rows -> distinct (row key, gram) over lower-cased text (the index; it
-   can be written once, bucketed by gram, and reused);
-2. each query keeps the literal run of its pattern ('%' and '_' are
-   wildcards) and picks that run's rarest gram (document frequency from the
-   index, ties by gram);
-3. an equi-join on that gram yields candidates - a superset of the
-   answer, since a match must contain every gram of its literal run;
+1. a gram index of the rows: postings (n, gram, salt, key) for n = 1, 2, 3 over
+   lower-cased text and the frequency of every gram.  ``GramIndex.build``
+   writes it, partitioned by (n, bucket of the gram), for any number of
+   calls; without one, the postings of the call's own grams are derived
+   from the rows;
+2. each query keeps the longest literal run of its pattern ('%' and '_' are
+   wildcards) and picks that run's two rarest grams (of 3 characters, or of
+   the run's length where that is less).  Only grams that some query has are
+   looked up or counted;
+3. an equi-join on (gram, salt) and an intersection yield candidates - a
+   superset of the answer, since a match must contain every gram of its
+   literal run.  The salt spreads a gram that many rows have over tasks;
 4. candidates are verified with the real ``ilike`` on the row.
 
-Literal runs shorter than the gram length use an index of that exact
-length.  Queries with no literal character match every row whose text is
-as long as they ask ('_' is one character, '%' any number); they are joined
-on that length, and their output is the answer itself, cut by
-``limit_per_query`` when given.
+Queries with no literal character match every row whose text is as long as
+they ask ('_' is one character, '%' any number); they are joined on that
+length, and their output is the answer itself, cut by ``limit_per_query``
+when given.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from catalux.operators.filters import like_pattern
+from catalux.session import shared_path
+
 GRAM = 3
+SALTS = 8
+BUCKETS = 16
+PICKS = 2
 
 
-def grams(text_col, n: int):
-    t = F.lower(text_col)
+def grams(text: Column, n: int) -> Column:
+    """Every window of ``n`` characters of the lower-cased text."""
+    t = F.lower(text)
     return F.when(F.length(t) >= n, F.transform(F.sequence(F.lit(1), F.length(t) - (n - 1)),
                                                  lambda i: F.substring(t, i, n))).otherwise(
         F.array().cast("array<string>"))
 
 
-def ngram_index(rows: DataFrame, key: str, text_cols, n: int = GRAM) -> DataFrame:
-    """Distinct (key, gram) over the given text columns.
+def postings(rows: DataFrame, key: str, text_cols, sizes) -> DataFrame:
+    """Distinct (n, gram, _rk) over the given text columns.
 
-    Grams are de-duplicated within each row before the explode, so the index
+    Grams are de-duplicated within each row before the explode, so this
     needs no shuffle (keys are unique per row).
     """
-    per_row = F.array_distinct(F.concat(*[grams(F.col(c), n) for c in text_cols]))
-    return rows.select(F.col(key).alias("_rk"), F.explode(per_row).alias("gram"))
+    def sized(n: int) -> Column:
+        found = F.concat(*[F.coalesce(grams(F.col(c), n), F.array().cast("array<string>")) for c in text_cols])
+        return F.transform(F.array_distinct(found), lambda g: F.struct(F.lit(n).alias("n"), g.alias("gram")))
+
+    per_row = [sized(n) for n in sizes]
+    return rows.select(F.col(key).alias("_rk"), F.explode(F.concat(*per_row)).alias("_g")).select("_g.n", "_g.gram", "_rk")
+
+
+def _salt(key: str, salts: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(salts)).cast("int")
+
+
+@dataclass(frozen=True)
+class GramIndex:
+    """Postings and frequencies of a table's texts; serves any substring join over (some of) those texts."""
 
+    postings: DataFrame        # n, bucket, gram, salt, _rk
+    frequencies: DataFrame     # n, bucket, gram, df
+    salts: int
+    buckets: int
 
-def like_pattern(q):
-    """'%q%' for LIKE: '%' and '_' of the query stay wildcards, a backslash stands for itself."""
-    return F.concat(F.lit("%"), F.replace(q, F.lit("\\"), F.lit("\\\\")), F.lit("%"))
+    @staticmethod
+    def build(rows: DataFrame, key: str, text_cols, path: str | None = None, salts: int = SALTS,
+              buckets: int = BUCKETS) -> "GramIndex":
+        """Write the index of ``rows`` under ``path`` (default: a fresh place in the shared folder).
 
+        A join reads only the folders of its queries' grams.  ``buckets`` and ``salts`` grow with the table: about
+        100 MB of postings a file is a good size.
+        """
+        path = path or shared_path(rows.sparkSession, "gram-index")
+        p = postings(rows, key, text_cols, range(1, GRAM + 1)).withColumn("salt", _salt("_rk", salts)).withColumn(
+            "bucket", F.pmod(F.xxhash64("gram"), F.lit(buckets)).cast("int"))
+        p.repartition("n", "bucket", "salt").write.partitionBy("n", "bucket").parquet(f"{path}/postings")
+        GramIndex._read(rows.sparkSession, f"{path}/postings").groupBy("n", "bucket", "gram").agg(
+            F.count(F.lit(1)).alias("df")).write.partitionBy("n", "bucket").parquet(f"{path}/frequencies")
+        return GramIndex.load(rows.sparkSession, path, salts, buckets)
 
-def _literal_run(pattern_col):
+    @staticmethod
+    def _read(spark, path: str) -> DataFrame:
+        return spark.read.parquet(path)
+
+    @staticmethod
+    def load(spark, path: str, salts: int = SALTS, buckets: int = BUCKETS) -> "GramIndex":
+        return GramIndex(GramIndex._read(spark, f"{path}/postings"), GramIndex._read(spark, f"{path}/frequencies"), salts, buckets)
+
+
+def _literal_run(pattern: Column) -> Column:
     """Longest run of the lower-cased pattern between wildcards (first one on ties)."""
-    pieces = F.split(F.lower(pattern_col), "[%_]")
+    pieces = F.split(F.lower(pattern), "[%_]")
     return F.aggregate(pieces, F.lit(""), lambda acc, x: F.when(F.length(x) > F.length(acc), x).otherwise(acc))
 
 
+def candidates(qs: DataFrame, qid: str, rows: DataFrame, key: str, text_cols, index: GramIndex | None, sizes) -> DataFrame:
+    """(qid, _rk): rows that hold the PICKS rarest grams of the query's literal run ``_lit``."""
+    n = F.least(F.length("_lit"), F.lit(GRAM))
+    pieces = reduce(lambda acc, k: acc.when(n == k, grams(F.col("_lit"), k)), range(2, GRAM + 1), F.when(n == 1, grams(F.col("_lit"), 1)))
+    asked = qs.where(F.length("_lit") > 0).select(qid, n.alias("n"), F.explode(F.array_distinct(pieces)).alias("gram"))
+    salts = index.salts if index else SALTS
+    on = ["n", "gram"]
+    if index:
+        on = ["n", "bucket", "gram"]
+        asked = asked.withColumn("bucket", F.pmod(F.xxhash64("gram"), F.lit(index.buckets)).cast("int"))
+    wanted = asked.select(*on).distinct()
+    if index:
+        own, freq = index.postings, index.frequencies.join(wanted, on, "left_semi")
+    else:
+        own = postings(rows, key, text_cols, sizes).join(wanted, on, "left_semi").withColumn("salt", _salt("_rk", salts))
+        freq = own.groupBy("n", "gram").agg(F.count(F.lit(1)).alias("df"))
+    rarest = Window.partitionBy(qid).orderBy(F.asc("df"), F.asc("gram"))
+    picked = (asked.join(freq, on, "left").withColumn("df", F.coalesce("df", F.lit(0)))
+              .withColumn("_r", F.row_number().over(rarest)).where(F.col("_r") <= PICKS))
+    need = picked.groupBy(qid).agg(F.count(F.lit(1)).alias("_need"))
+    probe = picked.select(qid, *on, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    met = own.join(probe, [*on, "salt"]).groupBy(qid, "_rk").agg(F.count(F.lit(1)).alias("_met"))
+    return met.join(need, qid).where(F.col("_met") == F.col("_need")).select(qid, "_rk")
+
+
 def contains_join(queries: DataFrame, qid: str, q: str, rows: DataFrame, key: str, text_cols,
-                  extra_pred=None, limit_per_query: int | None = None, order=None) -> DataFrame:
+                  extra_pred=None, limit_per_query: int | None = None, order=None, index: GramIndex | None = None) -> DataFrame:
     """Pairs (query columns..., row columns...) where any text column ILIKE '%q%' (and ``extra_pred``).
 
     ``order`` (Columns over row columns) with ``limit_per_query`` keeps the
-    first rows per query after verification.
+    first rows per query after verification.  ``index``: a gram index of the
+    rows over (at least) ``text_cols``.
     """
     text_cols = list(text_cols)
     qs = queries.where(F.col(q).isNotNull() & (F.col(q) != "")).withColumn("_lit", _literal_run(F.col(q)))
     qs = qs.withColumn("_llen", F.length("_lit"))
-    # one small action: which short-gram indexes and whether the wildcard-only branch are needed
-    need = qs.agg(*[F.max((F.col("_llen") == n).cast("int")).alias(f"n{n}") for n in (0, 1, 2)]).first()
-    need = {n: bool(need[f"n{n}"]) for n in (0, 1, 2)}
-    matched = []
-    # 1) queries with a literal run: gram index join, one index per needed length
-    for n in (GRAM, 2, 1):
-        sel = (F.col("_llen") >= GRAM) if n == GRAM else (F.col("_llen") == n)
-        qn = qs.where(sel)
-        if n != GRAM and not need[n]:
-            continue  # no query needs this short index: do not build it
-        idx = ngram_index(rows, key, text_cols, n)
-        dfreq = idx.groupBy("gram").agg(F.count(F.lit(1)).alias("_df"))
-        qg = qn.select(qid, F.explode(F.array_distinct(grams(F.col("_lit"), n))).alias("gram"))
-        w = Window.partitionBy(qid).orderBy(F.asc("_df"), F.asc("gram"))
-        pick = (qg.join(dfreq, "gram", "left").withColumn("_df", F.coalesce("_df", F.lit(0)))
-                .withColumn("_r", F.row_number().over(w)).where(F.col("_r") == 1).select(qid, "gram"))
-        # one gram per query and an index distinct on (row, gram): pairs are already unique
-        cand = pick.join(idx, "gram").select(qid, F.col("_rk"))
-        matched.append(cand)
-    cand = reduce(lambda a, b: a.unionByName(b), matched)
+    # one small action: which gram sizes and whether the wildcard-only branch are needed
+    need = qs.agg(*[F.max((F.least(F.col("_llen"), F.lit(GRAM)) == n).cast("int")).alias(f"n{n}") for n in range(GRAM + 1)]).first()
+    sizes = [n for n in range(1, GRAM + 1) if need[f"n{n}"]] or [GRAM]
+    # 1) queries with a literal run: gram index join
+    cand = candidates(qs, qid, rows, key, text_cols, index, sizes)
     pairs = cand.join(qs.drop("_lit", "_llen"), qid).join(rows, F.col("_rk") == rows[key]).drop("_rk")
     pattern = like_pattern(F.col(q))
     verify = reduce(lambda a, b: a | b, [F.ilike(F.col(c), pattern) for c in text_cols])
@@ -97,14 +157,13 @@ def contains_join(queries: DataFrame, qid: str, q: str, rows: DataFrame, key: st
     # 2) patterns of wildcards only: a text matches by its length alone ('_' asks for one character each), so they
     # are joined on the length they need, one row a needed length and text; the limit is applied like any other
     wild = qs.where(F.col("_llen") == 0).drop("_lit", "_llen")
-    if not need[0]:
+    if not need["n0"]:
         return _limit(found, qid, limit_per_query, order)
     wild = wild.withColumn("_need", F.length(F.col(q)) - F.length(F.replace(F.col(q), F.lit("_"), F.lit(""))))
     asked = wild.select("_need").distinct()
     longest = F.greatest(*[F.coalesce(F.length(F.col(c)), F.lit(-1)) for c in text_cols], F.lit(-1))
-    rows_ok = rows if extra_pred is None else rows.where(extra_pred)
-    rows_ok = rows_ok.withColumn("_len", longest).where(F.col("_len") >= 0)
-    if limit_per_query is not None and order is not None:
+    rows_ok = rows.withColumn("_len", longest).where(F.col("_len") >= 0)
+    if extra_pred is None and limit_per_query is not None and order is not None:
         # of each needed length only the first rows can be answers: one small frame each, never queries x rows
         firsts = [rows_ok.where(F.col("_len") >= r["_need"]).orderBy(*order).limit(limit_per_query)
                   .withColumn("_need", F.lit(r["_need"])) for r in asked.collect()]   # distinct counts of '_' in a query
@@ -113,6 +172,8 @@ def contains_join(queries: DataFrame, qid: str, q: str, rows: DataFrame, key: st
         top = int(asked.agg(F.max("_need")).first()[0])
         met = rows_ok.withColumn("_need", F.explode(F.sequence(F.lit(0), F.least(F.col("_len"), F.lit(top)))))
         wild_pairs = wild.join(met.join(asked, "_need", "left_semi"), "_need").drop("_need", "_len")
+        if extra_pred is not None:      # it may ask about the query as well as the row
+            wild_pairs = wild_pairs.where(extra_pred)
     return _limit(found.unionByName(wild_pairs), qid, limit_per_query, order)
 
 

@@ -122,6 +122,21 @@ def current_snapshot(spark: SparkSession, root: str) -> str | None:
     return max(done) if done else None
 
 
+def mark_done(spark: SparkSession, version: str) -> None:
+    """Put the commit marker into a version folder that is written in several steps."""
+    hpath, fs = _fs(spark, f"{version}/_SUCCESS")
+    fs.create(hpath, True).close()
+
+
+def next_version(spark: SparkSession, root: str) -> str:
+    """A version folder newer than any committed one."""
+    last = current_snapshot(spark, root)
+    stamp = int(time.time() * 1000)
+    if last is not None:
+        stamp = max(stamp, int(last.rstrip("/").rsplit("/v", 1)[1]) + 1)
+    return f"{root}/v{stamp:015d}"
+
+
 def read_snapshot(spark: SparkSession, root: str, empty: DataFrame | None = None) -> DataFrame | None:
     path = current_snapshot(spark, root)
     if path is None:
@@ -137,11 +152,7 @@ def write_snapshot(df: DataFrame, root: str, keys=None, partition_by=None, parti
     set (later joins on the key read co-located files).  With ``retain``,
     only that many of the newest versions stay.
     """
-    last = current_snapshot(df.sparkSession, root)
-    stamp = int(time.time() * 1000)
-    if last is not None:
-        stamp = max(stamp, int(last.rstrip("/").rsplit("/v", 1)[1]) + 1)
-    version = f"{root}/v{stamp:015d}"
+    version = next_version(df.sparkSession, root)
     out = df
     if keys:
         out = out.repartition(partitions, *keys) if partitions else out.repartition(*keys)

@@ -1,45 +1,51 @@
-"""Exact vector top-k (V1-V6, V9).
-
-Plan shape: the points table stays partitioned where it lies.  Query
-vectors are broadcast in blocks whose size is checked against
-``max_block_bytes``; each task scores its Arrow batches of points against
-the block with one matrix product (more blocks are run one after the other,
-each written and released before the next) and keeps, per query, only its best k
-under the total order (rounded score desc, key columns asc).  Spark then
-shuffles at most ``partitions x queries x k`` rows on ``query_id`` and a
-``row_number() <= k`` window picks the final k.  No cross join is planned
-and no point row leaves its task unless it is a candidate.
-
-Per-query metadata filters are applied inside the kernel as a boolean mask
-over bitsets and codes of the block's own filter words (any number of
-them), so a filtered query never ranks a point it may not return.  A point
-vector of another length than the queries' fails the job; a NULL vector is
-never a hit.
+"""Exact vector top-k (V1-V6, V9) as a grid join.
+
+Points and queries are cut into blocks by a hash of their keys; the pair of
+block numbers is the join key, each point block is sent once for every query
+block and each query block once for every point block (fragment and
+replicate), and a cogroup scores one block against another with one matrix
+product.  It keeps, per query, the block's best k and whatever ties with the
+k-th; a ``row_number() <= k`` window over (rounded score desc, key columns
+asc) picks the final k.  Neither side passes the driver, a cell holds at most
+``POINT_ROWS x QUERY_ROWS`` scores, and with few queries (one block of them)
+each point is shuffled once.
+
+Filters that differ from query to query are a relation: queries of equal
+filters share a signature, points are joined to the signatures they satisfy
+(equi-join on one word of the signature, the rest as a predicate), and the
+grid is formed inside a signature.  So a filtered query never meets a point
+it may not return.  An inverted file (``ivf``) adds its cell to that key in
+the same way.  A point vector of another length than the queries' fails the
+job; a NULL vector is never a hit.
 """
 
 from __future__ import annotations
 
-import math
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from catalux.operators.filters import has_external_id
-from catalux.session import materialize
+from catalux.session import shared_path
 
 SCORE_DECIMALS = 6
 METRICS = ("cosine", "dot", "l2")
+POINT_ROWS, QUERY_ROWS = 8_192, 512      # of a block
+LEAST_ROWS = 256                         # no more blocks than this asks for, however many cores there are
 
-# Query-side filter columns understood by the kernel.
+# Query-side filter columns that name a query's filters.
 Q_FILE_TYPE, Q_AUDIO, Q_SUB, Q_GENRE, Q_HAS_EXT, Q_SIZE_MIN = (
     "f_file_type", "f_audio", "f_sub", "f_genre", "f_has_ext", "f_size_min")
 # Point-side payload columns the filters compare against.
 P_FILE_TYPE, P_AUDIO, P_SUB, P_GENRE, P_HAS_EXT, P_SIZE = (
     "c_file_type", "c_audio", "c_sub", "c_genre", "c_has_ext", "c_size")
-LIST_FILTERS = ((Q_AUDIO, P_AUDIO), (Q_SUB, P_SUB), (Q_GENRE, P_GENRE))
+LIST_FILTERS = ((Q_GENRE, P_GENRE), (Q_AUDIO, P_AUDIO), (Q_SUB, P_SUB))
+Q_FILTERS = (Q_FILE_TYPE, Q_GENRE, Q_AUDIO, Q_SUB, Q_HAS_EXT, Q_SIZE_MIN)
+P_FILTERS = (P_FILE_TYPE, P_GENRE, P_AUDIO, P_SUB, P_HAS_EXT, P_SIZE)
 
 
 def point_codes(points: DataFrame, file_type="file_type", audio="audio_langs", subs="subtitle_langs",
@@ -73,285 +79,142 @@ def query_codes(queries: DataFrame, file_type=None, audio=None, subs=None, genre
     )
 
 
-def _list_bits(arr: pa.Array, vocab: list) -> np.ndarray:
-    """Per row, the vocabulary words of a list<string> column as a bitset of as many 64-bit words as it takes."""
-    import pyarrow.compute as pc
-    n = len(arr)
-    out = np.zeros((n, max(1, -(-len(vocab) // 64))), dtype=np.uint64)
-    if not vocab or n == 0:
-        return out
-    if isinstance(arr, pa.ChunkedArray):
-        arr = arr.combine_chunks()
-    lengths = np.nan_to_num(arr.value_lengths().to_numpy(zero_copy_only=False), nan=0).astype(np.int64)
-    idx = pc.fill_null(pc.index_in(arr.flatten(), value_set=pa.array(vocab, type=pa.string())), -1).to_numpy()
-    row, known = np.repeat(np.arange(n), lengths), idx >= 0
-    bit = np.left_shift(np.uint64(1), (idx[known] % 64).astype(np.uint64))
-    np.bitwise_or.at(out, (row[known], idx[known] // 64), bit)
-    return out
-
-
-def _scores(qmat: np.ndarray, x: np.ndarray, metric: str, qnorm2: np.ndarray) -> np.ndarray:
-    if metric == "cosine":
-        xn = np.linalg.norm(x, axis=1)
-        xn[xn == 0] = np.nan
-        return (qmat @ x.T) / xn[None, :]  # qmat rows are unit length already
-    if metric == "dot":
-        return qmat @ x.T
-    # negative squared euclidean distance
-    return -(qnorm2[:, None] + np.einsum("ij,ij->i", x, x)[None, :] - 2.0 * (qmat @ x.T))
-
-
-MAX_SCORE_CELLS = 8_000_000   # query x point scores held at once per task
-
-
-def _make_kernel(bc, k: int, metric: str, key_cols: list[str], vec_col: str, use_filters: bool,
-                 out_schema: T.StructType, cell_col: str | None = None):
-    def kernel(batches):
-        blk = bc.value
-        qids, qmat, dim = blk["ids"], blk["mat"], blk["dim"]
-        qnorm2 = np.einsum("ij,ij->i", qmat, qmat) if metric == "l2" else None
-        nq = len(qids)
-        probes = blk.get("probes")          # cell -> query indices (IVF mode)
-        best_s = np.full((nq, 0), -np.inf)
-        best_k = [np.empty((nq, 0), dtype=object) for _ in key_cols]
-        chunk = max(1, MAX_SCORE_CELLS // max(nq, 1))
-        for rb_all in batches:
-            for start in range(0, rb_all.num_rows, chunk):
-                rb = rb_all.slice(start, chunk)
-                n = rb.num_rows
-                if n == 0 or nq == 0:
-                    continue
-                vec = rb.column(rb.schema.get_field_index(vec_col))
-                lengths = np.nan_to_num(vec.value_lengths().to_numpy(zero_copy_only=False), nan=-1).astype(np.int64)
-                valid = lengths == dim
-                if (wrong := lengths[(lengths >= 0) & ~valid]).size:
-                    raise ValueError(f"embedding dim mismatch: a point of {wrong[0]}, queries of {dim}")
-                if not valid.any():
-                    continue
-                idx = np.nonzero(valid)[0]
-                x = np.zeros((n, dim))
-                x[idx] = np.asarray(vec.take(pa.array(idx)).flatten().to_numpy(zero_copy_only=False),
-                                    dtype=np.float64).reshape(len(idx), dim)
-                if probes is None:
-                    s = np.round(_scores(qmat, x, metric, qnorm2), SCORE_DECIMALS)
-                else:
-                    s = np.full((nq, n), np.nan)
-                    cells = rb.column(rb.schema.get_field_index(cell_col)).to_numpy(zero_copy_only=False)
-                    for c in np.unique(cells):
-                        qi = probes.get(int(c))
-                        if qi is None:
-                            continue
-                        rows = np.nonzero(cells == c)[0]
-                        sub = _scores(qmat[qi], x[rows], metric, None if qnorm2 is None else qnorm2[qi])
-                        s[np.ix_(qi, rows)] = np.round(sub, SCORE_DECIMALS)
-                ok = np.broadcast_to(valid[None, :], s.shape).copy()
-                if use_filters:
-                    ok &= _filter_mask(blk, rb, nq, n)
-                s = np.where(ok & ~np.isnan(s), s, -np.inf)
-                keys = [rb.column(rb.schema.get_field_index(c)) for c in key_cols]
-                best_s, best_k = _merge_best(best_s, best_k, s, keys, k, nq, n)
-        if best_s.size == 0:
-            return
-        rr, cc = np.nonzero(np.isfinite(best_s))
-        if len(rr) == 0:
-            return
-        cols = {"query_id": qids[rr], "score": best_s[rr, cc]}
-        for name, b in zip(key_cols, best_k):
-            cols[name] = b[rr, cc]
-        yield pa.RecordBatch.from_pydict(
-            {f.name: pa.array(list(cols[f.name]) if f.name != "score" else cols[f.name],
-                              type=_arrow_type(f.dataType)) for f in out_schema.fields})
-    return kernel
-
-
-def _merge_best(best_s, best_k, s, keys, k, nq, n):
-    """Merge a chunk's candidates into the running best k per query (total order, ties kept exact)."""
-    m = min(k, n)
-    part = np.argpartition(-s, m - 1, axis=1)[:, :m] if m < n else np.tile(np.arange(n), (nq, 1))
-    kth = np.take_along_axis(s, part, axis=1).min(axis=1)
-    rows, cols = np.nonzero(s >= kth[:, None])
-    cand_s = s[rows, cols]
-    keep = np.isfinite(cand_s)
-    rows, cols, cand_s = rows[keep], cols[keep], cand_s[keep]
-    all_rows = np.concatenate([np.repeat(np.arange(nq), best_s.shape[1]), rows])
-    all_s = np.concatenate([best_s.ravel(), cand_s])
-    # only candidates' keys leave Arrow
-    used, place = np.unique(cols, return_inverse=True)
-    all_k = [np.concatenate([bk.ravel(), np.asarray([*kk.take(pa.array(used)).to_pylist(), None], dtype=object)[:-1][place]])
-             for bk, kk in zip(best_k, keys)]
-    fin = np.isfinite(all_s)
-    all_rows, all_s, all_k = all_rows[fin], all_s[fin], [a[fin] for a in all_k]
-    order = _total_order(all_rows, all_s, all_k)
-    all_rows, all_s, all_k = all_rows[order], all_s[order], [a[order] for a in all_k]
-    first = np.r_[0, np.nonzero(np.diff(all_rows))[0] + 1]
-    rank = np.arange(len(all_rows)) - np.repeat(first, np.diff(np.r_[first, len(all_rows)]))
-    sel = rank < k
-    all_rows, all_s, rank = all_rows[sel], all_s[sel], rank[sel]
-    all_k = [a[sel] for a in all_k]
-    new_s = np.full((nq, k), -np.inf)
-    new_s[all_rows, rank] = all_s
-    new_k = []
-    for a in all_k:
-        b = np.full((nq, k), None, dtype=object)
-        b[all_rows, rank] = a
-        new_k.append(b)
-    return new_s, new_k
-
-
-def _total_order(rows, scores, keys):
-    """Indices ordering by (query row, score desc, key columns asc)."""
-    ranks = [_rank_values(k) for k in keys]
-    return np.lexsort(tuple(reversed(ranks)) + (-scores, rows))
-
-
-def _rank_values(a: np.ndarray) -> np.ndarray:
-    """Dense ranks in Spark's ascending order (NULL first, numbers numerically)."""
-    if len(a) and all(isinstance(v, (int, np.integer)) for v in a):
-        return a.astype(np.int64)
-    keys = np.asarray(["" if v is None else str(v) for v in a])
-    nulls = np.asarray([v is None for v in a])
-    _, inv = np.unique(keys, return_inverse=True)
-    return np.where(nulls, -1, inv)
-
-
-def _arrow_type(dt: T.DataType):
-    if isinstance(dt, T.LongType):
-        return pa.int64()
-    if isinstance(dt, T.IntegerType):
-        return pa.int32()
-    if isinstance(dt, T.DoubleType):
-        return pa.float64()
-    return pa.string()
-
-
-def _filter_mask(blk, rb, nq, n) -> np.ndarray:
-    def column(name):
-        return rb.column(rb.schema.get_field_index(name))
-    f = blk["filters"]
-    ok = np.ones((nq, n), dtype=bool)
-    ftq = f["file_type"]
-    has_ft = np.asarray([v is not None and v != "" for v in ftq])
-    if has_ft.any():
-        import pyarrow.compute as pc
-        known = sorted({v for v in ftq if v})
-        code = pc.fill_null(pc.index_in(column(P_FILE_TYPE), value_set=pa.array(known, pa.string())), -1).to_numpy()
-        want = np.asarray([known.index(v) if v else -2 for v in ftq])
-        ok &= ~has_ft[:, None] | (code[None, :] == want[:, None])
-    for qname, pname in LIST_FILTERS:
-        qb, vocab = f[qname]
-        if qb.any():
-            pb = _list_bits(column(pname), vocab)
-            shared = np.zeros((nq, n), dtype=bool)
-            for word in range(qb.shape[1]):
-                shared |= (qb[:, None, word] & pb[None, :, word]) != 0
-            ok &= ~qb.any(axis=1)[:, None] | shared
-    if f["has_ext"].any():
-        has_ext = column(P_HAS_EXT).to_numpy(zero_copy_only=False).astype(bool)
-        ok &= ~f["has_ext"][:, None] | has_ext[None, :]
-    smin = f["size_min"]
-    if (~np.isnan(smin)).any():
-        size = column(P_SIZE).to_numpy(zero_copy_only=False).astype(np.float64)
-        with np.errstate(invalid="ignore"):
-            ok &= np.isnan(smin)[:, None] | (size[None, :] >= smin[:, None])
-    return ok
-
-
-def _collect_block(block: DataFrame, qid: str, qvec: str, metric: str, use_filters: bool,
-                   probes_col: str | None = None) -> dict:
-    cols = [qid, qvec] + ([Q_FILE_TYPE, Q_AUDIO, Q_SUB, Q_GENRE, Q_HAS_EXT, Q_SIZE_MIN] if use_filters else []) \
-        + ([probes_col] if probes_col else [])
-    tbl = block.select(*cols).toArrow()
-    ids = np.asarray(tbl.column(qid).to_pylist())
-    vecs = tbl.column(qvec).combine_chunks()
-    lengths = np.nan_to_num(vecs.value_lengths().to_numpy(zero_copy_only=False).astype(np.float64), nan=-1)
-    dims = set(lengths[lengths >= 0].astype(np.int64).tolist())
-    if len(dims) > 1:
-        raise ValueError(f"query vectors of mixed dimensions {sorted(dims)}")
-    dim = dims.pop() if dims else 0
-    keep = lengths == dim
-    rows = np.nonzero(keep)[0]
-    mat = np.asarray(vecs.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False),
-                     dtype=np.float64).reshape(len(rows), dim)
-    ids = ids[keep]
+# --- filters as a relation ---------------------------------------------------
+
+def _with_signature(queries: DataFrame) -> DataFrame:
+    """``queries`` with ``_sig``, a text that is equal where all filters are equal."""
+    plain = [F.nullif(F.col(Q_FILE_TYPE), F.lit("")).alias(Q_FILE_TYPE)]
+    plain += [F.when(F.size(q) > 0, F.array_sort(F.array_distinct(F.array_compact(q)))).alias(q) for q, _ in LIST_FILTERS]
+    plain += [F.when(F.col(Q_HAS_EXT), F.lit(True)).alias(Q_HAS_EXT), F.col(Q_SIZE_MIN)]
+    return queries.withColumn("_sig", F.to_json(F.struct(*plain)))
+
+
+def _words(file_type: str, lists) -> list[Column]:
+    """One array a filter column of 'column:word' texts."""
+    return [F.array_compact(F.array(F.concat(F.lit("t:"), F.nullif(F.col(file_type), F.lit("")))))] + \
+        [F.transform(F.coalesce(F.array_compact(c), F.array().cast("array<string>")), _tagger(f"{i}:")) for i, c in enumerate(lists)]
+
+
+def _tagger(tag: str):
+    return lambda w: F.concat(F.lit(tag), w)
+
+
+def allowed(points: DataFrame, queries: DataFrame) -> DataFrame:
+    """Points with the ``_sig`` of every filter combination of ``queries`` that they satisfy (one row a pair).
+
+    A signature is found through one of its filters, the first that it has: the point has one of that filter's words.
+    Where it has several of them, the first one counts.  Signatures without such a filter are found through '*'.
+    """
+    sigs = queries.select("_sig", *Q_FILTERS).dropDuplicates(["_sig"])
+    any_word = F.array(F.lit("*"))
+    first = any_word
+    for words in reversed(_words(Q_FILE_TYPE, [q for q, _ in LIST_FILTERS])):
+        first = F.when(F.size(words) > 0, F.array_distinct(words)).otherwise(first)
+    sigs = sigs.withColumn("_via", first).withColumn("_word", F.explode("_via"))
+    own = F.array_distinct(F.concat(any_word, *_words(P_FILE_TYPE, [p for _, p in LIST_FILTERS])))
+    met = points.withColumn("_own", own).withColumn("_word", F.explode("_own"))
+    ok = F.element_at(F.array_intersect("_via", "_own"), 1) == F.col("_word")
+    ok &= (F.coalesce(F.col(Q_FILE_TYPE), F.lit("")) == "") | F.col(P_FILE_TYPE).eqNullSafe(F.col(Q_FILE_TYPE))
+    for q, p in LIST_FILTERS:
+        ok &= (F.coalesce(F.size(F.array_compact(q)), F.lit(0)) <= 0) | F.coalesce(F.arrays_overlap(F.col(p), F.col(q)), F.lit(False))
+    ok &= ~F.col(Q_HAS_EXT) | F.col(P_HAS_EXT)
+    ok &= F.col(Q_SIZE_MIN).isNull() | F.coalesce(F.col(P_SIZE) >= F.col(Q_SIZE_MIN), F.lit(False))
+    return met.join(sigs, "_word").where(ok).drop("_word", "_own", "_via", *Q_FILTERS)
+
+
+# --- the grid ----------------------------------------------------------------
+
+def _matrix(vectors: pa.ChunkedArray, dim: int | None) -> np.ndarray:
+    """Rows of a list column as float64, all of one length."""
+    arr = vectors.combine_chunks() if isinstance(vectors, pa.ChunkedArray) else vectors
+    lengths = np.unique(arr.value_lengths().to_numpy(zero_copy_only=False))
+    dim = int(lengths[0]) if dim is None else dim
+    if (wrong := lengths[lengths != dim]).size:
+        raise ValueError(f"embedding dim mismatch: a vector of {wrong[0]}, others of {dim}")
+    return arr.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(arr), dim)
+
+
+def _scores(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
+    if metric == "l2":      # negative squared euclidean distance
+        return -(np.einsum("ij,ij->i", q, q)[:, None] + np.einsum("ij,ij->i", x, x)[None, :] - 2.0 * (q @ x.T))
     if metric == "cosine":
-        nrm = np.linalg.norm(mat, axis=1)
-        nrm[nrm == 0] = np.nan
-        mat = mat / nrm[:, None]
-    blk = {"ids": ids, "mat": mat, "dim": dim}
-    if probes_col:
-        cell_to_q: dict[int, list] = {}
-        kept = [p for p, kk in zip(tbl.column(probes_col).to_pylist(), keep) if kk]
-        for i, cells in enumerate(kept):
-            for c in cells or []:
-                cell_to_q.setdefault(int(c), []).append(i)
-        blk["probes"] = {c: np.asarray(v, dtype=np.int64) for c, v in cell_to_q.items()}
-    if use_filters:
-        def arr(name, conv):
-            return np.asarray([conv(v) for v, k in zip(tbl.column(name).to_pylist(), keep) if k])
-        filt = {
-            "file_type": np.asarray([v for v, k in zip(tbl.column(Q_FILE_TYPE).to_pylist(), keep) if k], dtype=object),
-            "has_ext": arr(Q_HAS_EXT, bool).astype(bool),
-            "size_min": arr(Q_SIZE_MIN, lambda v: np.nan if v is None else v).astype(np.float64),
-        }
-        for qname, _ in LIST_FILTERS:
-            lists = [v or [] for v, k in zip(tbl.column(qname).to_pylist(), keep) if k]
-            vocab = sorted({w for lst in lists for w in lst if w is not None})
-            qb = _list_bits(pa.array(lists, pa.list_(pa.string())), vocab)
-            filt[qname] = (qb, vocab)
-        blk["filters"] = filt
-    return blk
+        q, x = (m / np.where(n == 0, np.nan, n)[:, None] for m, n in ((q, np.linalg.norm(q, axis=1)), (x, np.linalg.norm(x, axis=1))))
+    return q @ x.T
+
+
+def _block_best(k: int, metric: str, key_cols: list[str], vec_col: str, qid: str, qvec: str, schema: pa.Schema):
+    """Cogroup function: a block of points and a block of queries -> each query's best k there, and ties of the k-th."""
+    def best(points: pa.Table, queries: pa.Table) -> pa.Table:
+        if not points.num_rows or not queries.num_rows:
+            return schema.empty_table()
+        q = _matrix(queries[qvec], None)
+        x = _matrix(points[vec_col], q.shape[1])
+        s = np.round(_scores(q, x, metric), SCORE_DECIMALS)
+        s[np.isnan(s)] = -np.inf
+        m = min(k, s.shape[1])
+        least = -np.partition(-s, m - 1, axis=1)[:, m - 1]
+        row, col = np.nonzero((s >= least[:, None]) & np.isfinite(s))
+        out = [queries[qid].take(pa.array(row)), *[points[c].take(pa.array(col)) for c in key_cols], pa.array(s[row, col])]
+        return pa.table([c.cast(f.type) for c, f in zip(out, schema)], schema=schema)
+    return best
+
+
+def _blocks(n: Column, rows: int) -> Column:
+    return F.greatest(F.lit(1), F.ceil(n / F.lit(float(rows)))).cast("int")
 
 
 def knn(points: DataFrame, queries: DataFrame, k: int, metric: str = "cosine",
         key_cols=("source", "pg_id"), vec_col: str = "embedding", qid: str = "query_id",
-        qvec: str = "qvec", use_filters: bool = False, max_block_bytes: int = 64 << 20,
-        cell_col: str | None = None, probes_col: str | None = None) -> DataFrame:
-    """Top-k points per query: (query_id, key columns..., score, rank).
+        qvec: str = "qvec", use_filters: bool = False, route: str | None = None, point_counts: DataFrame | None = None,
+        point_rows: int = POINT_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
+    """Top-k points per query: (query id, key columns..., score, rank).
 
     ``score`` is cosine similarity, dot product or negative squared L2
     distance, rounded to 6 decimals; ties are broken by the key columns.
+    ``use_filters``: columns of ``point_codes`` and ``query_codes`` restrict each query's points.  ``route``: a column of
+    both sides that must be equal for a point to be scored (a query may stand in several rows, with different routes);
+    ``point_counts`` (route, n) tells how many points each route has, where that is known.
     """
     if metric not in METRICS:
         raise ValueError(f"metric must be one of {METRICS}")
-    spark = points.sparkSession
     key_cols = list(key_cols)
-    stats = queries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(qvec)).alias("d")).first()
-    nq, dim = int(stats["n"] or 0), int(stats["d"] or 0)
-    per_query = max(dim, 1) * 8 + (64 if use_filters else 0) + 16
-    nblocks = max(1, math.ceil(nq * per_query / max_block_bytes))
-    pcols = key_cols + [vec_col] + ([P_FILE_TYPE, P_AUDIO, P_SUB, P_GENRE, P_HAS_EXT, P_SIZE] if use_filters else []) \
-        + ([cell_col] if cell_col else [])
-    pts = points.select(*pcols)
-    qid_type = queries.schema[qid].dataType
-    out_schema = T.StructType(
-        [T.StructField("query_id", qid_type if isinstance(qid_type, (T.LongType, T.IntegerType)) else T.StringType())]
-        + [T.StructField(c, T.StringType() if not isinstance(points.schema[c].dataType, (T.LongType, T.IntegerType))
-                         else points.schema[c].dataType) for c in key_cols]
-        + [T.StructField("score", T.DoubleType())])
-    parts = []
-    for b in range(nblocks):
-        block = queries if nblocks == 1 else queries.where(
-            F.pmod(F.xxhash64(F.col(qid)), F.lit(nblocks)) == b)
-        blk = _collect_block(block, qid, qvec, metric, use_filters, probes_col)
-        if len(blk["ids"]) == 0:
-            continue
-        bc = spark.sparkContext.broadcast(blk)
-        kern = _make_kernel(bc, k, metric, key_cols, vec_col, use_filters, out_schema, cell_col)
-        part = pts.mapInArrow(kern, out_schema)
-        if nblocks > 1:
-            # one block at a time: its best rows are written, then its query vectors are released everywhere
-            part = materialize(part)
-            bc.destroy()
-        parts.append(part)
-    if not parts:
-        return spark.createDataFrame([], out_schema.add("rank", T.IntegerType()))
-    cand = parts[0]
-    for p in parts[1:]:
-        cand = cand.unionByName(p)
-    if qid != "query_id":
-        cand = cand.withColumnRenamed("query_id", qid)
+    routes = [route] if route else []
+    q = queries.where(F.col(qvec).isNotNull())
+    p = points.where(F.col(vec_col).isNotNull())
+    q = q.select(qid, qvec, *routes, *(Q_FILTERS if use_filters else ()))
+    p = p.select(*key_cols, vec_col, *routes, *(P_FILTERS if use_filters else ()))
+    if use_filters:
+        q = _with_signature(q)
+        p = allowed(p, q)
+        routes = [*routes, "_sig"]
+    p, q = p.select(*routes, *key_cols, vec_col), q.select(*routes, qid, qvec)
+    spark = points.sparkSession
+    if routes:
+        # block numbers by the size of each route
+        size = q.groupBy(*routes).agg(_blocks(F.count(F.lit(1)), query_rows).alias("_qn"))
+        counts = point_counts if point_counts is not None and not use_filters else p.groupBy(*routes).agg(F.count(F.lit(1)).alias("n"))
+        size = size.join(counts.select(*routes, _blocks(F.col("n"), point_rows).alias("_pn")), routes)
+        p, q = p.join(size, routes), q.join(size, routes)
+    else:
+        n_points, n_queries = p.count(), q.count()
+        least = min(spark.sparkContext.defaultParallelism, -(-n_points // LEAST_ROWS))
+        sizes = {"_pn": max(1, least, -(-n_points // point_rows)), "_qn": max(1, -(-n_queries // query_rows))}
+        p, q = (df.withColumns({c: F.lit(n) for c, n in sizes.items()}) for df in (p, q))
+    p = p.withColumn("_pb", F.pmod(F.xxhash64(*key_cols), F.col("_pn")).cast("int")).withColumn(
+        "_qb", F.explode(F.sequence(F.lit(0), F.col("_qn") - 1)))
+    q = q.withColumn("_qb", F.pmod(F.xxhash64(qid), F.col("_qn")).cast("int")).withColumn(
+        "_pb", F.explode(F.sequence(F.lit(0), F.col("_pn") - 1)))
+    cell = [*routes, "_pb", "_qb"]
+    # names of their own on the query side, so that both sides may derive from one table
+    q = q.select(*[F.col(c).alias(f"q{c}") for c in cell], F.col(qid).alias("_id"), F.col(qvec).alias("_qv"))
+    out = T.StructType([T.StructField(qid, queries.schema[qid].dataType), *[T.StructField(c, points.schema[c].dataType) for c in key_cols],
+                        T.StructField("score", T.DoubleType())])
+    from pyspark.sql.pandas.types import to_arrow_schema
+    kernel = _block_best(k, metric, key_cols, vec_col, "_id", "_qv", to_arrow_schema(out))
+    found = (p.select(*cell, *key_cols, vec_col).groupBy(*cell).cogroup(q.groupBy(*[f"q{c}" for c in cell]))
+             .applyInArrow(kernel, out))
     w = Window.partitionBy(qid).orderBy(F.desc("score"), *[F.asc(c) for c in key_cols])
-    return cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def dim_check(points: DataFrame, dim: int, vec_col: str = "embedding") -> DataFrame:
@@ -364,3 +227,29 @@ def assert_dim(points: DataFrame, dim: int, vec_col: str = "embedding") -> DataF
     return points.withColumn(
         "_dim_ok", F.assert_true(F.size(vec_col) == dim, F.lit(f"embedding dim mismatch, expected {dim}"))
     ).drop("_dim_ok")
+
+
+@dataclass(frozen=True)
+class Checked:
+    """Vectors of the right length, the others set aside, and the figures of the pass that told them apart."""
+
+    good: DataFrame
+    quarantine: DataFrame
+    figures: dict
+
+
+def checked(points: DataFrame, dim: int, path: str | None = None, vec_col: str = "embedding") -> Checked:
+    """V9 without stopping the job: one pass writes good and wrong vectors apart and counts both on the way.
+
+    ``path`` (default: a fresh place in the shared folder) holds ``ok=true`` and ``ok=false``; the latter, the quarantine,
+    carries ``dim_found`` (-1: NULL vector).
+    """
+    path = path or shared_path(points.sparkSession, "checked")
+    found = F.coalesce(F.size(vec_col), F.lit(-1))
+    seen = Observation("dim_check")
+    marked = points.withColumn("dim_found", found).withColumn("ok", F.col("dim_found") == dim).observe(
+        seen, F.count(F.lit(1)).alias("rows"), F.count_if(F.col("ok")).alias("good"), F.count_if(~F.col("ok")).alias("wrong"),
+        F.count_if(F.col("dim_found") == -1).alias("missing"))
+    marked.write.partitionBy("ok").parquet(path)
+    back = points.sparkSession.read.schema(marked.schema).parquet(path)
+    return Checked(back.where("ok").select(*points.columns), back.where("NOT ok").select(*points.columns, "dim_found"), seen.get)

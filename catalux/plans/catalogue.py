@@ -32,9 +32,9 @@ def item_detail(keys: DataFrame, film: DataFrame, image_base: str, key_type: str
 
 
 def sync_status(rows_by_source: dict, state: DataFrame, content: DataFrame, film: DataFrame,
-                specs: dict[str, SourceSpec], film_source: str = "tmdb") -> DataFrame:
-    """One status row per source (A5) with the film enrichment status (A6) alongside."""
-    per_source = [A.source_status(rows_by_source[name], state, spec) for name, spec in specs.items()]
+                specs: dict[str, SourceSpec], film_source: str = "tmdb", counts: DataFrame | None = None) -> DataFrame:
+    """One status row per source (A5) with the film enrichment status (A6) alongside; ``counts`` as in A5."""
+    per_source = [A.source_status(rows_by_source[name], state, spec, counts) for name, spec in specs.items()]
     src = reduce(lambda a, b: a.unionByName(b), per_source)
     enr = A.enrichment_status(content, film, film_source)
     # ``enr`` is a single row: a constant-key join puts it beside every source row

@@ -20,7 +20,8 @@ from catalux.functions import fixed
 from catalux.operators import vector as V
 from catalux.operators.aggregates import expansion_terms
 from catalux.operators.embed import HASH_DIM, embed_frame
-from catalux.operators.filters import has_external_id, size_min_filter, strip_chars
+from catalux.operators.filters import TEXT_FORMS, has_external_id, select_sources, size_min_filter, user_predicate
+from catalux.operators.joins import configured_join
 from catalux.operators import ranking as R
 from catalux.operators.ranking import dedupe_hits_by_hash, dedupe_results_by_title
 from catalux.operators.sets import expansion_candidates, hybrid_merge
@@ -81,16 +82,17 @@ def _metadata(rows: DataFrame, id_field: str, text_field: str) -> Column:
 def semantic_search(queries: DataFrame, points: DataFrame, rows: DataFrame, p: SearchParams,
                     film: DataFrame | None = None, content: DataFrame | None = None,
                     qvec: str | None = None, make_embedder=None, dim: int | None = None,
-                    cross_language: bool = True) -> DataFrame:
-    """E1.  ``queries``: (query_id, q[, qvec]); ``points``: vectors + payload; ``rows``:
-    (source, pg_id, title, size...) of every configured source."""
-    return semantic_pages(queries, points, rows, p, film, content, qvec, make_embedder, dim, cross_language)[0]
+                    cross_language: bool = True, svec: str | None = None) -> DataFrame:
+    """E1.  ``queries``: (query_id, q[, qvec, svec]); ``points``: vectors + payload; ``rows``:
+    (source, pg_id, title, size...) of every configured source.  ``qvec`` / ``svec`` name given vectors of the query and
+    of its English form; without them the texts are embedded."""
+    return semantic_pages(queries, points, rows, p, film, content, qvec, make_embedder, dim, cross_language, svec)[0]
 
 
 def semantic_pages(queries: DataFrame, points: DataFrame, rows: DataFrame, p: SearchParams,
                    film: DataFrame | None = None, content: DataFrame | None = None,
                    qvec: str | None = None, make_embedder=None, dim: int | None = None,
-                   cross_language: bool = True) -> tuple[DataFrame, DataFrame]:
+                   cross_language: bool = True, svec: str | None = None) -> tuple[DataFrame, DataFrame]:
     """E1 as (hits, pages): ``pages`` has one row a query, (query_id, hits, next_cursor), also where every hit of
     the page was filtered away, so that such a query does not look finished."""
     qu = understand(queries, film, content, p)
@@ -112,9 +114,12 @@ def semantic_pages(queries: DataFrame, points: DataFrame, rows: DataFrame, p: Se
     prim = V.knn(pts, qc, k + p.cursor, qid="query_id", qvec=qvec, use_filters=True)
     if cross_language:
         sec_q = qu.where(F.col("english").isNotNull() & (F.col("english") != "") & ~is_ascii("cleaned"))
-        sec_q = expand_query(sec_q.select("query_id", F.col("english").alias("_e")), None, q="_e").select(
-            "query_id", embed_query_text("expanded", p.query_prefix).alias("final_query"))
-        sec_q = embed_frame(sec_q, "final_query", "svec", dim=dim, make_embedder=make_embedder)
+        if svec is None:
+            sec_q = expand_query(sec_q.select("query_id", F.col("english").alias("_e")), None, q="_e").select(
+                "query_id", embed_query_text("expanded", p.query_prefix).alias("final_query"))
+            sec_q = embed_frame(sec_q, "final_query", "svec", dim=dim, make_embedder=make_embedder)
+        else:
+            sec_q = sec_q.select("query_id", F.col(svec).alias("svec"))
         sec_c = V.query_codes(sec_q, has_ext=has_ext, size_min=smin)
         # one merged list, ranked once, then the page: a later page never repeats a hit
         sec = V.knn(pts, sec_c, k + p.cursor, qid="query_id", qvec="svec", use_filters=True).drop("rank")
@@ -155,68 +160,81 @@ def semantic_pages(queries: DataFrame, points: DataFrame, rows: DataFrame, p: Se
     return found, pages
 
 
+CANDIDATE = ("query_id long, source string, pg_id string, title string, nsfw boolean, nsfw_score double, score double, "
+             "meta_size double, metadata string")
+
+
 def keyword_search_sources(queries: DataFrame, sources: dict[str, tuple[SourceSpec, DataFrame]], state: DataFrame,
-                           p: SearchParams, explicit: str | None = None, normalize: bool | None = None) -> DataFrame:
-    """E2 over several sources: the explicit comma list, else those flagged for keyword search, else all (F16); each
-    gives its own limited candidates, which are de-duplicated, ranked and paged together."""
-    names = [s.strip() for s in (explicit or "").split(",") if s.strip()] or \
-        [n for n, (spec, _) in sources.items() if spec.keyword_search] or list(sources)
-    parts = [keyword_candidates(queries, rows, spec, state, p, normalize or spec.keyword_normalize or None)
-             for spec, rows in (sources[n] for n in names if n in sources)]
+                           p: SearchParams, explicit: str | None = None, normalize: bool | None = None,
+                           tables: dict[str, DataFrame] | None = None) -> DataFrame:
+    """E2 over the selected sources (F16): each gives its own limited candidates, which are de-duplicated, ranked and
+    paged together.  No source selected, or none known: no rows."""
+    spark = queries.sparkSession
+    specs = spark.createDataFrame([(n, spec.keyword_search, spec.ext_id_field in spec.fields) for n, (spec, _) in sources.items()],
+                                  "name string, keyword_search boolean, has_ext boolean")
+    # the required field has a name of its own in each source
+    specs = specs.withColumn("fields", F.when(F.col("has_ext"), F.array(F.lit("ext_id"))).otherwise(F.array().cast("array<string>")))
+    chosen = {r["name"] for r in select_sources(specs, explicit, "ext_id" if p.tmdb_only else None).collect()}   # a few names
+    parts = [keyword_candidates(queries, rows, spec, state, p, normalize or spec.keyword_normalize, tables)
+             for n, (spec, rows) in sources.items() if n in chosen]
+    if not parts:
+        parts = [spark.createDataFrame([], CANDIDATE)]
     return rank_and_page(reduce(lambda a, b: a.unionByName(b), parts), p)
 
 
 def keyword_search(queries: DataFrame, rows: DataFrame, spec: SourceSpec, state: DataFrame, p: SearchParams,
-                   normalize: bool | None = None) -> DataFrame:
+                   normalize: bool | None = None, tables: dict[str, DataFrame] | None = None) -> DataFrame:
     """E2 for one configured source (``keyword_search_sources`` takes several)."""
-    return rank_and_page(keyword_candidates(queries, rows, spec, state, p, normalize), p)
+    return rank_and_page(keyword_candidates(queries, rows, spec, state, p, bool(normalize), tables), p)
 
 
 def keyword_candidates(queries: DataFrame, rows: DataFrame, spec: SourceSpec, state: DataFrame, p: SearchParams,
-                       normalize: bool | None = None) -> DataFrame:
+                       normalize: bool = False, tables: dict[str, DataFrame] | None = None) -> DataFrame:
     """Scored candidates of one source: its own rows that match, before ranking.
 
-    ``rows`` is the source table; matches are found with the substring join
-    (plain ILIKE, plus the normalised branch for CJK queries or by option).
+    ``rows`` is the source table; matches are found with the substring join, once for each text form (as written, and
+    bare for CJK queries or by option).  Unless ``p.lite``, ``metadata`` is a JSON text of the row's other columns and of
+    the fields of the source's configured joins (``tables`` by name).
     """
     f = query_filters("q")
     cleaned = materialize(queries.select("query_id", f["cleaned"].alias("cleaned")))
     qs = cleaned.select("query_id", F.col("cleaned").alias("q")).where(F.col("q") != "")
     fields = list(dict.fromkeys([*spec.keyword_fields, spec.text_field]))
-    base = rows
-    preds = []
-    if spec.where:
-        preds.append(F.expr(spec.where))
-    if p.tmdb_only and spec.ext_id_field in spec.fields:
-        preds.append(F.col(spec.ext_id_field).isNotNull())
-    if p.size_min_bytes and spec.size_field:
-        preds.append(F.col(spec.size_field) >= p.size_min_bytes)
-    if preds:
-        base = base.where(reduce(lambda a, b: a & b, preds))
-    base = base.withColumn("_key", F.col(spec.id_field).cast("string"))
-    plain = contains_join(qs, "query_id", "q", base, "_key", fields).select("query_id", "_key")
-    cjk = F.col("q").rlike("[\\x{4e00}-\\x{9fff}]")
-    nq = F.lower(strip_chars(F.col("q")))
-    norm_q = qs.where(F.lit(bool(normalize)) | cjk).select("query_id", nq.alias("q")).where(F.col("q") != "")
-    nrows = base.select("_key", *[F.lower(strip_chars(F.lower(F.col(c)))).alias(f"_n{i}") for i, c in enumerate(fields)])
-    normed = contains_join(norm_q, "query_id", "q", nrows, "_key", [f"_n{i}" for i in range(len(fields))]).select(
-        "query_id", "_key")
-    matched = plain.unionByName(normed).distinct()
+    sized = spec.size_field if spec.size_field in rows.columns else None
+    preds = [user_predicate(spec.where)]
+    if p.tmdb_only:
+        # a source without the field has no row that meets the demand
+        preds.append(F.col(spec.ext_id_field).isNotNull() if spec.ext_id_field in spec.fields else F.lit(False))
+    if p.size_min_bytes and sized:
+        preds.append(F.col(sized) >= p.size_min_bytes)
+    base = rows.where(reduce(lambda a, b: a & b, preds)).withColumn("_key", F.col(spec.id_field).cast("string"))
+
+    def found(form) -> DataFrame:
+        asked = qs.where(form.asked(F.col("q"), normalize)).select("query_id", form.fold(F.col("q")).alias("q"))
+        texts = base.select("_key", *[form.fold(F.col(c)).alias(f"_t{i}") for i, c in enumerate(fields)])
+        return contains_join(asked, "query_id", "q", texts, "_key", [f"_t{i}" for i in range(len(fields))]).select("query_id", "_key")
+
+    matched = reduce(lambda a, b: a.unionByName(b), [found(form) for form in TEXT_FORMS]).distinct()
     limit = min(2000, max(p.cursor + p.page_size * 3, p.topk * 3))
-    w = Window.partitionBy("query_id").orderBy("_key")
-    matched = matched.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= limit).drop("_r")
+    matched = R.top_k(matched, "query_id", ["_key"], limit, "_r").drop("_r")
     j = matched.join(base, "_key").join(cleaned, "query_id")
+    metadata = F.lit(None).cast("string")
+    if not p.lite:
+        j = configured_join(j, spec.joins, tables or {})
+        others = j.drop("query_id", "cleaned", "_key")
+        metadata = F.lit("{}") if set(others.columns) <= {spec.id_field, spec.text_field} else F.to_json(
+            _metadata(others, spec.id_field, spec.text_field), {"ignoreNullFields": "false"})
+    j = j.withColumn("metadata", metadata)
     st = state.where(F.col("source") == spec.name).select(F.col("pg_id").alias("_sp"),
                                                            F.col("nsfw_score").cast("double").alias("_ns"))
     j = j.join(st, j["_key"] == st["_sp"], "left").withColumn("nsfw_score", F.coalesce("_ns", F.lit(0.0)))
     j = j.withColumn("nsfw", safety_flag("nsfw_score", spec.tagging_nsfw, p.threshold))
     if p.exclude_nsfw:
         j = j.where(~F.col("nsfw"))
-    cand = j.select("query_id", F.lit(spec.name).alias("source"), F.col("_key").alias("pg_id"),
+    return j.select("query_id", F.lit(spec.name).alias("source"), F.col("_key").alias("pg_id"),
                     F.col(spec.text_field).alias("title"), "nsfw", "nsfw_score",
                     keyword_score("cleaned", F.col(spec.text_field)).alias("score"),
-                    (F.col(spec.size_field) if spec.size_field else F.lit(None)).cast("double").alias("meta_size"))
-    return cand
+                    (F.col(sized) if sized else F.lit(None)).cast("double").alias("meta_size"), "metadata")
 
 
 def rank_and_page(cand: DataFrame, p: SearchParams) -> DataFrame:
@@ -232,7 +250,7 @@ def rank_and_page(cand: DataFrame, p: SearchParams) -> DataFrame:
     page = R.page(d, "query_id", order, p.cursor, p.page_size, rank_col="position")
     nxt = F.when(F.col("has_more"), F.lit(p.cursor + p.page_size)).cast("bigint")
     return page.select("query_id", F.col("position").cast("bigint").alias("position"), "source", "pg_id", "title",
-                       "score", "nsfw", "nsfw_score", nxt.alias("next_cursor"))
+                       "score", "nsfw", "nsfw_score", nxt.alias("next_cursor"), *([] if p.lite else ["metadata"]))
 
 
 def keyword_search_payload(responses: DataFrame, state: DataFrame, p: SearchParams, source_name: str,

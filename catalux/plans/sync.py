@@ -9,7 +9,9 @@ versioned folders, so re-running on unchanged input changes nothing.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,6 +24,7 @@ from catalux.operators import joins as J
 from catalux.operators import upsert as U
 from catalux.operators.embed import embed_frame
 from catalux.operators.filters import code_gate
+from catalux.plans.enrichment import film_enrichment_job
 from catalux.session import materialize
 from catalux.spec import SourceSpec
 
@@ -112,3 +115,42 @@ def sync_job(rows: DataFrame, spec: SourceSpec, state: DataFrame, points: DataFr
     vec = materialize(vec)
     new_points, new_state = apply_batch(vec, state, points, spec, p)
     return new_points, new_state, skipped
+
+
+@dataclass(frozen=True)
+class FilmInputs:
+    """Film table, landed payloads (content_type, tmdb_id, film_json) and landed second ratings of E9."""
+
+    table: DataFrame
+    payloads: DataFrame
+    ratings: DataFrame | None = None
+
+
+Rows = DataFrame | Callable[[DataFrame | None], DataFrame]
+
+
+def sync_all(sources: Mapping[str, tuple[SourceSpec, Rows]], state: DataFrame, points: DataFrame | None, p: SyncParams,
+             scene: DataFrame | None = None, film: FilmInputs | None = None, target: str | None = None, make_embedder=None):
+    """E11 over every configured source, or ``target`` alone: (points, state, film table, gated rows by source).
+
+    Pending rows of sources with ``film_refs`` have their missing films enriched first (E9); a source given as a
+    function of the film table is then read again, so that its texts hold what was found.
+    """
+    chosen = {n: x for n, x in sources.items() if target in (None, n)}
+    films = film.table if film else None
+
+    def rows_of(rows: Rows) -> DataFrame:
+        return rows if isinstance(rows, DataFrame) else rows(films)
+
+    referring = [(spec, rows) for spec, rows in chosen.values() if spec.film_refs]
+    if film and referring:
+        refs = [J.pending_rows(rows_of(rows), spec, state).select(F.col(spec.film_refs[0]).alias("content_type"),
+                                                                  F.col(spec.film_refs[1]).cast("string").alias("tmdb_id"))
+                for spec, rows in referring]
+        films = materialize(film_enrichment_job(reduce(lambda a, b: a.unionByName(b), refs), films, film.payloads, p.now,
+                                                ratings=film.ratings))
+    gated = []
+    for spec, rows in chosen.values():
+        points, state, skipped = sync_job(rows_of(rows), spec, state, points, p, scene, make_embedder)
+        gated.append(skipped.select(F.lit(spec.name).alias("source"), "gated_rows"))
+    return points, state, films, reduce(lambda a, b: a.unionByName(b), gated) if gated else None

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from catalux.functions import fixed
 from catalux.plans import catalogue as C
 from catalux.plans import enrichment as EN
 from catalux.plans import search as S
@@ -12,9 +13,12 @@ from catalux.registry import duck as D
 from catalux.registry import register
 from catalux.registry.common import FILM_ENRICH_SQL, FILM_SOURCE, ITEMS, ITEMS_CONTENT_SQL, ITEMS_SYNC, NOW, film_enrich, items_content
 from catalux.registry.scalars import SEARCH_TEXTS_SQL, search_texts
+from catalux.registry.sets import ENGLISH_SQL, TERMS_SQL
 from catalux.registry.views import _film_table
 from catalux.spec import SourceSpec
 
+FILM_TABLE = ("content_type string, tmdb_id string, aka string, keywords string, actors string, directors string, plot string, "
+              "genre string, imdb_id string, imdb_rating double, douban_rating double, raw string, updated_at timestamp")
 STRIP = D.lit(__import__("catalux.functions.fixed", fromlist=["x"]).KEYWORD_STRIP_CHARS)
 COS = "list_cosine_similarity(f.qvec::DOUBLE[], p.embedding::DOUBLE[])"
 
@@ -27,6 +31,18 @@ def _title_key(e: str, src: str, pid: str) -> str:
 _FT, _RAW = D.query_file_type("b.q")
 _QA, _QS = D.detect_languages(_RAW)
 
+HITS_SQL = f"""cnt AS (SELECT query_id, count(*) AS raw_count FROM HITS_OF GROUP BY query_id),
+d1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id,
+         CASE WHEN {D.strip_ws("coalesce(text_hash, '')")} <> '' THEN {D.strip_ws("coalesce(text_hash, '')")} ELSE source || ':' || pg_id END
+         ORDER BY rank) AS k FROM HITS_OF) t WHERE k = 1 AND NOT nsfw),
+res AS (SELECT d1.*, i.title, {_title_key('i.title', 'd1.source', 'd1.pg_id')} AS tkey
+        FROM d1 JOIN items i ON d1.source = 'items' AND i.pg_id = d1.pg_id),
+d2 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, tkey ORDER BY score DESC, source, pg_id) AS k2
+       FROM res) t WHERE k2 = 1)
+SELECT d2.query_id, row_number() OVER (PARTITION BY d2.query_id ORDER BY score DESC, source, pg_id) AS position,
+       source, pg_id, title, score, nsfw, 0.0 AS nsfw_score, CASE WHEN c.raw_count = 20 THEN c.raw_count END AS next_cursor
+FROM d2 JOIN cnt c ON c.query_id = d2.query_id"""
+
 SEMANTIC_SQL = f"""
 WITH b AS (SELECT p.vec_id AS query_id, i.title AS q, p.embedding AS qvec FROM points p JOIN items i ON i.id = p.vec_id WHERE p.vec_id % 50 = 0),
 f AS (SELECT b.query_id, b.qvec, {_FT} AS file_type, {_QA} AS audio, {_QS} AS subs, {D.query_genres(_RAW)} AS genres FROM b),
@@ -38,17 +54,7 @@ s AS (SELECT f.query_id, p.source, p.pg_id, p.text_hash, coalesce(p.nsfw, false)
         AND (len(f.genres) = 0 OR list_has_any(p.genre_tags, f.genres))),
 prim AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, source, pg_id) AS rank FROM s) t
          WHERE rank <= 20),
-cnt AS (SELECT query_id, count(*) AS raw_count FROM prim GROUP BY query_id),
-d1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id,
-         CASE WHEN {D.strip_ws("coalesce(text_hash, '')")} <> '' THEN {D.strip_ws("coalesce(text_hash, '')")} ELSE source || ':' || pg_id END
-         ORDER BY rank) AS k FROM prim) t WHERE k = 1 AND NOT nsfw),
-res AS (SELECT d1.*, i.title, {_title_key('i.title', 'd1.source', 'd1.pg_id')} AS tkey
-        FROM d1 JOIN items i ON d1.source = 'items' AND i.pg_id = d1.pg_id),
-d2 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, tkey ORDER BY score DESC, source, pg_id) AS k2
-       FROM res) t WHERE k2 = 1)
-SELECT d2.query_id, row_number() OVER (PARTITION BY d2.query_id ORDER BY score DESC, source, pg_id) AS position,
-       source, pg_id, title, score, nsfw, 0.0 AS nsfw_score, CASE WHEN c.raw_count = 20 THEN c.raw_count END AS next_cursor
-FROM d2 JOIN cnt c ON c.query_id = d2.query_id"""
+""" + HITS_SQL.replace("HITS_OF", "prim")
 
 
 def _semantic_queries(fx):
@@ -69,13 +75,6 @@ def semantic_search(fx):
     return S.semantic_search(_semantic_queries(fx), fx["points"], _rows(fx), p, qvec="qvec", cross_language=False)
 
 
-def semantic_search_full(fx, dim: int = 64):
-    """E1 end to end: expansion, embedding of the rewritten query, cross-language search (flagship)."""
-    p = S.SearchParams(expand=True, film_source=FILM_SOURCE, query_prefix="query: ")
-    return S.semantic_search(search_texts(fx), fx["points"], _rows(fx), p, film=film_enrich(fx),
-                             content=items_content(fx), dim=dim, cross_language=True)
-
-
 _CLEAN_Q = D.strip_ws(D.query_file_type("qt.q")[1])
 KEYWORD_SQL = f"""
 WITH qt AS ({SEARCH_TEXTS_SQL}),
@@ -299,17 +298,86 @@ def scene_enrichment_job(fx):
     return out.select("content_type", "content_source", "content_id", "status")
 
 
-@register("sync_job")
+_FULL_F, _FULL_RAW = D.query_file_type("g.q")
+_FULL_A, _FULL_S = D.detect_languages(_FULL_RAW)
+_CLEANED = (f"SELECT query_id, CASE WHEN {_CLEAN_Q} <> '' THEN {_CLEAN_Q} ELSE coalesce(q, '') END AS q FROM ({SEARCH_TEXTS_SQL}) qt")
+FULL_SQL = f"""
+WITH g AS (SELECT t.query_id, t.q, a.embedding AS qvec, b.embedding AS svec FROM ({SEARCH_TEXTS_SQL}) t
+           JOIN points a ON a.vec_id = t.query_id * 3 % 500 JOIN points b ON b.vec_id = (t.query_id * 7 + 1) % 500),
+{TERMS_SQL.replace(SEARCH_TEXTS_SQL, _CLEANED)},
+{ENGLISH_SQL},
+f AS (SELECT g.query_id, g.qvec, {_FULL_F} AS file_type, {_FULL_A} AS audio, {_FULL_S} AS subs, {D.query_genres(_FULL_RAW)} AS genres FROM g),
+s AS (SELECT f.query_id, p.source, p.pg_id, p.text_hash, coalesce(p.nsfw, false) AS nsfw, round({COS}, 6) AS score
+      FROM f, points p
+      WHERE (f.file_type IS NULL OR p.file_type = f.file_type)
+        AND (len(f.audio) = 0 OR list_has_any(p.audio_langs, f.audio))
+        AND (len(f.subs) = 0 OR list_has_any(p.subtitle_langs, f.subs))
+        AND (len(f.genres) = 0 OR list_has_any(p.genre_tags, f.genres))),
+prim AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, source, pg_id) AS r FROM s) t WHERE r <= 20),
+second AS (SELECT g.query_id, g.svec AS qvec FROM g JOIN qt ON qt.query_id = g.query_id JOIN english e ON e.query_id = g.query_id
+           WHERE e.english <> '' AND NOT {D.is_ascii('qt.q')}),
+s2 AS (SELECT f.query_id, p.source, p.pg_id, p.text_hash, coalesce(p.nsfw, false) AS nsfw, round({COS}, 6) AS score FROM second f, points p),
+sec AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, source, pg_id) AS r FROM s2) t WHERE r <= 20),
+both_ AS (SELECT * FROM prim UNION ALL SELECT * FROM sec WHERE NOT EXISTS (
+          SELECT 1 FROM prim WHERE prim.query_id = sec.query_id AND prim.source = sec.source AND prim.pg_id = sec.pg_id)),
+merged AS (SELECT * FROM (SELECT * EXCLUDE (r), row_number() OVER (PARTITION BY query_id ORDER BY score DESC, source, pg_id) AS rank
+           FROM both_) t WHERE rank <= 20),
+""" + HITS_SQL.replace("HITS_OF", "merged")
+
+
+@register("cross_language_search", FULL_SQL, ("queries", "points", "items", "enrich"))
+def cross_language_search(fx):
+    """V10 within the whole of E1, with given vectors: expansion, English second search for non-ASCII queries, merge."""
+    p = S.SearchParams(expand=True, film_source=FILM_SOURCE, query_prefix="query: ")
+    vec = fx["points"].select("vec_id", "embedding")
+    q = search_texts(fx).withColumn("_a", F.col("query_id") * 3 % 500).withColumn("_b", (F.col("query_id") * 7 + 1) % 500)
+    q = (q.join(vec.toDF("_a", "qvec"), "_a").join(vec.toDF("_b", "svec"), "_b").drop("_a", "_b"))
+    return S.semantic_search(q, fx["points"], _rows(fx), p, film=film_enrich(fx), content=items_content(fx), qvec="qvec", svec="svec")
+
+
+_SCENE_TEXT = f"""(CASE WHEN {D.normalize_title('p.text')} <> '' THEN {D.normalize_title('p.text')} ELSE coalesce(p.text, '') END
+  || CASE WHEN coalesce(e.match_id, '') <> '' AND coalesce(e.aka, '') <> '' THEN chr(10) || e.aka || chr(10) || e.aka ELSE '' END)"""
+_TEXT_PREFIX = ("upper(regexp_extract(coalesce(p.text, ''), '(?:^|[^" + D.WORD + "])([A-Za-z]{2,6})[-_ ]?\\p{Nd}{2,5}(?:$|[^" + D.WORD + "])', 1))")
+_JOB_A, _JOB_S = D.detect_languages("p.text")
+_FILM_TEXT = f"(CASE WHEN {D.normalize_title('p.text')} <> '' THEN {D.normalize_title('p.text')} ELSE coalesce(p.text, '') END)"
+
+
+@register("sync_job", f"""
+WITH pend AS ({__import__("catalux.registry.joins", fromlist=["x"]).PENDING_SQL}),
+films AS (SELECT r.content_id AS pg_id, concat_ws(' ', r.title, CASE WHEN r.content_type IN ('movie', 'tv', 'tv_show') THEN p.p_type || ', War' END,
+                 CASE WHEN r.content_type IN ('movie', 'tv', 'tv_show') THEN p.p_name END) AS text
+          FROM refs r JOIN part p ON CAST(p.p_partkey AS VARCHAR) = r.content_id)
+SELECT 'items' AS source, p.pg_id, round({D.safety_score(_SCENE_TEXT)}, 6) >= 0.7 AS nsfw, round({D.safety_score(_SCENE_TEXT)}, 6) AS nsfw_score,
+       p.text_hash, coalesce(e.match_id, '') <> '' AS has_tpdb, e.match_id AS tpdb_id, {D.file_type(D.file_extension('p.text'))} AS file_type,
+       {_JOB_A} AS audio_langs, {_JOB_S} AS subtitle_langs, CASE WHEN TRY_CAST(p.size AS DOUBLE) > 0 THEN TRY_CAST(p.size AS DOUBLE) END AS size, 64 AS dim
+FROM pend p LEFT JOIN enrich e ON e.content_type = 'doc' AND e.content_source = 'src1' AND e.content_id = p.pg_id
+WHERE NOT ({_TEXT_PREFIX} <> '' AND {_TEXT_PREFIX} NOT IN ({', '.join(D.lit(x) for x in fixed.CODE_STOP_PREFIXES)})) OR coalesce(e.match_id, '') <> ''
+UNION ALL
+SELECT 'films', p.pg_id, round({D.safety_score(_FILM_TEXT)}, 6) >= 0.7, round({D.safety_score(_FILM_TEXT)}, 6), md5(p.text), false, NULL,
+       {D.file_type(D.file_extension('p.text'))}, {_JOB_A}, {_JOB_S}, NULL, 64 FROM films p""", ("items", "sync_state", "enrich", "refs"))
 def sync_job(fx):
-    """One incremental pass: pending rows enriched, gated, embedded, scored; new points + state."""
-    spec = SourceSpec(name="items", id_field="id", text_field="text", updated_at_field="updated_at",
-                      extra_fields=("lang", "size", "title"), size_field="size", scene_enrich=True,
-                      scene_key=("doc", "src1"))
+    """E11 over two sources: missing films enriched, pending rows gated, embedded, scored; new points and state."""
+    items = SourceSpec(name="items", id_field="id", text_field="text", updated_at_field="updated_at",
+                       extra_fields=("lang", "size", "title"), size_field="size", scene_enrich=True,
+                       scene_key=("doc", "src1"))
+    films = SourceSpec(name="films", id_field="content_id", text_field="text", extra_fields=("content_type", "content_id"),
+                       size_field=None, film_refs=("content_type", "content_id"))
     scene = fx["enrich"].select("content_type", "content_source", "content_id", F.col("match_id").alias("tpdb_id"),
                                 F.col("aka").alias("title"), "aka", F.lit(None).cast("string").alias("original_title"),
                                 *[F.lit(None).cast("string").alias(c) for c in
                                   ("actors", "tags", "studio", "series", "site", "release_date", "plot", "poster_url")])
-    pts, state, _ = SY.sync_job(fx["items"], spec, fx["sync_state"], None, SY.SyncParams(now=NOW, dim=64), scene=scene)
+    refs = fx["refs"].select("content_type", "content_id", "title")
+
+    def film_rows(film):
+        found = film.select("content_type", F.col("tmdb_id").alias("content_id"), "genre", "plot")
+        return refs.join(found, ["content_type", "content_id"], "left").select(
+            "content_type", "content_id", F.concat_ws(" ", "title", "genre", "plot").alias("text"))
+
+    payloads = refs.select("content_type", F.col("content_id").alias("tmdb_id")).join(
+        fx["payload"].select(F.col("id").cast("string").alias("tmdb_id"), "film_json"), "tmdb_id")
+    none = fx.spark.createDataFrame([], FILM_TABLE)
+    pts, _, _, _ = SY.sync_all({"items": (items, fx["items"]), "films": (films, film_rows)}, fx["sync_state"], None,
+                               SY.SyncParams(now=NOW, dim=64), scene=scene, film=SY.FilmInputs(none, payloads))
     return pts.select("source", "pg_id", "nsfw", F.round("nsfw_score", 6).alias("nsfw_score"), "text_hash",
                       "has_tpdb", "tpdb_id", "file_type", "audio_langs", "subtitle_langs", "size",
                       F.size("embedding").cast("bigint").alias("dim"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from catalux.functions import fixed
@@ -29,7 +31,7 @@ WHERE title ILIKE '%标题 中文%' OR translate(lower(title), {STRIP}, '') LIKE
 def keyword_filter_normalized(fx):
     """CJK query enables the normalised branch; an option enables it for ASCII."""
     it = fx["items"]
-    p = FL.keyword_predicate("标题 中文", ["title"], "title") | FL.keyword_predicate("abc123", ["title"], "title", True)
+    p = FL.keyword_predicate("标题 中文", ["title"]) | FL.keyword_predicate("abc123", ["title"], True)
     return it.where(p).select("id", "title")
 
 
@@ -116,7 +118,7 @@ SELECT id FROM items WHERE (title ILIKE '%the%') AND (lang = 'en') AND (size > 1
 def user_predicate(fx):
     """the source's predicate text AND-ed with generated ones."""
     it = fx["items"]
-    return it.where(FL.keyword_predicate("the", ["title"], "title") & FL.user_predicate("lang = 'en'", "size > 1000", "")
+    return it.where(FL.keyword_predicate("the", ["title"]) & FL.user_predicate("lang = 'en'", "size > 1000", "")
                     ).select("id")
 
 
@@ -136,15 +138,23 @@ def missing_enrichment_filter(fx):
 
 
 @register("source_selection", """
-SELECT id, source FROM items WHERE source IN ('src1', 'src3', 'src17')""", ("items",))
+SELECT 'explicit' AS rule, id, source FROM items WHERE source IN ('src1', 'src3', 'src17')
+UNION ALL SELECT 'flagged', id, source FROM items WHERE source < 'src5'
+UNION ALL SELECT 'needs_field', id, source FROM items WHERE source < 'src5' AND source <> 'src2'
+UNION ALL SELECT 'all', id, source FROM items""", ("items",))
 def source_selection(fx):
-    """F16: explicit list of sources, as a semi join of items with the selected spec rows."""
+    """F16: explicit list, else flagged sources, else all; those without a required field are skipped (src2)."""
     it = fx["items"]
-    specs = it.select(F.col("source").alias("name")).distinct().select(
-        "name", (F.col("name") < "src5").alias("keyword_search"),
-        F.array(F.lit("id"), F.lit("title"), F.lit("size")).alias("fields"))
-    chosen = FL.select_sources(specs, explicit="src1, src3,src17")
-    return it.join(chosen, it["source"] == chosen["name"], "left_semi").select("id", "source")
+    own = F.array_except(F.array(F.lit("id"), F.lit("title"), F.lit("tmdb_id")),
+                         F.when(F.col("source") == "src2", F.array(F.lit("tmdb_id"))).otherwise(F.array(F.lit(""))))
+    specs = it.select(F.col("source").alias("name"), (F.col("source") < "src5").alias("keyword_search"),
+                      own.alias("fields")).distinct()
+    rules = {"explicit": FL.select_sources(specs, explicit="src1, src3,src17, none"), "flagged": FL.select_sources(specs),
+             "needs_field": FL.select_sources(specs, require_field="tmdb_id"),
+             "all": FL.select_sources(specs.withColumn("keyword_search", F.lit(False)))}
+    parts = [it.join(chosen.select("name"), F.col("source") == F.col("name"), "left_semi").select(
+        F.lit(rule).alias("rule"), "id", "source") for rule, chosen in rules.items()]
+    return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 _PREFIX = "upper(regexp_extract(coalesce(i.title, ''), '(?:^|[^" + D.WORD + "])([A-Za-z]{2,6})[-_ ]?\\p{Nd}{2,5}(?:$|[^" + D.WORD + "])', 1))"

@@ -172,14 +172,9 @@ LEFT JOIN enrich e ON e.content_type = 'doc' AND e.content_source = i.source AND
           ("items", "enrich"))
 def scene_fields_attach(fx):
     """Match columns attached by content id within (type, source), renamed tpdb_*."""
-    it = fx["items"]
-    scene = fx["enrich"].select("content_type", "content_source", "content_id", F.col("match_id").alias("tpdb_id"),
-                                "status")
-    rows = it.select("pg_id", "source")
-    s = scene.select(F.col("content_type").alias("_t"), F.col("content_source").alias("_s"),
-                     F.col("content_id").alias("_c"), "tpdb_id", F.col("status").alias("tpdb_status"))
-    j = rows.join(s, (s["_t"] == F.lit("doc")) & (s["_s"] == rows["source"]) & (s["_c"] == rows["pg_id"]), "left")
-    return j.select("pg_id", "tpdb_id", "tpdb_status")
+    scene = fx["enrich"].withColumn("tpdb_id", F.col("match_id"))
+    out = J.scene_fields_attach(fx["items"].select("pg_id", "source"), scene, "doc", F.col("source"), fields=["tpdb_id", "status"])
+    return out.select("pg_id", "tpdb_id", "tpdb_status")
 
 
 @register("synced_rows_join", """
@@ -187,6 +182,6 @@ SELECT max(i.updated_at) AS max_synced_updated_at, count(*) AS synced_rows
 FROM items i JOIN sync_state s ON s.source = 'items' AND s.pg_id = CAST(i.id AS VARCHAR)""", ("items", "sync_state"))
 def synced_rows_join(fx):
     """Newest source time among rows that have a state row."""
-    it, st = fx["items"], fx["sync_state"].where(F.col("source") == "items")
-    j = it.join(st.select(F.col("pg_id").alias("_sid")), it["id"].cast("string") == F.col("_sid"))
-    return j.agg(F.max("updated_at").alias("max_synced_updated_at"), F.count(F.lit(1)).alias("synced_rows"))
+    st = fx["sync_state"].where(F.col("source") == "items")
+    return J.synced_rows(fx["items"], st, "id").agg(F.max("updated_at").alias("max_synced_updated_at"),
+                                                    F.count(F.lit(1)).alias("synced_rows"))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
-
 from pyspark.sql import functions as F
 
 from catalux.functions.match import normalize_film_payload
@@ -91,10 +89,9 @@ def points_upsert(fx):
 
 @register("points_snapshot", "SELECT source, label, count(*) AS n FROM points GROUP BY source, label", ("points",))
 def points_snapshot(fx):
-    """Write the points as a versioned snapshot partitioned by cell (label), reload, count."""
-    root = U.snapshot_root(fx.spark, "points-" + hashlib.sha1(fx.root.encode()).hexdigest()[:12])
-    U.write_snapshot(fx["points"], root, keys=["source", "pg_id"], partition_by=["label"])
-    back = U.read_snapshot(fx.spark, root)
+    """The points written as a versioned snapshot by IVF cell, reloaded with their metadata, counted."""
+    from catalux.registry.vectors import points_index
+    back = points_index(fx).points
     return back.groupBy("source", "label").agg(F.count(F.lit(1)).alias("n"))
 
 

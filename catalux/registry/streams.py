@@ -10,7 +10,7 @@ from catalux.operators.embed import hash_vectors
 from catalux.plans.sync import SyncParams
 from catalux.registry import duck as D
 from catalux.registry import register
-from catalux.registry.common import NOW
+from catalux.registry.common import FILM_SOURCE, ITEMS_SYNC, NOW, film_enrich, items_content
 from catalux.session import shared_path
 from catalux.spec import SourceSpec
 from catalux.streaming import incremental as INC
@@ -34,13 +34,12 @@ def _to_items(events):
 
 
 def _run_sync(fx, make_embedder=None):
-    spark = fx.spark
     events = fx.table("events")
     docs = fx.table("documents")
-    root = shared_path(spark, "stream-sync")
-    out = INC.incremental_sync(spark, f"{fx.root.rstrip('/')}/documents*.parquet", docs.schema, _to_items(events),
-                               SYNC_SPEC, SyncParams(now=NOW, dim=DIM), root, make_embedder=make_embedder)
-    return U.read_snapshot(spark, out["state"]), out
+    root = shared_path(fx.spark, "stream-sync")
+    out = INC.incremental_sync(fx.spark, f"{fx.root.rstrip('/')}/documents*.parquet", docs.schema, _to_items(events),
+                               SYNC_SPEC, SyncParams(now=NOW, dim=DIM), root, make_embedder=make_embedder, buckets=8)
+    return out["store"].read("state"), out
 
 
 def _embed_sql() -> str:
@@ -54,7 +53,7 @@ SELECT 'items' AS source, i.pg_id, md5(i.text) AS text_hash, 'v1' AS embedding_v
        CAST(NULL AS VARCHAR) AS last_error
 FROM items i""", ("items",))
 def incremental_sync(fx):
-    """Documents stream (new files only) -> sync job per micro-batch -> state snapshot (availableNow)."""
+    """Documents stream (new files only) -> sync job per micro-batch -> one commit of points and state."""
     state, _ = _run_sync(fx)
     return state.select("source", "pg_id", "text_hash", "embedding_version", "vector_id",
                         F.round("nsfw_score", 6).alias("nsfw_score"), "last_error")
@@ -81,7 +80,7 @@ def failure_isolation(fx):
 @register("enrichment_loop", """
 SELECT 'doc' AS content_type, source AS content_source, pg_id AS content_id, 'success' AS status FROM items""", ("items",))
 def enrichment_loop(fx):
-    """Refs landed in two files, enriched one micro-batch at a time; failures skipped for the rest of the run."""
+    """Refs landed in two files, enriched one micro-batch at a time; each ref attempted once in the run."""
     from catalux.plans.enrichment import scene_enrichment_job
     spark = fx.spark
     refs = fx["items"].select(F.lit("doc").alias("content_type"), F.col("source").alias("content_source"),
@@ -101,15 +100,24 @@ def enrichment_loop(fx):
         return scene_enrichment_job(r, table, p, NOW, 240.0, 48.0, "data.searchScene", 0)
 
     out = INC.enrichment_loop(spark, land, refs.schema, job, ["content_type", "content_source", "content_id"],
-                              shared_path(spark, "enrich-loop"), empty)
-    return U.read_snapshot(spark, out["table"]).select("content_type", "content_source", "content_id", "status")
+                              shared_path(spark, "enrich-loop"), empty, run="1", buckets=8)
+    return out["store"].read("table").select("content_type", "content_source", "content_id", "status")
 
 
 def status_snapshot(fx):
-    """The sync status report recomputed on a trigger and published as a snapshot table."""
-    from catalux.registry.endtoend import sync_status
+    """Sync state landed in four files, counted by a streaming aggregation one file at a time; each micro-batch
+    publishes the status report (E7) as a snapshot."""
+    from catalux.plans import catalogue as C
     spark = fx.spark
-    out = INC.status_snapshot(spark, lambda: sync_status(fx), shared_path(spark, "status"), trigger="availableNow")
+    state = fx["sync_state"]
+    land = shared_path(spark, "landed-state")
+    state.repartition(4, "pg_id").write.parquet(land)
+
+    def report(counts):
+        return C.sync_status({"items": fx["items"]}, state, items_content(fx), film_enrich(fx), {"items": ITEMS_SYNC}, FILM_SOURCE, counts)
+
+    out = INC.status_snapshot(spark, land, spark.read.parquet(land).schema, report, shared_path(spark, "status"), trigger="availableNow",
+                              max_files_per_trigger=2)
     return U.read_snapshot(spark, out["status"]).drop("epoch")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from catalux.functions.match import first_item_frame, normalize_film_payload, scene_frame
@@ -138,11 +140,8 @@ LEFT JOIN enrich e ON e.content_type = 'doc' AND e.content_source = i.source AND
           ("items", "sync_state", "enrich"))
 def refresh_rows(fx):
     """Pending rows after enrichment in one join: hash recomputed, configured extras only."""
-    pend = J.pending_rows(fx["items"], ITEMS_SYNC, fx["sync_state"])
-    src = fx["items"].select(F.col("pg_id").alias("_p"), F.col("source").alias("_src"))
-    scene = fx["enrich"].select(F.col("content_type").alias("_t"), F.col("content_source").alias("_s"),
-                                F.col("content_id").alias("_c"), F.col("match_id").alias("tpdb_id"),
-                                F.col("status").alias("tpdb_status"))
-    j = pend.join(src, pend["pg_id"] == src["_p"])
-    j = j.join(scene, (scene["_t"] == F.lit("doc")) & (scene["_s"] == j["_src"]) & (scene["_c"] == j["pg_id"]), "left")
-    return j.select("pg_id", F.md5(F.col("text").cast("binary")).alias("text_hash"), "lang", "size", "tpdb_id", "tpdb_status")
+    spec = replace(ITEMS_SYNC, extra_fields=(*ITEMS_SYNC.extra_fields, "source"))
+    pend = J.pending_rows(fx["items"], spec, fx["sync_state"])
+    scene = fx["enrich"].withColumn("tpdb_id", F.col("match_id"))
+    out = J.refresh_rows(pend, scene, "doc", F.col("source"), fields=["tpdb_id", "status"])
+    return out.select("pg_id", "text_hash", "lang", "size", "tpdb_id", "tpdb_status")

@@ -49,6 +49,7 @@ class SourceSpec:
     joins: tuple[JoinSpec, ...] = ()
     scene_enrich: bool = False
     scene_key: tuple[str, str] | None = None  # (content_type, content_source) for scene matches
+    film_refs: tuple[str, str] | None = None  # fields (extra ones) with the film type and id of a row
 
     @property
     def fields(self) -> set[str]:

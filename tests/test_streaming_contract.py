@@ -5,7 +5,6 @@ from __future__ import annotations
 import duckdb
 from pyspark.sql import functions as F
 
-from catalux.operators import upsert as U
 from catalux.plans.sync import SyncParams
 from catalux.session import shared_path
 from catalux.streaming import incremental as INC
@@ -24,16 +23,16 @@ def test_incremental_sync_twice_changes_nothing(spark, fx):
     params = SyncParams(now="2024-01-20 00:00:00", dim=16)
     src = f"{SF_SMALL}/documents*.parquet"
     out = INC.incremental_sync(spark, src, docs.schema, _to_items(events), SYNC_SPEC, params, root)
-    first = _sorted_rows(U.read_snapshot(spark, out["state"]))
+    first = _sorted_rows(out["store"].read("state"))
     assert len(first) == fx["items"].count()
     # same checkpoint: no new files, nothing runs
     INC.incremental_sync(spark, src, docs.schema, _to_items(events), SYNC_SPEC, params, root)
-    assert _sorted_rows(U.read_snapshot(spark, out["state"])) == first
+    assert _sorted_rows(out["store"].read("state")) == first
     # a fresh stream over the same snapshots: every row is read again, none is pending
     replay = INC.incremental_sync(spark, src, docs.schema, _to_items(events), SYNC_SPEC, params, root, stream="_replay")
     assert replay["query"].lastProgress is not None and spark.read.parquet(replay["runs"]).count() == 2
     assert spark.read.parquet(replay["runs"]).orderBy(F.desc("at")).first()["embedded"] == 0
-    assert _sorted_rows(U.read_snapshot(spark, out["state"])) == first
+    assert _sorted_rows(out["store"].read("state")) == first
 
 
 def test_entry_runs_on_smoke_data(spark):

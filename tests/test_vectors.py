@@ -54,7 +54,7 @@ def test_knn_matches_brute_force_all_metrics(spark):
 def test_knn_blocks_split_queries(spark):
     pts, qs, pdf, qdf = _frames(spark)
     one = sorted(map(tuple, V.knn(pdf, qdf, 5).collect()))
-    many = sorted(map(tuple, V.knn(pdf, qdf, 5, max_block_bytes=200).collect()))
+    many = sorted(map(tuple, V.knn(pdf, qdf, 5, point_rows=37, query_rows=4).collect()))
     assert one == many
 
 
@@ -62,8 +62,8 @@ def test_knn_per_query_filters(spark):
     pts, qs, pdf, qdf = _frames(spark)
     q = V.query_codes(qdf.withColumn("ft", F.when(F.col("query_id") % 2 == 0, F.lit("a"))),
                       file_type="ft", size_min=F.when(F.col("query_id") % 3 == 0, F.lit(100.0)))
-    got = V.knn(V.point_codes(pdf, audio="file_type", subs="file_type", genres="file_type", ext_id="source"),
-                q.withColumn("f_audio", F.lit(None).cast("array<string>")), 4, use_filters=True).collect()
+    p = V.point_codes(pdf.withColumn("l", F.array("file_type")), audio="l", subs="l", genres="l", ext_id="source")
+    got = V.knn(p, q, 4, use_filters=True).collect()
     keys = [("s" if i % 3 else "t", str(i)) for i in range(len(pts))]
     mask = [[((j % 2) or i % 2 == 0) and ((j % 3) or i >= 100) for i in range(len(pts))] for j in range(len(qs))]
     by_q = {}
@@ -74,15 +74,54 @@ def test_knn_per_query_filters(spark):
 
 def test_ivf_all_cells_equals_exact_and_recall_grows(spark):
     pts, qs, pdf, qdf = _frames(spark, n=400, q=30)
-    indexed, cents = ivf.build_index(pdf, 8)
+    index = ivf.build_index(pdf, 8)
+    assert index.points.count() == 400 and index.cells == 8
     exact = V.knn(pdf, qdf, 10)
-    full = ivf.knn_ivf(indexed, cents, qdf, 10, nprobe=8)
-    assert sorted((r["query_id"], r["pg_id"]) for r in full.collect()) == \
-        sorted((r["query_id"], r["pg_id"]) for r in exact.collect())
-    recalls = [ivf.recall_at_k(ivf.knn_ivf(indexed, cents, qdf, 10, nprobe=p), exact) for p in (1, 2, 4, 8)]
+    full = ivf.knn_ivf(index, qdf, 10, nprobe=8)
+    assert sorted(tuple(r) for r in full.collect()) == sorted(tuple(r) for r in exact.collect())
+    recalls = [ivf.recall_at_k(ivf.knn_ivf(index, qdf, 10, nprobe=p), exact) for p in (1, 2, 4, 8)]
     assert recalls == sorted(recalls) and recalls[-1] == 1.0
 
 
+def test_ivf_reads_only_probed_cells_and_keeps_null_vectors(spark):
+    pts, qs, pdf, qdf = _frames(spark, n=400, q=30)
+    more = pdf.unionByName(spark.createDataFrame([("s", "none", None, "a", 1.0)], pdf.schema))
+    index = ivf.load_index(spark, ivf.build_index(more, 16).path)
+    assert index.points.count() == 401 and index.points.where("cell = -1").count() == 1
+    one = qdf.where("query_id = 3")
+    aqe = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")        # so that the plan that ran can be read
+    try:
+        out = ivf.knn_ivf(index, one, 5, nprobe=2)
+        assert len(out.collect()) == 5
+        plan = out._jdf.queryExecution().executedPlan()
+        assert "dynamicpruning" in plan.toString()
+        leaves = plan.collectLeaves()
+        read = [leaves.apply(i).metrics().apply("numPartitions").value() for i in range(leaves.size())
+                if "FileScan" in leaves.apply(i).toString() and leaves.apply(i).metrics().contains("numPartitions")]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", aqe)
+    assert read and min(read) == 2, read                          # of 17 folders
+
+
+def test_wrong_vectors_are_set_aside_and_counted_in_one_pass(spark):
+    rows = [("s", str(i), [1.0] * (4 if i % 5 else 3)) for i in range(50)] + [("s", "x", None)]
+    df = spark.createDataFrame(rows, "source string, pg_id string, embedding array<float>")
+    out = V.checked(df, 4)
+    assert out.figures == {"rows": 51, "good": 40, "wrong": 11, "missing": 1}
+    assert out.good.count() == 40 and out.good.columns == df.columns
+    assert sorted(r["dim_found"] for r in out.quarantine.collect()) == [-1] + [3] * 10
+
+
+def test_search_keeps_both_sides_off_the_driver(spark):
+    pts, qs, pdf, qdf = _frames(spark)
+    q = V.query_codes(qdf.withColumn("ft", F.when(F.col("query_id") % 2 == 0, F.lit("a"))), file_type="ft")
+    p = V.point_codes(pdf.withColumn("l", F.array("file_type")), audio="l", subs="l", genres="l", ext_id="source")
+    for out in (V.knn(pdf, qdf, 5), V.knn(p, q, 5, use_filters=True)):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan and "FlatMapCoGroupsInArrow" in plan
+
+
 def test_hash_embedder_is_deterministic_unit_length(spark):
     df = spark.createDataFrame([("hello",), ("x" * 1000,)], "t string")
     rows = embed_frame(df, "t", "e", dim=16).collect()
