@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from catalux.functions.query import query_tokens
 from catalux.operators.filters import like_pattern
 from catalux.operators.textjoin import GramIndex, contains_join
+from catalux.session import materialize
 
 
 def film_key() -> Column:
@@ -36,7 +37,7 @@ def expansion_candidates(queries: DataFrame, enrich: DataFrame, content: DataFra
     """
     fe = enrich.select("content_type", "tmdb_id", "aka", "keywords").withColumn("_ek", film_key())
     order = [F.asc("content_type"), F.asc("tmdb_id")]
-    qs = queries.select(qid, q)
+    qs = materialize(queries.select(qid, q))     # each branch reads it several times
     b1 = contains_join(qs, qid, q, fe, "_ek", ["aka", "keywords"], limit_per_query=limit, order=order, index=film_index)
     c = content.where(F.col("source") == film_source).select(
         F.col("type").alias("_ct"), F.col("id").cast("string").alias("_cid"), "title", "original_title")

@@ -187,17 +187,17 @@ def knn(points: DataFrame, queries: DataFrame, k: int, metric: str = "cosine",
         q = _with_signature(q)
         p = allowed(p, q)
         routes = [*routes, "_sig"]
+    n_points, n_queries = points.count(), q.count()
     p, q = p.select(*routes, *key_cols, vec_col), q.select(*routes, qid, qvec)
-    spark = points.sparkSession
-    if routes:
+    if routes and (n_points > point_rows or n_queries > query_rows):
         # block numbers by the size of each route
         size = q.groupBy(*routes).agg(_blocks(F.count(F.lit(1)), query_rows).alias("_qn"))
         counts = point_counts if point_counts is not None and not use_filters else p.groupBy(*routes).agg(F.count(F.lit(1)).alias("n"))
         size = size.join(counts.select(*routes, _blocks(F.col("n"), point_rows).alias("_pn")), routes)
         p, q = p.join(size, routes), q.join(size, routes)
     else:
-        n_points, n_queries = p.count(), q.count()
-        least = min(spark.sparkContext.defaultParallelism, -(-n_points // LEAST_ROWS))
+        # no route is larger than the whole: one block each where that is one block
+        least = 1 if routes else min(points.sparkSession.sparkContext.defaultParallelism, -(-n_points // LEAST_ROWS))
         sizes = {"_pn": max(1, least, -(-n_points // point_rows)), "_qn": max(1, -(-n_queries // query_rows))}
         p, q = (df.withColumns({c: F.lit(n) for c, n in sizes.items()}) for df in (p, q))
     p = p.withColumn("_pb", F.pmod(F.xxhash64(*key_cols), F.col("_pn")).cast("int")).withColumn(
