@@ -37,7 +37,7 @@ MARGIN = 0.18                # 4.8 standard errors of an estimate from 112 coord
 BLOCK = 512
 PART = 4_000                 # rows of block pairs that one call of the comparison takes, about
 RARE = 64                    # a shingle of at most so many open members is rare
-NO_ID = 1 << 62              # nodes from here on stand for classes without any doc_id
+NO_ID = 0x6A09E667F3BCC908   # the node of a class without any doc_id is its k1 with these bits turned
 
 
 def second_permutation(x: np.ndarray) -> np.ndarray:
@@ -126,7 +126,7 @@ def _sets(rows: DataFrame, size: int) -> DataFrame:
                     if not len(s):
                         continue
                     k1, k2 = s.sum(), mix(s ^ U64(0x5851F42D4C957F2D)).sum()
-                    node = NO_ID + int(k1 & U64((1 << 60) - 1)) if doc[i + r] is None else doc[i + r]
+                    node = int((k1 ^ U64(NO_ID)).view(np.int64)) if doc[i + r] is None else doc[i + r]
                     key = (node, int(k1.view(np.int64)), int(k2.view(np.int64)))
                     if key not in met:
                         met.add(key)
@@ -243,7 +243,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = THRESHOLD_PER
     classes = written(
         signed.where("n_shingles > 0").groupBy("k1", "k2")
         .agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles"))
-        .withColumn("node", F.coalesce("doc_id", F.lit(NO_ID) + F.pmod("k1", F.lit(1 << 60))))
+        .withColumn("node", F.coalesce("doc_id", F.col("k1").bitwiseXOR(F.lit(NO_ID))))
         # a node may have several classes (texts under one doc_id): sets, signatures and bounds go by the class
         .withColumn("no", F.monotonically_increasing_id()), "classes")
     bands = classes.select("no", "node", F.posexplode(F.transform(
@@ -272,10 +272,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = THRESHOLD_PER
         links = links.unionByName(_confirmed(more, sets, percent))
         found = components(links)
     named = written(classes.join(found, "node", "left").select(
-        "k1", "k2", F.coalesce("component", "node").alias("component")), "named")
+        "k1", "k2", "doc_id", F.coalesce("component", "node").alias("component")), "named")
+    # a component goes by its smallest doc_id, which is its smallest node unless some class has none
+    smallest = named.groupBy("component").agg(F.min("doc_id").alias("smallest"))
+    named = named.join(smallest, "component").select("k1", "k2", "smallest")
     out = signed.drop("sig").join(named, ["k1", "k2"], "left")
-    component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(
-        F.when(F.col("component") < NO_ID, F.col("component")))
+    component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("smallest"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"),
                       F.col("doc_id").eqNullSafe(component).alias("kept"), "text_hash", "k1", "k2")
 
@@ -293,13 +295,16 @@ def one_of_each(docs: DataFrame, size: int = 5, percent: int = THRESHOLD_PERCENT
     judged = near.select("doc_id", "text_hash", "kept", *[g.alias(h) for g, h in zip(group, ("h0", "h_k1", "h_k2"))]).join(
         tied, same[0] & same[1] & same[2], "left")
     special = written(judged.where("not kept or first_hash is not null").groupBy("doc_id", "text_hash").agg(
-        F.max(F.col("kept") & (F.col("text_hash") == F.col("first_hash"))).alias("__stays"))
-        .select("__stays", F.col("doc_id").alias("__doc"), F.col("text_hash").alias("__text"),
-                F.xxhash64("doc_id", "text_hash").alias("__key")), "special")
-    rows = docs.withColumn("__id", docs["doc_id"].cast("long")).withColumn("__hash", F.xxhash64(docs["text"].cast("string")))
-    flagged = with_likely(rows.withColumn("__row", F.xxhash64("__id", "__hash")), "__row", special.select("__key"), "__likely")
-    met = flagged.where("__likely").join(special, (F.col("__row") == F.col("__key")) & F.col("__id").eqNullSafe(F.col("__doc"))
-                                         & (F.col("__hash") == F.col("__text")), "left")
-    return (flagged.where("not __likely").select(*docs.columns)
-            .unionByName(met.where("__stays is null").select(*docs.columns))
-            .unionByName(met.where("__stays").dropDuplicates(["__id", "__hash"]).select(*docs.columns)))
+        F.max(F.col("kept") & (F.col("text_hash") == F.col("first_hash"))).alias("s_stays"))
+        .select("s_stays", F.col("doc_id").alias("s_doc"), F.col("text_hash").alias("s_text"),
+                F.xxhash64("doc_id", "text_hash").alias("s_key")), "special")
+    # positions for names: any column of ``docs`` may stay
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    doc, text = (F.col(names[docs.columns.index(c)]) for c in ("doc_id", "text"))
+    rows = docs.toDF(*names).select("*", doc.cast("long").alias("d_id"), F.xxhash64(text.cast("string")).alias("d_hash"))
+    flagged = with_likely(rows.withColumn("d_row", F.xxhash64("d_id", "d_hash")), "d_row", special.select("s_key"), "d_likely")
+    met = flagged.where("d_likely").join(special, (F.col("d_row") == F.col("s_key")) & F.col("d_id").eqNullSafe(F.col("s_doc"))
+                                         & (F.col("d_hash") == F.col("s_text")), "left")
+    return (flagged.where("not d_likely").select(*names)
+            .unionByName(met.where("s_stays is null").select(*names))
+            .unionByName(met.where("s_stays").dropDuplicates(["d_id", "d_hash"]).select(*names))).toDF(*docs.columns)

@@ -36,6 +36,14 @@ def held_out(doc_id: str, modulus: int, remainder: int):
 BITMAP_BITS = 1 << 24
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores behind it as it takes to differ from every column of ``df`` (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def with_likely(df: DataFrame, key: str, wanted: DataFrame, flag: str) -> DataFrame:
     """``df`` with boolean ``flag``: false only where ``key`` is certainly not in the one column of ``wanted``.
 
@@ -43,21 +51,23 @@ def with_likely(df: DataFrame, key: str, wanted: DataFrame, flag: str) -> DataFr
     carries little beyond the wanted rows.  An exact join must follow.
     """
     (name,) = wanted.columns
+    part, mask = (unused(df, x) for x in ("bm_part", "bm_bits"))
 
     def bit(c):
         return F.pmod(F.xxhash64(c), F.lit(BITMAP_BITS))
 
     bits = (wanted.select(bit(F.col(name)).alias("b"))
-            .groupBy(F.bitmap_bucket_number("b").alias("bm_part"))
-            .agg(F.bitmap_construct_agg(F.bitmap_bit_position("b")).alias("bm_bits")))
+            .groupBy(F.bitmap_bucket_number("b").alias(part))
+            .agg(F.bitmap_construct_agg(F.bitmap_bit_position("b")).alias(mask)))
     at = F.bitmap_bit_position(bit(F.col(key)))
-    byte = F.conv(F.hex(F.substring(F.col("bm_bits"), F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    set_ = F.col("bm_bits").isNotNull() & (F.getbit(byte, F.pmod(at, F.lit(8)).cast("int")) == 1)
+    byte = F.conv(F.hex(F.substring(F.col(mask), F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    set_ = F.col(mask).isNotNull() & (F.getbit(byte, F.pmod(at, F.lit(8)).cast("int")) == 1)
     # at most BITMAP_BITS / 32768 rows of 4 KB: a proven bound for the broadcast
-    return (df.join(F.broadcast(bits), F.bitmap_bucket_number(bit(F.col(key))) == F.col("bm_part"), "left")
+    return (df.join(F.broadcast(bits), F.bitmap_bucket_number(bit(F.col(key))) == F.col(part), "left")
             .select(*df.columns, F.coalesce(set_, F.lit(False)).alias(flag)))
 
 
 def likely_members(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
     """The rows of ``df`` whose ``key`` may be in ``wanted``; no wanted row is lost."""
-    return with_likely(df, key, wanted, "bm_likely").where("bm_likely").drop("bm_likely")
+    flag = unused(df, "bm_likely")
+    return with_likely(df, key, wanted, flag).where(F.col(flag)).drop(flag)

@@ -141,3 +141,30 @@ def test_large_components_are_not_copied_against_themselves(spark, monkeypatch):
         met += [(min(p, q), max(p, q)) for p in x for q in y if (i != j or p < q) and at[p][1] != at[q][1]]
     want = {(p, q) for p, (b, x) in at.items() for q, (c, y) in at.items() if p < q and b == c and x != y}
     assert sorted(met) == sorted(want)
+
+
+def test_ids_of_the_whole_range_and_rows_without_one(spark):
+    """Ids beyond 2^62 and below -2^62 are ids like any other; a class without an id never names a component."""
+    words = [f"w{i}" for i in range(60)]
+    near = [" ".join(words), " ".join([*words, "x"]), " ".join([*words, "x", "y"])]
+    apart = " ".join(f"v{i}" for i in range(40))
+    by_id = {2**63 - 1: near[0], 2**62 + 5: near[1], -(2**63): apart, -(2**62) - 9: near[2], 7: "alone here"}
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in by_id.items()], DOCS)
+    rows = minhash.near_duplicates(df, 4).select("doc_id", "n_shingles", "component_id", "kept").collect()
+    assert {r[0]: tuple(r[1:]) for r in rows} == brute(by_id, 4)
+    some = spark.createDataFrame([(None, near[0], "en", "s", 1), (2**62 + 5, near[1], "en", "s", 1), (2**62 + 9, near[2], "en", "s", 1),
+                                  (None, apart, "en", "s", 1)], DOCS)
+    got = {(r["doc_id"], r["n_shingles"]): (r["component_id"], r["kept"]) for r in minhash.near_duplicates(some, 4).collect()}
+    first = 2**62 + 5
+    assert got == {(None, 57): (first, False), (first, 58): (first, True), (2**62 + 9, 59): (first, False), (None, 37): (None, True)}
+
+
+def test_any_column_name_stays(spark, docs):
+    from pyspark.sql import functions as F
+    clashing = ["__id", "__hash", "__row", "__likely", "bm_bits", "bm_part", "bm_likely", "BM_BITS_", "component_id", "c0", "d_id", "s_key"]
+    wide = docs.select("*", *[F.lit(f"keep {c}").alias(c) for c in clashing])
+    got, plain = minhash.one_of_each(wide), minhash.one_of_each(docs)
+    assert got.columns == wide.columns
+    rows = got.collect()
+    assert {r["doc_id"] for r in rows} == {r["doc_id"] for r in plain.collect()}
+    assert all(r[c] == f"keep {c}" for r in rows for c in clashing)
