@@ -223,11 +223,10 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     return written(spans.groupBy("key", "tie").agg(F.collect_list(F.struct("a", "z")).alias("spans")), "spans")
 
 
-def _keyed(docs: DataFrame, text: str) -> DataFrame:
-    """key and tie identify a row by its doc_id and its text."""
-    hashed = F.xxhash64(F.col(text), F.lit("row"))
-    return docs.select("*", F.coalesce(F.col("doc_id").cast("long"), hashed).alias("__key"),
-                       hashed.bitwiseAND(0xFFFF).cast("int").alias("__tie"))
+def _key_and_tie(doc_id, text) -> list:
+    """A row by its doc_id and its text: 64 bits of both together and, by another seed, 16 of the text."""
+    return [F.xxhash64(doc_id.cast("long"), F.xxhash64(text, F.lit("key"))).alias("key"),
+            F.xxhash64(text, F.lit("row")).bitwiseAND(0xFFFF).cast("int").alias("tie")]
 
 
 def _merged(spans: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
@@ -259,11 +258,9 @@ def _with_spans(docs: DataFrame, text: str) -> tuple[DataFrame, list[str]]:
     """Columns c0, c1, ... of ``docs`` and ``spans`` (null: none).  Texts without a repeat are not shuffled."""
     names = [f"c{k}" for k in range(len(docs.columns))]
     place = docs.columns.index(text)
-    keyed = _keyed(docs.withColumn("__text", F.col(text).cast("string")), "__text")
-    spans = repeated_spans(keyed.select(F.col("__key").alias("key"), F.col("__tie").alias("tie"), F.col("__text").alias("text")))
-    plain = docs.toDF(*names).withColumn("__id", F.col(names[docs.columns.index("doc_id")]).cast("long")) \
-        .withColumn("__hash", F.xxhash64(F.col(names[place]).cast("string"), F.lit("row")))
-    plain = plain.select(*names, F.coalesce("__id", "__hash").alias("key"), F.col("__hash").bitwiseAND(0xFFFF).cast("int").alias("tie"))
+    value = F.col(names[place]).cast("string")
+    plain = docs.toDF(*names).select("*", *_key_and_tie(F.col(names[docs.columns.index("doc_id")]), value))
+    spans = repeated_spans(plain.select("key", "tie", value.alias("text")))
     flagged = with_likely(plain, "key", spans.select("key"), "likely")
     none = F.lit(None).cast(spans.schema["spans"].dataType).alias("spans")
     return (flagged.where("likely").join(spans, ["key", "tie"], "left").select(*names, "spans")

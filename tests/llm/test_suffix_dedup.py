@@ -56,3 +56,17 @@ def test_ties_nulls_empty(spark, empty_docs):
     got = sorted((r["n_bytes"], r["n_removed"], r["n_spans"]) for r in suffix_dedup.repeats(df).collect())
     n = len(t)
     assert got == [(0, 0, 0), (5, 0, 0), (n, n, 1), (n, n, 1), (n + 1, n, 1)]
+
+
+def test_texts_of_one_doc_id_are_told_apart(spark):
+    """Two texts under one doc_id that agree in the 16 bits of the second key: the one without a repeat keeps every byte."""
+    from pyspark.sql import functions as F
+    twice = "".join(f"{i * i:x}-" for i in range(90))
+    tie = F.xxhash64("text", F.lit("row")).bitwiseAND(0xFFFF)
+    wanted = spark.createDataFrame([(twice,)], "text string").select(tie).first()[0]
+    clear = "".join(f"{i * 7919 % 10007}," for i in range(80))
+    pool = spark.range(400_000).select(F.concat(F.lit(clear), F.col("id").cast("string")).alias("text"))
+    other = pool.where(tie == wanted).first()["text"]
+    df = spark.createDataFrame([(1, twice, "en", "s", 1), (1, other, "en", "s", 1), (2, twice, "en", "s", 1)], DOCS)
+    got = sorted((r["n_bytes"], r["n_removed"]) for r in suffix_dedup.repeats(df).collect())
+    assert got == sorted([(len(twice), len(twice)), (len(twice), len(twice)), (len(other), 0)])
