@@ -25,9 +25,14 @@ ROWS_PER_RANGE = 64
 MAX_RANGES = 20_000
 
 
+def threshold(scale: int) -> Column:
+    """The largest hash that is always retained."""
+    return F.lit(-(1 << 63) + (1 << 64) // scale - 1)
+
+
 def sketch(text: Column, scale: int = SCALE, size: int = SHINGLE) -> Column:
     """Sorted array<bigint> of the retained shingle hashes."""
-    top = F.lit(-(1 << 63) + (1 << 64) // scale - 1)
+    top = threshold(scale)
     hashes = let(words(text), lambda w: F.when(F.size(w) == 0, F.array().cast("array<bigint>"))
                  .when(F.size(w) < size, F.array(F.xxhash64(F.array_join(w, " "))))
                  .otherwise(shingles(w, size)))
@@ -42,15 +47,27 @@ def likeness(a: Column, b: Column) -> Column:
         let(both, lambda n: n / F.greatest(F.size(a) + F.size(b) - n, F.lit(1))).cast("double"))
 
 
-def containment(a: Column, b: Column) -> Column:
-    """Estimated share of a's shingles that are in b (1.0 for an empty a)."""
-    return F.when(F.size(a) == 0, F.lit(1.0)).otherwise(
-        (F.size(F.array_intersect(a, b)) / F.size(a)).cast("double"))
+def retained(sk: Column, scale: int = SCALE) -> Column:
+    """The hashes below the threshold: without a smallest one that is kept only for itself."""
+    return F.filter(sk, lambda x: x <= threshold(scale))
+
+
+def containment(a: Column, b: Column, scale: int = SCALE) -> Column:
+    """Estimated share of a's shingles that are in b (1.0 for an empty a), by the retained hashes alone.
+
+    Where a retains none, its smallest hash decides: 1.0 if b has it, else 0.0.
+    """
+    return let(retained(a, scale), lambda r: F.when(F.size(a) == 0, F.lit(1.0)).when(
+        F.size(r) == 0, F.array_contains(b, F.element_at(a, 1)).cast("double")).otherwise(
+        (F.size(F.array_intersect(r, b)) / F.size(r)).cast("double")))
 
 
-def merged(sketches: DataFrame, key: str, column: str = "sketch") -> DataFrame:
-    """Sketch of all texts of each ``key``, as (key, hash) rows: a union of sketches, pre-aggregated, of any size."""
-    return sketches.select(key, F.explode(column).alias("hash")).distinct()
+def merged(sketches: DataFrame, key: str, column: str = "sketch", scale: int = SCALE) -> DataFrame:
+    """Sketch of all texts of each ``key``, as (key, hash) rows of any number, pre-aggregated: the sketch of the union of
+    their shingles.  Retained hashes merge by union, smallest ones by minimum (it stays alone where nothing is retained)."""
+    each = sketches.select(F.col(key).alias("key"), F.explode(column).alias("hash"))
+    least = each.groupBy("key").agg(F.min("hash").alias("hash")).where(F.col("hash") > threshold(scale))
+    return each.where(F.col("hash") <= threshold(scale)).distinct().unionByName(least).withColumnRenamed("key", key)
 
 
 def as_text(fingerprint: Column) -> Column:

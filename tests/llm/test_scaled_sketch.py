@@ -67,6 +67,21 @@ def test_containment_and_merge(spark):
     assert scaled_sketch.merged(both, "k").count() == df.select(F.size(F.array_union("a", "b"))).first()[0]
 
 
+def test_merging_gives_the_sketch_of_the_union(spark):
+    from pyspark.sql import functions as F
+    parts = [(k % 3, f"a{k} b{k} c{k} d{k} e{k}") for k in range(400)] + [(7, "only one shingle is here"), (8, ""), (9, "x")]
+    df = spark.createDataFrame(parts, "k long, t string").select("k", scaled_sketch.shingles(scaled_sketch.words(F.col("t")), 5).alias("h"),
+                                                                  scaled_sketch.sketch(F.col("t")).alias("sketch"))
+    got = {}
+    for r in scaled_sketch.merged(df, "k").collect():
+        got.setdefault(r["k"], set()).add(r["hash"])
+    top = -(1 << 63) + (1 << 64) // scaled_sketch.SCALE - 1
+    for k in (0, 1, 2):
+        whole = {x for r in df.where(F.col("k") == k).collect() for x in r["h"]}
+        assert got[k] == ({x for x in whole if x <= top} or {min(whole)}) and len(got[k]) < 40
+    assert len(got[7]) == 1 and 8 not in got and len(got[9]) == 1
+
+
 def test_ties_nulls_single_empty(spark, empty_docs):
     assert scaled_sketch.fingerprints(empty_docs).count() == 0
     one = spark.createDataFrame([(5, "a b c d e f", "en", "s", 11)], DOCS)
