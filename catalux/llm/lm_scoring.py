@@ -45,9 +45,10 @@ CELLS = (len(SEEN) + 1) * len(BACKOFF)
 
 # ---------------------------------------------------------------- blocks
 
-def _packed(batch: pa.RecordBatch) -> bytes:
+def _packed(batch: pa.RecordBatch, level: int = 1) -> bytes:
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+    codec = pa.Codec("zstd", compression_level=level)
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=codec)) as out:
         out.write_batch(batch)
     return sink.getvalue().to_pybytes()
 
@@ -56,14 +57,14 @@ def unpacked(data: bytes) -> pa.Table:
     return pa.ipc.open_stream(data).read_all()
 
 
-def blocks(docs: DataFrame) -> DataFrame:
+def blocks(docs: DataFrame, level: int = 1) -> DataFrame:
     """(block, data): all rows in packed blocks of about BLOCK_BYTES of text (a longer text is a block of its own)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq, held, size = TaskContext.get().partitionId(), 0, [], 0
 
         def flush() -> pa.RecordBatch:
             table = pa.Table.from_batches(held).combine_chunks()
-            return pa.RecordBatch.from_pylist([{"block": (part << 32) + seq, "data": _packed(table.to_batches()[0])}])
+            return pa.RecordBatch.from_pylist([{"block": (part << 32) + seq, "data": _packed(table.to_batches()[0], level)}])
 
         for batch in batches:
             _, off = text_buffer(batch.column("text"))

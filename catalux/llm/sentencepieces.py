@@ -35,6 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalux.llm.files import place
+from catalux.llm.lm_scoring import _packed as pack
 from catalux.llm.lm_scoring import blocks, unpacked
 from catalux.llm.sqltext import let
 from catalux.llm.tables import written
@@ -46,6 +47,7 @@ RANGE_BYTES = 4 << 20          # text a hash range
 DECODE_ROWS = 256
 LATTICE_ATOMS = 20_000         # atoms a task of the lattice
 LONG = 48                      # characters of an atom that the lattice takes
+LEVEL = 6                      # of zstd, for what is written or shuffled once
 NO_PIECE = -20.0               # unigram score of a character that is spelt in bytes
 
 
@@ -231,7 +233,7 @@ _ATOMS = "kind string, owner long, block long, k int, atom string, places binary
 
 
 def _requests(table: DataFrame, cutter: Cutter, ranges: int) -> DataFrame:
-    """Distinct atoms of each block, cut by hash range: their hashes and texts."""
+    """Distinct atoms of each block, cut by hash range."""
     shift = U64(64 - ranges.bit_length() + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,12 +243,10 @@ def _requests(table: DataFrame, cutter: Cutter, ranges: int) -> DataFrame:
                 owner = (keys >> shift).astype(np.int64) if ranges > 1 else np.zeros(len(keys), np.int64)
                 cut = np.flatnonzero(np.diff(owner, prepend=-1, append=ranges))
                 for a, z in zip(cut, cut[1:]):
-                    packed = pa.RecordBatch.from_arrays([pa.array(keys[a:z]), pa.array(texts[a:z])], ["key", "atom"])
-                    sink = pa.BufferOutputStream()
-                    with pa.ipc.new_stream(sink, packed.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-                        out.write_batch(packed)
+                    # in hash order: the place in this list stands for the atom, so the hashes stay here
+                    packed = pack(pa.RecordBatch.from_arrays([pa.array(texts[a:z], pa.string())], ["atom"]), LEVEL)
                     yield pa.RecordBatch.from_pylist(
-                        [{"owner": int(owner[a]), "block": block, "data": sink.getvalue().to_pybytes()}],
+                        [{"owner": int(owner[a]), "block": block, "data": packed}],
                         pa.schema([("owner", pa.int64()), ("block", pa.int64()), ("data", pa.binary())]))
 
     return table.mapInArrow(run, "owner long, block long, data binary")
@@ -269,18 +269,26 @@ def _distinct(cutter: Cutter, data: bytes) -> tuple[np.ndarray, list[str]]:
 def _joined(frame: pd.DataFrame) -> pd.DataFrame:
     """Distinct atoms of one hash range (kind 'a'), and where each block's atoms are among them (kind 'b')."""
     parts = [unpacked(d) for d in frame["data"]]
-    keys = np.concatenate([p["key"].to_numpy() for p in parts])
-    unique, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
-    texts = pa.concat_tables(parts)["atom"].take(pa.array(first)).to_pylist()
+    coded = pa.concat_tables(parts)["atom"].combine_chunks().dictionary_encode()
+    texts, inverse = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
     owner = int(frame["owner"].iloc[0])
-    atoms = pd.DataFrame({"kind": "a", "owner": owner, "block": 0, "k": np.arange(len(unique)), "atom": texts, "places": b""})
+    atoms = pd.DataFrame({"kind": "a", "owner": owner, "block": 0, "k": np.arange(len(texts)), "atom": texts, "places": b""})
     sizes = np.cumsum([p.num_rows for p in parts])[:-1]
-    places = [pa.compress(x.astype("<u4").tobytes(), codec="zstd", asbytes=True) for x in np.split(inverse, sizes)]
+    places = [_squeezed(x.astype("<u4").tobytes()) for x in np.split(inverse, sizes)]
     return pd.concat([atoms, pd.DataFrame({"kind": "b", "owner": owner, "block": frame["block"], "k": [p.num_rows for p in parts],
                                            "atom": "", "places": places})])
 
 
-def _answers(byte_id: np.ndarray, table: dict[str, tuple[float, int]]):
+def _squeezed(data: bytes) -> bytes:
+    return pa.Codec("zstd", compression_level=LEVEL).compress(data, asbytes=True)
+
+
+def _id_type(pieces: int) -> str:
+    """The narrowest integers that hold every id."""
+    return "<u2" if pieces <= 1 << 16 else "<u4"
+
+
+def _answers(byte_id: np.ndarray, table: dict[str, tuple[float, int]], id_type: str):
     """Ids of each block's atoms of one hash range: how many each has, and all of them."""
     def run(atoms: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
         atoms, spelt = atoms.sort_values("k"), []
@@ -290,34 +298,34 @@ def _answers(byte_id: np.ndarray, table: dict[str, tuple[float, int]]):
                 ids = np.concatenate([[i] if i >= 0 else byte_id[np.frombuffer(chr(-i - 1).encode(), np.uint8)] for i in ids.tolist()])
             spelt.append(ids)
         size = np.array([len(x) for x in spelt])
-        flat, at, out = np.concatenate([*spelt, np.zeros(0, np.int64)]).astype("<u4"), np.cumsum(size) - size, []
+        flat, at, out = np.concatenate([*spelt, np.zeros(0, np.int64)]).astype(id_type), np.cumsum(size) - size, []
         for row in wanted.itertuples():
             k = np.frombuffer(pa.decompress(row.places, decompressed_size=4 * row.n_atoms, codec="zstd"), "<u4")
             n = size[k]
             where = np.repeat(at[k] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            out.append((row.block, row.owner, pa.compress(n.astype("<u4").tobytes(), codec="zstd", asbytes=True), int(len(k)),
-                        pa.compress(flat[where].tobytes(), codec="zstd", asbytes=True), int(n.sum())))
+            out.append((row.block, row.owner, _squeezed(n.astype("<u4").tobytes()), int(len(k)),
+                        _squeezed(flat[where].tobytes()), int(n.sum())))
         return pd.DataFrame(out, columns=["block", "owner", "sizes", "n", "ids", "total"])
 
     return run
 
 
-def _block_answers(folder: str, block: int) -> tuple[np.ndarray, np.ndarray]:
+def _block_answers(folder: str, block: int, id_type: str) -> tuple[np.ndarray, np.ndarray]:
     """Ids of a block's atoms in hash order: first place and number of each, and all ids."""
     import pyarrow.dataset
     where, inner = place(f"{folder}/block={block}")
     rows = pyarrow.dataset.dataset(inner, filesystem=where, format="parquet").to_table().sort_by("owner").to_pylist()
     size = [np.frombuffer(pa.decompress(r["sizes"], decompressed_size=4 * r["n"], codec="zstd"), "<u4") for r in rows]
-    ids = [np.frombuffer(pa.decompress(r["ids"], decompressed_size=4 * r["total"], codec="zstd"), "<u4") for r in rows]
-    none = np.zeros(0, "<u4")
-    return np.concatenate([*size, none]).astype(np.int64), np.concatenate([*ids, none])
+    width = np.dtype(id_type).itemsize
+    ids = [np.frombuffer(pa.decompress(r["ids"], decompressed_size=width * r["total"], codec="zstd"), id_type) for r in rows]
+    return (np.concatenate([*size, np.zeros(0, "<u4")]).astype(np.int64), np.concatenate([*ids, np.zeros(0, id_type)]))
 
 
 def _piece_ids(docs: DataFrame, model: str):
     """The blocks of ``docs``, and a function from a batch of blocks to (rows, ids, bounds of each row's ids), bounded in size."""
     spark, pieces = docs.sparkSession, Pieces.load(model)
-    cutter, byte_id = Cutter(*pieces.joins()), pieces.byte_id
-    table = blocks(docs)
+    cutter, byte_id, id_type = Cutter(*pieces.joins()), pieces.byte_id, _id_type(len(pieces.strings))
+    table = blocks(docs, LEVEL)
     size = table.agg(F.sum(F.length("data"))).first()[0] or 0
     ranges = 1 << max(0, int(2.5 * size / RANGE_BYTES).bit_length())
     met = written(_requests(table, cutter, ranges).groupBy("owner").applyInPandas(_joined, _ATOMS), "atoms")
@@ -328,24 +336,26 @@ def _piece_ids(docs: DataFrame, model: str):
     by_string = {p: (float(x), k) for k, (p, x, ok) in enumerate(zip(pieces.strings, pieces.score, pieces.usable)) if ok}
     answers = (ids.groupBy("owner").cogroup(
         met.where("kind = 'b'").select("owner", "block", "k", "places").toDF("owner", "block", "n_atoms", "places").groupBy("owner"))
-               .applyInPandas(_answers(byte_id, by_string), "block long, owner long, sizes binary, n long, ids binary, total long"))
+               .applyInPandas(_answers(byte_id, by_string, id_type), "block long, owner long, sizes binary, n long, ids binary, total long"))
     folder = shared_path(spark, "llm", "piece-ids")
     answers.repartition("block").write.partitionBy("block").parquet(folder)
 
     def run(batch: pa.RecordBatch) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray]]:
         for block, data in zip(batch.column("block").to_pylist(), batch.column("data").to_pylist()):
             texts = unpacked(data)
-            hashes = np.concatenate([*(h for _, _, _, h, _ in cutter(texts["text"])), np.zeros(0, np.uint64)])
+            cuts = [(i, h, first) for i, _, _, h, first in cutter(texts["text"])]
+            hashes = np.concatenate([*(h for _, h, _ in cuts), np.zeros(0, np.uint64)])
+            cuts = [(i, len(h), first) for i, h, first in cuts]
             which = np.unique(hashes, return_inverse=True)[1].astype(np.int32)
             if len(hashes):
-                n, flat = _block_answers(folder, block)
+                n, flat = _block_answers(folder, block, id_type)
             else:
-                n, flat = np.zeros(0, np.int64), np.zeros(0, "<u4")
+                n, flat = np.zeros(0, np.int64), np.zeros(0, id_type)
             del hashes
             at, done = np.cumsum(n) - n, 0
-            for i, _, _, h, first in cutter(texts["text"]):
-                k = which[done: done + len(h)]
-                done += len(h)
+            for i, m, first in cuts:
+                k = which[done: done + m]
+                done += m
                 total = np.concatenate([[0], np.cumsum(n[k])])
                 where = np.repeat(at[k] - total[:-1], n[k]) + np.arange(total[-1])
                 yield texts.slice(i, len(first) - 1), flat[where].astype(np.int32), total[first]
