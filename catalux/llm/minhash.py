@@ -274,8 +274,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = THRESHOLD_PER
     named = written(classes.join(found, "node", "left").select(
         "k1", "k2", "doc_id", F.coalesce("component", "node").alias("component")), "named")
     # a component goes by its smallest doc_id, which is its smallest node unless some class has none
-    smallest = named.groupBy("component").agg(F.min("doc_id").alias("smallest"))
-    named = named.join(smallest, "component").select("k1", "k2", "smallest")
+    if named.where("doc_id is null").isEmpty():
+        named = named.select("k1", "k2", F.col("component").alias("smallest"))
+    else:
+        smallest = named.groupBy("component").agg(F.min("doc_id").alias("smallest"))
+        named = named.join(smallest, "component").select("k1", "k2", "smallest")
     out = signed.drop("sig").join(named, ["k1", "k2"], "left")
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("smallest"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"),
