@@ -33,14 +33,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from catalux.llm.tables import likely_members, pick, written
+from catalux.llm.tables import pick, written
 
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LEAST = 10             # documents of a language that a kept term is in
 TOP = 10               # ranks of part "term"
 SCALE = 1_000_000_000
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 24 << 20
 TILE, SLAB = 128, 4_096
 
 BLOCK = "block long, groups array<long>, chunks array<string>, docs array<int>, triples binary"
@@ -152,7 +152,7 @@ def chunk_terms(found: DataFrame, seed: int = 0, least: int = LEAST) -> tuple[Da
     terms = written(terms.withColumn("tid", F.monotonically_increasing_id()), "terms")      # numbered once, when written
     known = written(cut.select("cid", F.explode("terms").alias("term")).join(terms, "term").select("cid", "tid"), "chunk-terms")
     rows = found.select(F.col("block").alias("of"), F.posexplode("chunks").alias("code", "chunk")).select("of", "code", hashed.alias("cid"))
-    return likely_members(rows, "cid", known.select("cid")).join(known, "cid").select("of", "code", "tid"), terms
+    return rows.join(known, "cid").select("of", "code", "tid"), terms
 
 
 # ---------------------------------------------------------------- 3: documents and occurrences of a block's terms
