@@ -40,12 +40,35 @@ def test_statistics_and_verdict(docs):
 def test_order_is_by_rejection_per_cost_and_does_not_change_the_verdict(docs):
     a, b, c = (Q.Measured(Q.Rule(n, None), s, r) for n, s, r in (("a", 1.0, 0.5), ("b", 0.1, 0.1), ("c", 0.1, 0.0)))
     assert [r.name for r in Q.ordered([c, a, b])] == ["b", "a", "c"]
-    stats = Q.expressions(F.col("text"))
     rules = (*Q.BASE_RULES, *Q.MORE_RULES)
-    ways = [docs.where(Q.first_failure(stats, order).isNull()).select("doc_id") for order in (rules, rules[::-1])]
+
+    def verdict(order):
+        return lambda s: Q.first_failure(s, order)
+
+    ways = [docs.where(Q.with_words(F.col("text"), verdict(order)).isNull()).select("doc_id") for order in (rules, rules[::-1])]
     assert sorted(ways[0].collect()) == sorted(ways[1].collect()) == sorted(Q.keep_clean(docs).select("doc_id").collect())
     assert Q.keep_clean(docs).columns == docs.columns
 
 
+def test_costs_are_measured_rule_by_rule(spark):
+    """A dear rule that rejects more goes behind a cheap one, in every run."""
+    texts = spark.range(3_000).select(F.concat(F.lit("some words of text "), F.col("id").cast("string")).alias("text"))
+    dear = Q.Rule("dear", lambda s: F.aggregate(F.sequence(F.lit(0), F.lit(3_000)), F.lit(0), lambda a, x: a + x % 7)
+                  + F.length(s["text"]) % 10 < 100_000_000)
+    cheap = Q.Rule("cheap", lambda s: s["n_words"] * 0 + F.length(s["text"]) % 2 == 0)
+    never = Q.Rule("never", lambda s: s["n_words"] < 0)
+    for _ in range(3):
+        by_name = {m.rule.name: m for m in Q.measured(texts, (dear, never, cheap))}
+        assert by_name["dear"].rejected == 1.0 and 0.1 < by_name["cheap"].rejected < 0.95 and by_name["never"].rejected == 0.0
+        assert by_name["dear"].seconds_per_row > 10 * by_name["cheap"].seconds_per_row > 0
+        assert [r.name for r in Q.ordered(list(by_name.values()))] == ["cheap", "dear", "never"]
+
+
+def test_the_sample_is_bounded_where_rows_repeat(spark):
+    same = spark.range(20_000).select(F.lit("one and the same text").alias("text"))
+    seen = Q.measured(same, Q.BASE_RULES[:1], sample_rows=200)
+    assert seen[0].rejected == 1.0
+
+
 def test_empty(empty_docs):
     assert Q.judged(empty_docs).count() == 0 and Q.keep_clean(empty_docs).count() == 0
