@@ -2,6 +2,10 @@ from __future__ import annotations
 
 from collections import defaultdict
 
+import numpy as np
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
 from catalux.llm import length_buckets as B
 from tests.llm.conftest import DOCS, rows_of
 from tests.llm.test_scaled_sketch import word_list
@@ -42,3 +46,49 @@ def test_ties_and_empty(spark, empty_docs):
     df = spark.createDataFrame([(1, "a b", "en", "s", 3)] * 3 + [(None, None, "en", "s", 0)], DOCS)
     rows = B.packed(df).collect()
     assert len(rows) == 4 and len({(r["batch_id"], r["slot"]) for r in rows}) == 4
+
+
+def least_padding(count: dict, buckets: int) -> int:
+    """By trying every last boundary for every length."""
+    values = sorted(count)
+    cost = {0: 0}
+    for _ in range(buckets):
+        cost = {0: 0} | {j: min(cost[i] + sum(count[v] * (values[j - 1] - v) for v in values[i:j]) for i in range(j) if i in cost)
+                         for j in range(1, len(values) + 1)}
+    return cost[len(values)]
+
+
+@given(st.dictionaries(st.integers(1, 5_000), st.integers(1, 60), min_size=1, max_size=24), st.integers(1, 6))
+@settings(max_examples=150, deadline=None)
+def test_boundaries_are_optimal(count, buckets):
+    lengths = np.array(sorted(count))
+    docs = np.array([count[v] for v in sorted(count)])
+    ends = B.optimal_boundaries(lengths, docs, lengths * docs, buckets)
+    assert ends == sorted(set(ends)) and len(ends) <= buckets and ends[-1] == lengths[-1]
+    assert sum(n * (min(e for e in ends if e >= v) - v) for v, n in count.items()) == least_padding(count, buckets)
+
+
+def test_many_lengths():
+    """A hundred thousand lengths are solved at once; another boundary next to any chosen one is no better."""
+    rng = np.random.default_rng(5)
+    lengths = np.unique(rng.integers(1, 1 << 20, 100_000))
+    docs = rng.integers(1, 50, len(lengths))
+
+    def padding(ends):
+        return int((docs * (np.array(ends)[np.searchsorted(ends, lengths)] - lengths)).sum())
+
+    ends = B.optimal_boundaries(lengths, docs, lengths * docs, 8)
+    place = np.searchsorted(lengths, ends)
+    for k in range(len(ends) - 1):
+        for step in (-1, 1):
+            assert padding([*ends[:k], int(lengths[place[k] + step]), *ends[k + 1:]]) >= padding(ends)
+
+
+def test_long_documents_get_exact_boundaries(spark):
+    """Lengths of 1,500 and 1,501 fell into one bin of a histogram with 256 steps an octave."""
+    texts = ["w " * (n - 1) for n in [1_500] * 40 + [1_501] * 3 + [1_502] * 40]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], DOCS)
+    rows = B.packed(df, buckets=2).collect()
+    assert {r["padded_length"] for r in rows} == {1_500, 1_502} and sum(r["padded_length"] - r["n_tokens"] for r in rows) == 3
+    coarse = B.packed(df, buckets=2, exact=1_024).collect()
+    assert len(coarse) == len(rows) and all(r["padded_length"] >= r["n_tokens"] for r in coarse)
