@@ -38,7 +38,7 @@ from catalux.llm.textnp import U64, mix, prefix_hash, segments, span_hash, text_
 LENGTH = 200
 Q = 32
 REACH = LENGTH - Q + 1     # q-grams in a window
-PART = 8_000               # stretches sorted together, about (some 300 bytes each)
+PART = 2_000               # stretches sorted together, about (some 300 bytes each, and 100 times that in arrays beside them)
 HOT = PART                 # a bucket of more different stretches than a part is counted over all tasks
 SLICE = 1 << 20
 

@@ -70,3 +70,21 @@ def test_texts_of_one_doc_id_are_told_apart(spark):
     df = spark.createDataFrame([(1, twice, "en", "s", 1), (1, other, "en", "s", 1), (2, twice, "en", "s", 1)], DOCS)
     got = sorted((r["n_bytes"], r["n_removed"]) for r in suffix_dedup.repeats(df).collect())
     assert got == sorted([(len(twice), len(twice)), (len(twice), len(twice)), (len(other), 0)])
+
+
+def test_a_group_sorted_together_stays_small():
+    """Pipeline, executor memory: a bucket as large as one may be, in the part of others, is sorted within 200 MB."""
+    import tracemalloc
+
+    import numpy as np
+    import pandas as pd
+    n, width = suffix_dedup.HOT + suffix_dedup.PART, suffix_dedup.REACH
+    rng = np.random.default_rng(1)
+    texts = [rng.integers(97, 122, width + suffix_dedup.LENGTH - 1, dtype=np.uint8).tobytes() for _ in range(n)]
+    frame = pd.DataFrame({"key": np.arange(n), "tie": 0, "bucket": 1, "many": False, "start": 0, "width": width, "bytes": texts})
+    tracemalloc.start()
+    try:
+        assert len(suffix_dedup._sorted_part(frame)) == 0
+        assert tracemalloc.get_traced_memory()[1] < 200 << 20
+    finally:
+        tracemalloc.stop()
