@@ -12,6 +12,7 @@ from catalux.registry import duck as D
 from catalux.registry import register
 from catalux.registry.common import ITEMS_SYNC, NOW
 from catalux.registry.joins import PENDING_SQL
+from catalux.session import stored
 from catalux.sources.tables import table
 
 
@@ -41,10 +42,12 @@ SELECT s.* FROM sync_state s WHERE NOT EXISTS (SELECT 1 FROM new_rows n WHERE n.
 UNION ALL SELECT * FROM new_rows""", ("items", "sync_state"))
 def sync_state_upsert(fx):
     """S3: every pending row gets a fresh state (hash, version, vector id, score, time; error cleared)."""
-    pend = J.pending_rows(fx["items"], ITEMS_SYNC, fx["sync_state"])
-    rows = pend.select("pg_id", "text_hash", point_id(F.lit("items"), "pg_id").alias("vector_id"),
-                       F.round(safety_score("text"), 6).alias("nsfw_score"))
-    return U.sync_state_upsert(fx["sync_state"], rows, "items", NOW, "v2")
+    # both are narrow, are read twice and stand on whole texts
+    state = stored(fx["sync_state"], "state")
+    pend = J.pending_rows(fx["items"], ITEMS_SYNC, state)
+    rows = stored(pend.select("pg_id", "text_hash", point_id(F.lit("items"), "pg_id").alias("vector_id"),
+                              F.round(safety_score("text"), 6).alias("nsfw_score")), "new-state")
+    return U.sync_state_upsert(state, rows, "items", NOW, "v2")
 
 
 @register("failure_upsert", f"""
