@@ -11,7 +11,7 @@ from catalux.plans.sync import SyncParams
 from catalux.registry import duck as D
 from catalux.registry import register
 from catalux.registry.common import FILM_SOURCE, ITEMS_SYNC, NOW, film_enrich, items_content
-from catalux.session import shared_path
+from catalux.session import shared_path, stored
 from catalux.spec import SourceSpec
 from catalux.streaming import incremental as INC
 
@@ -87,6 +87,7 @@ def enrichment_loop(fx):
                               F.col("pg_id").alias("content_id"), "title")
     land = shared_path(spark, "refs")
     refs.repartition(2, "content_id").write.parquet(land)
+    landed = spark.read.schema(refs.schema).parquet(land)    # narrow: the texts that the titles come from are not read again
     pay = fx["payload"].select(F.col("id").cast("string").alias("content_id"), "scene_json")
     cols = ["tpdb_id", "title", "aka", "actors", "tags", "studio", "site", "release_date", "plot", "poster_url",
             "match_method"]
@@ -95,8 +96,9 @@ def enrichment_loop(fx):
                                   ", match_score DOUBLE, status STRING, updated_at TIMESTAMP")
 
     def job(batch_refs, table):
-        r = batch_refs.join(refs, ["content_type", "content_source", "content_id"])
-        p = r.select("content_type", "content_source", "content_id").join(pay, "content_id")
+        # the plan of the job reads either several times
+        r = stored(batch_refs.join(landed, ["content_type", "content_source", "content_id"]), "batch-refs")
+        p = stored(r.select("content_type", "content_source", "content_id").join(pay, "content_id"), "batch-payloads")
         return scene_enrichment_job(r, table, p, NOW, 240.0, 48.0, "data.searchScene", 0)
 
     out = INC.enrichment_loop(spark, land, refs.schema, job, ["content_type", "content_source", "content_id"],
