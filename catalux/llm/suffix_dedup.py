@@ -9,8 +9,10 @@ window belongs to exactly one anchor.
    stretch occurs again are finished: all their windows repeat.
 3. In buckets that still hold different stretches, one text of each stretch is taken, and its positions are
    refined by sorting on (own bucket, bucket of the position 32, then 64, then 72 bytes later): each round uses
-   the buckets of the round before, until buckets stand for 200 equal bytes.  Stretches of a bucket with more
-   than ``HOT`` different ones are counted window by window over all tasks instead, so no group is unbounded.
+   the buckets of the round before, until buckets stand for 200 equal bytes.
+4. Stretches of a bucket with more than ``HOT`` different ones are first cut into pieces of ``CELL`` windows each;
+   their buckets are the 188 bytes that all windows of a piece share, and pieces are refined as stretches were.
+   Only of piece buckets that are too large in their turn are the windows counted over all tasks, so no group is unbounded.
 
 Bytes covered by a repeated window are removed, first occurrences too; matches never cross documents.
 First buckets compare 64-bit hashes of q-grams and stretches.
@@ -40,6 +42,7 @@ Q = 32
 REACH = LENGTH - Q + 1     # q-grams in a window
 PART = 2_000               # stretches sorted together, about (some 300 bytes each, and 100 times that in arrays beside them)
 HOT = PART                 # a bucket of more different stretches than a part is counted over all tasks
+CELL = 13                  # windows of a piece, by how far the anchor is behind their start (169 = 13 * 13 places)
 SLICE = 1 << 20
 
 
@@ -156,8 +159,55 @@ def _sorted_part(frame: pd.DataFrame) -> pd.DataFrame:
     return _spans(frame, begin, start[keep], row[keep])
 
 
+def pieces(frame: pd.DataFrame) -> pd.DataFrame:
+    """The stretches cut into pieces of at most CELL windows: equal windows lie in pieces of one bucket."""
+    frame = frame.reset_index(drop=True)
+    buf, begin, start, row = _windows_of(frame)
+    anchor = begin[:-1] + frame["back"].to_numpy()
+    cell = (anchor[row] - start) // CELL
+    new = np.ones(len(start), dtype=bool)
+    new[1:] = (row[1:] != row[:-1]) | (cell[1:] != cell[:-1])
+    head = np.flatnonzero(new)
+    r, c, lo, hi = row[head], cell[head], start[head], start[np.append(head[1:], len(start)) - 1]
+    prefix = prefix_hash(buf)
+    at = anchor[r]
+    shared = span_hash(prefix, at - CELL * c, at + LENGTH - CELL * (c + 1) + 1)
+    data = memoryview(buf)
+    return pd.DataFrame({
+        "key": frame["key"].to_numpy()[r], "tie": frame["tie"].to_numpy()[r],
+        "bucket": mix(shared + c.astype(np.uint64)).view(np.int64),
+        "stretch": mix(span_hash(prefix, lo, hi + LENGTH) + (at - lo).astype(np.uint64)).view(np.int64),
+        "start": lo - begin[r] + frame["start"].to_numpy()[r], "width": (hi - lo + 1).astype(np.int32),
+        "bytes": [bytes(data[x: y + LENGTH]) for x, y in zip(lo.tolist(), hi.tolist())]})
+
+
+def _refined(found: DataFrame, one, name: str) -> tuple[DataFrame, DataFrame]:
+    """Of each different stretch (column ``one``; its bucket; many: too large a bucket) one, where some repeat nothing as a
+    whole; and (bucket, stretch) of those that occur again."""
+    classes = written(found.groupBy("bucket", "stretch").agg(F.count(F.lit(1)).alias("n"), F.min(one).alias("one")), name)
+    # one stretch of a bucket alone repeats nothing; where all stretches repeat nothing is left to find
+    open_ = written(classes.groupBy("bucket").agg(F.count(F.lit(1)).alias("stretches"), F.min("n").alias("least"))
+                    .where("stretches > 1 and least = 1").select("bucket", "stretches"), "open-" + name)
+    return (classes.join(open_, "bucket").select("bucket", (F.col("stretches") > HOT).alias("many"), "one"),
+            classes.where("n > 1").select("bucket", "stretch"))
+
+
+def _piece_texts(hot: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Spans of the pieces that occur again, and one text of each different piece that is left to look at."""
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield pieces(frame)
+
+    found = written(hot.mapInPandas(run, "key long, tie int, bucket long, stretch long, start long, width int, bytes binary"),
+                    "pieces")
+    rows, again = _refined(found, F.struct("key", "tie", "start", "width", "bytes"), "piece-classes")
+    whole = found.join(again, ["bucket", "stretch"], "left_semi").select(
+        "key", "tie", F.col("start").alias("a"), (F.col("start") + F.col("width") - 1 + LENGTH).alias("z"))
+    return whole, written(rows.select("bucket", "many", "one.*"), "piece-texts")
+
+
 def _counted_windows(hot: DataFrame) -> DataFrame:
-    """The same for buckets of any size: windows counted by hash over all tasks."""
+    """Repeated windows of buckets of any size: counted by hash over all tasks."""
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             frame = frame.reset_index(drop=True)
@@ -174,7 +224,7 @@ def _counted_windows(hot: DataFrame) -> DataFrame:
 
 def _stretch_texts(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """The bytes of each row's stretch, cut out of its document."""
-    by_doc = written(rows.groupBy("key", "tie").agg(F.collect_list(F.struct("bucket", "many", "start", "width")).alias("cuts")),
+    by_doc = written(rows.groupBy("key", "tie").agg(F.collect_list(F.struct("bucket", "many", "start", "width", "back")).alias("cuts")),
                      "cuts")  # a document's own anchors: no more than its length
     near = likely_members(docs, "key", by_doc.select("key")).join(by_doc, ["key", "tie"])
 
@@ -189,11 +239,11 @@ def _stretch_texts(docs: DataFrame, rows: DataFrame) -> DataFrame:
             texts = [bytes(data[a: a + w + LENGTH - 1]) for a, w in zip(at.tolist(), width.tolist())]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("key").take(pa.array(row)), batch.column("tie").take(pa.array(row)), flat.field("bucket"),
-                 flat.field("many"), pa.array(start), pa.array(width), pa.array(texts, pa.binary())],
-                ["key", "tie", "bucket", "many", "start", "width", "bytes"])
+                 flat.field("many"), pa.array(start), pa.array(width), flat.field("back"), pa.array(texts, pa.binary())],
+                ["key", "tie", "bucket", "many", "start", "width", "back", "bytes"])
 
     return near.select("key", "tie", "text", "cuts").mapInArrow(
-        run, "key long, tie int, bucket long, many boolean, start long, width int, bytes binary")
+        run, "key long, tie int, bucket long, many boolean, start long, width int, back int, bytes binary")
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
@@ -201,25 +251,22 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     found = written(_anchor_rows(docs), "anchors")
     live = written(found.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket"), "live")
     alive = written(likely_members(found, "bucket", live).join(live, "bucket", "left_semi"), "alive")
-    classes = written(alive.groupBy("bucket", "stretch").agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "place", "span")).alias("one")), "stretches")
+    classes, again = _refined(alive, F.struct("key", "place", "span"), "stretches")
     place, back, more = F.shiftright("place", 16), F.shiftright("span", 16), F.col("span").bitwiseAND(0xFFFF)
-    whole = (alive.join(classes.where("n > 1").select("bucket", "stretch"), ["bucket", "stretch"], "left_semi")
+    whole = (alive.join(again, ["bucket", "stretch"], "left_semi")
              .select("key", F.col("place").bitwiseAND(0xFFFF).cast("int").alias("tie"), (place - back).alias("a"),
                      (place - back + more + LENGTH).alias("z")))
-    # one anchor of a bucket alone repeats nothing; where all stretches repeat nothing is left to find
-    open_ = written(classes.groupBy("bucket").agg(F.count(F.lit(1)).alias("stretches"), F.min("n").alias("least"))
-                    .where("stretches > 1 and least = 1").select("bucket", "stretches"), "open")
-    rows = (classes.join(open_, "bucket")
-            .select("bucket", (F.col("stretches") > HOT).alias("many"), "one.key", "one.place", "one.span")
+    rows = (classes.select("bucket", "many", "one.*")
             .select("key", F.col("place").bitwiseAND(0xFFFF).cast("int").alias("tie"), "bucket", "many",
-                    (place - back).alias("start"), (more + 1).alias("width")))
+                    (place - back).alias("start"), (more + 1).alias("width"), back.alias("back")))
     texts = written(_stretch_texts(docs, rows), "stretch-texts")
-    usual = texts.where("not many")
+    piece_whole, piece_texts = _piece_texts(texts.where("many"))
+    columns = ["key", "tie", "bucket", "start", "width", "bytes"]
+    usual = texts.where("not many").select(*columns).unionByName(piece_texts.where("not many").select(*columns))
     parts = max(1, usual.count() // PART)
     refined = (usual.withColumn("part", F.pmod(F.xxhash64("bucket"), F.lit(parts))).groupBy("part")
                .applyInPandas(_sorted_part, _SPAN_TYPE))
-    spans = whole.unionByName(refined).unionByName(_counted_windows(texts.where("many")))
+    spans = whole.unionByName(piece_whole).unionByName(refined).unionByName(_counted_windows(piece_texts.where("many")))
     return written(spans.groupBy("key", "tie").agg(F.collect_list(F.struct("a", "z")).alias("spans")), "spans")
 
 

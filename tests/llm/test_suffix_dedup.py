@@ -37,6 +37,30 @@ def test_large_buckets_are_counted_over_all_tasks(docs, monkeypatch):
     assert results(docs) == expected(rows_of(docs))
 
 
+def test_a_common_passage_makes_few_rows(spark, monkeypatch):
+    """Many texts around one passage: pieces that agree are finished, only their ends are counted window by window."""
+    import random
+    rnd = random.Random(5)
+    word = lambda n: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    passage, near = word(330), word(400)
+    by_id = {i: word(rnd.randint(0, 220)) + passage + word(rnd.randint(0, 220)) for i in range(60)}
+    by_id |= {100 + i: near[: 40 + 9 * i] + "#" + near[41 + 9 * i:] for i in range(38)}
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in by_id.items()], DOCS)
+    made, real = {}, suffix_dedup.written
+
+    def keep(frame, name):
+        made[name] = real(frame, name)
+        return made[name]
+
+    monkeypatch.setattr(suffix_dedup, "written", keep)
+    monkeypatch.setattr(suffix_dedup, "HOT", 5)
+    assert results(df) == expected(by_id)
+    hot = made["stretch-texts"].where("many").selectExpr("count(*) n", "sum(width) w").first()
+    assert hot.n > 60
+    assert made["pieces"].count() < hot.n * (suffix_dedup.REACH // suffix_dedup.CELL + 1)
+    assert 0 < made["windows"].count() < hot.w // 2
+
+
 def test_pipeline_form(docs):
     by_id, want = rows_of(docs), expected(rows_of(docs))
     got = suffix_dedup.without_repeats(docs)
